@@ -24,13 +24,18 @@ def norm_words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
-def windows(words: Column, n: int) -> Column:
-    """(at, len, h) of every window of n words."""
+def window_hash(words: Column, at: Column, n: int, seed: int) -> Column:
+    """Hash of the n words from ``at``; elements are read in place, never copied."""
+    return F.xxhash64(F.lit(seed), *[F.get(words, at + F.lit(k)) for k in range(n)])
+
+
+def windows(words: Column, n: int, twice: bool) -> Column:
+    """(at, len, h, h2) of every window of n words; h2, a second hash, only if ``twice``."""
     last = F.size(words) - n
 
     def one(i):
-        part = F.slice(words, i + 1, n)
-        return F.struct(i.cast("int").alias("at"), F.lit(n).alias("len"), F.xxhash64(part).alias("h"), F.xxhash64(F.lit(n), part).alias("h2"))
+        second = window_hash(words, i, n, 2) if twice else F.lit(None).cast("long")
+        return F.struct(i.cast("int").alias("at"), F.lit(n).alias("len"), window_hash(words, i, n, 1).alias("h"), second.alias("h2"))
 
     empty = F.array().cast("array<struct<at:int,len:int,h:bigint,h2:bigint>>")
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one)).otherwise(empty)
@@ -45,11 +50,12 @@ def item_windows(items: DataFrame, n: int = 10) -> DataFrame:
     ws = items.select("item_id", norm_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     ws = ws.withColumn("n", F.least(F.size("w"), F.lit(n)))
     each = ws.select("item_id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("n")), lambda i: F.slice(F.col("w"), i + 1, F.col("n")))).alias("b_words"))
+    by_len = lambda seed: F.coalesce(*[F.when(F.col("b_len") == k, window_hash(F.col("b_words"), F.lit(0), k, seed)) for k in range(1, n + 1)])
     return (
         each.groupBy("b_words")
         .agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("b_items"))
         .select("b_words", "b_items", F.size("b_words").alias("b_len"))
-        .select("*", F.xxhash64("b_words").alias("b_h"), F.xxhash64(F.col("b_len"), "b_words").alias("b_h2"))
+        .select("*", by_len(1).alias("b_h"), by_len(2).alias("b_h2"))
     )
 
 
@@ -67,9 +73,9 @@ def scan(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_bytes: int =
     small = size <= broadcast_bytes
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), norm_words(F.col("text")).alias("w"))
     marker = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("h2")))
-    every = reduce(F.concat, [windows(F.col("w"), k) for k in lens], marker)
+    every = reduce(F.concat, [windows(F.col("w"), k, not small) for k in lens], marker)
     kept = ["doc_id", "text_hash", "n_words"] + ["w"] * small
-    rows = base.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), "w", every.alias("every")).select(*kept, F.inline("every"))
+    rows = base.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), "w", every.alias("every")).select(*kept, F.inline_outer("every"))  # outer: never empty, and no filter on its size is pushed below the words
     if small:
         same = (F.col("h") == F.col("b_h")) & (F.slice("w", F.greatest(F.col("at") + 1, F.lit(1)), F.col("len")) == F.col("b_words"))
         grams = F.broadcast(grams.select("b_h", "b_words", "b_items"))
