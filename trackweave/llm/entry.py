@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lm, mixing, quality, sharding
+from . import decontam, lm, mixing, quality, rlz, sharding
 from .common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.report(read(spark, sf_dir, "documents"))
+
+
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.report(read(spark, sf_dir, "documents"))
 
