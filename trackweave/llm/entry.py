@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cpjoin, decontam, langid, lm, mixing, quality, rlz, sharding
+from . import cpjoin, decontam, langid, licenses, lm, mixing, quality, rlz, sharding, toxicity
 from .common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.report(read(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cpjoin.report(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     return sharding.shard(read(spark, sf_dir, "documents"), 24, map_path=path)

@@ -82,8 +82,8 @@ def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> Words:
-    """Words and their 64-bit hashes; ``lower`` folds A-Z first."""
+def split_words(texts: pa.Array, lower: bool = False, separators: np.ndarray = _SPACE) -> Words:
+    """Words and their 64-bit hashes; ``lower`` folds A-Z first, ``separators`` marks the bytes between words."""
     data, offsets = as_bytes(texts)
     if lower:
         data = _LOWER[data]
@@ -96,13 +96,13 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
         to = min(n, at + SPAN)
         while to < n:  # move the end of the span to a gap between words
             ahead = data[to : to + 4096]
-            gap = np.flatnonzero(_SPACE[ahead] | cut_before[to : to + len(ahead)])
+            gap = np.flatnonzero(separators[ahead] | cut_before[to : to + len(ahead)])
             if len(gap):
                 to += int(gap[0])
                 break
             to += len(ahead)
         b = data[at:to]
-        inside = ~_SPACE[b]
+        inside = ~separators[b]
         begin = inside.copy()
         begin[1:] &= ~inside[:-1] | cut_before[at + 1 : to]
         finish = inside.copy()
@@ -152,8 +152,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 8
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length as one value, each column's bytes together."""
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    """Columns of one length as one value, byte plane by byte plane.
+
+    High bytes that are alike then lie together and compress away in shuffles.
+    """
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes() for c in columns)
 
 
 def unpack(value: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
@@ -161,7 +164,8 @@ def unpack(value: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     n = len(value) // sum(widths)
     out, at = [], 0
     for k, w in zip(kinds, widths, strict=True):
-        out.append(np.frombuffer(value, k, n, at))
+        planes = np.frombuffer(value, np.uint8, n * w, at).reshape(w, n)
+        out.append(np.ascontiguousarray(planes.T).view(k).reshape(n))
         at += n * w
     return out
 
