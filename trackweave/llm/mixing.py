@@ -197,9 +197,11 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     # Texts travel with their rows only; a row's start ties it to what was taken of it.
     laid = lay_out(docs, size, cols)
     same = (F.col("start") == F.col("t_start")) & (F.col("size") == F.col("t_size")) & F.col("source").eqNullSafe(F.col("t_source"))
-    w = words(F.col("doc.text"))
+    # The generator keeps the words from being split anew for every span.
+    w = F.col("w")
     part = F.array_join(F.flatten(F.transform("spans", lambda x: F.slice(w, (x["at"] + 1).cast("int"), x["n"].cast("int")))), " ")
     text = F.when(F.col("n") == F.col("size"), F.col("doc.text")).otherwise(part)
-    out = laid.join(spans, same).select("doc", text.alias("new_text"))
+    both = laid.join(spans, same).select("doc", "size", "n", "spans", F.explode_outer(F.array(words(F.col("doc.text")))).alias("w"))
+    out = both.select("doc", text.alias("new_text"))
     pick = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
     return out.select(*[pick.get(c, F.col(f"doc.`{c}`")).alias(c) for c in cols])

@@ -196,13 +196,12 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, all columns unchanged.
 
-    Verdicts are the same for equal texts, so they are computed beside each
-    row: the model comes from one pass, the verdict from a second.
+    Rows and their votes are written to the shared folder once; the model is
+    fitted on the votes and the verdict read off beside each row.
     """
-    model = fit_votes(votes(features(docs)))
     cols = docs.columns
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("doc_id"), "text")
-    voted = votes(features(tagged))
+    voted = materialize(votes(features(tagged)), "quality")
     n = F.col("n_words")
-    kept = (n >= 50) & (100 * F.col("n_repeat_words") <= 50 * n) & (posterior(model) >= 0.5)
+    kept = (n >= 50) & (100 * F.col("n_repeat_words") <= 50 * n) & (posterior(fit_votes(voted)) >= 0.5)
     return voted.filter(kept).select("doc_id.*")
