@@ -1,0 +1,5 @@
+"""Trajectory analytics as Spark DataFrame plans."""
+
+from .frame import Trajectories
+
+__all__ = ["Trajectories"]
