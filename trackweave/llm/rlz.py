@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import materialize
 from .tokens import U
 
 #: Words in a window; shorter factors are literals.
@@ -189,7 +188,7 @@ def _exchange(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = anchors.groupBy("bucket").applyInArrow(_shared, "block int, value binary")
     cands = grouped.cogroup(shared.groupBy("block")).applyInArrow(_candidates(bits), "bucket int, block int, value binary")
     firsts = cands.groupBy("bucket").applyInArrow(_first_places, "block int, value binary")
-    return blocks, materialize(firsts, "rlz-places")
+    return blocks, firsts
 
 
 def factors(docs: DataFrame) -> DataFrame:
