@@ -14,6 +14,7 @@ exactly and in blocks, so links are counted without being listed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,11 @@ SHINGLE = 5
 SIM_NUM, SIM_DEN = 4, 5
 #: Minhash tokens per set.
 TOKENS = 64
-#: Independent runs, and the expected number of places that a node samples.
-RUNS, PLACES = 10, 1.8
+#: Expected number of places that a node samples.
+PLACES = 1.8
+#: Runs are repeated until a pair at the bound shares a sampled token with so large a chance.
+TARGET_RECALL = 0.999
+RUNS = math.ceil(math.log(1 - TARGET_RECALL) / (-PLACES * SIM_NUM / SIM_DEN))
 #: A node of at most so many sets is compared at once.
 SMALL = 64
 #: Levels of splitting; nodes still large after them are candidate groups as they are.
