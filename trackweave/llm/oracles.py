@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-_LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _NORM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
 
 ORACLES: dict[str, str] = {
@@ -21,4 +20,13 @@ its AS (SELECT doc_id, count(*) n_items, string_agg(s, ',' ORDER BY s) ids
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) n_words, CAST(coalesce(n_hit, 0) AS BIGINT) n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op3_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+g AS (SELECT doc_id, i, list_slice(w, i, i + 12) k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) i FROM d WHERE len(w) >= 13)),
+m AS (SELECT k, min(doc_id) md FROM g GROUP BY k),
+hit AS (SELECT DISTINCT doc_id, p FROM (SELECT g.doc_id, unnest(range(i, i + 13)) p FROM g JOIN m USING (k) WHERE md < g.doc_id)),
+x AS (SELECT doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) t, count(*) n FROM x ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) n_removed, sha256(coalesce(t, '')) kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
 }
