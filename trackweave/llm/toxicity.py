@@ -25,7 +25,7 @@ from .common import crc_mod
 from .tokens import U
 
 #: Labelled rows that the lexicon and weights are fitted on: a bounded sample, smallest hash of the id first.
-TRAIN_ROWS = 10_000
+TRAIN_ROWS = 8_000
 #: Terms that the lexicon may hold.
 MOST_TERMS = 2000
 #: Texts of the positive class that a term must stand in, and its least precision.
@@ -128,7 +128,7 @@ def _stems(word: str) -> list[str]:
     return [word[:k] + "*" for k in range(PREFIX, min(len(word), 8))]
 
 
-def _copies(texts: list[list[tuple[str, bool]]]) -> list[int]:
+def _copies(texts: list[str | None]) -> list[int]:
     """A number per text that near copies share: texts with a common smallest 3-word hash, in any of four hashings."""
     owner: dict[tuple[int, int], int] = {}
     group = list(range(len(texts)))
@@ -139,7 +139,8 @@ def _copies(texts: list[list[tuple[str, bool]]]) -> list[int]:
             x = group[x]
         return x
 
-    for i, words in enumerate(texts):
+    for i, text in enumerate(texts):
+        words = text_words(text)
         if len(words) < 3:
             continue
         grams = np.array([zlib.crc32(f"{a[0]} {b[0]} {c[0]}".encode()) for a, b, c in zip(words, words[1:], words[2:], strict=False)], U)
@@ -159,14 +160,13 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     term covers it.  Weights are smoothed log odds.  With one class only, or no
     rows, the share of toxic rows is scored.
     """
-    split = [(text_words(text), label) for text, label in rows]
-    group = _copies([w for w, _ in split])
+    group = _copies([text for text, _ in rows])
     n = [0, 0]
     inside: dict[str, set[int]] = {}
-    for (words, label), g in zip(split, group, strict=True):
+    for (text, label), g in zip(rows, group, strict=True):  # texts are split anew in each pass, not kept split
         n[label] += 1
         if label:
-            for w in {w for w, _ in words}:
+            for w in {w for w, _ in text_words(text)}:
                 inside.setdefault(w, set()).add(g)
     beginnings: dict[str, list[str]] = {}
     for w in inside:
@@ -178,9 +178,9 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
         if len(gs) >= SUPPORT and len(ws) >= 3:
             groups[f] = gs
     outside: dict[str, set[int]] = {f: set() for f in groups}
-    for (words, label), g in zip(split, group, strict=True):
+    for (text, label), g in zip(rows, group, strict=True):
         if not label:
-            for w in {w for w, _ in words}:
+            for w in {w for w, _ in text_words(text)}:
                 for f in (w, *_stems(w)):
                     if f in outside:
                         outside[f].add(g)
@@ -199,22 +199,19 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     chosen = sorted(chosen, key=lambda f: (-good[f], f))[:MOST_TERMS]
     prior = math.log((n[1] + 1) / (n[0] + 1))
     weights = [good[f] for f in chosen]
-    return Model(chosen, weights, _fuzzy(split, group, chosen, weights, n), _context(split, chosen), prior)
+    return Model(chosen, weights, _fuzzy(rows, group, chosen, weights, n), _context(rows, chosen), prior)
 
 
-def _fuzzy(split, group, terms: list[str], weights: list[float], n: list[int]) -> list[float]:
+def _fuzzy(rows, group, terms: list[str], weights: list[float], n: list[int]) -> list[float]:
     """Weight of each term's misspellings: log odds of the words that one edit makes the term.
 
     Pulled towards the term's own weight less a charge, as if seen in one toxic text.
     """
     trie = Model(terms, weights, [], {}, 0.0).trie()
-    seen: dict[str, tuple[int, int]] = {}
     found: list[tuple[set[int], set[int]]] = [(set(), set()) for _ in terms]
-    for (words, label), g in zip(split, group, strict=True):
-        for w in {w for w, _ in words}:
-            if w not in seen:
-                seen[w] = trie.find(w)
-            term, edits = seen[w]
+    for (text, label), g in zip(rows, group, strict=True):
+        for w in {w for w, _ in text_words(text)}:
+            term, edits = trie.find(w)
             if term >= 0 and edits:
                 found[term][label].add(g)
     out = []
@@ -225,7 +222,7 @@ def _fuzzy(split, group, terms: list[str], weights: list[float], n: list[int]) -
     return out
 
 
-def _context(split, terms: list[str]) -> dict[str, float]:
+def _context(rows, terms: list[str]) -> dict[str, float]:
     """Weights of the words near hits, by the label of the text.
 
     Without hits enough in texts of either class nothing can be told apart and
@@ -233,7 +230,8 @@ def _context(split, terms: list[str]) -> dict[str, float]:
     """
     exact, stems = {t for t in terms if not t.endswith("*")}, {t for t in terms if t.endswith("*")}
     near, hits = [Counter(), Counter()], [0, 0]
-    for words, label in split:
+    for text, label in rows:
+        words = text_words(text)
         for i, (w, _) in enumerate(words):
             if w in exact or any(f in stems for f in _stems(w)):
                 hits[label] += 1
