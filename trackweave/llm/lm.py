@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import crc_mod, materialize
+from .common import arrow_batches, crc_mod, materialize
 from .tokens import U
 
 #: Quantisation base: level q stands for counts about LEVEL_BASE**(q-1).
@@ -33,6 +33,12 @@ BROADCAST_BYTES = 256 << 20
 #: The exact token counts are broadcast up to so many tokens; beyond, they are joined by shuffle.
 BROADCAST_TOKENS = 8_000_000
 
+#: Bytes of text whose keys are counted together before they are sent.
+COUNT_BYTES = 12 << 20
+
+#: Rows of an Arrow batch while texts are scored beside the broadcast tables.
+BATCH_ROWS = 1000
+
 #: Keys that stand for the end of a text and for the place before its first word.
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 _KIND = {"word": 11, "pair": 12, "followers": 13}
@@ -48,13 +54,6 @@ def level_count(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, LEVEL_BASE ** (np.maximum(level, 1) - 1.0), 0.0)
 
 
-@dataclass
-class Part:
-    """One hash bucket's Bloom filter."""
-
-    bits: np.ndarray  # uint8
-
-
 def _places(keys: np.ndarray, level: int | np.ndarray, probe: int, n_bits: np.ndarray | int) -> np.ndarray:
     h = tk.mix(keys + np.asarray(level).astype(U) * U(0xD1342543DE82EF95))
     step = tk.mix(h ^ U(0xA0761D6478BD642F)) | U(1)
@@ -77,19 +76,22 @@ def fill(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class LogFrequencyFilter:
     """All parts of the filter, ready for probing."""
 
-    def __init__(self, parts: dict[int, bytes], bits: int):
-        n = 1 << bits
-        sizes = np.array([len(parts.get(b, b"")) for b in range(n)], np.int64)
+    def __init__(self, sizes: np.ndarray, data: np.ndarray, bits: int):
         self.bits = bits
-        self.first = np.concatenate([[0], np.cumsum(sizes)])[:-1] * 8
+        self.first = (np.cumsum(sizes) - sizes) * 8
         self.n_bits = np.maximum(sizes * 8, 1)
         self.empty = sizes == 0
-        self.data = np.frombuffer(b"".join(parts.get(b, b"") for b in range(n)) + b"\0", np.uint8)
+        self.data = data
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """The stored level of each key: probes level 1, 2, .. until one is missing."""
+        return self._probe(keys, self._bucket(keys))
+
+    def _bucket(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+
+    def _probe(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
-        bucket = (keys >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
         live = np.flatnonzero(~self.empty[bucket])
         q = 1
         while len(live):
@@ -128,6 +130,11 @@ def word_keys(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, key, before
 
 
+def top_half(keys: np.ndarray) -> np.ndarray:
+    """The upper 32 bits: what counts of followers are kept by."""
+    return (keys >> U(32)).astype(np.uint32)
+
+
 def kind_key(kind: str, *keys: np.ndarray) -> np.ndarray:
     out = tk.keyed(keys[0], _KIND[kind])
     for k in keys[1:]:
@@ -143,7 +150,7 @@ def count_blocks(docs: DataFrame, bits: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.slices(batches, size=32 << 20):
+        for batch in tk.slices(batches, size=COUNT_BYTES):
             words, pairs, before_of = [], [], []
             for part in tk.slices(iter([batch])):
                 _, key, before = word_keys(tk.split_words(part.column(0), lower=True))
@@ -154,7 +161,7 @@ def count_blocks(docs: DataFrame, bits: int) -> DataFrame:
             rows = [(b, 0, tk.pack(k[s], n[s].astype(np.uint32))) for b, s in tk.by_bucket(k, bits)]
             both, n2 = np.concatenate(pairs), np.concatenate(before_of)
             k, at, n = np.unique(both, return_index=True, return_counts=True)
-            h = n2[at]
+            h = top_half(n2[at])
             rows += [(b, 1, tk.pack(k[s], h[s], n[s].astype(np.uint32))) for b, s in tk.by_bucket(k, bits)]
             for i in range(0, len(rows), 64):
                 c = list(zip(*rows[i : i + 64], strict=True))
@@ -175,7 +182,7 @@ def merge_buckets(blocks: DataFrame, bits: int) -> DataFrame:
         w = tk.merge_counts(*tk.unpack_all([value[int(i)] for i in np.flatnonzero(kind == 0)], ("u8", "u4")))
         if len(w[0]):
             rows.append((bucket, 0, tk.pack(w[0], w[1].astype(np.uint64))))
-        k, h, n = tk.unpack_all([value[int(i)] for i in np.flatnonzero(kind == 1)], ("u8", "u8", "u4"))
+        k, h, n = tk.unpack_all([value[int(i)] for i in np.flatnonzero(kind == 1)], ("u8", "u4", "u4"))
         if len(k):
             order = np.argsort(k, kind="stable")
             k, h, n = k[order], h[order], n[order].astype(np.int64)
@@ -183,7 +190,7 @@ def merge_buckets(blocks: DataFrame, bits: int) -> DataFrame:
             k, h, n = k[first], h[first], np.add.reduceat(n, first)
             rows.append((bucket, 2, fill(k, n).tobytes()))
             hk, hn = np.unique(h, return_counts=True)
-            rows += [(b, 1, tk.pack(hk[s], hn[s].astype(np.uint32))) for b, s in tk.by_bucket(hk, bits)]
+            rows += [(b, 1, tk.pack(hk[s], hn[s].astype(np.uint32))) for b, s in tk.by_bucket(hk.astype(U) << U(32), bits)]
         c = list(zip(*rows, strict=True)) if rows else [[], [], []]
         return pa.table([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int8()), pa.array(c[2], pa.binary())], ["bucket", "kind", "value"])
 
@@ -198,8 +205,8 @@ def finish_words(merged: DataFrame) -> DataFrame:
         value = table.column("value")
         bucket = table.column("bucket")[0].as_py()
         k, n = tk.merge_counts(*tk.unpack_all([value[int(i)] for i in np.flatnonzero(kind == 0)], ("u8", "u8")))
-        f, m = tk.merge_counts(*tk.unpack_all([value[int(i)] for i in np.flatnonzero(kind == 1)], ("u8", "u4")))
-        part = fill(np.concatenate([kind_key("word", k), kind_key("followers", f)]), np.concatenate([n.astype(np.int64), m.astype(np.int64)]))
+        f, m = tk.merge_counts(*tk.unpack_all([value[int(i)] for i in np.flatnonzero(kind == 1)], ("u4", "u4")))
+        part = fill(np.concatenate([kind_key("word", k), kind_key("followers", f.astype(U))]), np.concatenate([n.astype(np.int64), m.astype(np.int64)]))
         # Keys of this part are spread by their own hash: one part per bucket, found by the word's bucket.
         rows = [(bucket, 0, tk.pack(k, n)), (bucket, 3, part.tobytes())]
         c = list(zip(*rows, strict=True))
@@ -221,9 +228,8 @@ class Model:
     def log_probs(self, key: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log10 P of each token; 0 for tokens whose pair belongs to another part of the filter."""
         uniq, back = np.unique(np.concatenate([key, before]), return_inverse=True)
-        bucket = (uniq >> U(64 - self.words.bits)) << U(64 - self.words.bits) if self.words.bits else np.zeros(len(uniq), U)
-        at = lambda kind: level_count(self._word_level(kind_key(kind, uniq), bucket))
-        c, followers = at("word")[back], at("followers")[back]
+        at = lambda kind, keys: level_count(self.words.level_in(kind_key(kind, keys), uniq))[back]
+        c, followers = at("word", uniq), at("followers", top_half(uniq).astype(U))
         n = len(key)
         base = (c[:n] + 1.0) / (self.n + self.v + 1.0)
         ch, fh = c[n:], followers[n:]
@@ -238,29 +244,14 @@ class Model:
         p = np.where(fh > 0, p, base)
         return np.log10(np.minimum(p, 1.0))
 
-    def _word_level(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        return self.words.level_in(keys, bucket)
-
     n_texts = 1.0
 
 
 class WordFilter(LogFrequencyFilter):
     """Parts found by the word's bucket, not by the key's own."""
 
-    def level_in(self, keys: np.ndarray, bucket_bits: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        bucket = (bucket_bits >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
-        live = np.flatnonzero(~self.empty[bucket])
-        q = 1
-        while len(live):
-            k, b = keys[live], bucket[live]
-            for p in range(PROBES):
-                at = self.first[b] + _places(k, q, p, self.n_bits[b]).astype(np.int64)
-                hit = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                live, k, b = live[hit], k[hit], b[hit]
-            out[live] = q
-            q += 1
-        return out
+    def level_in(self, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        return self._probe(keys, self._bucket(owner))
 
 
 @dataclass
@@ -293,15 +284,28 @@ def train(docs: DataFrame) -> Trained:
     return Trained(merged, finished, bits, int(n or 0), int(v or 0), int(total[1]), int(size or 0))
 
 
-def _collect(df: DataFrame) -> dict[int, bytes]:
-    return {r[0]: bytes(r[1]) for r in df.select("bucket", "value").collect()}  # callers check the size first
+def _parts(df: DataFrame) -> dict[int, np.ndarray]:
+    """Values by bucket, a partition at a time; callers check the size first."""
+    return {r[0]: np.frombuffer(bytes(r[1]), np.uint8) for r in df.select("bucket", "value").toLocalIterator()}
+
+
+def filter_arrays(df: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(size of each bucket's part, all parts' bytes and one more) of a filter."""
+    parts = _parts(df)
+    sizes = np.array([len(parts.get(b, ())) for b in range(1 << bits)], np.int64)
+    return sizes, np.concatenate([*(parts[b] for b in sorted(parts)), np.zeros(1, np.uint8)])
 
 
 def exact_counts(trained: Trained) -> tuple[np.ndarray, np.ndarray]:
     """Token keys in order and their exact counts (callers check n_types first)."""
-    parts = _collect(trained.finished.filter("kind = 0"))
-    cols = tk.unpack_all([parts[b] for b in sorted(parts)], ("u8", "u8"))
-    return cols[0], cols[1].astype(np.uint32 if len(cols[1]) == 0 or cols[1].max() < 2**32 else np.uint64)
+    parts = _parts(trained.finished.filter("kind = 0"))
+    keys, counts = np.zeros(trained.n_types, U), np.zeros(trained.n_types, np.uint32 if trained.n_tokens < 2**32 else U)
+    at = 0
+    for b in sorted(parts):
+        k, n = tk.unpack(parts.pop(b), ("u8", "u8"))
+        keys[at : at + len(k)], counts[at : at + len(k)] = k, n
+        at += len(k)
+    return keys, counts
 
 
 def score(docs: DataFrame, trained: Trained, broadcast_bytes: int = BROADCAST_BYTES, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
@@ -316,12 +320,12 @@ def score(docs: DataFrame, trained: Trained, broadcast_bytes: int = BROADCAST_BY
     whole = trained.filter_bytes <= broadcast_bytes and v <= broadcast_tokens
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
     groups = max(1, -(-trained.filter_bytes // broadcast_bytes))
-    shared_words = sc.broadcast((_collect(trained.finished.filter("kind = 3")), trained.n_texts))
+    shared_words = sc.broadcast((*filter_arrays(trained.finished.filter("kind = 3"), bits), trained.n_texts))
     exact = sc.broadcast(exact_counts(trained)) if v <= broadcast_tokens else None
     parts = []
     for g in range(groups):
         lo, hi = (g << bits) // groups, ((g + 1) << bits) // groups
-        pairs = sc.broadcast(_collect(trained.merged.filter(f"kind = 2 and bucket >= {lo} and bucket < {hi}")))
+        pairs = sc.broadcast(filter_arrays(trained.merged.filter(f"kind = 2 and bucket >= {lo} and bucket < {hi}"), bits))
         parts.append(keyed.mapInArrow(_scorer(shared_words, pairs, exact if g == 0 else None, n, v, lo, hi, bits, g == 0), "doc_id long, row_key long, n_tokens long, n_known long, base_score double, score double"))
     out = parts[0]
     if not whole:
@@ -343,8 +347,8 @@ def score(docs: DataFrame, trained: Trained, broadcast_bytes: int = BROADCAST_BY
 
 def _scorer(shared_words, shared_pairs, exact, n, v, lo, hi, bits, first):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n_texts = shared_words.value
-        model = Model(WordFilter(words, bits), LogFrequencyFilter(shared_pairs.value, bits), n, v)
+        *words, n_texts = shared_words.value
+        model = Model(WordFilter(*words, bits), LogFrequencyFilter(*shared_pairs.value, bits), n, v)
         model.n_texts = float(max(1, n_texts))
         keys, counts = exact.value if exact is not None else (None, None)
         for batch in tk.slices(batches, size=4 << 20):
@@ -405,5 +409,6 @@ def report(docs: DataFrame, held_out: int = 2, folds: int = 7, **limits) -> Data
     """
     fold = crc_mod(F.col("doc_id"), folds)
     trained = train(docs.filter(fold != held_out).select("text"))
-    scored = score(docs, trained, **limits)
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        scored = materialize(score(docs, trained, **limits), "lm-scores")
     return scored.select("doc_id", (fold == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(trained.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
