@@ -138,7 +138,7 @@ def kmeans(spark, d):
 @query()
 def dbscan(spark, d):
     v = points(spark, d).select(E, F.array("latitude", "longitude").alias("features"))
-    return ml.dbscan(v, 0.05, 5, E)
+    return ml.dbscan(v, 0.02, 3, E)
 
 
 @query()
