@@ -87,7 +87,8 @@ def at_last(spark, d):
 
 @query("SELECT event_id FROM p WHERE ts = (SELECT min(ts) FROM events)")
 def at_time(spark, d):
-    return slicing.at(points(spark, d), ["icao24"], "2024-01-01 00:00:07.179575").select(E)
+    p = points(spark, d)
+    return slicing.at(p, ["icao24"], str(p.agg(F.min("timestamp")).first()[0])).select(E)
 
 
 @query(f"SELECT flight_id, arg_max(event_id, (ts, event_id)) event_id FROM {_EDGE} WHERE epoch_us(ts) <= epoch_us(a)+(epoch_us(z)-epoch_us(a))*CAST(0.5 AS DOUBLE) GROUP BY flight_id")
