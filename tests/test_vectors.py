@@ -103,3 +103,15 @@ def test_polygons(spark):
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0))])
     r = spark.range(1).select(ring.alias("r")).select(geo.in_ring(F.lit(1.0), F.lit(1.0), "r").alias("a"), geo.in_ring(F.lit(5.0), F.lit(1.0), "r").alias("b"), geo.ring_distance(F.lit(1.0), F.lit(2.0), "r").alias("d"), geo.ring_area("r").alias("s")).first()
     assert (r.a, r.b, r.d, r.s) == (True, False, 1.0, 16.0)
+
+
+def test_distance_of_nothing(spark):
+    """A missing position has no distance, and a flight's first row adds none."""
+    from trackweave.functions import geo
+    from trackweave.operators import windows
+
+    rows = [("a", "2024-01-01 00:00:00", 0.0, 0.0), ("a", "2024-01-01 00:10:00", 0.0, 1.0), ("a", "2024-01-01 00:20:00", None, None)]
+    df = spark.createDataFrame(rows, "flight_id string, t string, latitude double, longitude double").selectExpr("flight_id", "cast(t as timestamp_ntz) timestamp", "latitude", "longitude")
+    got = windows.cumulative_distance(df, ["flight_id"]).orderBy("timestamp").select("cumdist").collect()
+    assert [round(r[0]) for r in got] == [0, 60, 60]
+    assert df.filter("latitude is null").select(geo.distance("latitude", "longitude", "latitude", "longitude")).first()[0] is None

@@ -19,10 +19,10 @@ def col(x) -> Column:
 
 
 def distance(lat1, lon1, lat2, lon2) -> Column:
-    """Great-circle distance (haversine) in nautical miles."""
+    """Great-circle distance (haversine) in nautical miles; null if a coordinate is."""
     a, b, c, d = (F.radians(col(x)) for x in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((c - a) / 2), 2) + F.cos(a) * F.cos(c) * F.pow(F.sin((d - b) / 2), 2)
-    return 2 * R_NM * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * R_NM * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))
 
 
 def bearing(lat1, lon1, lat2, lon2) -> Column:

@@ -62,7 +62,8 @@ pts AS (SELECT n_name AS name, 43+n_nationkey*CAST(0.2 AS DOUBLE) latitude, 1+n_
 
 
 def dist(a: str, b: str, c: str, d: str) -> str:
-    return f"(2*(6371000.0/1852.0)*asin(least(1.0, sqrt(pow(sin((radians({c})-radians({a}))/2),2)+cos(radians({a}))*cos(radians({c}))*pow(sin((radians({d})-radians({b}))/2),2)))))"
+    h = f"asin(least(1.0, sqrt(pow(sin((radians({c})-radians({a}))/2),2)+cos(radians({a}))*cos(radians({c}))*pow(sin((radians({d})-radians({b}))/2),2))))"
+    return f"(CASE WHEN {a}+{b}+{c}+{d} IS NOT NULL THEN 2*(6371000.0/1852.0)*{h} END)"
 
 
 def brg(a: str, b: str, c: str, d: str) -> str:
