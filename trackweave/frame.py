@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import schema
-from .operators import aggregates, detectors, intervals, joins, keys, resample, segments, sets, slicing, windows
+from .operators import aggregates, detectors, intervals, joins, keys, references, resample, segments, sets, slicing, windows
 
 
 class Trajectories:
@@ -131,7 +131,7 @@ class Trajectories:
         """Operators on (df, .., by=..) as methods; results with the same rows stay collections."""
         if name.startswith("_"):
             raise AttributeError(name)
-        for module in (slicing, windows, resample, aggregates, detectors, segments, joins, intervals):
+        for module in (slicing, windows, resample, aggregates, detectors, segments, joins, intervals, references):
             func = getattr(module, name, None)
             if callable(func) and getattr(func, "__module__", "") == module.__name__:
                 return self._bound(func)
