@@ -115,3 +115,21 @@ def test_distance_of_nothing(spark):
     got = windows.cumulative_distance(df, ["flight_id"]).orderBy("timestamp").select("cumdist").collect()
     assert [round(r[0]) for r in got] == [0, 60, 60]
     assert df.filter("latitude is null").select(geo.distance("latitude", "longitude", "latitude", "longitude")).first()[0] is None
+
+
+def test_local_files(spark, tmp_path):
+    """What pandas writes is read back; too many rows and unknown suffixes are refused."""
+    import pytest
+
+    from trackweave.sources import exchange, files
+
+    df = spark.range(5)
+    exchange.write_local(df, str(tmp_path / "a.feather"))
+    exchange.write_local(df, str(tmp_path / "a.pkl"))
+    assert files.read(spark, str(tmp_path / "a.feather")).count() == files.read(spark, str(tmp_path / "a.pkl")).count() == 5
+    with pytest.raises(ValueError):
+        exchange.write_local(df, str(tmp_path / "b.pkl"), rows=4)
+    with pytest.raises(ValueError):
+        exchange.write_local(df, str(tmp_path / "b.doc"))
+    with pytest.raises(ValueError):
+        exchange.raw_messages(df, "time, other")

@@ -127,6 +127,17 @@ class Trajectories:
     def to_json(self, path: str, **options) -> None:
         self.df.write.json(path, **options)
 
+    def to_local(self, path: str, **options) -> None:
+        """pickle, feather, excel or hdf by suffix, through the driver (row count checked)."""
+        from .sources.exchange import write_local
+
+        write_local(self.df, path, **options)
+
+    def geojson(self) -> DataFrame:
+        from .sources.exchange import line_string
+
+        return line_string(self.df, self.by)
+
     def __getattr__(self, name: str):
         """Operators on (df, .., by=..) as methods; results with the same rows stay collections."""
         if name.startswith("_"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import references
+from ..sources import exchange
 from .base import beacons, brg, dist, flights, points, query, table
 
 BY = ["flight_id"]
@@ -146,3 +147,30 @@ _LEGS = f"(SELECT *, sum(coalesce({dist('pl', 'po', 'latitude', 'longitude')},0)
 def follow_plan(spark, d):
     plan = beacons(spark, d).filter("name < 'NATION_15'").withColumn("number", F.col("name"))
     return references.follow_plan(flights(spark, d), plan, BY, "1 h").select("flight_id", "name", F.round("latitude", 6).alias("latitude"))
+
+
+# Exchange formats
+
+
+@query("SELECT flight_id, 'LineString' AS kind, count(*) n, round(arg_min(longitude, (ts, event_id)),6) lon0, round(arg_max(latitude, (ts, event_id)),6) lat1 FROM f GROUP BY flight_id")
+def geojson_lines(spark, d):
+    g = exchange.line_string(flights(spark, d), BY).select("flight_id", F.from_json("geojson", "type string, coordinates array<array<double>>").alias("g"))
+    at = F.col("g.coordinates")
+    return g.select("flight_id", F.col("g.type").alias("kind"), F.size(at).cast("long").alias("n"), F.round(at[0][0], 6).alias("lon0"), F.round(F.element_at(at, -1)[1], 6).alias("lat1"))
+
+
+@query(f"PLAIN WITH {_LY} SELECT CAST(sp AS BIGINT) AS name, lo AS \"lower\", hi AS \"upper\", CAST(4 AS BIGINT) corners, lo AS x0 FROM ly")
+def airspace_json(spark, d):
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, one = F.col("lower"), F.lit(1.0)
+    ring = F.array(corner(x, x), corner(x + one, x), corner(x + one, x + one), corner(x, x + one))
+    y = _layers(spark, d).select(F.col("airspace").cast("string").alias("name"), F.lit("FIR").alias("type"), "lower", "upper", ring.alias("ring"))
+    back = exchange.airspace_from_json(exchange.airspace_to_json(y), "json")
+    return back.select(F.col("name").cast("long").alias("name"), "lower", "upper", F.size("ring").cast("long").alias("corners"), F.col("ring")[0]["x"].alias("x0"))
+
+
+@query("SELECT CAST(event_id AS DOUBLE) mintime, lower(printf('%x', event_id*7919)) rawmsg FROM p WHERE event_id%5 > 0")
+def raw_templates(spark, d):
+    e = F.col(E)
+    line = F.concat(F.when(e % 5 == 0, "bad").otherwise(e.cast("string")), F.lit(", "), F.lit("0" * exchange.LONG_HEADER), F.lower(F.hex(e * 7919)))
+    return exchange.raw_messages(points(spark, d).select(line.alias("value")))
