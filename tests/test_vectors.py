@@ -115,6 +115,9 @@ def test_distance_of_nothing(spark):
     got = windows.cumulative_distance(df, ["flight_id"]).orderBy("timestamp").select("cumdist").collect()
     assert [round(r[0]) for r in got] == [0, 60, 60]
     assert df.filter("latitude is null").select(geo.distance("latitude", "longitude", "latitude", "longitude")).first()[0] is None
+    ends = [F.lit(x) for x in (90.0, 0.0, -90.0, 0.0)]
+    far, nan = df.select(geo.distance(*ends), geo.distance(*ends[:3], F.lit(float("nan")))).first()
+    assert round(far) == round(geo.R_NM * np.pi) and np.isnan(nan)
 
 
 def test_local_files(spark, tmp_path):

@@ -19,10 +19,11 @@ def col(x) -> Column:
 
 
 def distance(lat1, lon1, lat2, lon2) -> Column:
-    """Great-circle distance (haversine) in nautical miles; null if a coordinate is."""
+    """Great-circle distance (haversine) in nautical miles; null or NaN if a coordinate is."""
     a, b, c, d = (F.radians(col(x)) for x in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((c - a) / 2), 2) + F.cos(a) * F.cos(c) * F.pow(F.sin((d - b) / 2), 2)
-    return 2 * R_NM * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))
+    # Rounding can lift h above 1 for opposite points; nanvl evaluates h once and keeps nulls.
+    return 2 * R_NM * F.nanvl(F.asin(F.sqrt(h)), math.pi / 2 + 0 * (a + b + c + d))
 
 
 def bearing(lat1, lon1, lat2, lon2) -> Column:
