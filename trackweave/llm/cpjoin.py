@@ -35,20 +35,40 @@ SIM_NUM, SIM_DEN = 4, 5
 TOKENS = 64
 #: Expected number of places that a node samples.
 PLACES = 1.8
-#: Runs are repeated until a pair at the bound shares a sampled token with so large a chance.
-TARGET_RECALL = 0.999
-RUNS = math.ceil(math.log(1 - TARGET_RECALL) / (-PLACES * SIM_NUM / SIM_DEN))
 #: A node of at most so many sets is compared at once.
 SMALL = 64
 #: Levels of splitting; nodes still large after them are candidate groups as they are.
 DEPTH = 3
 #: Share of equal minhash tokens from which a pair is a candidate (four deviations below the bound).
 CANDIDATE = 0.6
+#: Runs are repeated until a pair at the bound that is parted only after all levels is found with so large a chance.
+TARGET_RECALL = 0.99975
 #: Sets in a block of the exact comparison.
 BLOCK = 3072
 #: Keys of texts to fetch that are broadcast; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
+
+
+def miss_chance(runs: int, levels: int = DEPTH) -> float:
+    """Chance that a pair at the bound shares no node of the last of ``levels`` in any run, or is no candidate.
+
+    The pair has the same equal places in all runs and nodes, so the chance is
+    taken for each number of equal places; its shared nodes are a branching
+    process, which must live through every level.
+    """
+    share, places = SIM_NUM / SIM_DEN, PLACES / TOKENS
+    out = 0.0
+    for equal in range(TOKENS + 1):
+        gone = 0.0
+        for _ in range(levels):
+            gone = (1 - places + places * gone) ** equal
+        out += math.comb(TOKENS, equal) * share**equal * (1 - share) ** (TOKENS - equal) * (gone**runs if equal >= CANDIDATE * TOKENS else 1.0)
+    return out
+
+
+RUNS = next(n for n in range(1, 100) if miss_chance(n) <= 1 - TARGET_RECALL)
+
 _A = tk.keyed(np.arange(TOKENS, dtype=U), 501) | U(1)
 _B = tk.keyed(np.arange(TOKENS, dtype=U), 502)
 
@@ -101,7 +121,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def children(rows: DataFrame) -> DataFrame:
-    """(node, fp) of the next level for rows (node, fp, sig)."""
+    """(node, no) of the next level for rows (node, no, sig)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = np.arange(TOKENS, dtype=U)
@@ -114,14 +134,14 @@ def children(rows: DataFrame) -> DataFrame:
                 chosen = tk.mix(tk.keyed(node, 601)[:, None] ^ tk.keyed(places, 602)[None, :]) < bound
                 r, c = np.nonzero(chosen)
                 child = tk.mix(tk.mix(node[r] + (c.astype(U) + U(1)) * U(0x9E3779B97F4A7C15)) ^ sig[r, c].astype(U))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), part.column(1).take(pa.array(r))], ["node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), part.column(1).take(pa.array(r))], ["node", "no"])
 
-    return rows.select("node", "fp", "sig").mapInArrow(run, "node long, fp binary")
+    return rows.select("node", "no", "sig").mapInArrow(run, "node long, no long")
 
 
 def roots(reps: DataFrame) -> DataFrame:
     run = F.explode(F.transform(F.sequence(F.lit(1), F.lit(RUNS)), lambda r: F.xxhash64(F.lit("run"), r)))
-    return reps.select(run.alias("node"), "fp", "sig")
+    return reps.select(run.alias("node"), "no", "sig")
 
 
 def equal_share(a, b):
@@ -141,7 +161,7 @@ def equal_share(a, b):
 def candidate_edges(reps: DataFrame) -> DataFrame:
     """(u, v): candidate pairs of small nodes, and the star of each node that stays large."""
     rows = children(roots(reps))
-    sigs = reps.select("fp", "sig")
+    sigs = reps.select("no", "sig")
     pairs, stars = [], []
     for depth in range(1, DEPTH + 1):
         rows = materialize(rows, f"paths-{depth}")
@@ -149,24 +169,24 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
         size = materialize(size, f"nodes-{depth}")
         small, large = size.filter(F.col("n") <= SMALL).select("node"), size.filter(F.col("n") > SMALL).select("node")
         held = rows.join(small, "node")
-        lists = held.groupBy("node").agg(F.array_sort(F.collect_set("fp")).alias("fps"))  # SMALL at most
-        left = lists.select(F.posexplode("fps").alias("i", "u"), "fps").select("u", F.explode(F.slice("fps", F.col("i") + 2, SMALL)).alias("v"))
+        lists = held.groupBy("node").agg(F.array_sort(F.collect_set("no")).alias("nos"))  # SMALL at most
+        left = lists.select(F.posexplode("nos").alias("i", "u"), "nos").select("u", F.explode(F.slice("nos", F.col("i") + 2, SMALL)).alias("v"))
         pairs.append(left)
         n_large = large.limit(1).count()
         if not n_large:
             break
         inside = rows.join(large, "node")
         if depth == DEPTH:
-            lead = inside.groupBy("node").agg(F.min("fp").alias("u"))
-            stars.append(inside.join(lead, "node").select("u", F.col("fp").alias("v")))
+            lead = inside.groupBy("node").agg(F.min("no").alias("u"))
+            stars.append(inside.join(lead, "node").select("u", F.col("no").alias("v")))
         else:
-            rows = children(inside.join(sigs, "fp"))
+            rows = children(inside.join(sigs, "no"))
     found = pairs[0]
     for p in pairs[1:]:
         found = found.unionByName(p)
     found = found.distinct()
-    a, b = sigs.withColumnsRenamed({"fp": "u", "sig": "sig_u"}), sigs.withColumnsRenamed({"fp": "v", "sig": "sig_v"})
-    alike = found.join(a, "u").join(b, "v").select("u", "v", "sig_u", "sig_v").mapInArrow(equal_share("sig_u", "sig_v"), "u binary, v binary")
+    a, b = sigs.withColumnsRenamed({"no": "u", "sig": "sig_u"}), sigs.withColumnsRenamed({"no": "v", "sig": "sig_v"})
+    alike = found.join(a, "u").join(b, "v").select("u", "v", "sig_u", "sig_v").mapInArrow(equal_share("sig_u", "sig_v"), "u long, v long")
     for s in stars:
         alike = alike.unionByName(s)
     return alike
@@ -227,10 +247,10 @@ def local_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 def compare(table: pa.Table) -> pa.Table:
     """One pair of blocks of a candidate group: links and local root of each set."""
     block = np.asarray(table.column("own"))
-    fps = table.column("fp").to_pylist()
+    nos = table.column("no").to_pylist()
     lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-    order = sorted(range(len(fps)), key=lambda i: (block[i] != lo, fps[i]))
-    order = [i for k, i in enumerate(order) if k == 0 or fps[i] != fps[order[k - 1]]]
+    order = sorted(range(len(nos)), key=lambda i: (block[i] != lo, nos[i]))
+    order = [i for k, i in enumerate(order) if k == 0 or nos[i] != nos[order[k - 1]]]
     values, copies = table.column("value"), np.asarray(table.column("copies"))
     sets = [np.frombuffer(values[i].as_py(), U) for i in order]
     n = np.array([len(s) for s in sets])
@@ -249,13 +269,13 @@ def compare(table: pa.Table) -> pa.Table:
         links[na:] = linked.T @ weight[:na]
     u, v = np.nonzero(linked)
     root = local_roots(len(order), u, v if same else v + na)
-    return pa.table([pa.array([fps[i] for i in order], pa.binary()), pa.array([fps[order[r]] for r in root], pa.binary()), pa.array(links.astype(np.int64))], ["fp", "root", "links"])
+    return pa.table([pa.array([nos[i] for i in order], pa.int64()), pa.array([nos[order[r]] for r in root], pa.int64()), pa.array(links.astype(np.int64))], ["no", "root", "links"])
 
 
 def links_of_groups(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(fp, root, links) per set and pair of blocks.
+    """(no, root, links) per set and pair of blocks.
 
-    members: fp, grp, n_blocks, copies and the row (doc_id, text_hash) whose
+    members: no, grp, n_blocks, copies and the row (doc_id, text_hash) whose
     text has the set.
     """
     keys = members.withColumnsRenamed({"doc_id": "m_id", "text_hash": "m_hash"})
@@ -263,11 +283,11 @@ def links_of_groups(docs: DataFrame, members: DataFrame) -> DataFrame:
         keys = F.broadcast(keys)
     same = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(keys, same)
-    sets = with_sets(texts.select("fp", "grp", "n_blocks", "copies", "text"))
-    own = F.pmod(F.xxhash64("fp"), F.col("n_blocks")).cast("int")
+    sets = with_sets(texts.select("no", "grp", "n_blocks", "copies", "text"))
+    own = F.pmod(F.xxhash64("no"), F.col("n_blocks")).cast("int")
     spread = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int"))))
-    spread = spread.select("fp", "copies", "value", "own", "grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    return spread.groupBy("grp", "lo", "hi").applyInArrow(compare, "fp binary, root binary, links long")
+    spread = spread.select("no", "copies", "value", "own", "grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    return spread.groupBy("grp", "lo", "hi").applyInArrow(compare, "no long, root long, links long")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -284,17 +304,18 @@ def join(docs: DataFrame) -> DataFrame:
     reps = base.filter(F.col("fp").isNotNull()).groupBy("fp").agg(
         F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("sig").alias("sig")
     )
+    reps = reps.withColumn("no", F.monotonically_increasing_id())  # kept with the table, so set up once
     reps = materialize(reps, "sets")
     edges = materialize(candidate_edges(reps), "candidates")
-    groups = components(edges).withColumnsRenamed({"node": "fp", "root": "grp"})
+    groups = components(edges).withColumnsRenamed({"node": "no", "root": "grp"})
     size = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
-    members = groups.join(size, "grp").join(reps.select("fp", "copies", "row.doc_id", "row.text_hash"), "fp")
+    members = groups.join(size, "grp").join(reps.select("no", "copies", "row.doc_id", "row.text_hash"), "no")
     links = materialize(links_of_groups(docs, materialize(members, "members")), "links")
-    classes = components(links.select(F.col("fp").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "fp")
-    total = links.groupBy("fp").agg(F.sum("links").alias("links"))
-    lows = classes.join(reps.select("fp", "low"), "fp").groupBy("root").agg(F.min("low").alias("class_low"))
-    known = classes.join(lows, "root").join(total, "fp").select("fp", "class_low", "links")
-    out = reps.select("fp", "copies", "low").join(known, "fp", "left")
+    classes = components(links.select(F.col("no").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "no")
+    total = links.groupBy("no").agg(F.sum("links").alias("links"))
+    lows = classes.join(reps.select("no", "low"), "no").groupBy("root").agg(F.min("low").alias("class_low"))
+    known = classes.join(lows, "root").join(total, "no").select("no", "class_low", "links")
+    out = reps.select("no", "fp", "copies", "low").join(known, "no", "left")
     out = out.select("fp", F.coalesce("class_low", "low").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     rows = base.select("doc_id", "text_hash", "fp").join(out, "fp", "left")
     return rows.select("doc_id", "text_hash", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
