@@ -19,3 +19,20 @@ def test_pairs_meet_on_the_last_level(spark):
     met = left.join(right, ["node", "no"]).select("no").distinct().count()
     assert n - met <= 3  # 5 runs miss about 26
     assert cpjoin.miss_chance(cpjoin.RUNS) <= 1 - cpjoin.TARGET_RECALL
+
+
+def test_terms_next_to_typographic_signs():
+    """op8: scoring splits words as training does, next to signs outside ASCII too, and sees their quotation marks."""
+    import pyarrow as pa
+
+    from trackweave.llm.toxicity import Model, Scorer, text_words
+
+    model = Model(["idiot", "größter"], [6.0, 6.0], [3.0, 3.0], {"<quoted>": -1.0}, -2.0)
+    plain, quoted, clean = Scorer(model).scores(pa.array(["an idiot here", 'an "idiot" here', "nothing here"]))
+    assert plain > quoted > clean
+    signs = ["“idiot”", "„idiot“", "«idiot»", "a—idiot—b", " idiot ", "¿idiot?", "¡idiot!", "愚、idiot。", "idiot…", "‘idiot’", "𝟙idiot😀", "x idiot y"]
+    texts = [*signs, "ends in “", "idiot", "größter—", "ends in \"", "idiot", None, ""]
+    want = [quoted if any(q for w, q in text_words(t) if w in model.terms) else plain if any(w in model.terms for w, _ in text_words(t)) else clean for t in texts]
+    assert want[0] == want[1] == want[2] == quoted and want[3] == want[4] == plain
+    assert list(Scorer(model).scores(pa.array(texts))) == want
+    assert list(Scorer(model).scores(pa.array(["skipped“", *texts]).slice(1))) == want

@@ -8,6 +8,7 @@ tell quotation from abuse: their learned weights raise or lower its score.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -270,6 +271,36 @@ NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
 
 
+@functools.cache
+def _separators() -> np.ndarray:
+    """Whether each code point stands between words, by the rule of text_words()."""
+    table = np.ones(0x110000, bool)
+    for m in _WORD.finditer("".join(map(chr, range(0x110000)))):
+        table[m.start() : m.end()] = False
+    return table
+
+
+def spaced(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes of the same length, with blanks for longer characters that are no letters; their quotation marks end in an ASCII one."""
+    out = data.copy()
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    marks = [ord(c) for c in _QUOTES if ord(c) > 127]
+    for at in range(0, len(data), tk.SPAN):
+        lead = at + np.flatnonzero(data[at : at + tk.SPAN] >= 0xC0)
+        b = [padded[lead + k].astype(np.int64) for k in range(4)]
+        size = 2 + (b[0] >= 0xE0) + (b[0] >= 0xF0)
+        cp = b[0] & (0xFF >> (size + 1))
+        for k in range(1, 4):
+            cp = np.where(size > k, cp << 6 | b[k] & 0x3F, cp)
+        between = _separators()[np.minimum(cp, 0x10FFFF)]
+        for k in range(4):
+            gone = lead[between & (size > k)] + k
+            out[gone[gone < len(out)]] = 32
+        last = (lead + size - 1)[np.isin(cp, marks)]
+        out[last[last < len(out)]] = 34
+    return out
+
+
 class Scorer:
     """Scores texts by batch: the trie sees each distinct word once."""
 
@@ -294,6 +325,8 @@ class Scorer:
         return out[back]
 
     def scores(self, texts: pa.Array) -> np.ndarray:
+        data, offsets = tk.as_bytes(texts)
+        texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(spaced(data)))
         w = tk.split_words(texts, separators=NOT_LETTER)
         n = len(w.first) - 1
         out = np.full(n, odds_of([], self.model.bias))
@@ -304,16 +337,15 @@ class Scorer:
         for i in np.flatnonzero(hit[:, 0] >= 0):
             d = int(w.doc[i])
             lo, hi = max(w.first[d], i - CONTEXT), min(w.first[d + 1], i + CONTEXT + 1)
-            near = [(w.text(j).lower(), self._quoted(w, j)) for j in range(lo, hi)]
+            near = [(w.text(j).lower(), self._quoted(w, j, offsets)) for j in range(lo, hi)]
             found.setdefault(d, []).append(hit_value(near, int(i - lo), tuple(hit[i]), self.model))
         for d, values in found.items():
             out[d] = odds_of(values, self.model.bias)
         return out
 
     @staticmethod
-    def _quoted(w: tk.Words, j: int) -> bool:
-        before = w.data[max(0, w.start[j] - 3) : w.start[j]].tobytes().decode("utf-8", "ignore")
-        return before[-1:] in _QUOTES and before != ""
+    def _quoted(w: tk.Words, j: int, offsets: np.ndarray) -> bool:
+        return bool(w.start[j] > offsets[w.doc[j]]) and chr(w.data[w.start[j] - 1]) in _QUOTES
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
