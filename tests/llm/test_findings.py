@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
+
 import numpy as np
 
 
@@ -36,3 +38,45 @@ def test_terms_next_to_typographic_signs():
     assert want[0] == want[1] == want[2] == quoted and want[3] == want[4] == plain
     assert list(Scorer(model).scores(pa.array(texts))) == want
     assert list(Scorer(model).scores(pa.array(["skipped“", *texts]).slice(1))) == want
+
+
+def test_misspelled_forms_of_a_beginning():
+    """op8: words that a learned beginning covers are found misspelled, in the first letter too."""
+    from trackweave.llm.toxicity import fit
+
+    forms = ["idiot", "idiots", "idiotic", "idiotically"]
+    rng = random.Random(2)
+    filler = lambda: " ".join("".join(rng.choice("pqrstuvwxyz") for _ in range(7)) for _ in range(6))
+    rows = [(f"{filler()} {forms[i % 4]} {filler()}", 1) for i in range(80)] + [(filler(), 0) for _ in range(80)]
+    model = fit(rows)
+    assert any(t.endswith("*") and "idiot".startswith(t[:-1]) for t in model.terms)
+    trie = model.trie()
+    for word in ("idot", "idiat", "adiot", "xidiot", "diot", "idoits", "idiotc", "idotically", "jdiots"):
+        term, edits = trie.find(word)
+        assert (term >= 0 and model.terms[term].startswith("idiot"[:5]) and edits <= 1) == (word != "idoits"), word  # two edits
+    assert trie.find("house") == (-1, 0)
+
+
+def test_automaton_finds_what_a_table_finds():
+    """op8: the automaton agrees with edit distances by table."""
+    from trackweave.llm.toxicity import FUZZY, Model
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(3, 7)))
+    terms = sorted({word() for _ in range(40)})
+    trie = Model(terms, [1.0] * len(terms), [0.5] * len(terms), {}, 0.0).trie()
+    for w in {word() for _ in range(600)}:
+        want = (terms.index(w), 0) if w in terms else (-1, 0)
+        near = [i for i, t in enumerate(terms) if len(t) >= FUZZY and distance(w, t) == 1]
+        if w not in terms and len(w) >= FUZZY - 1 and near:
+            want = (min(near), 1)
+        assert trie.find(w) == want

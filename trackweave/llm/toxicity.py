@@ -48,55 +48,67 @@ def text_words(text: str | None) -> list[tuple[str, bool]]:
 
 @dataclass
 class Trie:
-    """Terms as nested nodes; a term that ends in * accepts every longer word."""
+    """Terms as nested nodes; a term that ends in * accepts every longer word.
+
+    The forms of an open term are full words that it covers; misspelled ones are its misspellings.
+    """
 
     next: list[dict[str, int]] = field(default_factory=lambda: [{}])
     term: list[tuple[int, bool]] = field(default_factory=lambda: [(-1, False)])
+    form: list[int] = field(default_factory=lambda: [-1])  # term that the node's full word may be a misspelling of
 
     def add(self, word: str, number: int) -> None:
         open_end = word.endswith("*")
+        node = self._node(word.rstrip("*"))
+        if self.term[node][0] < 0:
+            self.term[node] = (number, open_end)
+        if not open_end:
+            self.add_form(word, number)
+
+    def add_form(self, word: str, number: int) -> None:
+        node = self._node(word)
+        if len(word) >= FUZZY and (self.form[node] < 0 or number < self.form[node]):
+            self.form[node] = number
+
+    def _node(self, word: str) -> int:
         node = 0
-        for c in word.rstrip("*"):
+        for c in word:
             if c not in self.next[node]:
                 self.next[node][c] = len(self.next)
                 self.next.append({})
                 self.term.append((-1, False))
+                self.form.append(-1)
             node = self.next[node][c]
-        if self.term[node][0] < 0:
-            self.term[node] = (number, open_end)
+        return node
 
     def find(self, word: str, edits: int = 1) -> tuple[int, int]:
         """(term, edits) of the closest term, (-1, 0) if none is within reach.
 
-        The word's Levenshtein automaton is stepped along the trie: its state is
-        the row of edit distances to the word's beginnings, and a branch ends
-        where no beginning is within reach.  Fewer edits win, then lower terms.
-        Terms of fewer than FUZZY letters and open ones must match exactly, and a
-        misspelled word keeps its first letter.
+        The word's Levenshtein automaton is stepped along the trie from its
+        root: a state is a node, a place in the word and the edits so far.
+        Fewer edits win, then lower terms.  Terms of fewer than FUZZY letters
+        must match exactly; an open term is misspelled in its forms.
         """
         exact = self._exact(word)
         if exact >= 0 or edits == 0 or len(word) < FUZZY - 1:
             return (exact, 0)
-        best = (-1, edits + 1)
+        best = (edits + 1, -1)
         n = len(word)
-        node = self.next[0].get(word[0]) if word else None
-        if node is None:
-            return (-1, 0)
-        stack = [(node, 1, [abs(i - 1) for i in range(n + 1)])]
+        stack = [(0, 0, 0)]
         while stack:
-            node, depth, row = stack.pop()
-            number, open_end = self.term[node]
-            if number >= 0 and depth >= FUZZY and not open_end:
-                cost = row[n]
-                if cost <= edits and (cost, number) < (best[1], best[0] if best[0] >= 0 else 1 << 60):
-                    best = (number, cost)
-            for c, child in self.next[node].items():
-                new = [row[0] + 1]
-                for i in range(1, n + 1):
-                    new.append(min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (word[i - 1] != c)))
-                if min(new) <= edits:
-                    stack.append((child, depth + 1, new))
-        return best if best[0] >= 0 else (-1, 0)
+            node, i, cost = stack.pop()
+            if i == n and self.form[node] >= 0:
+                best = min(best, (cost, self.form[node]))
+            if cost < edits:
+                if i < n:
+                    stack.append((node, i + 1, cost + 1))
+                for c, child in self.next[node].items():
+                    stack.append((child, i, cost + 1))
+                    if i < n and word[i] != c:
+                        stack.append((child, i + 1, cost + 1))
+            if i < n and word[i] in self.next[node]:
+                stack.append((self.next[node][word[i]], i + 1, cost))
+        return (best[1], best[0]) if best[1] >= 0 else (-1, 0)
 
     def _exact(self, word: str) -> int:
         node, found = 0, -1
@@ -117,11 +129,14 @@ class Model:
     fuzzy: list[float]  # weights of misspellings
     context: dict[str, float]
     bias: float
+    forms: dict[str, int] = field(default_factory=dict)  # full words of toxic texts that an open term covers, and its number
 
     def trie(self) -> Trie:
         t = Trie()
         for i, w in enumerate(self.terms):
             t.add(w, i)
+        for w, i in self.forms.items():
+            t.add_form(w, i)
         return t
 
 
@@ -158,7 +173,7 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     Terms are words, and beginnings of words, that stand in SUPPORT groups of
     toxic texts or more and seldom in others; near copies are one group.  A
     beginning is taken only if several words share it, and a word only if no
-    term covers it.  Weights are smoothed log odds.  With one class only, or no
+    term covers it; the words that a beginning covers are kept as its forms.  Weights are smoothed log odds.  With one class only, or no
     rows, the share of toxic rows is scored.
     """
     group = _copies([text for text, _ in rows])
@@ -200,15 +215,17 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     chosen = sorted(chosen, key=lambda f: (-good[f], f))[:MOST_TERMS]
     prior = math.log((n[1] + 1) / (n[0] + 1))
     weights = [good[f] for f in chosen]
-    return Model(chosen, weights, _fuzzy(rows, group, chosen, weights, n), _context(rows, chosen), prior)
+    number = {f: i for i, f in enumerate(chosen)}
+    forms = {w: min(number[f] for f in beginning) for w in inside if (beginning := [w[:k] + "*" for k in range(PREFIX, len(w) + 1) if w[:k] + "*" in number])}
+    return Model(chosen, weights, _fuzzy(rows, group, chosen, weights, n, forms), _context(rows, chosen), prior, forms)
 
 
-def _fuzzy(rows, group, terms: list[str], weights: list[float], n: list[int]) -> list[float]:
+def _fuzzy(rows, group, terms: list[str], weights: list[float], n: list[int], forms: dict[str, int]) -> list[float]:
     """Weight of each term's misspellings: log odds of the words that one edit makes the term.
 
     Pulled towards the term's own weight less a charge, as if seen in one toxic text.
     """
-    trie = Model(terms, weights, [], {}, 0.0).trie()
+    trie = Model(terms, weights, [], {}, 0.0, forms).trie()
     found: list[tuple[set[int], set[int]]] = [(set(), set()) for _ in terms]
     for (text, label), g in zip(rows, group, strict=True):
         for w in {w for w, _ in text_words(text)}:
@@ -359,7 +376,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and predicted of every row; null and empty texts score by the prior alone."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.terms, model.weights, model.fuzzy, model.context, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.terms, model.weights, model.fuzzy, model.context, model.bias, model.forms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(*shared.value))
