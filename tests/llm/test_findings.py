@@ -80,3 +80,20 @@ def test_automaton_finds_what_a_table_finds():
         if w not in terms and len(w) >= FUZZY - 1 and near:
             want = (min(near), 1)
         assert trie.find(w) == want
+
+
+def test_languages_of_unlisted_scripts(spark):
+    """op1: words of scripts without a listed block tell their language; words without letters tell none."""
+    from trackweave.llm import langid
+
+    lines = {"te": "ఇది ఒక మంచి ఇల్లు మరియు తోట", "kn": "ಇದು ಒಂದು ಒಳ್ಳೆಯ ಮನೆ ಮತ್ತು ತೋಟ", "km": "នេះ គឺជា ផ្ទះ ល្អ និង សួន", "am": "ይህ ጥሩ ቤት እና የአትክልት ስፍራ ነው", "en": "this is a good house and a garden"}
+    rows = [(i, " ".join([t] * 4), lang) for i in range(10) for lang, t in lines.items()]
+    m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [*lines.values(), lines["te"] + " " + lines["en"], "12 — 34 € …", "𠀀𠀁 𠀂"]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), m).collect()}
+    assert [got[i].lang_pred for i in range(len(lines))] == list(lines)
+    assert all(got[i].score == 1.0 for i in range(len(lines)))
+    assert {got[5].lang_pred, got[5].second_lang} == {"te", "en"}
+    assert (got[6].lang_pred, got[6].score) == ("und", 0.0) and got[7].score == 1.0
+    stray = langid.predict(spark.createDataFrame([(1, "a good µm house ½ garden")], "doc_id long, text string"), m).first()
+    assert (stray.lang_pred, stray.second_lang) == ("en", None)

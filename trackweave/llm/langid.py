@@ -7,6 +7,7 @@ switching labels the words, so that a mixed text falls into spans.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,7 +53,8 @@ SCRIPTS: dict[str, tuple[tuple[int, int], ...]] = {
     "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF)),
     "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
 }
-_NAMES = ["none", *SCRIPTS]
+#: Letters of blocks not listed count as one more script.
+_NAMES = ["none", *SCRIPTS, "other"]
 
 
 def _lead_table() -> np.ndarray:
@@ -79,10 +81,34 @@ def has_letter(text: str | None) -> bool:
     return text is not None and _LETTER.search(text) is not None
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter, by the rule of has_letter()."""
+    table = np.zeros(0x110000, bool)
+    for m in re.finditer(_LETTER.pattern + "+", "".join(map(chr, range(0x110000)))):
+        table[m.start() : m.end()] = True
+    return table
+
+
+def _other_letters(data: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Places of the letters beyond ASCII whose script ``s`` is none."""
+    lead = np.flatnonzero((data >= 0xC2) & (s == 0))
+    if not len(lead):
+        return lead
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    b = [padded[lead + k].astype(np.int64) for k in range(4)]
+    size = 2 + (b[0] >= 0xE0) + (b[0] >= 0xF0)
+    cp = b[0] & (0xFF >> (size + 1))
+    for k in range(1, 4):
+        cp = np.where(size > k, cp << 6 | b[k] & 0x3F, cp)
+    return lead[_letters()[np.minimum(cp, 0x10FFFF)]]
+
+
 def word_scripts(w: tk.Words) -> np.ndarray:
     """Script number of each word: that of its first lettered character, 0 for none."""
     nxt = np.concatenate([w.data[1:], [0]]).astype(np.uint8)
     s = _LEAD[w.data, nxt]
+    s[_other_letters(w.data, s)] = len(_NAMES) - 1
     hit = np.flatnonzero(s)
     if not len(hit):
         return np.zeros(len(w.start), np.uint8)
@@ -178,7 +204,7 @@ def train(rows: DataFrame, sample_rows: int | None = None) -> Model:
     script = np.stack([x[1][len(ORDERS) * FEATURES :] for x in found]).astype(np.float64)
     lettered = np.maximum(script[:, 1:].sum(1, keepdims=True), 1)
     allowed = (script / lettered >= SCRIPT_SHARE).T
-    allowed[0] = True
+    allowed[0] = allowed[-1] = True  # other letters are of many scripts, and of signs like µ: the n-grams tell
     allowed[~allowed.any(1)] = True  # a script that nothing was learned from narrows nothing
     return Model(langs, np.ascontiguousarray(logp.transpose(1, 2, 0)).astype(np.float32), allowed)
 
