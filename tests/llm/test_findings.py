@@ -97,3 +97,35 @@ def test_languages_of_unlisted_scripts(spark):
     assert (got[6].lang_pred, got[6].score) == ("und", 0.0) and got[7].score == 1.0
     stray = langid.predict(spark.createDataFrame([(1, "a good µm house ½ garden")], "doc_id long, text string"), m).first()
     assert (stray.lang_pred, stray.second_lang) == ("en", None)
+
+
+def test_whole_licenses(spark):
+    """op5: whole originals are known, however wrapped, with and without a title; only real claims are left out."""
+    import textwrap
+
+    from trackweave.llm import licenses
+
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(x, n) for x in t.split("\n"))
+    mit, isc = licenses.KNOWN[0][1], licenses.KNOWN[1][1]
+    want, rows = {}, []
+    for name, text in [("MIT", mit), ("ISC", isc), ("MIT", mit.split("\n", 1)[1]), ("ISC", isc.split("\n", 1)[1])]:
+        for n in range(50, 90, 3):
+            rows.append((len(rows), f"Copyright (c) 2020, Some Body\nCopyright Other Body\n© 2021 Third\nAll rights reserved.\n\n{wrap(text, n)}"))
+            want[rows[-1][0]] = name
+    for path in licenses.TEXTS.glob("*.txt"):
+        rows.append((len(rows), path.read_text().upper() if path.stem.startswith("BSD") else path.read_text()))
+        want[rows[-1][0]] = path.stem
+    rows.append((len(rows), "permission notice appear in all copies."))
+    want[rows[-1][0]] = None
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "MPL-2.0"} <= set(want.values())
+    got = {r.doc_id: r.license for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_lines_of_a_wider_table(spark):
+    """op5: a known line needs no word that the default table has."""
+    from trackweave.llm import licenses
+
+    docs = spark.createDataFrame([(1, "text\nDo what you want.\nmore")], "doc_id long, text string")
+    for known in (licenses.known_digests(spark, (("X", "do what you want"),)), licenses.known_digests(spark, (("X", "do what you want"),)).drop("hint")):
+        assert licenses.scan(docs, known).first().line_licenses == "X"

@@ -8,6 +8,9 @@ statement inside a longer text is found as well.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,8 +68,15 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 )
 
-#: A whole line that only claims a copyright.
-COPYRIGHT_LINE = r"(?im)^[^\p{L}\p{N}\n]*(copyright|\(c\)|\x{A9})[^\n]*$"
+#: Whole license texts, one file each, named after the license.
+TEXTS = Path(__file__).parent / "license_texts"
+
+#: A whole line that only claims a copyright: the word or sign with a mark, a year or a name behind it, or the reservation of rights.
+COPYRIGHT_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n]*(?:(?i:copyright)[^\p{L}\p{N}\n]*(?:(?i:\(c\)|\x{A9}|by\b|[0-9]{4}|<year>|\[yyyy\])"
+    r"|(?!(?i:and|or|notices?|holders?|owners?|licen[sc]es?|laws?|interests?|statements?|disclaimers?|permissions?|acts?|protection|treaty|rights?|in|to|is|for)\b)\p{Lu})"
+    r"|(?i:\(c\))[^\p{L}\p{N}\n]*(?:(?i:copyright)\b|[0-9]{4})|\x{A9}|(?i:all rights reserved)[^\p{L}\p{N}\n]*$)[^\n]*$"
+)
 
 
 def normalise(text: Column) -> Column:
@@ -86,15 +96,47 @@ def digest(text: Column) -> Column:
     return F.when(n != "", F.sha2(n, 256))
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(digest, license) of known texts, one row per digest."""
-    rows = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in known])
-    table = spark.range(1).select(F.inline(rows))
-    return table.select(digest(F.col("text")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+def whole_texts() -> list[tuple[str, str]]:
+    """(license, text) of KNOWN and of the files, also without the title and without what follows the terms."""
+    out = list(KNOWN)
+    for name, text in KNOWN:
+        title, _, rest = text.partition("\n")
+        if title.lower() == f"{name} license".lower():
+            out.append((name, rest))
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text("utf-8").strip()
+        terms = re.split(r"(?m)(?<=END OF TERMS AND CONDITIONS)\s*$", text)[0]
+        for t in {text, terms}:
+            head, _, rest = t.partition("\n\n")
+            out.append((path.stem, t))
+            if len(head) < 250 and "permi" not in head and not re.search(r"(?i)^\s*copyright", head):
+                out.append((path.stem, rest))
+    return out
+
+
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """(digest, license, hint) of known texts, by default whole_texts(), one row per digest.
+
+    hint: a word of the normalised text that no spelling rule makes, so that every text of the digest has it; null if there is none.
+    """
+    made = sorted({w for _, new in SPELLINGS for w in re.findall(r"\w+", new)})
+    table = spark.createDataFrame(whole_texts() if known is None else list(known), "license string, text string")
+    table = table.select("license", normalise(F.col("text")).alias("n")).filter("n <> ''")
+    words = F.filter(F.split("n", " "), lambda w: ~w.isin(made) & w.rlike("^[a-z0-9]+$"))
+    hint = F.array_max(F.transform(words, lambda w: F.struct(F.length(w), w.alias("word"))))["word"]
+    return table.select(F.sha2("n", 256).alias("digest"), "license", hint.alias("hint")).groupBy("digest").agg(F.min("license").alias("license"), F.min("hint").alias("hint"))
+
+
+#: Distinct hints up to which lines are narrowed by them; without hints, or beyond, every line is looked up.
+MOST_HINTS = 200
 
 
-#: Lines that can state a license: those that name one of these, whatever the case.
-HINTS = r"(?i)licen[sc]e|permission|copyright|software|warrant"
+def hint_pattern(known: DataFrame) -> str | None:
+    """Regular expression that every line with a known digest matches; null if all lines must be looked up."""
+    if "hint" not in known.columns:
+        return None
+    hints = [r[0] for r in known.select("hint").distinct().limit(MOST_HINTS + 1).collect()]
+    return None if None in hints or len(hints) > MOST_HINTS or not hints else "(?iu)" + "|".join(sorted(hints))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -106,13 +148,14 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     alike are judged alike; an empty table gives no rows.
     """
     lines = F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n"))
-    named = F.filter(lines, lambda x: x.rlike(HINTS))
+    pattern = hint_pattern(known)
+    named = F.filter(lines, lambda x: x.rlike(pattern)) if pattern else lines
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), digest(F.col("text")).alias("text_sha256"), named.alias("named"))
     # One row for the text (at = 0), then one per line that may state a license.
     at = F.posexplode_outer(F.concat(F.array(F.lit(None).cast("string")), "named")).alias("at", "line")
     rows = base.select("doc_id", "text_hash", "text_sha256", at)
     rows = rows.withColumn("key", F.when(F.col("at") == 0, F.col("text_sha256")).otherwise(digest(F.col("line"))))
-    known = known.withColumnRenamed("digest", "k_digest")
+    known = known.select(F.col("digest").alias("k_digest"), "license")
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     found = rows.join(known, F.col("key") == F.col("k_digest"), "left").filter((F.col("at") == 0) | F.col("license").isNotNull())
