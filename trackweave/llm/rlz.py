@@ -1,11 +1,12 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
-
-The corpus is cut into blocks of documents; every block is a reference.  All
-places where a run of ``n`` words starts in any block are indexed, and each
-document is parsed greedily against the earlier documents of all blocks: a
-factor runs on while the reference's next word does, and only factors of ``n``
-words or more count.  Where a factor ends, the windows across its boundary are
-looked up as well, so no repeated window is lost between two factors.
+"""Substring deduplication by window lookup, in place of a relative Lempel-Ziv parse.
+
+The corpus is cut into blocks of documents.  Every run of ``n`` words is looked
+up by its 64-bit hash at its first place in the corpus; windows whose first
+places follow each other are listed as one factor.  There is no greedy parse
+against a reference: a copy whose pieces first stood in several documents
+becomes several factors, and matches are by hash, not verified by words.  The
+words removed are those of the definition, which asks for each window whether
+it stood in an earlier document, and not for the longest matches.
 
 Blocks meet only in hash buckets.  A cheap pass first finds content-chosen
 anchors that more than one block has; only windows with such an anchor are
