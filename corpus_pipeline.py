@@ -2,6 +2,7 @@
 
 ``run`` applies the stages to ``documents``; every stage's result is written to
 the shared folder and read back, so a lost executor costs no earlier stage.
+What a stage wrote for itself is deleted once its result is whole.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trackweave.llm import cpjoin, decontam, mixing, quality, sharding
-from trackweave.llm.common import materialize, read
+from trackweave.llm.common import discard, inner_tables, materialize, read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -56,7 +57,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with inner_tables() as inner:
+            docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{i}")
+            discard(*inner)
     return docs

@@ -129,3 +129,15 @@ def test_lines_of_a_wider_table(spark):
     docs = spark.createDataFrame([(1, "text\nDo what you want.\nmore")], "doc_id long, text string")
     for known in (licenses.known_digests(spark, (("X", "do what you want"),)), licenses.known_digests(spark, (("X", "do what you want"),)).drop("hint")):
         assert licenses.scan(docs, known).first().line_licenses == "X"
+
+
+def test_one_of_each_class_stays_whatever_the_ids(spark):
+    """op7 and the pipeline: texts that share an id, or have none, are classed by themselves."""
+    from trackweave.llm import cpjoin
+
+    rng = random.Random(9)
+    t = [" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)) for _ in range(5)]
+    rows = [(None, t[0]), (None, t[1]), (5, t[2]), (5, t[3]), (6, t[4]), (7, t[4]), (6, t[4]), (8, t[0]), (None, None), (None, ""), (9, None), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, x, n) for n, (i, x) in enumerate(rows)], "doc_id long, text string, n int")
+    got = sorted(((r.doc_id, r.text) for r in cpjoin.keep_one(docs).collect()), key=str)
+    assert got == sorted([(8, t[0]), (None, t[1]), (5, t[2]), (5, t[3]), (6, t[4]), (None, None), (None, ""), (9, None), (9, "")], key=str)

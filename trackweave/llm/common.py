@@ -47,6 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_open_lists: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage.
 
@@ -56,7 +59,30 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    for written in _open_lists:
+        written.append(out)
+    return out
+
+
+@contextmanager
+def inner_tables() -> Iterator[list[DataFrame]]:
+    """Lists the tables that materialize() writes inside, for discard() once what needs them is written."""
+    written: list[DataFrame] = []
+    _open_lists.append(written)
+    try:
+        yield written
+    finally:
+        _open_lists.remove(written)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that materialize() wrote and that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

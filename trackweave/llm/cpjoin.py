@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import materialize
+from .common import discard, inner_tables, materialize
 from .graph import components
 from .tokens import U
 
@@ -291,14 +291,16 @@ def links_of_groups(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, class_id, n_links of every row.
-
-    class_id: the smallest doc_id of the texts linked with each other, directly
-    or through others; n_links: rows whose shingle sets are at least SIM_NUM /
-    SIM_DEN similar to this row's, itself left out.  Texts without words link
-    to nothing; repeated rows and equal sets link to each other; an empty table
-    gives no rows.  Ids that are null take the smallest id of their class, or
-    stay null.
+    """doc_id, text_hash, class_no, class_id, n_links of every row.
+
+    class_no: a number of the texts linked with each other, directly or through
+    others, null for texts without words, which link to nothing; class_id: the
+    smallest doc_id of the class; n_links: rows whose shingle sets are at least
+    SIM_NUM / SIM_DEN similar to this row's, itself left out.  Repeated rows and
+    equal sets link to each other.  Ids that are null take the smallest id of
+    their class, or stay null; rows that share an id are classed by their texts.
+    A text of any length is one set; extra columns are not read, whatever their
+    names.  An empty table gives no rows.
     """
     base = materialize(sketch(docs), "sketches")
     reps = base.filter(F.col("fp").isNotNull()).groupBy("fp").agg(
@@ -306,7 +308,10 @@ def join(docs: DataFrame) -> DataFrame:
     )
     reps = reps.withColumn("no", F.monotonically_increasing_id())  # kept with the table, so set up once
     reps = materialize(reps, "sets")
-    edges = materialize(candidate_edges(reps), "candidates")
+    with inner_tables() as paths:
+        found = candidate_edges(reps)
+    edges = materialize(found, "candidates")
+    discard(*paths)
     groups = components(edges).withColumnsRenamed({"node": "no", "root": "grp"})
     size = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
     members = groups.join(size, "grp").join(reps.select("no", "copies", "row.doc_id", "row.text_hash"), "no")
@@ -314,25 +319,35 @@ def join(docs: DataFrame) -> DataFrame:
     classes = components(links.select(F.col("no").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "no")
     total = links.groupBy("no").agg(F.sum("links").alias("links"))
     lows = classes.join(reps.select("no", "low"), "no").groupBy("root").agg(F.min("low").alias("class_low"))
-    known = classes.join(lows, "root").join(total, "no").select("no", "class_low", "links")
+    known = classes.join(lows, "root").join(total, "no").select("no", "root", "class_low", "links")
     out = reps.select("no", "fp", "copies", "low").join(known, "no", "left")
-    out = out.select("fp", F.coalesce("class_low", "low").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = out.select(
+        "fp", F.coalesce("root", "no").alias("class_no"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("class_low")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    )
     rows = base.select("doc_id", "text_hash", "fp").join(out, "fp", "left")
-    return rows.select("doc_id", "text_hash", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    class_id = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return rows.select("doc_id", "text_hash", "class_no", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id and n_links of every row, as join() gives them: nulls, empty and long texts, ties, repeats, extra columns and empty tables as there."""
     return join(docs).select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest id; all columns unchanged.
 
-    Of rows alike in id and text one stays.
+    Ties of one id go to the smaller hash of the text; null ids come after all
+    others.  A text without words (null, empty, white space) is a class of its
+    own with its id.  Of rows alike in id and text one stays, chosen by a hash of
+    all columns.  Long texts and extra columns are as any other; an empty table
+    gives no rows.
     """
-    stay = join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("text_hash").alias("k_hash"))
-    stay = stay.withColumnRenamed("class_id", "k_id")
+    joined = join(docs).select(F.col("doc_id").isNull().alias("k_null"), F.coalesce("doc_id", F.lit(-1)).alias("k_id"), F.col("text_hash").alias("k_hash"), "class_no")
+    key = ["k_null", "k_id", "k_hash"]
+    first = joined.filter(F.col("class_no").isNotNull()).groupBy("class_no").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    stay = materialize(first.unionByName(joined.filter(F.col("class_no").isNull()).select(*key)).distinct(), "stay")
     cols = docs.columns
-    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("t_hash") == F.col("k_hash"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("doc"), "doc_id", F.xxhash64("text").alias("t_hash")).join(stay, same)
-    return rows.groupBy("k_id", "k_hash").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("doc"), F.col("doc_id").isNull().alias("k_null"), F.coalesce("doc_id", F.lit(-1)).alias("k_id"), F.xxhash64("text").alias("k_hash"))
+    # The keys of the join are those of the grouping, so texts move once.
+    return rows.join(stay.hint("merge"), key).groupBy(*key).agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc.*")

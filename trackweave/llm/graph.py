@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round sends labels over the edges and then follows each label's own
     label, so chains shorten by powers of two.  Labels live in the shared
-    folder between rounds; nothing but the number of changes reaches the driver.
+    folder between rounds, and a round's table is deleted when the next one is
+    whole; nothing but the number of changes reaches the driver.
     """
     both = edges.filter("u <> v").select("u", "v").unionByName(edges.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     both = materialize(both, "cc-edges")
@@ -25,8 +26,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         best = both.join(of, "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("m"))
         spread = labels.join(best, "node", "left").select("node", F.least("root", "m").alias("new"), F.col("root").alias("old"))
         jump = labels.select(F.col("node").alias("new"), F.col("root").alias("far"))
-        labels = materialize(spread.join(jump, "new", "left").select("node", F.least("new", "far").alias("root"), "old"), "cc")
+        last, labels = labels, materialize(spread.join(jump, "new", "left").select("node", F.least("new", "far").alias("root"), "old"), "cc")
+        discard(last)
         if labels.filter("root <> old").limit(1).count() == 0:
+            discard(both)
             return labels.select("node", "root")
         labels = labels.select("node", "root")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
