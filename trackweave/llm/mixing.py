@@ -70,29 +70,35 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     return s.select("source", "source_size", target.alias("target"))
 
 
-def lay_out(docs: DataFrame, size: Column, keep: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """Each row's place in its source's stream: source, size, start and the columns of ``keep``.
+def named(source: Column) -> Column:
+    """A source as a key that is never null: the null source sorts last, others by code point."""
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
+
+
+def row_key() -> list[Column]:
+    """k_id, k_null, tie: what tells a row of ``docs`` (doc_id, text) from all but its repeats."""
+    low = F.lit(-1).cast("long")
+    return [F.coalesce(F.col("doc_id").cast("long"), low).alias("k_id"), F.col("doc_id").isNull().alias("k_null"), F.xxhash64("doc_id", "text").alias("tie")]
+
+
+KEY = ("src", "k_id", "k_null", "tie")
+
+
+def lay_out(docs: DataFrame, size: Column, buckets: int = BUCKETS) -> DataFrame:
+    """Each row's place in its source's stream: src, row key, copy (among its repeats, from 1), size, start.
 
     Rows are numbered inside hash buckets of their source and buckets follow
-    each other, so a source of any size is spread over many tasks.
+    each other, so a source of any size is spread over many tasks.  Only keys
+    and sizes travel; texts stay where they are.
     """
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"),
-        F.col("doc_id").alias("id"),
-        F.col("source").alias("source"),
-        size.alias("size"),
-        F.xxhash64("doc_id", "text").alias("tie"),
-    ).withColumn("bucket", F.pmod(F.col("tie"), F.lit(buckets)))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s_source"), F.col("bucket").alias("s_bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = W.partitionBy("source", "bucket").orderBy("tie", "id").rowsBetween(W.unboundedPreceding, -1)
-    same = F.col("source").eqNullSafe(F.col("s_source")) & (F.col("bucket") == F.col("s_bucket"))
-    return (
-        rows.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(sums, same)
-        .select("doc", "source", "size", (F.col("first") + F.col("own")).alias("start"))
-    )
+    rows = docs.select(named(F.col("source")).alias("src"), *row_key(), size.alias("size")).withColumn("bucket", F.pmod("tie", F.lit(buckets)))
+    sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
+    before = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("src", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = W.partitionBy("src", "bucket").orderBy("tie", "k_null", "k_id")
+    own = F.coalesce(F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(inside) - F.rank().over(inside) + 1
+    return rows.withColumn("own", own).withColumn("copy", nth).join(sums, ["src", "bucket"]).select(*KEY, "copy", "size", (F.col("first") + F.col("own")).alias("start"))
 
 
 def draws(plan: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
@@ -134,74 +140,80 @@ def draws(plan: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
 
 
 def pieces(laid: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The parts of each document by block: at (in the document), lo and hi (in the block)."""
+    """The parts of each row by block: at (in the row's words), lo and hi (in the block)."""
     last = F.floor((F.col("start") + F.col("size") - 1) / block)
     first = F.floor(F.col("start") / block)
     cut = laid.filter(F.col("size") > 0).withColumn("block", F.explode(F.sequence(first, last)))
     lo = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     hi = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
-    return cut.select("doc", "source", "size", "start", "block", lo.alias("lo"), hi.alias("hi"), (F.col("block") * block + lo - F.col("start")).alias("at"))
+    return cut.select(*KEY, "copy", "size", "block", lo.alias("lo"), hi.alias("hi"), (F.col("block") * block + lo - F.col("start")).alias("at"))
 
 
-def mix(docs: DataFrame, size: Column, keep: list[str], seed: int = 0, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(laid out documents, plan by source, taken pieces).
+def mix(docs: DataFrame, size: Column, seed: int = 0, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(laid out rows, plan by source, taken pieces).
 
-    A taken piece: doc, source, size, start, at, n (words taken from ``at``),
-    round and the output slot that it goes to.
+    A taken piece: src, row key, copy, size, at, n (words taken from ``at``),
+    round and the output slot that it goes to.  The layout is written once, as
+    keys and sizes; the plan and the pieces are made from it.
     """
-    laid = lay_out(docs, size, keep)
-    plan = targets(docs.select("source", size.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")))
-    drawn = draws(plan, seed, block).withColumnsRenamed({"source": "d_source", "block": "d_block"})
-    same = F.col("source").eqNullSafe(F.col("d_source")) & (F.col("block") == F.col("d_block"))
+    from .common import materialize
+
+    laid = materialize(lay_out(docs, size), "layout")
+    plan = targets(laid.groupBy(F.col("src").alias("source")).agg(F.sum("size").alias("source_size")))
+    drawn = draws(plan, seed, block).withColumnRenamed("source", "src")
     n = F.least("hi", "words") - F.col("lo")
-    taken = pieces(laid, block).join(drawn, same).withColumn("n", n).filter(F.col("n") > 0)
-    return laid, plan, taken.select("doc", "source", "size", "start", "at", "n", "round", "out", "shard", "slot")
+    # Both sides grow with the corpus, so neither is broadcast.
+    taken = pieces(laid, block).join(drawn.hint("merge"), ["src", "block"]).withColumn("n", n).filter(F.col("n") > 0)
+    return laid, plan, taken.select(*KEY, "copy", "size", "at", "n", "round", "out", "shard", "slot")
 
 
 def report(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row.
 
-    A null text has no words and a null source is a source of its own; rows
-    without words take nothing.  Repeated rows have places of their own in the
-    stream.  An empty table gives no rows.
+    A null text has no words and a null source is a source of its own, the last;
+    empty texts, being without words, take nothing.  A long text is cut into as
+    many blocks as it needs.  Repeated rows have places of their own in the
+    stream; ties in the order are told apart by hash and id.  Extra columns are
+    not read, whatever their names.  An empty table gives no rows.
     """
     from .common import n_words
 
-    laid, plan, taken = mix(docs, n_words(F.col("text")), ["doc_id"], seed)
+    laid, plan, taken = mix(docs, n_words(F.col("text")), seed)
     none = F.lit(0).cast("long")
-    both = laid.select("doc.doc_id", "source", "size", "start", none.alias("n")).unionByName(taken.select("doc.doc_id", "source", "size", "start", "n"))
-    # Rows without words share a start with their neighbours; they are told apart by their id and size.
-    by_doc = both.groupBy("source", "start", "doc_id", "size").agg(F.sum("n").alias("taken"), F.count(F.when(F.col("n") == 0, 1)).alias("copies"))
-    plan = plan.withColumnRenamed("source", "p_source")
-    return (
-        by_doc.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .join(plan, F.col("source").eqNullSafe(F.col("p_source")))
-        .select("doc_id", "size", "source_size", "target", F.col("taken").alias("taken"))
-    )
+    both = laid.select(*KEY, "copy", "size", none.alias("n")).unionByName(taken.select(*KEY, "copy", "size", "n"))
+    by_row = both.groupBy(*KEY, "copy", "size").agg(F.sum("n").alias("taken"))
+    doc_id = F.when(~F.col("k_null"), F.col("k_id"))
+    return by_row.join(plan.withColumnRenamed("source", "src"), "src").select(doc_id.alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The mix as documents: a row per document and round, with the words that the round took.
+    """The mix as documents: a row per row of ``docs`` and round, with the words that the round took.
 
     Columns of the input stay as they are, but text holds the words taken,
     joined by one space (the text itself where a round took all of it), and
-    n_chars, where there is one, its length.
+    n_chars, where there is one, its length.  Texts move once, to the list of
+    what was taken of them.  Rows of null or empty texts have no words to take
+    and give no row; nor do those that the draw leaves out.  Repeated rows are
+    taken one by one; which of several rows alike in id, text and source gives
+    which words is decided by a hash of their other columns.  A long text gives
+    its words in one row a round; extra columns may have any name.  An empty
+    table gives none.
     """
     from .common import n_words, words
 
     cols = docs.columns
-    size = n_words(F.col("text"))
-    _, _, taken = mix(docs, size, ["doc_id"], seed)
-    spans = taken.groupBy("source", "start", "size", "round").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("spans"), F.sum("n").alias("n"))
-    spans = spans.withColumnsRenamed({"source": "t_source", "start": "t_start", "size": "t_size"})
-    # Texts travel with their rows only; a row's start ties it to what was taken of it.
-    laid = lay_out(docs, size, cols)
-    same = (F.col("start") == F.col("t_start")) & (F.col("size") == F.col("t_size")) & F.col("source").eqNullSafe(F.col("t_source"))
-    # The generator keeps the words from being split anew for every span.
-    w = F.col("w")
-    part = F.array_join(F.flatten(F.transform("spans", lambda x: F.slice(w, (x["at"] + 1).cast("int"), x["n"].cast("int")))), " ")
-    text = F.when(F.col("n") == F.col("size"), F.col("doc.text")).otherwise(part)
-    both = laid.join(spans, same).select("doc", "size", "n", "spans", F.explode_outer(F.array(words(F.col("doc.text")))).alias("w"))
-    out = both.select("doc", text.alias("new_text"))
+    _, _, taken = mix(docs, n_words(F.col("text")), seed)
+    rounds = taken.groupBy(*KEY, "copy", "size", "round").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("spans"), F.sum("n").alias("n"))
+    by_key = rounds.groupBy(*KEY).agg(F.collect_list(F.struct("copy", "size", "n", "spans")).alias("rounds"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("doc"), named(F.col("source")).alias("src"), *row_key())
+    nth = F.row_number().over(W.partitionBy(*KEY).orderBy(F.xxhash64("doc")))
+    mine = F.filter("rounds", lambda r: r["copy"] == F.col("nth"))
+    both = rows.withColumn("nth", nth).join(by_key.hint("merge"), list(KEY)).select("doc", mine.alias("rounds")).filter(F.size("rounds") > 0)
+    # The words of a row are split once, whatever the number of its rounds and spans.
+    w, r = F.col("w"), F.col("r")
+    part = F.array_join(F.flatten(F.transform("r.spans", lambda x: F.slice(w, (x["at"] + 1).cast("int"), x["n"].cast("int")))), " ")
+    text = F.when(r["n"] == r["size"], F.col("doc.text")).otherwise(part)
+    split = both.select("doc", "rounds", F.explode_outer(F.array(words(F.col("doc.text")))).alias("w"))
+    out = split.select("doc", "w", F.explode("rounds").alias("r")).select("doc", text.alias("new_text"))
     pick = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
     return out.select(*[pick.get(c, F.col(f"doc.`{c}`")).alias(c) for c in cols])
