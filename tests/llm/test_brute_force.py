@@ -5,8 +5,10 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
+import numpy as np
 import pytest
 
 SPACE = re.compile(r"[\x20\x09-\x0d]+")
@@ -206,9 +208,12 @@ def test_quality_counts(spark):
 def test_em_finds_the_bad_rule():
     from trackweave.llm import quality
 
-    good, bad = (1,) * 8, (1, 1, -1, 1, 1, 1, 1, -1)
-    m = quality.fit([(good, 900), (bad, 100)])
-    assert m.log_odds(good) > 0 > m.log_odds(bad)
+    k = len(quality.rules())
+    good, bad, alone = (1,) * k, (1, 1, -1, 1, 1, 1, 1, -1, 1), (-1,) + (1,) * (k - 1)
+    for times in (1, 1000):
+        m = quality.fit([(good, 900 * times), (bad, 70 * times), (alone, 30 * times)])
+        assert m.log_odds(good) > 0 > m.log_odds(bad)
+        assert m.log_odds(alone) > 0  # a rule that no other one bears out
 
 
 def test_language_spans(spark):
@@ -238,3 +243,80 @@ def test_licenses(spark):
     rows = [(1, "Copyright (c) 2020 Some Body\n" + mit.replace("sublicense", "sublicence").upper()), (2, "text\nReleased under the MIT license!\nmore"), (3, "nothing"), (4, None)]
     got = {r.doc_id: (r.license, r.line_licenses) for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1][0] == "MIT" and got[2] == (None, "MIT") and got[3] == (None, "") and got[4] == (None, "")
+
+
+def plain_votes(text):
+    """Counts of op10 and the votes on them, word by word."""
+    t = text or ""
+    w = words(t)
+    n = max(1, len(w))
+    chars = sum(map(len, w))
+    lines = [x for x in t.split("\n") if words(x)]
+    seen = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    rep = {j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    counts = (len(w), chars, sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(rep))
+    high = lambda x, good, bad: -1 if x > bad else 1 if x <= good else 0
+    sign = lambda c: unicodedata.category(c)[0] in "PS"
+    length = chars / n
+    votes = (
+        -1 if len(w) < 20 else 1 if len(w) >= 60 else 0,
+        -1 if length < 1.8 or length > 20 else 1 if 2.5 <= length <= 12 else 0,
+        high(counts[2] / n, 0.05, 0.2),
+        high(counts[3] / max(1, len(lines)), 0.15, 0.4),
+        high(len(rep) / n, 0.2, 0.4),
+        high(sum(unicodedata.category(c) == "Lu" for c in t) / max(1, chars), 0.15, 0.4),
+        high(sum(c in "!?" for c in t) / n, 0.1, 0.3),
+        high(sum(not any(unicodedata.category(c)[0] == "L" for c in x) for x in w) / n, 0.15, 0.3),
+        high(sum(len(x) > 1 and sign(x[-1]) and sign(x[-2]) for x in w) / n, 0.05, 0.2),
+    )
+    return counts, votes
+
+
+def plain_em(votes):
+    """Posterior of good per document, by EM over single documents."""
+    v = np.array(votes)
+    p = np.array([0.95, 0.5, 0.05])[np.minimum(2, (v < 0).sum(1))]
+    for _ in range(400):
+        w, q = p / len(v), (1 - p) / len(v)
+        prior = (w.sum() + 0.018) / 1.02
+        g = ((w[:, None] * (v > 0)).sum(0) + 0.0198) / ((w[:, None] * (v != 0)).sum(0) + 0.02)
+        b = ((q[:, None] * (v < 0)).sum(0) + 0.006) / ((q[:, None] * (v != 0)).sum(0) + 0.02)
+        odds = np.log(prior / (1 - prior)) + (np.where(v > 0, np.log(g / (1 - b)), 0) + np.where(v < 0, np.log((1 - g) / b), 0)).sum(1)
+        p = 1 / (1 + np.exp(-odds))
+    return p
+
+
+def test_quality_verdicts(spark):
+    """op10: counts, votes, model and verdict against plain Python; the same shares at twice the size give the same verdicts."""
+    from trackweave.llm import quality
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghéß") for _ in range(rng.randint(2, 9)))
+    texts = []
+    for i in range(240):
+        w = [word() for _ in range(rng.randint(30, 150))]
+        if i % 8 == 0:
+            w = [x + rng.choice(["***", "$$$", "%%%", "&&&"]) for x in w]
+        elif i % 8 == 1:
+            w = [x for y in w for x in (y, "|")]
+        elif i % 16 == 2:
+            w = w[:12] * 8
+        elif i % 16 == 3:
+            w = [x.upper() + "!!" for x in w]
+        elif i % 20 == 4:
+            w = w[:15]
+        texts.append("".join(x + ("\n" if rng.random() < 0.1 else " ") for x in w))
+    texts += [None, "", "a b\na b\na b", "..."]
+    want, votes = zip(*map(plain_votes, texts), strict=True)
+    p = plain_em(votes)
+    for times in (1, 2):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * times, "doc_id long, text string")
+        got = quality.report(docs).collect()
+        assert len(got) == times * len(texts)
+        for r in got:
+            c = want[r.doc_id]
+            failed = c[0] < 50 or 100 * c[4] > 50 * c[0]
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (*c, failed)
+            assert math.isclose(r.p_good, p[r.doc_id], abs_tol=1e-6)
+            assert r.kept == (not failed and p[r.doc_id] >= 0.5)
+    assert any(c[0] >= 50 and x < 0.5 for c, x in zip(want, p, strict=True))

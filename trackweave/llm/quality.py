@@ -44,7 +44,8 @@ def features(docs: DataFrame) -> DataFrame:
     """Counts per document that the rules read.
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    n_lines, n_upper, n_marks, n_letter_words.  A null text is an empty one.
+    n_lines, n_upper, n_marks, n_bare (words without a letter), n_odd (words
+    that end in two signs or more).  A null text is an empty one.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", t.alias("t"), words(t).alias("w"))
@@ -75,6 +76,7 @@ def features(docs: DataFrame) -> DataFrame:
         _count(F.col("t"), r"\p{Lu}").alias("n_upper"),
         _count(F.col("t"), r"[!?]").alias("n_marks"),
         _count(F.array_join("w", "\n"), r"(?m)^[^\p{L}\n]+$").alias("n_bare"),
+        _count(F.col("t"), r"[\p{P}\p{S}]{2,}(?=[\x20\x09-\x0D]|\z)").alias("n_odd"),
     )
 
 
@@ -105,6 +107,7 @@ def rules() -> list[Rule]:
         high_is_bad("capitals", F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)), 0.15, 0.4),
         high_is_bad("marks", F.col("n_marks") / n, 0.1, 0.3),
         high_is_bad("bare_words", F.col("n_bare") / n, 0.15, 0.3),
+        high_is_bad("odd_ends", F.col("n_odd") / n, 0.05, 0.2),
     ]
 
 
@@ -129,35 +132,53 @@ class VoteModel:
         return odds
 
 
-def fit(counts: list[tuple[tuple[int, ...], int]], steps: int = 50) -> VoteModel:
+#: Weight of the belief about rules, as a share of all documents, so that it weighs the same at every size.
+BELIEF = 0.02
+#: The belief: share of good documents; of good votes about good ones; of bad votes about bad ones.
+BELIEVED = (0.9, 0.99, 0.3)
+#: P(good) at the start by the number of bad votes: none, one, more.
+START = (0.95, 0.5, 0.05)
+
+
+def fit(counts: list[tuple[tuple[int, ...], int]], steps: int = 200) -> VoteModel:
     """EM over (pattern, number of documents); at most 3**rules patterns.
 
-    Starts from "any bad vote is a bad sign"; a rule is held to be right about
-    good documents nine times in ten at least, which keeps the classes from
-    changing places.  Without documents the starting point is returned.
+    Starts from the number of bad votes: a single one tells nothing yet, and
+    those that agree with others gain weight.  Only shares of documents enter,
+    so a corpus of any size with the same shares has the same model.  Without
+    documents the belief is returned.
     """
     k = len(counts[0][0]) if counts else len(rules())
-    model = VoteModel(0.8, (0.98,) * k, (0.4,) * k)
-    for _ in range(steps if counts else 0):
-        good_n = bad_n = 0.0
+    total = float(sum(n for _, n in counts))
+    prior, when_good, when_bad = BELIEVED
+    model = VoteModel(prior, (when_good,) * k, (when_bad,) * k)
+    for step in range(steps if total else 0):
+        good = bad = 0.0
         gg, gn, bb, bn = [0.0] * k, [0.0] * k, [0.0] * k, [0.0] * k
         for pattern, n in counts:
-            odds = model.log_odds(pattern)
-            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-            good_n += p * n
-            bad_n += (1 - p) * n
+            if step:
+                odds = model.log_odds(pattern)
+                p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+            else:
+                p = START[min(2, sum(v < 0 for v in pattern))]
+            share = n / total
+            good += p * share
+            bad += (1 - p) * share
             for i, v in enumerate(pattern):
                 if v:
-                    gn[i] += p * n
-                    bn[i] += (1 - p) * n
-                    gg[i] += p * n * (v > 0)
-                    bb[i] += (1 - p) * n * (v < 0)
-        hold = lambda x, low, high: max(low, min(high, x))
-        model = VoteModel(
-            hold((good_n + 8) / (good_n + bad_n + 10), 0.05, 0.99),
-            tuple(hold((a + 98) / (c + 100), 0.9, 0.9999) for a, c in zip(gg, gn, strict=True)),
-            tuple(hold((a + 4) / (c + 10), 0.02, 0.98) for a, c in zip(bb, bn, strict=True)),
+                    gn[i] += p * share
+                    bn[i] += (1 - p) * share
+                    gg[i] += p * share * (v > 0)
+                    bb[i] += (1 - p) * share * (v < 0)
+        new = VoteModel(
+            (good + BELIEF * prior) / (1 + BELIEF),
+            tuple((a + BELIEF * when_good) / (c + BELIEF) for a, c in zip(gg, gn, strict=True)),
+            tuple((a + BELIEF * when_bad) / (c + BELIEF) for a, c in zip(bb, bn, strict=True)),
         )
+        moved = max(abs(x - y) for x, y in zip((new.prior, *new.when_good, *new.when_bad), (model.prior, *model.when_good, *model.when_bad), strict=True))
+        model = new
+        if moved < 1e-9:
+            break
     return model
 
 
@@ -180,8 +201,11 @@ def posterior(model: VoteModel) -> Column:
 def score(docs: DataFrame) -> DataFrame:
     """Features, votes, p_good, base_failed and kept for every row.
 
-    Texts without words fail the base rules.  Ties and repeated rows are judged
-    alike; an empty table gives no rows.
+    Null and empty texts have no words and fail the base rules.  Ties (a
+    posterior of one half) are kept; repeated rows are judged alike, each with a
+    row of its own, and count as often in the model.  Long texts are read whole
+    (up to 2**27 words).  Extra columns are not read; an empty table gives no
+    rows.
     """
     voted = materialize(votes(features(docs)), "quality")
     n = F.col("n_words")
@@ -190,6 +214,7 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """The digest of score() for every row; cases as there."""
     return score(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
@@ -197,7 +222,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, all columns unchanged.
 
     Rows and their votes are written to the shared folder once; the model is
-    fitted on the votes and the verdict read off beside each row.
+    fitted on the votes and the verdict read off beside each row.  Cases as in
+    score(): null and empty texts go, repeated rows stay or go together, columns
+    may have any name, and an empty table gives no rows.
     """
     cols = docs.columns
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("doc_id"), "text")
