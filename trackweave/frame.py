@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import ast
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import schema
-from .operators import aggregates, detectors, intervals, joins, keys, references, resample, segments, sets, slicing, windows
+from .operators import aggregates, clip, detectors, grouped, intervals, joins, keys, ml, references, resample, segments, sets, slicing, windows
+from .pieces import Segments
 
 
 class Trajectories:
@@ -114,10 +116,208 @@ class Trajectories:
     def basic_stats(self) -> DataFrame:
         return aggregates.basic_stats(self.df, self.by)
 
-    def filter(self, *steps) -> Trajectories:
-        """Noise filters (steps of operators.windows) one after the other."""
+    def filter(self, *steps, strategy: str | None = "fill", **kernels) -> Trajectories:
+        """A noise filter by name ("default", "aggressive"), or steps of operators.windows one after the other, without filling."""
+        if not steps or isinstance(steps[0], str):
+            return self._on(windows.filtered(self.df, self.by, steps[0] if steps else "default", strategy, **kernels))
         return self._on(windows.compose(*steps)(self.df))
 
+    # Segments
+    def split(self, value="10 min", unit: str | None = None, condition=None) -> Segments:
+        """Segments cut at gaps; a number without a unit counts minutes; condition as in operators.segments.split."""
+        gap = f"{value} {unit or 'min'}" if isinstance(value, (int, float)) else value
+        return Segments(self.df, segments.split(self.df, self.by, gap, condition), self.by)
+
+    def segments(self, method, *args, **kwargs) -> Segments:
+        """Segments found by a detector: its name, a method call as text, or a callable on this collection."""
+        out = self.pipe(method, *args, **kwargs)
+        if isinstance(out, Segments):
+            return out
+        segs = out.df if isinstance(out, Trajectories) else out
+        if "seg_idx" not in segs.columns:
+            segs = segs.withColumn("seg_idx", (F.row_number().over(Window.partitionBy(*self.by).orderBy("start", "stop")) - 1).cast("long"))
+        return Segments(self.df, segs, self.by)
+
+    def next(self, method, *args, **kwargs) -> Trajectories:
+        return self.segments(method, *args, **kwargs).next().all()
+
+    def final(self, method, *args, **kwargs) -> Trajectories:
+        return self.segments(method, *args, **kwargs).final().all()
+
+    def all(self, method, *args, flight_id: str | None = None, **kwargs) -> Trajectories:
+        return self.segments(method, *args, **kwargs).all(flight_id)
+
+    def sum(self, method, *args, **kwargs) -> DataFrame:
+        return self.segments(method, *args, **kwargs).sum()
+
+    def has(self, method, *args, **kwargs) -> Trajectories:
+        return self.segments(method, *args, **kwargs).has()
+
+    def max_split(self, value="10 min", unit: str | None = None, key="duration") -> Trajectories:
+        return self.split(value, unit).max(key).all()
+
+    def apply_segments(self, func, method, *args, **kwargs):
+        """func on the segments of a detector, as flights of their own."""
+        return self.segments(method, *args, **kwargs).map(func)
+
+    def sliding_windows(self, duration, step) -> Trajectories:
+        return Trajectories(grouped.sliding_windows(self.df, self.by, duration, step), [*self.by, "window"])
+
+    # Methods by name
+    def _method(self, kind: str, method: str, *args, **kwargs):
+        table = METHODS[kind]
+        if method not in table:
+            raise ValueError(f"{kind} knows {sorted(table)}, not {method!r}")
+        out = table[method](self.df, *args, by=self.by, **kwargs)
+        if kind in ROWS:
+            return self._on(out)
+        if not {"start", "stop"} <= set(out.columns):
+            return out
+        if "seg_idx" not in out.columns:
+            out = out.withColumn("seg_idx", (F.row_number().over(Window.partitionBy(*self.by).orderBy("start")) - 1).cast("long"))
+        return Segments(self.df, out, self.by)
+
+    def aligned(self, *args, method: str = "default", **kwargs) -> Segments:
+        return self._method("aligned", method, *args, **kwargs)
+
+    def landing(self, *args, method: str = "default", **kwargs) -> Segments:
+        return self._method("landing", method, *args, **kwargs)
+
+    def takeoff(self, *args, method: str = "default", **kwargs) -> Segments:
+        return self._method("takeoff", method, *args, **kwargs)
+
+    def go_around(self, *args, method: str = "default", **kwargs) -> DataFrame:
+        return self._method("go_around", method, *args, **kwargs)
+
+    def holding_pattern(self, *args, method: str = "default", **kwargs) -> Segments:
+        return self._method("holding_pattern", method, *args, **kwargs)
+
+    def point_merge(self, *args, method: str = "default", **kwargs) -> Segments:
+        return self._method("point_merge", method, *args, **kwargs)
+
+    def thermals(self, *args, method: str = "default", **kwargs) -> Segments:
+        return self._method("thermals", method, *args, **kwargs)
+
+    def movement(self, *args, method: str = "default", **kwargs) -> Segments:
+        return self._method("movement", method, *args, **kwargs)
+
+    def pushback(self, *args, method: str = "default", **kwargs) -> DataFrame:
+        return self._method("pushback", method, *args, **kwargs)
+
+    def parking_position(self, *args, method: str = "default", **kwargs) -> Segments:
+        return self._method("parking_position", method, *args, **kwargs)
+
+    def phases(self, *args, method: str = "default", **kwargs) -> Trajectories:
+        return self._method("phases", method, *args, **kwargs)
+
+    def fuelflow(self, *args, method: str = "default", **kwargs) -> Trajectories:
+        return self._method("fuelflow", method, *args, **kwargs)
+
+    def emission(self, *args, method: str = "default", **kwargs) -> Trajectories:
+        return self._method("emission", method, *args, **kwargs)
+
+    def predict(self, *args, method: str = "default", **kwargs) -> DataFrame:
+        return self._method("predict", method, *args, **kwargs)
+
+    forward = predict
+
+    def infer_airport(self, *args, method: str = "landing", **kwargs) -> DataFrame:
+        return self._method("infer_airport", method, *args, **kwargs)
+
+    def infer_flightplan(self, *args, method: str = "default", **kwargs) -> Segments:
+        return self._method("infer_flightplan", method, *args, **kwargs)
+
+    def _at_airport(self, airport: str, airports: DataFrame, which: str) -> Trajectories:
+        ok = self.infer_airport(airports, method=which).filter(F.col("airport") == airport)
+        return self._on(self.df.join(ok, self.by, "left_semi"))
+
+    def landing_at(self, airport: str, airports: DataFrame) -> Trajectories:
+        """Flights whose last position is nearest to an airport."""
+        return self._at_airport(airport, airports, "landing")
+
+    def takeoff_from(self, airport: str, airports: DataFrame) -> Trajectories:
+        """Flights whose first position is nearest to an airport."""
+        return self._at_airport(airport, airports, "takeoff")
+
+    # Shapes
+    def clip(self, zones: DataFrame, strict: bool = True) -> Trajectories:
+        """Rows from a flight's first entry into a polygon to its last exit there, as index_ and zone tell."""
+        return Trajectories(clip.clip(self.df, zones, self.by, strict), [*self.by, "zone"])
+
+    def clip_iterate(self, zones: DataFrame) -> Segments:
+        """The times inside each polygon as segments, with zone."""
+        return Segments(self.df, clip.crossings(self.df, zones, self.by), self.by)
+
+    def intersects(self, zones: DataFrame) -> Trajectories:
+        """Flights that pass through one of the polygons, between its levels."""
+        return self._on(self.df.join(clip.intersects(self.df, zones, self.by), self.by, "left_semi"))
+
+    # Learning and pairs
+    def clustering(self, *cols: str, nb_samples: int = 15, method: str = "kmeans", scaler: str | None = "standard", **options) -> ml.Clustering:
+        return ml.Clustering(self.by, cols, nb_samples, method, scaler, **options)
+
+    def centroid(self, nb_samples: int, *cols: str) -> DataFrame:
+        """The flight with the least mean distance to all, by its features."""
+        return ml.centroid(ml.features(self.df, self.by, nb_samples, *cols), self.by[0])
+
+    def generation(self, *cols: str, nb_samples: int = 15) -> ml.Generation:
+        return ml.Generation.fit(ml.features(self.df, self.by, nb_samples, *cols))
+
+    def closest_point_of_approach(self, lateral_separation: float, vertical_separation: float, round_t="1 d") -> DataFrame:
+        return joins.closest_approach(self.df, lateral_separation, vertical_separation, round_t, self.by[0])
+
+    # Facts about the whole
+    def _fact(self, value):
+        return self.df.agg(value).first()[0]
+
+    @property
+    def start_time(self):
+        return self._fact(F.min(keys.TIME))
+
+    @property
+    def end_time(self):
+        return self._fact(F.max(keys.TIME))
+
+    @property
+    def callsigns(self) -> DataFrame:
+        return self.df.select("callsign").filter("callsign is not null").distinct()
+
+    @property
+    def icao24(self) -> DataFrame:
+        return self.df.select("icao24").filter("icao24 is not null").distinct()
+
+    @property
+    def flight_ids(self) -> DataFrame:
+        return self.df.select("flight_id").filter("flight_id is not null").distinct()
+
+    def __len__(self) -> int:
+        """Number of flights."""
+        return self.df.select(*self.by).distinct().count()
+
+    def head(self, n: int = 5) -> DataFrame:
+        """n rows, the first in time (a report)."""
+        return self.df.orderBy(keys.TIME, *self.by).limit(n)
+
+    def tail(self, n: int = 5) -> DataFrame:
+        return self.df.orderBy(F.desc(keys.TIME), *self.by).limit(n)
+
+    # Plans are lazy as they are; these end them.
+    def iterate_lazy(self, iterate_kw: dict | None = None) -> Trajectories:
+        return self.iterate(**(iterate_kw or {}))
+
+    def eval(self, cache_file: str | None = None) -> Trajectories:
+        """Runs the plan once: written to ``cache_file`` (read back if it is there) or to the folder that executors share."""
+        from .operators.scratch import materialize
+
+        if cache_file is None:
+            return self._on(materialize(self.df))
+        spark = self.df.sparkSession
+        try:
+            return self._on(spark.read.parquet(cache_file))
+        except AnalysisException:
+            self.df.write.parquet(cache_file)
+            return self._on(spark.read.schema(self.df.schema).parquet(cache_file))
+
     def to_parquet(self, path: str, **options) -> None:
         self.df.write.parquet(path, **options)
 
@@ -159,3 +359,30 @@ class Trajectories:
             return self._on(out) if isinstance(out, DataFrame) and set(self.by) <= set(out.columns) else out
 
         return call
+
+
+# What a method name stands for: functions of (df, .., by=..).
+METHODS = {
+    "aligned": {"default": detectors.beacon_aligned, "beacon": detectors.beacon_aligned, "ils": detectors.ils_aligned, "runway": detectors.zone_runs},
+    "landing": {"default": detectors.ils_aligned, "aligned_on_ils": detectors.ils_aligned, "any": detectors.landing_attempts, "runway_change": detectors.runway_change},
+    "takeoff": {"default": detectors.takeoff_runs, "polygon_based": detectors.takeoff_runs, "track_based": detectors.track_takeoffs},
+    "go_around": {"default": detectors.go_around},
+    "holding_pattern": {"default": detectors.holding},
+    "point_merge": {"default": detectors.point_merge},
+    "thermals": {"default": detectors.thermals},
+    "movement": {"default": detectors.moving, "start_moving": detectors.moving, "slow_taxi": detectors.slow_taxi},
+    "pushback": {"default": detectors.pushback},
+    "parking_position": {"default": detectors.parking, "geometry": detectors.parking},
+    "phases": {"default": detectors.phases},
+    "fuelflow": {"default": grouped.fuel},
+    "emission": {"default": grouped.emission},
+    "predict": {"default": detectors.predict_straight, "straight": detectors.predict_straight, "flightplan": references.follow_plan},
+    "infer_airport": {
+        "default": detectors.nearest_airport,
+        "landing": detectors.nearest_airport,
+        "takeoff": lambda df, airports, by: detectors.nearest_airport(df, airports, by, "takeoff"),
+    },
+    "infer_flightplan": {"default": detectors.infer_flightplan},
+}
+#: Methods that add columns to the rows, in place of finding segments.
+ROWS = {"phases", "fuelflow", "emission"}

@@ -2,41 +2,53 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import cells, geo
 from ..functions.timeunits import micros, us
-from .joins import small
+from .joins import near, small
 from .keys import TIME, ordered
 from .segments import segments
 
 
-def _against(df: DataFrame, table: DataFrame, prefix: str) -> DataFrame:
-    """Every row with every row of a small reference table (size checked), by a constant key."""
-    t = table.select(*[F.col(c).alias(f"{prefix}{c}") for c in table.columns]).withColumn("_one", F.lit(1))
-    return df.withColumn("_one", F.lit(1)).join(small(t), "_one").drop("_one")
+#: Cells (degrees) in which rows and areas meet.
+AREA_CELL = 0.5
+
+
+def _inside_boxes(df: DataFrame, areas: DataFrame, prefix: str, west, south, east, north) -> DataFrame:
+    """Each row with the areas whose box covers its cell, by equal cells; area columns get the prefix."""
+    box = cells.box_cells(west, south, east, north, AREA_CELL)
+    t = areas.select(*[F.col(c).alias(f"{prefix}{c}") for c in areas.columns], F.explode(box).alias("_cell"))
+    return df.withColumn("_cell", cells.plane_cell("latitude", "longitude", AREA_CELL)).join(small(t), "_cell").drop("_cell")
+
+
+def _ring_box(ring: str) -> tuple:
+    side = lambda f, k: f(F.transform(ring, lambda p: p[k]))
+    return side(F.array_min, "x"), side(F.array_min, "y"), side(F.array_max, "x"), side(F.array_max, "y")
 
 
-def beacon_aligned(df: DataFrame, points: DataFrame, by: list[str], precision: float = 1, gap="2 min", min_time="30 s", min_distance: float = 80, wrap: bool = False) -> DataFrame:
-    """Runs with the track on the bearing to a point: navaid, shift_mean, distance_min."""
-    j = _against(df, points, "p_")
+def beacon_aligned(df: DataFrame, points: DataFrame, by: list[str], precision: float = 1, gap="2 min", min_time="30 s", min_distance: float = 80, wrap: bool = False, reach: float = 500) -> DataFrame:
+    """Runs with the track on the bearing to a point within ``reach`` NM: navaid, shift_mean, distance_min."""
+    j = near(df, points, "p_", reach)
     j = j.withColumns({"distance": geo.distance("latitude", "longitude", "p_latitude", "p_longitude"), "bearing": geo.bearing("latitude", "longitude", "p_latitude", "p_longitude")})
     off = geo.angle_between("bearing", "track") if wrap else F.abs(F.col("bearing") - F.col("track"))
-    j = j.withColumn("shift", off).filter((F.col("shift") < precision) & (F.col("distance") < 500)).withColumn("navaid", F.col("p_name"))
+    j = j.withColumn("shift", off).filter((F.col("shift") < precision) & (F.col("distance") < reach)).withColumn("navaid", F.col("p_name"))
     extra = {"distance_min": F.min("distance"), "shift_mean": F.avg("shift")}
     return segments(j, [*by, "navaid"], gap, min_time, F.col("distance_min") < min_distance, extra)
 
 
-def ils_aligned(df: DataFrame, thresholds: DataFrame, by: list[str], angle: float = 0.1, gap="20 s", min_time="1 min", ceiling: float = 5000, field: float = 0.0, wrap: bool = False) -> DataFrame:
-    """Runs on the extended centre line of a runway threshold (name, latitude, longitude, bearing): ILS."""
-    j = _against(df, thresholds, "t_")
+def ils_aligned(df: DataFrame, thresholds: DataFrame, by: list[str], angle: float = 0.1, gap="20 s", min_time="1 min", ceiling: float = 5000, field: float = 0.0, wrap: bool = False, reach: float = 500) -> DataFrame:
+    """Runs on the extended centre line, within ``reach`` NM, of a runway threshold (name, latitude, longitude, bearing): ILS."""
+    j = near(df, thresholds, "t_", reach)
     j = j.withColumns({"distance": geo.distance("latitude", "longitude", "t_latitude", "t_longitude"), "bearing": geo.bearing("latitude", "longitude", "t_latitude", "t_longitude")})
     off = F.radians(F.col("bearing") - F.col("t_bearing"))
     if wrap:
         off = F.radians(geo.angle_between("bearing", "t_bearing"))
-    ok = (F.abs(F.col("distance") * off) < angle) & (F.cos(F.radians(F.col("bearing") - F.col("track"))) > 0)
+    ok = (F.col("distance") < reach) & (F.abs(F.col("distance") * off) < angle) & (F.cos(F.radians(F.col("bearing") - F.col("track"))) > 0)
     j = j.filter(ok).withColumn("ILS", F.col("t_name"))
     return segments(j, [*by, "ILS"], gap, min_time, F.col("altitude_min") < field + ceiling, {"altitude_min": F.min("altitude")})
 
@@ -62,7 +74,7 @@ def runway_change(landings: DataFrame, climbs: DataFrame, by: list[str]) -> Data
 def zone_runs(df: DataFrame, zones: DataFrame, by: list[str], min_points: int = 3, min_time="5 s") -> DataFrame:
     """Runs of consecutive rows inside a zone (name, west, south, east, north)."""
     n = F.row_number().over(ordered(df, by))
-    inside = _against(df.withColumn("_n", n), zones, "z_").filter("longitude between z_west and z_east and latitude between z_south and z_north")
+    inside = _inside_boxes(df.withColumn("_n", n), zones, "z_", "west", "south", "east", "north").filter("longitude between z_west and z_east and latitude between z_south and z_north")
     k = W.partitionBy(*by, "z_name").orderBy("_n")
     runs = inside.withColumn("_grp", F.col("_n") - F.row_number().over(k)).groupBy(*by, F.col("z_name").alias("zone"), "_grp")
     out = runs.agg(F.min(TIME).alias("start"), F.max(TIME).alias("stop"), F.count(F.lit(1)).alias("n"))
@@ -71,26 +83,72 @@ def zone_runs(df: DataFrame, zones: DataFrame, by: list[str], min_points: int =
 
 def polygon_runs(df: DataFrame, zones: DataFrame, by: list[str], gap="2 min", lower: str | None = None, upper: str | None = None) -> DataFrame:
     """Runs of rows inside polygons (name, ring of struct x, y[, lower, upper in flight levels])."""
-    j = _against(df, zones, "z_").filter(geo.in_ring("longitude", "latitude", "z_ring"))
+    j = _inside_boxes(df, zones, "z_", *_ring_box("ring")).filter(geo.in_ring("longitude", "latitude", "z_ring"))
     if lower and upper:
         j = j.filter((F.col("altitude") > 100 * F.col(f"z_{lower}")) & (F.col("altitude") < 100 * F.col(f"z_{upper}")))
     return segments(j.withColumn("zone", F.col("z_name")), [*by, "zone"], gap)
 
 
-def takeoff_runs(df: DataFrame, runways: DataFrame, by: list[str], field: float = 0.0, ceiling: float = 2000, min_gs: float = 140, length_nm: float = 3.24, half_width_nm: float = 0.1, opening: float = 5) -> DataFrame:
+def takeoff_runs(df: DataFrame, runways: DataFrame, by: list[str], field: float = 0.0, ceiling: float = 2000, min_gs: float = 140, length_nm: float = 3.24, half_width_nm: float = 0.1, opening: float = 5, gap="2 min") -> DataFrame:
     """The longest low run inside the zone that opens from each runway's end (name, latitude, longitude, bearing)."""
-    j = _against(df.filter(F.col("altitude") < field + ceiling), runways, "r_")
+    j = near(df.filter(F.col("altitude") < field + ceiling), runways, "r_", length_nm + half_width_nm + length_nm * math.tan(math.radians(opening)))
     d, b = geo.distance("r_latitude", "r_longitude", "latitude", "longitude"), geo.bearing("r_latitude", "r_longitude", "latitude", "longitude")
     a = F.radians(F.pmod(b - F.col("r_bearing") + 180.0, F.lit(360.0)) - 180.0)
     along, across = d * F.cos(a), F.abs(d * F.sin(a))
-    import math
-
     j = j.filter((along >= 0) & (along <= length_nm) & (across <= half_width_nm + along * math.tan(math.radians(opening)))).withColumn("runway", F.col("r_name"))
-    s = segments(j, [*by, "runway"], "2 min", None, F.col("gs_max") >= min_gs, {"gs_max": F.max("groundspeed")})
+    s = segments(j, [*by, "runway"], gap, None, F.col("gs_max") >= min_gs, {"gs_max": F.max("groundspeed")})
     w = W.partitionBy(*by).orderBy((us("stop") - us("start")).desc(), "runway", "start")
     return s.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def landing_attempts(df: DataFrame, airports: DataFrame, thresholds: DataFrame, by: list[str], below: float = 8000, gap="10 min", **options) -> DataFrame:
+    """Runs on the centre line of the airport nearest to the lowest point of each low part (attempt) of a flight: ILS, airport.
+
+    airports: name, latitude, longitude; thresholds also have airport, the name
+    of theirs.
+    """
+    from .joins import closest_point
+    from .keys import legs
+
+    low = legs(df.filter(F.col("altitude") < below), by, gap).withColumnRenamed("leg", "attempt")
+    part = [*by, "attempt"]
+    tie = F.struct("altitude", TIME, *[c for c in ("event_id",) if c in df.columns])
+    lowest = low.groupBy(*part).agg(F.min_by("latitude", tie).alias("latitude"), F.min_by("longitude", tie).alias("longitude"))
+    near_by = closest_point(lowest, airports, part).select(*[F.col(c).alias(f"_{c}") for c in part], F.col("point").alias("airport"))
+    t = thresholds.select(F.struct("airport", "name").alias("name"), "latitude", "longitude", "bearing")
+    runs = ils_aligned(low, t, part, **options).withColumns({"_apt": F.col("ILS.airport"), "ILS": F.col("ILS.name")})
+    same = [F.col(c) == F.col(f"_{c}") for c in part]
+    return runs.join(near_by, [*same, F.col("_apt") == F.col("airport")]).select(*part, "airport", "ILS", "seg_idx", "start", "stop", "n", "altitude_min")
+
+
+def track_takeoffs(df: DataFrame, runways: DataFrame, by: list[str], reach: float = 5, field: float = 0.0, ceiling: float = 2000, min_vr: float = 257, min_gs: float = 30, min_rows: int = 4, parallel: float = 10) -> DataFrame:
+    """The runway (name, latitude, longitude, bearing of its start) of each climb out: by the median track, of parallel ones by distance to the line.
+
+    A climb out: at least ``min_rows`` rows within ``reach`` NM of a runway,
+    low, climbing and fast.
+    """
+    j = near(df.filter((F.col("altitude") < field + ceiling) & (F.col("vertical_rate") > min_vr) & (F.col("groundspeed") > min_gs)), runways, "r_", reach)
+    d, b = geo.distance("r_latitude", "r_longitude", "latitude", "longitude"), geo.bearing("r_latitude", "r_longitude", "latitude", "longitude")
+    j = j.withColumns({"_d": d, "_off": F.abs(d * F.sin(F.radians(b - F.col("r_bearing"))))}).filter(F.col("_d") <= reach)
+    each = j.groupBy(*by, F.col("r_name").alias("runway"), F.col("r_bearing").alias("bearing")).agg(
+        F.min(TIME).alias("start"), F.max(TIME).alias("stop"), F.count(F.lit(1)).alias("n"), F.median("track").alias("_track"), F.avg("_off").alias("offset")
+    )
+    turned = each.filter(F.col("n") >= min_rows).withColumn("_turn", geo.angle_between("_track", "bearing"))
+    w = W.partitionBy(*by)
+    alike = turned.withColumn("_least", F.min("_turn").over(w)).filter(F.col("_turn") <= F.col("_least") + parallel)
+    return alike.withColumn("_n", F.row_number().over(w.orderBy("offset", "_turn", "runway"))).filter("_n = 1").select(*by, "runway", "start", "stop", "n", "offset")
+
+
+def slow_taxi(df: DataFrame, by: list[str], min_duration="60 s", max_diameter: float = 150) -> DataFrame:
+    """Runs of at least ``min_duration`` in which each row's last ``min_duration`` stays within ``max_diameter`` metres (diagonal of the box)."""
+    span = micros(min_duration)
+    w = W.partitionBy(*by).orderBy("_us").rangeBetween(-span, 0)
+    wide = lambda c: F.max(c).over(w) - F.min(c).over(w)
+    m = df.withColumn("_us", us(TIME)).withColumns({"_h": wide("latitude") * 60 * 1852, "_w": wide("longitude") * 60 * 1852 * F.cos(F.radians("latitude")), "_long": F.col("_us") - F.min("_us").over(W.partitionBy(*by))})
+    slow = m.filter((F.hypot("_h", "_w") < max_diameter) & (F.col("_long") >= span))
+    return segments(slow.drop("_h", "_w", "_long", "_us"), by, min_duration)
+
+
 def thermals(df: DataFrame, by: list[str], min_vr: float = 2, min_turn: float = 5, freq="1 min", gap="1 min") -> DataFrame:
     """Climbing turns of gliders: buckets with a high vertical rate and a high median turn."""
     from .aggregates import agg_time
@@ -143,11 +201,22 @@ def pushback(df: DataFrame, by: list[str], turn: float = 90) -> DataFrame:
     return slow.withColumn("_d", d).filter(F.col("_d") >= turn).groupBy(*by).agg(F.min(TIME).alias("start"))
 
 
-def point_merge(df: DataFrame, points: DataFrame, by: list[str], tolerance: float = 0.05, gap="5 s", min_time="90 s") -> DataFrame:
-    """Arcs at a constant distance from a point."""
-    j = _against(df, points, "p_").withColumn("point", F.col("p_name")).withColumn("distance", geo.distance("latitude", "longitude", "p_latitude", "p_longitude"))
+def point_merge(df: DataFrame, points: DataFrame, by: list[str], tolerance: float = 0.05, gap="5 s", min_time="90 s", secondary: DataFrame | None = None, precision: float = 2, reach: float = 500) -> DataFrame:
+    """Arcs at a constant distance from a point, within ``reach`` NM.
+
+    With ``secondary`` points an arc counts only for a flight that is aligned,
+    later, on the point or on one of them.
+    """
+    j = near(df, points, "p_", reach).withColumn("point", F.col("p_name")).withColumn("distance", geo.distance("latitude", "longitude", "p_latitude", "p_longitude"))
+    j = j.filter(F.col("distance") <= reach)
     step = F.abs(F.col("distance") - F.lag("distance").over(ordered(j, [*by, "point"])))
-    return segments(j.withColumn("_step", step).filter(F.col("_step") < tolerance), [*by, "point"], gap, min_time, None, {"distance_mean": F.avg("distance")})
+    arcs = segments(j.withColumn("_step", step).filter(F.col("_step") < tolerance), [*by, "point"], gap, min_time, None, {"distance_mean": F.avg("distance")})
+    if secondary is None:
+        return arcs
+    names = ["name", "latitude", "longitude"]
+    leaves = beacon_aligned(df, points.select(*names).unionByName(secondary.select(*names)).distinct(), by, precision, min_distance=reach)
+    later = leaves.groupBy(*by).agg(F.max("stop").alias("_left"))
+    return arcs.join(later, by).filter(F.col("_left") > F.col("start")).drop("_left")
 
 
 def holding(df: DataFrame, by: list[str], span="6 min", turn: float = 330) -> DataFrame:

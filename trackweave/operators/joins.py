@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import cells, geo
 from ..functions.timeunits import micros, us
 from .keys import TIME
+from .scratch import materialize
 
 #: Reference tables are broadcast up to so many rows; larger ones are joined by cell.
 BROADCAST_ROWS = 100_000
@@ -19,6 +20,31 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def near(df: DataFrame, table: DataFrame, prefix: str, reach: float) -> DataFrame:
+    """Each row with the rows of a reference table (latitude, longitude, ..) within ``reach`` NM or little more; their columns get the prefix.
+
+    Rows and points meet by cell, an equal key: a row has one, a point those
+    that its reach touches.  A table beyond the broadcast bound is shuffled by
+    cell, and cells with many rows are split by adaptive execution.
+    """
+    deg = min(90.0, reach / 60.0)
+    t = table.select(*[F.col(c).alias(f"{prefix}{c}") for c in table.columns])
+    t = t.withColumn("_cell", F.explode(cells.cells_around(f"{prefix}latitude", f"{prefix}longitude", deg, min(reach, 60.0 * deg))))
+    return df.withColumn("_cell", cells.cell("latitude", "longitude", deg)).join(small(t), "_cell").drop("_cell")
+
+
+def listed_near(df: DataFrame, table: DataFrame, cols: tuple[str, ...], reach: float, name: str) -> DataFrame:
+    """Adds the array of a table's points (structs of ``cols``, sorted) that the row's cell has within ``reach`` NM or little more.
+
+    One array per cell, so its length is the number of points in reach; rows
+    without any have null.
+    """
+    deg = min(90.0, reach / 60.0)
+    at = table.select(F.struct(*cols).alias("_p"), F.explode(cells.cells_around("latitude", "longitude", deg, min(reach, 60.0 * deg))).alias("_cell"))
+    lists = at.groupBy("_cell").agg(F.array_sort(F.collect_list("_p")).alias(name))
+    return df.withColumn("_cell", cells.cell("latitude", "longitude", deg)).join(small(lists), "_cell", "left").drop("_cell")
+
+
 def pair_distance(a: DataFrame, b: DataFrame, on: list[str] = [TIME], keep: tuple[str, ...] = ("icao24",)) -> DataFrame:  # noqa: B006
     """lateral (NM) and vertical (ft) between rows of the same time; columns get _x and _y."""
     cols = ["latitude", "longitude", "altitude", *keep]
@@ -31,24 +57,27 @@ def pair_distance(a: DataFrame, b: DataFrame, on: list[str] = [TIME], keep: tupl
 def closest_approach(df: DataFrame, lateral: float, vertical: float, bucket, key: str = "icao24") -> DataFrame:
     """Rows of different aircraft in the same time bucket within both separations, both ways round.
 
-    An equi-join on bucket and a grid cell of the separation's size: each row
-    looks into its own and the eight cells around, so dense buckets are split by
-    place and only near rows meet.
+    An equi-join on bucket and a cell of the separation's size, closed at the
+    date line and the poles.  Each row looks into the cells of its own band and
+    of the next one, so a pair is measured once and mirrored afterwards; heights
+    are compared before distances.
     """
-    deg_lat = lateral / 60.0
-    b = F.floor(us(TIME) / F.lit(float(micros(bucket)))).alias("_b")
-    cy = F.floor(F.col("latitude") / deg_lat)
-    # Cells of longitude are as wide as the separation at the row's own parallel allows, at most.
-    wide = deg_lat / F.greatest(F.cos(F.radians(F.least(F.lit(89.0), (F.abs(cy) + 2) * deg_lat))), F.lit(0.02))
+    deg = lateral / 60.0
+    b = F.floor(us(TIME) / F.lit(float(micros(bucket)))).alias("bucket")
     cols = [TIME, key, "latitude", "longitude", "altitude", *(["event_id"] if "event_id" in df.columns else [])]
-    left = df.select(*[F.col(c).alias(f"{c}_x") for c in cols], b, cy.alias("_cy"))
-    band = lambda k: deg_lat / F.greatest(F.cos(F.radians(F.least(F.lit(89.0), (F.abs(k) + 2) * deg_lat))), F.lit(0.02))
-    spread = left.withColumn("_k", F.explode(F.array(*[F.col("_cy") + d for d in (-1, 0, 1)])))
-    spread = spread.withColumn("_c", F.explode(F.array(*[F.floor(F.col("longitude_x") / band(F.col("_k"))) + d for d in (-1, 0, 1)]))).drop("_cy")
-    right = df.select(*[F.col(c).alias(f"{c}_y") for c in cols], b, cy.alias("_k"), F.floor(F.col("longitude") / wide).alias("_c"))
-    j = spread.join(right, ["_b", "_k", "_c"]).filter(F.col(f"{key}_x") != F.col(f"{key}_y"))
-    j = j.withColumns({"lateral": geo.distance("latitude_x", "longitude_x", "latitude_y", "longitude_y"), "vertical": F.abs(F.col("altitude_x") - F.col("altitude_y"))})
-    return j.filter((F.col("lateral") <= lateral) & (F.col("vertical") <= vertical)).drop("_k", "_c").withColumnRenamed("_b", "bucket")
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in cols]
+    left = df.select(*side("x"), b, F.explode(cells.cells_around("latitude", "longitude", deg, lateral, (0, 1))).alias("_cell"))
+    left = left.withColumn("_own", F.col("_cell.k") == cells.band("latitude_x", deg))
+    right = df.select(*side("y"), b, cells.cell("latitude", "longitude", deg).alias("_cell"))
+    once = F.when(F.col("_own"), F.col(f"{key}_x") < F.col(f"{key}_y")).otherwise(F.col(f"{key}_x") != F.col(f"{key}_y"))
+    close = F.abs(F.col("altitude_x") - F.col("altitude_y")) <= vertical
+    j = left.join(right, ["bucket", "_cell"]).filter(once & close)
+    d = geo.distance("latitude_x", "longitude_x", "latitude_y", "longitude_y")
+    j = j.withColumns({"lateral": d, "vertical": F.abs(F.col("altitude_x") - F.col("altitude_y"))}).filter(F.col("lateral") <= lateral)
+    turned = F.struct(*[F.col(f"{c}_{'y' if s == 'x' else 'x'}").alias(f"{c}_{s}") for s in "xy" for c in cols])
+    straight = F.struct(*[F.col(f"{c}_{s}") for s in "xy" for c in cols])
+    both = j.select("bucket", F.explode(F.array(straight, turned)).alias("_p"), "lateral", "vertical")
+    return both.select(*[f"_p.{c}_x" for c in cols], "bucket", *[f"_p.{c}_y" for c in cols], "lateral", "vertical")
 
 
 def cpa_score(cpa: DataFrame, lateral: float = 5, vertical: float = 1000) -> DataFrame:
@@ -64,13 +93,43 @@ def cpa_min(cpa: DataFrame, column: str, key: str = "icao24") -> DataFrame:
     return cpa.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*")
 
 
-def closest_point(df: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
-    """For each flight the nearest point (name, latitude, longitude) over all its rows, and the distance."""
-    p = points.select(F.col("name").alias("point"), F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"))
-    listed = p.agg(F.array_sort(F.collect_list(F.struct("point", "p_lat", "p_lon"))).alias("_pts")).withColumn("_one", F.lit(1))
-    j = df.withColumn("_one", F.lit(1)).join(small(listed), "_one")
-    d = F.transform("_pts", lambda q: F.struct(geo.distance("latitude", "longitude", q["p_lat"], q["p_lon"]).alias("distance"), q["point"].alias("point")))
-    return j.groupBy(*by).agg(F.min(F.array_min(d)).alias("_m")).select(*by, "_m.point", "_m.distance")
+#: Distances (NM) in which nearest points are sought, one after the other; the last one holds the whole sphere.
+REACHES = (60.0, 600.0, 10_900.0)
+
+
+def closest_point(df: DataFrame, points: DataFrame, by: list[str], reaches: tuple[float, ...] = REACHES) -> DataFrame:
+    """For each flight the nearest point (name, latitude, longitude) over all its rows, and the distance.
+
+    A flight whose nearest point within a reach is nearer than that reach is
+    done; the others look further.  Ties go to the first name; flights without
+    positions have no row.
+    """
+    p = points.select(F.col("name").alias("point"), F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"), "latitude", "longitude")
+    if p.limit(LISTED + 1).count() <= LISTED:  # so few that all are measured at once
+        reaches = reaches[-1:]
+    rest, done = df.select(*by, "latitude", "longitude").filter("latitude is not null and longitude is not null"), None
+    for reach in reaches:
+        last = reach == reaches[-1]
+        pts = listed_near(rest, p, ("point", "p_lat", "p_lon"), reach, "_pts") if not last else _all_points(rest, p)
+        d = F.transform("_pts", lambda q: F.struct(geo.distance("latitude", "longitude", q["p_lat"], q["p_lon"]).alias("distance"), q["point"].alias("point")))
+        best = pts.groupBy(*by).agg(F.min(F.array_min(d)).alias("_m")).filter(F.col("_m").isNotNull()).select(*by, "_m.point", "_m.distance")
+        if not last:
+            best = materialize(best.filter(F.col("distance") <= reach))
+            rest = rest.join(best, by, "left_anti")
+        done = best if done is None else done.unionByName(best)
+    return done
+
+
+#: Points in one array.
+LISTED = 1000
+
+
+def _all_points(df: DataFrame, points: DataFrame) -> DataFrame:
+    """Each row once for every block of at most LISTED points, as an array; few rows get here, or few points."""
+    blocks = -(-points.count() // LISTED) or 1
+    lists = points.groupBy(F.pmod(F.xxhash64("point", "p_lat", "p_lon"), F.lit(blocks)).alias("_blk")).agg(F.array_sort(F.collect_list(F.struct("point", "p_lat", "p_lon"))).alias("_pts"))
+    each = df.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return each.join(F.broadcast(lists) if blocks == 1 else lists, "_blk").drop("_blk")
 
 
 def bearing_to(df: DataFrame, lat: float, lon: float, name: str = "bearing") -> DataFrame:
@@ -120,28 +179,29 @@ def index_by(df: DataFrame, frame: DataFrame, by: list[str]) -> DataFrame:
     return df.join(f, [*same, F.col("_start").isNull() | (F.col(TIME) >= F.col("_start")), F.col("_stop").isNull() | (F.col(TIME) <= F.col("_stop"))], "left_semi")
 
 
-def compositions(edges: DataFrame, leaves: DataFrame, depth: int = 16) -> DataFrame:
-    """(root, leaf): leaves reached from each parent over (parent, child) edges, level by level.
+def compositions(edges: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(root, leaf): leaves reached from each parent over (parent, child) edges, however deep.
 
-    A frontier of new pairs is joined with the edges until it is empty; known
-    pairs are dropped, so cycles end.
+    A frontier of new pairs is joined with the edges until it is empty; each
+    round is written to the shared folder, and known pairs are dropped, so
+    cycles end.
     """
-    seen = frontier = edges.select(F.col("parent").alias("root"), F.col("child").alias("node")).distinct()
-    for _ in range(depth):
-        frontier = frontier.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
-        if not frontier.limit(1).count():
-            break
-        seen = seen.unionByName(frontier)
+    edges = materialize(edges.select("parent", "child").distinct())
+    rounds = [materialize(edges.select(F.col("parent").alias("root"), F.col("child").alias("node")))]
+    seen = rounds[0]
+    while rounds[-1].limit(1).count():
+        ahead = rounds[-1].join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct()
+        rounds.append(materialize(ahead.join(seen, ["root", "node"], "left_anti")))
+        seen = seen.unionByName(rounds[-1])
     return seen.join(leaves.select(F.col("leaf").alias("node")).distinct(), "node", "left_semi")
 
 
-def dme_error(df: DataFrame, stations: DataFrame, name: str = "NSE") -> DataFrame:
-    """Least position error over pairs of stations seen at 30 to 150 degrees from each other."""
-    s = stations.select("name", "latitude", "longitude")
-    pts = s.agg(F.array_sort(F.collect_list(F.struct("name", "latitude", "longitude"))).alias("_s")).withColumn("_one", F.lit(1))
-    j = df.withColumn("_one", F.lit(1)).join(small(pts), "_one").drop("_one")
-    seen = F.transform("_s", lambda p: F.struct(p["name"].alias("name"), geo.distance("latitude", "longitude", p["latitude"], p["longitude"]).alias("d"), geo.bearing("latitude", "longitude", p["latitude"], p["longitude"]).alias("b")))
-    j = j.withColumn("_v", seen)
+def dme_error(df: DataFrame, stations: DataFrame, name: str = "NSE", reach: float = 200.0) -> DataFrame:
+    """Least position error over pairs of stations within ``reach`` NM seen at 30 to 150 degrees from each other."""
+    s = stations.select("name", F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon"), "latitude", "longitude")
+    j = listed_near(df, s, ("name", "s_lat", "s_lon"), reach, "_s")
+    seen = F.transform("_s", lambda p: F.struct(p["name"].alias("name"), geo.distance("latitude", "longitude", p["s_lat"], p["s_lon"]).alias("d"), geo.bearing("latitude", "longitude", p["s_lat"], p["s_lon"]).alias("b")))
+    j = j.withColumn("_v", F.filter(seen, lambda p: p["d"] <= reach))
 
     def error(p: Column, q: Column) -> Column:
         angle = geo.angle_between(p["b"], q["b"])

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.timeunits import micros, us
-from .keys import TIME, legs
+from .keys import TIME, legs, ordered, running
 
 
 def segments(df: DataFrame, by: list[str], gap, min_duration=None, having: Column | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -21,6 +21,27 @@ def segments(df: DataFrame, by: list[str], gap, min_duration=None, having: Colum
     return out.withColumn("seg_idx", (F.row_number().over(W.partitionBy(*by).orderBy("start", "leg")) - 1).cast("long")).drop("leg")
 
 
+def split(df: DataFrame, by: list[str], gap="10 min", condition=None) -> DataFrame:
+    """Segments of flights cut at gaps of more than ``gap``; with ``condition`` only where it holds.
+
+    condition(before, here): a boolean column from two functions that give a
+    column's value in the row before the cut and in the row after it.
+    """
+    if condition is None:
+        return segments(df, by, gap)
+    w = ordered(df, by)
+    cut = (us(TIME) - us(F.lag(TIME).over(w)) > micros(gap)) & condition(lambda c: F.lag(c).over(w), F.col)
+    runs = df.withColumn("_open", F.when(cut, 1).otherwise(0)).withColumn("leg", F.sum("_open").over(running(df, by)).cast("long"))
+    out = runs.groupBy(*by, "leg").agg(F.min(TIME).alias("start"), F.max(TIME).alias("stop"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    return out.withColumn("seg_idx", (F.row_number().over(W.partitionBy(*by).orderBy("start", "leg")) - 1).cast("long")).drop("leg")
+
+
+def numbered(segs: DataFrame, by: list[str], back: bool = False) -> DataFrame:
+    """Adds _at: each segment's place in its flight, from 0, from the end if ``back``."""
+    order = [F.col(c).desc() if back else F.col(c) for c in ("start", "seg_idx")]
+    return segs.withColumn("_at", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)
+
+
 def has(df: DataFrame, segs: DataFrame, by: list[str]) -> DataFrame:
     """Flights with a segment."""
     return df.join(segs, by, "left_semi")

@@ -85,14 +85,18 @@ def having(df: DataFrame, by: list[str], test) -> DataFrame:
     return df.join(df.groupBy(*by).agg(F.coalesce(test, F.lit(False)).alias("_ok")).filter("_ok").drop("_ok"), by, "left_semi")
 
 
+def _lasting(df: DataFrame, by: list[str], test) -> DataFrame:
+    """Flights by their duration: one window over the flight, no join."""
+    lo, hi = _edges(df, by)
+    return _keep(df, test(us(hi) - us(lo)))
+
+
 def longer_than(df: DataFrame, span, by: list[str], strict: bool = True) -> DataFrame:
-    d = us(F.max(TIME)) - us(F.min(TIME))
-    return having(df, by, d > micros(span) if strict else d >= micros(span))
+    return _lasting(df, by, lambda d: d > micros(span) if strict else d >= micros(span))
 
 
 def shorter_than(df: DataFrame, span, by: list[str], strict: bool = True) -> DataFrame:
-    d = us(F.max(TIME)) - us(F.min(TIME))
-    return having(df, by, d < micros(span) if strict else d <= micros(span))
+    return _lasting(df, by, lambda d: d < micros(span) if strict else d <= micros(span))
 
 
 def feature_gt(df: DataFrame, agg, value, by: list[str], strict: bool = True) -> DataFrame:

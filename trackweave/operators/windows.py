@@ -159,3 +159,51 @@ def position(by: list[str], cascades: int = 2) -> Step:
         return df
 
     return run
+
+
+# Usual kernels and bounds of the filters by column.
+SIGMA = {"altitude": (17, 53), "geoaltitude": (17, 53), "selected_mcp": (17, 53), "selected_fms": (17, 53), "IAS": (23,), "TAS": (23,), "Mach": (23,), "vertical_rate": (3,), "groundspeed": (5,), "compute_gs": (17, 53), "compute_track": (17,), "track": (17,)}
+MEDIAN = {"altitude": 11, "geoaltitude": 9, "vertical_rate": 5, "groundspeed": 9, "track": 5}
+MEAN = {"altitude": 10, "geoaltitude": 10, "vertical_rate": 3, "groundspeed": 7, "track": 3}
+SPIKES = {"altitude": (200, 150, 10), "geoaltitude": (200, 150, 10), "vertical_rate": (1500, 1000, 5), "groundspeed": (12, 10, 3), "track": (12, 10, 2)}
+GROUPS = {"altitude": (500, 15), "geoaltitude": (500, 15), "vertical_rate": (500, 15), "track": (500, 15), "latitude": (500, 15), "longitude": (500, 15)}
+
+
+def default_filter(by: list[str], **kernels) -> Step:
+    """Cascades of sigma_median, by the usual kernels or those given (a number or several per column), on the columns that there are."""
+    given = {c: k if isinstance(k, (tuple, list)) else (k,) for c, k in kernels.items()}
+
+    def run(df: DataFrame) -> DataFrame:
+        for c, ks in (given or SIGMA).items():
+            for k in ks if c in df.columns else ():
+                df = sigma_median(by, **{c: k})(df)
+        return df
+
+    return run
+
+
+def aggressive_filter(by: list[str]) -> Step:
+    """Medians, spikes of the derivatives, small groups, then means, by the usual values on the columns that there are."""
+
+    def run(df: DataFrame) -> DataFrame:
+        have = lambda table: {c: v for c, v in table.items() if c in df.columns}
+        steps = [median(by, **have(MEDIAN))]
+        steps += [derivative(by, c, *v) for c, v in have(SPIKES).items()]
+        steps += [clustering(by, c, *v) for c, v in have(GROUPS).items()]
+        return compose(*steps, mean(by, **have(MEAN)))(df)
+
+    return run
+
+
+FILTERS = {"default": default_filter, "aggressive": aggressive_filter}
+
+
+def filtered(df: DataFrame, by: list[str], method: str | Step = "default", strategy: str | None = "fill", **kernels) -> DataFrame:
+    """A noise filter by name or as a step; then values that it took away are filled backward and forward (no strategy: left null).
+
+    Booleans and texts stay as they are; columns keep their types.
+    """
+    step = FILTERS[method](by, **kernels) if isinstance(method, str) else method
+    out = step(df)
+    numbers = [f.name for f in df.schema.fields if f.name in {*SIGMA, *MEDIAN, *GROUPS, *kernels} and f.dataType.typeName() in ("double", "float", "integer", "long", "short")]
+    return fill(out, by, *numbers) if strategy == "fill" and numbers else out

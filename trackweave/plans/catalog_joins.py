@@ -19,16 +19,16 @@ def r6(c, name=None):
 
 # Pairs and points
 
-_X = "SELECT date_trunc('hour', ts) h, latitude, longitude, altitude, icao24 FROM p WHERE {}"
+_X = "SELECT date_trunc('hour', ts) h, latitude, longitude, altitude, icao24 FROM p"
 
 
 @query(
     f"""SELECT x.h AS "timestamp", x.icao24 icao24_x, y.icao24 icao24_y, round({dist('x.latitude', 'x.longitude', 'y.latitude', 'y.longitude')},6) "lateral", round(abs(x.altitude-y.altitude),6) vertical """
-    f"FROM ({_X.format('icao24=8')}) x JOIN ({_X.format('icao24=46')}) y USING (h)"
+    f"FROM ({_X}) x JOIN ({_X}) y ON x.h=y.h AND y.icao24=x.icao24+1"
 )
 def pair_distance(spark, d):
     p = points(spark, d).withColumn("timestamp", F.date_trunc("hour", "timestamp").cast("timestamp_ntz"))
-    j = joins.pair_distance(p.filter("icao24 = 8"), p.filter("icao24 = 46"))
+    j = joins.pair_distance(p.withColumn("pair", F.col("icao24")), p.withColumn("pair", F.col("icao24") - 1), ["timestamp", "pair"])
     return j.select("timestamp", "icao24_x", "icao24_y", r6("lateral"), r6("vertical"))
 
 
@@ -87,10 +87,10 @@ def asof_ffill(spark, d):
     return joins.as_of(p.filter("event_type = 'error'").select("icao24", "timestamp", E), ref, ["icao24"], "ref_id").select(E, "ref_id")
 
 
-@query("SELECT event_id FROM p JOIN (SELECT icao24 k, min(ts)+INTERVAL 24 HOUR a FROM p WHERE icao24 < 40 GROUP BY icao24) ON icao24=k AND ts >= a")
+@query("SELECT event_id FROM p JOIN (SELECT icao24 k, min(ts)+INTERVAL 24 HOUR a FROM p GROUP BY icao24) ON icao24=k AND ts >= a")
 def index_by_frame(spark, d):
     p = points(spark, d)
-    frame = p.filter("icao24 < 40").groupBy("icao24").agg((F.min("timestamp") + F.expr("interval 24 hours")).alias("start")).withColumn("stop", F.lit(None).cast("timestamp_ntz"))
+    frame = p.groupBy("icao24").agg((F.min("timestamp") + F.expr("interval 24 hours")).alias("start")).withColumn("stop", F.lit(None).cast("timestamp_ntz"))
     return joins.index_by(p, frame, ["icao24"]).select(E)
 
 
@@ -263,10 +263,9 @@ def pushback(spark, d):
     return detectors.pushback(f, BY)
 
 
-@query(f'SELECT * FROM (WITH st AS (SELECT f.*, q.name point, {_BD} distance FROM f, pts q WHERE q.name IN (\'NATION_1\',\'NATION_7\')), e AS (SELECT * FROM (SELECT *, abs(distance - lag(distance) OVER (PARTITION BY flight_id, point ORDER BY ts, event_id)) sd FROM st) WHERE sd < 40), {runs("e", "flight_id, point", H12, ", avg(distance) dmean", "", 90000000)} SELECT flight_id, point, seg_idx, "start", "stop", n, round(dmean,6) distance_mean FROM seg)')
+@query(f'SELECT * FROM (WITH st AS (SELECT f.*, q.name point, {_BD} distance FROM f, pts q), e AS (SELECT * FROM (SELECT *, abs(distance - lag(distance) OVER (PARTITION BY flight_id, point ORDER BY ts, event_id)) sd FROM st) WHERE sd < 40), {runs("e", "flight_id, point", H12, ", avg(distance) dmean", "", 90000000)} SELECT flight_id, point, seg_idx, "start", "stop", n, round(dmean,6) distance_mean FROM seg)')
 def point_merge(spark, d):
-    b = beacons(spark, d).filter("name in ('NATION_1', 'NATION_7')")
-    return detectors.point_merge(flights(spark, d), b, BY, 40, "12 h", "90 s").select("flight_id", "point", "seg_idx", "start", "stop", "n", r6("distance_mean"))
+    return detectors.point_merge(flights(spark, d), beacons(spark, d), BY, 40, "12 h", "90 s").select("flight_id", "point", "seg_idx", "start", "stop", "n", r6("distance_mean"))
 
 
 _T20 = "(SELECT * FROM (SELECT *, max(ts) OVER (PARTITION BY flight_id) z FROM f) WHERE epoch_us(ts) > epoch_us(z)-43200000000)"
@@ -280,24 +279,59 @@ def predict_straight(spark, d):
     return detectors.predict_straight(flights(spark, d), BY, "5 min", "12 h").select("flight_id", r6("latitude"), r6("altitude"))
 
 
-@query()
+_PW = "OVER (PARTITION BY flight_id ORDER BY epoch_us(ts) RANGE BETWEEN 21600000000 PRECEDING AND 21600000000 FOLLOWING)"
+_PM = f"(SELECT event_id, avg(altitude) {_PW} a, avg(groundspeed) {_PW} g, avg(vertical_rate) {_PW} v FROM f)"
+
+
+def _bell(x, c, s):
+    return f"exp(-pow(({x} - {c}) / {s}, 2) / 2)"
+
+
+def _low(x, a, b):
+    return f"greatest(0.0, least(1.0, ({b} - {x}) / CAST({b - a} AS DOUBLE)))"
+
+
+_LO, _MD, _FLAT = _bell("a", 10000, 10000), _bell("g", 300, 100), _bell("v", 0, 100)
+_MEMBERS = {
+    "GROUND": f"least({_low('a', 0, 200)}, {_bell('g', 0, 50)}, {_FLAT})", "CLIMB": f"least({_LO}, {_MD}, 1 - {_low('v', 10, 1000)})", "DESCENT": f"least({_LO}, {_MD}, {_low('v', -1000, -10)})",
+    "CRUISE": f"least({_bell('a', 35000, 20000)}, {_bell('g', 600, 100)}, {_FLAT})", "LEVEL": f"least({_LO}, {_MD}, {_FLAT})",
+}
+_EACH = " UNION ALL ".join(f"SELECT event_id, {m} m, '{k}' k FROM {_PM}" for k, m in _MEMBERS.items())
+
+
+@query(f"SELECT event_id, CASE WHEN max(m) > 0 THEN arg_max(k, (m, k)) ELSE 'NA' END phase FROM ({_EACH}) GROUP BY event_id")
 def flight_phases(spark, d):
     return detectors.phases(flights(spark, d), BY, "12 h").select(E, "phase")
 
 
-@query()
+_RD, _RB = dist("q.latitude", "q.longitude", "f.latitude", "f.longitude"), brg("q.latitude", "q.longitude", "f.latitude", "f.longitude")
+_OFF = f"(SELECT f.*, q.name runway, {_RD} dd, radians(((({_RB} - q.bearing + 180) % 360 + 360) % 360) - 180) aa FROM f, pts q WHERE altitude < 500)"
+
+
+@query(
+    f"SELECT * FROM (WITH e AS (SELECT * FROM {_OFF} WHERE dd*cos(aa) BETWEEN 0 AND 60 AND abs(dd*sin(aa)) <= 20 + dd*cos(aa)*tan(radians(5.0))), {runs('e', 'flight_id, runway', H12, ', max(groundspeed) gmax', 'AND gmax >= 140')} "
+    'SELECT flight_id, runway, seg_idx, "start", "stop", n, gmax gs_max FROM (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY epoch_us("stop")-epoch_us("start") DESC, runway, "start") k FROM seg) WHERE k = 1)'
+)
 def takeoff_runway(spark, d):
-    return detectors.takeoff_runs(flights(spark, d), beacons(spark, d), BY, ceiling=500, length_nm=60, half_width_nm=20)
+    return detectors.takeoff_runs(flights(spark, d), beacons(spark, d), BY, ceiling=500, length_nm=60, half_width_nm=20, gap="12 h")
 
 
-@query()
+_HW = "OVER (PARTITION BY flight_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)"
+
+
+@query(f"SELECT * FROM (WITH e AS (SELECT * FROM (SELECT *, max(tu) {_HW} - min(tu) {_HW} turned FROM {_TU}) WHERE turned >= 330), {runs('e', 'flight_id', DAY)} SELECT flight_id, seg_idx, \"start\", \"stop\", n FROM seg)")
 def holding_pattern(spark, d):
-    return detectors.holding(flights(spark, d), BY, "1 d", 330)
+    return detectors.holding(flights(spark, d), BY, "1 d", 330).select("flight_id", "seg_idx", "start", "stop", "n")
+
+
+_SEEN = f"(SELECT f.event_id, q.name, {_BD} d, {_BB} b FROM f, pts q WHERE {_BD} <= 200)"
+_DME = f"""(SELECT x.event_id, x.name||'_'||y.name pair, least(((x.b-y.b)%360+360)%360, 360-((x.b-y.b)%360+360)%360) an,
+ 2*sqrt(pow(greatest(0.085, 0.00125*x.d),2)+pow(greatest(0.085, 0.00125*y.d),2)+2*pow(CAST(0.05 AS DOUBLE),2)) e FROM {_SEEN} x JOIN {_SEEN} y ON x.event_id=y.event_id AND x.name<y.name)"""
 
 
-@query()
+@query(f'SELECT f.event_id, round(m,6) "NSE", pair "NSE_idx" FROM f LEFT JOIN (SELECT event_id, min(e/sin(radians(an))) m, arg_min(pair, (e/sin(radians(an)), pair)) pair FROM {_DME} WHERE an BETWEEN 30 AND 150 GROUP BY event_id) z ON z.event_id=f.event_id')
 def dme_error(spark, d):
-    return joins.dme_error(flights(spark, d), beacons(spark, d).filter("name in ('NATION_0','NATION_3','NATION_9','NATION_14')")).select(E, "NSE", "NSE_idx")
+    return joins.dme_error(flights(spark, d), beacons(spark, d)).select(E, r6("NSE"), "NSE_idx")
 
 
 @query(f"SELECT event_id, CAST(i AS BIGINT) index_ FROM (WITH e AS (SELECT * FROM f WHERE altitude > 60), {runs('e', 'flight_id', H6)} SELECT f.event_id, seg_idx i FROM f JOIN seg ON seg.flight_id=f.flight_id AND f.ts BETWEEN \"start\" AND \"stop\")")

@@ -138,14 +138,14 @@ def flight_bounds(spark, d):
 
 
 _END = "(SELECT flight_id, max(ts) t, avg(groundspeed) gs, arg_max(latitude,(ts,event_id)) la, arg_max(longitude,(ts,event_id)) lo FROM f GROUP BY flight_id)"
-_LEGS = f"(SELECT *, sum(coalesce({dist('pl', 'po', 'latitude', 'longitude')},0)) OVER (ORDER BY name ROWS UNBOUNDED PRECEDING) al FROM (SELECT *, lag(latitude) OVER (ORDER BY name) pl, lag(longitude) OVER (ORDER BY name) po FROM pts WHERE name < 'NATION_15'))"
+_LEGS = f"(SELECT *, sum(coalesce({dist('pl', 'po', 'latitude', 'longitude')},0)) OVER (ORDER BY name ROWS UNBOUNDED PRECEDING) al FROM (SELECT *, lag(latitude) OVER (ORDER BY name) pl, lag(longitude) OVER (ORDER BY name) po FROM pts))"
 
 
 @query(
     f"SELECT flight_id, name, round(latitude,6) latitude FROM (SELECT flight_id, q.name, q.latitude, ({dist('la', 'lo', 'z.latitude', 'z.longitude')}+q.al)/gs h FROM {_END} e, {_LEGS} q, (SELECT * FROM pts WHERE name='NATION_0') z) WHERE floor(h*3.6e9) <= 3600000000"
 )
 def follow_plan(spark, d):
-    plan = beacons(spark, d).filter("name < 'NATION_15'").withColumn("number", F.col("name"))
+    plan = beacons(spark, d).withColumn("number", F.col("name"))
     return references.follow_plan(flights(spark, d), plan, BY, "1 h").select("flight_id", "name", F.round("latitude", 6).alias("latitude"))
 
 

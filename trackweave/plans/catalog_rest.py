@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import codec, geo
-from ..operators import grouped, ml
+from ..operators import graphs, grouped, ml
 from ..sources import files
-from .base import beacons, flights, points, query, table
+from .base import TABLES, beacons, flights, points, query, table
 
 BY = ["flight_id"]
 E = "event_id"
@@ -141,9 +142,15 @@ def dbscan(spark, d):
     return ml.dbscan(v, 0.02, 3, E)
 
 
-@query()
+_FN = "(SELECT icao24, min(epoch_us(ts)) a, max(epoch_us(ts)) z FROM p GROUP BY icao24)"
+_FG = f"(SELECT icao24, i, a+CAST(floor((z-a)*i/9) AS BIGINT) t FROM {_FN}, range(10) r(i))"
+_FJ = f"(SELECT g.icao24, g.i, p.latitude, p.longitude, row_number() OVER (PARTITION BY g.icao24, g.i ORDER BY abs(epoch_us(ts)-g.t), ts, event_id) k FROM {_FG} g JOIN p ON g.icao24=p.icao24)"
+
+
+@query(f"SELECT icao24, string_agg(CAST(CAST(round(latitude*1000) AS BIGINT) AS VARCHAR), ',' ORDER BY i)||','||string_agg(CAST(CAST(round(longitude*1000) AS BIGINT) AS VARCHAR), ',' ORDER BY i) features FROM {_FJ} WHERE k=1 GROUP BY icao24")
 def trajectory_features(spark, d):
-    return ml.features(points(spark, d), ["icao24"], 10, "latitude", "longitude")
+    v = ml.features(points(spark, d), ["icao24"], 10, "latitude", "longitude")
+    return v.select("icao24", F.array_join(F.transform("features", lambda x: F.round(x * 1000).cast("long").cast("string")), ",").alias("features"))
 
 
 @query()
@@ -166,7 +173,11 @@ def simplify_rdp(spark, d):
     return grouped.simplify(_xy(spark, d), BY, 20000.0).select("flight_id", E)
 
 
-@query()
+@query(
+    f"PLAIN WITH RECURSIVE {TABLES}, r AS (SELECT flight_id, CAST(0 AS BIGINT) k, min(ts) s FROM f GROUP BY flight_id UNION ALL "
+    "SELECT r.flight_id, r.k+1, min(f.ts) FROM r JOIN f ON f.flight_id=r.flight_id AND epoch_us(f.ts) > epoch_us(r.s)+21600000000 GROUP BY r.flight_id, r.k) "
+    'SELECT f.flight_id, k AS "window", f.event_id FROM r JOIN f ON f.flight_id=r.flight_id AND f.ts >= r.s AND epoch_us(f.ts) < epoch_us(r.s)+43200000000'
+)
 def sliding_windows(spark, d):
     return grouped.sliding_windows(flights(spark, d).select("flight_id", E, "timestamp"), BY, "12 h", "6 h").select("flight_id", "window", E)
 
@@ -186,12 +197,27 @@ def consistency(spark, d):
     return grouped.consistency(_xy(spark, d), BY).select(E, "ok")
 
 
-@query()
+_V, _H = "greatest(groundspeed*1852/3600, 30.0)", "greatest(0.0, altitude*CAST(0.3048 AS DOUBLE))"
+_DYN = f"(0.5*(1.225*pow(greatest(1-CAST(2.2558e-5 AS DOUBLE)*{_H}, 0.2), CAST(4.2559 AS DOUBLE)))*{_V}*{_V}*122.0)"
+
+
+def _flow(m):
+    cl = f"({m}*CAST(9.80665 AS DOUBLE)/{_DYN})"
+    return f"greatest(CAST(0.1 AS DOUBLE), greatest({_DYN}*(0.02+0.04*{cl}*{cl})+{m}*CAST(9.80665 AS DOUBLE)*(vertical_rate*CAST(0.3048 AS DOUBLE)/60)/{_V}, 0.0)*CAST(1.6e-5 AS DOUBLE))"
+
+
+@query(
+    f"PLAIN WITH RECURSIVE {TABLES}, n AS (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY ts, event_id) i, coalesce((epoch_us(lead(ts) OVER (PARTITION BY flight_id ORDER BY ts, event_id))-epoch_us(ts))/CAST(1e6 AS DOUBLE), 0) dt FROM f), "
+    f"r AS (SELECT flight_id, i, event_id, dt, CAST(60000 AS DOUBLE) mass, {_flow('60000.0')} ff FROM n WHERE i=1 UNION ALL "
+    f"SELECT flight_id, i, event_id, dt, m, {_flow('m')} FROM (SELECT n.*, greatest(r.mass-r.ff*r.dt, 1.0) m FROM r JOIN n ON n.flight_id=r.flight_id AND n.i=r.i+1)) "
+    'SELECT event_id, round(ff,6) fuelflow, round(mass,3) mass, round(sum(ff*dt) OVER (PARTITION BY flight_id ORDER BY i)*3149.0*0.001, 2) "CO2" FROM r'
+)
 def fuel_recurrence(spark, d):
-    return grouped.emission(grouped.fuel(_xy(spark, d), BY), BY).select(E, "fuelflow", "mass", "CO2")
+    out = grouped.emission(grouped.fuel(_xy(spark, d), BY), BY)
+    return out.select(E, r6("fuelflow"), F.round("mass", 3).alias("mass"), F.round("CO2", 2).alias("CO2"))
 
 
-@query()
+@query('SELECT icao24, make_timestamp(CAST(round_even(epoch_us(ts)/CAST(86400000000 AS DOUBLE),0) AS BIGINT)*86400000000) rounded, max(altitude)-min(altitude) span FROM p GROUP BY 1, 2')
 def apply_time(spark, d):
     f = points(spark, d).select("icao24", "timestamp", "altitude")
     return grouped.apply_time(f, ["icao24"], "1 d", span=lambda pdf: float(pdf.altitude.max() - pdf.altitude.min()))
@@ -199,7 +225,6 @@ def apply_time(spark, d):
 
 @query()
 def map_match(spark, d):
-    rows = beacons(spark, d).orderBy("name").collect()  # 25 rows
-    nodes = {i: (r["latitude"], r["longitude"]) for i, r in enumerate(rows)}
-    edges = [(i, i + 1, 1.0) for i in range(len(nodes) - 1)]
-    return grouped.map_match(flights(spark, d).select("flight_id", "timestamp", "latitude", "longitude"), BY, nodes, edges)
+    nodes = beacons(spark, d).withColumn("node", F.row_number().over(W.orderBy("name")) - 1)  # a small graph, of one airport
+    edges = nodes.select(F.col("node").alias("u"), (F.col("node") + 1).alias("v"), F.lit(1.0).alias("w"))
+    return graphs.map_match(flights(spark, d).select("flight_id", E, "timestamp", "latitude", "longitude"), BY, nodes, edges.join(nodes.select(F.col("node").alias("v")), "v"))

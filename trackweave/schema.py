@@ -11,6 +11,11 @@ ALIASES = {
     "lat": "latitude",
     "lon": "longitude",
     "long": "longitude",
+    "lng": "longitude",
+    "baro_altitude": "altitude",
+    "geo_altitude": "geoaltitude",
+    "departure": "origin",
+    "arrival": "destination",
     "velocity": "groundspeed",
     "ground_speed": "groundspeed",
     "speed": "groundspeed",
