@@ -17,6 +17,11 @@ _B1 = 10 * _B2 + _SUFFIX
 _FIRST = 0xA00001
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _suffix(s: Column) -> Column:
     """Rank of up to two letters: none, A, AA, AB, .., B, BA, .."""
     n = len(LETTERS)
@@ -55,22 +60,23 @@ def _letters(r: Column) -> Column:
 
 def icao_to_n_number(icao) -> Column:
     """The US registration of a 24-bit address; null outside the US block."""
-    r0 = F.conv(col(icao), 16, 10).cast("long") - _FIRST
-    ok = (r0 >= 0) & (r0 < 9 * _B1)
-    floor_div = lambda x, n: F.floor(x / F.lit(n)).cast("long")
-    d1 = floor_div(r0, _B1) + 1
-    r1 = F.pmod(r0, F.lit(_B1))
-    in2 = r1 - _SUFFIX
-    d2, r2 = floor_div(in2, _B2), F.pmod(in2, F.lit(_B2))
-    in3 = r2 - _SUFFIX
-    d3, r3 = floor_div(in3, _B3), F.pmod(in3, F.lit(_B3))
-    in4 = r3 - _SUFFIX
-    d4, r4 = floor_div(in4, _B4), F.pmod(in4, F.lit(_B4))
-    last = F.when(r4 == 0, F.lit("")).when(r4 <= len(LETTERS), F.substring(F.lit(LETTERS), r4.cast("int"), F.lit(1))).otherwise((r4 - len(LETTERS) - 1).cast("string"))
-    t3 = F.when(r3 < _SUFFIX, _letters(r3)).otherwise(F.concat(d4.cast("string"), last))
-    t2 = F.when(r2 < _SUFFIX, _letters(r2)).otherwise(F.concat(d3.cast("string"), t3))
-    t1 = F.when(r1 < _SUFFIX, _letters(r1)).otherwise(F.concat(d2.cast("string"), t2))
-    return F.when(ok, F.concat(F.lit("N"), d1.cast("string"), t1))
+
+    def name(r0: Column) -> Column:
+        div = lambda x, n: F.floor(x / F.lit(n)).cast("long")
+        text = lambda x: x.cast("string")
+
+        def fifth(r: Column) -> Column:
+            letter = F.substring(F.lit(LETTERS), r.cast("int"), F.lit(1))
+            return F.when(r == 0, F.lit("")).when(r <= len(LETTERS), letter).otherwise(text(r - len(LETTERS) - 1))
+
+        def digit(block: int, then):
+            """The digit of a block and what follows it, or a suffix of letters."""
+            return lambda r: F.when(r < _SUFFIX, _letters(r)).otherwise(F.concat(text(div(r - _SUFFIX, block)), _once(F.pmod(r - _SUFFIX, F.lit(block)), then)))
+
+        rest = digit(_B2, digit(_B3, digit(_B4, fifth)))
+        return F.concat(F.lit("N"), text(div(r0, _B1) + 1), _once(F.pmod(r0, F.lit(_B1)), rest))
+
+    return _once(F.conv(col(icao), 16, 10).cast("long") - _FIRST, lambda r0: F.when((r0 >= 0) & (r0 < 9 * _B1), name(r0)))
 
 
 def dms_pair(text) -> tuple[Column, Column]:

@@ -88,9 +88,9 @@ def cpa_min(cpa: DataFrame, column: str, key: str = "icao24") -> DataFrame:
     """The row of each ordered pair with the smallest value; ties to the earliest times."""
     keys = [f"{key}_x", f"{key}_y"]
     rest = [c for c in cpa.columns if c not in keys]
-    order = [column, f"{TIME}_x", f"{TIME}_y", *[c for c in ("event_id_x", "event_id_y") if c in cpa.columns]]
-    best = F.min_by(F.struct(*rest), F.struct(*order))
-    return cpa.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*")
+    order = F.struct(column, f"{TIME}_x", f"{TIME}_y", *[c for c in ("event_id_x", "event_id_y") if c in cpa.columns])
+    # Column by column, so that those nobody reads are never moved; the order is total, so all are of one row.
+    return cpa.groupBy(*keys).agg(*[F.min(c).alias(c) if c == column else F.min_by(c, order).alias(c) for c in rest])
 
 
 #: Distances (NM) in which nearest points are sought, one after the other; the last one holds the whole sphere.
