@@ -320,3 +320,115 @@ def test_quality_verdicts(spark):
             assert math.isclose(r.p_good, p[r.doc_id], abs_tol=1e-6)
             assert r.kept == (not failed and p[r.doc_id] >= 0.5)
     assert any(c[0] >= 50 and x < 0.5 for c, x in zip(want, p, strict=True))
+
+
+def test_lm_score(docs, corpus):
+    """op4: scores against exact counts, quantised as the filter keeps them; by shuffle the same scores come out."""
+    from trackweave.llm import lm
+
+    tokens = lambda t: [None] + [w for w in words((t or "").translate({i: i + 32 for i in range(65, 91)}))] + [0]
+    uni, bi, n_texts = collections.Counter(), collections.Counter(), 0
+    for d, t, *_ in corpus:
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            ts = tokens(t)
+            uni.update(ts[1:])
+            bi.update(zip(ts, ts[1:], strict=False))
+            n_texts += 1
+    follow = collections.Counter(h for h, _ in bi)
+    n, v = sum(uni.values()), len(uni)
+    kept = lambda c: 1.35 ** round(math.log(c) / math.log(1.35)) if c else 0.0
+    want, sizes = {}, {}
+    for d, t, *_ in corpus:
+        ts, total = tokens(t), 0.0
+        for h, w in zip(ts, ts[1:], strict=False):
+            c, ch, fh = kept(uni[w]), n_texts if h is None else kept(uni[h]), kept(follow[h])
+            pair = kept(bi[h, w]) if ch and c else 0.0
+            base = (c + 1) / (n + v + 1)
+            whole = max(ch, 0.75 * fh + pair)
+            p = max(pair - 0.75, 0) / whole + min(1, 0.75 * fh / whole) * base if fh and whole else base
+            total += math.log10(min(p, 1))
+        want[d], sizes[d] = total, len(ts) - 1
+    got = {r.doc_id: r.score for r in lm.report(docs).collect()}
+    off = [abs(got[d] - want[d]) / sizes[d] for d in want]
+    assert max(off) < math.log10(1.35) and sum(off) / len(off) < 0.01  # false positives lift a count by one level, seldom
+    shuffled = {r.doc_id: (r.score, r.n_known, r.n_tokens) for r in lm.report(docs, broadcast_bytes=0).collect()}
+    whole = {r.doc_id: (r.score, r.n_known, r.n_tokens) for r in lm.report(docs).collect()}
+    assert all(math.isclose(shuffled[d][0], whole[d][0], rel_tol=1e-9) and shuffled[d][1:] == whole[d][1:] for d in whole) and len(shuffled) == len(whole)
+
+
+def test_shards_row_by_row(docs, corpus):
+    """op9: sizes, checksums, slots and balance of the query's own shards."""
+    from trackweave.llm import sharding
+
+    got = {r.doc_id: r for r in sharding.shard(docs, 24).collect()}
+    slots, load = collections.defaultdict(list), collections.Counter()
+    for d, t, *_ in corpus:
+        raw = (t or "").encode()
+        r = got[d]
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 8, zlib.crc32(raw), "bytes", None) and 0 <= r.shard < 24
+        slots[r.shard].append(r.slot)
+        load[r.shard] += r.size
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(got) == len(corpus)
+    # Packing largest slots first leaves no shard more than one slot above the mean.
+    assert max(load.values()) <= sum(load.values()) / 24 + max(r.size for r in got.values())
+
+
+def test_languages_of_held_out_texts(spark):
+    """op1: accuracy on texts that nothing was learned from, and rows that must not count."""
+    from trackweave.llm import langid
+
+    rng = random.Random(3)
+    letters = {"aa": "abcdefg", "bb": "efghijk", "cc": "абвгде", "dd": "hijklmn"}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randint(2, 8)))
+    rows = [(i, " ".join(word(lang) for _ in range(rng.randint(20, 60))), lang) for i, lang in enumerate(rng.choices(list(letters), k=400))]
+    given = [(i, t, lang if i % 5 else None) for i, t, lang in rows]
+    got = {r.doc_id: r for r in langid.report(spark.createDataFrame(given, "doc_id long, text string, lang string")).collect()}
+    held = [(got[i].lang_pred == lang) for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in rows)
+    assert len(held) > 60 and sum(held) / len(held) >= 0.98
+
+
+def test_licenses_by_plain_digest(spark):
+    """op5: the digest of every row against a plain normaliser, over changed case, punctuation, claims and spellings."""
+    from trackweave.llm import licenses
+
+    def plain(text):
+        lines = [x for x in (text or "").split("\n") if not re.match(r"(?i)\W*copyright \(c\)", x)]
+        t = re.sub(r"[\W_]+", " ", "\n".join(lines).lower()).strip().split()
+        one = {a: b for a, b in licenses.SPELLINGS if " " not in a and " " not in b}
+        t = " ".join(one.get(w, w) for w in t)
+        for a, b in licenses.SPELLINGS:
+            if " " in a or " " in b:
+                t = re.sub(rf"\b{a}\b", b, t)
+        return hashlib.sha256(t.encode()).hexdigest() if t else None
+
+    mit = licenses.KNOWN[0][1]
+    texts = [mit, mit.upper(), mit.replace(",", " ;"), "Copyright (c) 2001 A B\n" + mit, mit.replace("sublicense", "sublicence"), mit.replace("granted", "given"), "licence licence favour favour", "", None, "a\n\nb", "per cent per cent licence"]
+    got = licenses.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.text_sha256 for r in got] == [plain(t) for t in texts]
+    assert [r.license for r in got] == ["MIT"] * 5 + [None] * 6
+
+
+def test_toxicity_scores(spark):
+    """op8: quoted and abusive uses of the same words, misspelled ones, and scores recomputed text by text."""
+    from trackweave.llm import toxicity
+
+    rng = random.Random(6)
+    filler = lambda: " ".join("".join(rng.choice("lmnopqrst") for _ in range(6)) for _ in range(8))
+    rows = []
+    for i in range(600):
+        kind = i % 4
+        text = [f"{filler()} you idiot {filler()}", f"{filler()} they wrote “you idiot” there {filler()}", f"{filler()} don't go {filler()}", f"{filler()} you clown {filler()}"][kind]
+        rows.append((i, text, int(kind in (0, 3))))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000, "you idiit go"), (1001, "an “idiot” was said"), (1002, "idiot"), (1003, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.report(docs, labels).collect()}
+    assert all((got[i].predicted, got[i].held_out) == (y, zlib.crc32(str(i).encode()) % 5 == 0) for i, _, y in rows)
+    assert [got[i].predicted for i in range(1000, 1004)] == [1, 0, 1, 0]
+    model = toxicity.train(docs, labels.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
+    assert model.context["<quoted>"] < -3
+    trie = model.trie()
+    for i, text, _ in rows:
+        ws = toxicity.text_words(text)
+        found = [toxicity.hit_value(ws, k, hit, model) for k, (w, _) in enumerate(ws) if (hit := trie.find(w))[0] >= 0]
+        assert math.isclose(got[i].score, toxicity.odds_of(found, model.bias), rel_tol=1e-9)

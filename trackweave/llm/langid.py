@@ -327,7 +327,14 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def report(docs: DataFrame, held_out: int = 2, folds: int = 4) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, second_lang; learns from the other folds only."""
+    """doc_id, held_out, lang_pred, score, second_lang; learns from the other folds only.
+
+    Null texts and texts without a letter (empty ones too) are ``und`` with
+    score 0; a long text is labelled whole, in slices.  Ties go to the better
+    total score, then to the first name; repeated rows are judged alike, each
+    with a row of its own.  Extra columns are not read; an empty table gives no
+    rows, and without a labelled row every text is ``und``.
+    """
     fold = crc_mod(F.col("doc_id"), folds)
     model = train(docs.filter(fold != held_out))
     return predict(docs, model).select("doc_id", (fold == held_out).alias("held_out"), "lang_pred", "score", "second_lang")

@@ -29,7 +29,6 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     ("noninfringement", "non infringement"),
     ("per cent", "percent"),
     ("copyright owner", "copyright holder"),
-    ("and or", "and/or"),
 )
 
 # Public license texts, by their usual short names.
@@ -83,11 +82,12 @@ def normalise(text: Column) -> Column:
     """Lower case, no copyright lines, words of letters and digits with one space between, one spelling."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, " ")
     t = F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " "))
-    t = F.concat(F.lit(" "), t, F.lit(" "))
+    # Every blank is doubled, so that neighbouring words share none and each spelling is found.
+    t = F.concat(F.lit(" "), F.replace(t, F.lit(" "), F.lit("  ")), F.lit(" "))
     for old, new in SPELLINGS:
-        plain = "".join(c if c.isalnum() else " " for c in new)
-        t = F.replace(t, F.lit(f" {old} "), F.lit(f" {plain} "))
-    return F.trim(t)
+        wide = lambda x: "  ".join("".join(c if c.isalnum() else " " for c in x).split())
+        t = F.replace(t, F.lit(f" {wide(old)} "), F.lit(f" {wide(new)} "))
+    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -167,4 +167,11 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """scan() with the known texts.
+
+    Null and empty texts have no digest and no license; a long text has one
+    digest and as many lines as it has.  Repeated rows have a row each; ties (a
+    digest of two licenses) go to the first name.  Extra columns are not read;
+    an empty table gives no rows.
+    """
     return scan(docs, known_digests(docs.sparkSession))

@@ -5,7 +5,8 @@ stored as the memberships (n-gram, 1) .. (n-gram, q) of a Bloom filter (Talbot
 and Osborne, 2007).  Scoring reads a count back by probing level after level
 until one is missing, so no n-gram is stored.  Counting is distributed: blocks
 of text send distinct keys with counts to hash buckets, every bucket fills its
-own part of the filter, and the parts are broadcast.
+own part of the filter.  Parts are broadcast while they are small; a larger
+filter stays where it is, and probes are sent to its parts.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ LEVEL_BASE = 1.35
 BITS_PER_ENTRY, PROBES = 10, 6
 #: Discount of observed bigrams.
 DISCOUNT = 0.75
-#: The filter is broadcast whole up to so many bytes; beyond, texts are scored against one part after another.
+#: The filters are broadcast up to so many bytes in all; beyond, probes are sent to their parts.
 BROADCAST_BYTES = 256 << 20
-#: The exact token counts are broadcast up to so many tokens; beyond, they are joined by shuffle.
+#: The exact token counts are broadcast up to so many tokens; beyond, they are joined by shuffle, and so are the filters.
 BROADCAST_TOKENS = 8_000_000
 
 #: Bytes of text whose keys are counted together before they are sent.
@@ -222,29 +223,29 @@ class Model:
     P(w) = (c(w) + 1) / (N + 1 * (V + 1)).
     """
 
-    def __init__(self, words: LogFrequencyFilter, pairs: LogFrequencyFilter, n: int, v: int, part: tuple[int, int] = (0, 1)):
-        self.words, self.pairs, self.n, self.v, self.part = words, pairs, n, v, part
+    def __init__(self, words: WordFilter, pairs: LogFrequencyFilter, n: int, v: int, n_texts: int):
+        self.words, self.pairs, self.n, self.v, self.n_texts = words, pairs, n, v, float(max(1, n_texts))
 
     def log_probs(self, key: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 P of each token; 0 for tokens whose pair belongs to another part of the filter."""
+        """log10 P of each token after the one before it."""
         uniq, back = np.unique(np.concatenate([key, before]), return_inverse=True)
         at = lambda kind, keys: level_count(self.words.level_in(kind_key(kind, keys), uniq))[back]
         c, followers = at("word", uniq), at("followers", top_half(uniq).astype(U))
         n = len(key)
-        base = (c[:n] + 1.0) / (self.n + self.v + 1.0)
-        ch, fh = c[n:], followers[n:]
-        start = before == START
-        ch = np.where(start, self.n_texts, ch) if start.any() else ch
-        pair_key = kind_key("pair", before, key)
-        probed = np.where((ch > 0) & (c[:n] > 0), self.pairs.count(pair_key), 0.0)
-        total = np.maximum(ch, fh * DISCOUNT + probed)
-        seen = np.maximum(probed - DISCOUNT, 0.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(total > 0, seen / total + np.minimum(1.0, DISCOUNT * fh / total) * base, base)
-        p = np.where(fh > 0, p, base)
-        return np.log10(np.minimum(p, 1.0))
-
-    n_texts = 1.0
+        ch = np.where(before == START, self.n_texts, c[n:])
+        probed = np.where((ch > 0) & (c[:n] > 0), self.pairs.count(kind_key("pair", before, key)), 0.0)
+        return log_prob(c[:n], ch, followers[n:], probed, self.n, self.v)
+
+
+def log_prob(c: np.ndarray, ch: np.ndarray, fh: np.ndarray, pair: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 P from the counts of the token, of the one before, of the latter's followers, and of the pair."""
+    base = (c + 1.0) / (n + v + 1.0)
+    total = np.maximum(ch, fh * DISCOUNT + pair)
+    seen = np.maximum(pair - DISCOUNT, 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = np.where(total > 0, seen / total + np.minimum(1.0, DISCOUNT * fh / total) * base, base)
+    p = np.where(fh > 0, p, base)
+    return np.log10(np.minimum(p, 1.0))
 
 
 class WordFilter(LogFrequencyFilter):
@@ -308,104 +309,145 @@ def exact_counts(trained: Trained) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
+SCORED = "doc_id long, row_key long, n_tokens long, n_known long, base_score double, score double"
+
+
 def score(docs: DataFrame, trained: Trained, broadcast_bytes: int = BROADCAST_BYTES, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """doc_id, row_key, n_tokens, n_known, base_score and score of every row.
 
-    Small models are broadcast.  A larger pair filter is cut into groups of
-    buckets that are broadcast one after the other, each scoring the pairs that
-    fall into it; a larger table of exact counts is joined by shuffle.
+    A model within both bounds is broadcast; a larger one is never gathered in
+    one place: see _by_shuffle().
     """
-    sc = docs.sparkSession.sparkContext
-    n, v, bits = trained.n_tokens, trained.n_types, trained.bits
-    whole = trained.filter_bytes <= broadcast_bytes and v <= broadcast_tokens
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    groups = max(1, -(-trained.filter_bytes // broadcast_bytes))
-    shared_words = sc.broadcast((*filter_arrays(trained.finished.filter("kind = 3"), bits), trained.n_texts))
-    exact = sc.broadcast(exact_counts(trained)) if v <= broadcast_tokens else None
-    parts = []
-    for g in range(groups):
-        lo, hi = (g << bits) // groups, ((g + 1) << bits) // groups
-        pairs = sc.broadcast(filter_arrays(trained.merged.filter(f"kind = 2 and bucket >= {lo} and bucket < {hi}"), bits))
-        parts.append(keyed.mapInArrow(_scorer(shared_words, pairs, exact if g == 0 else None, n, v, lo, hi, bits, g == 0), "doc_id long, row_key long, n_tokens long, n_known long, base_score double, score double"))
-    out = parts[0]
-    if not whole:
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        if exact is None:
-            out = out.unionByName(_joined_base(keyed, trained))
-        # Rows alike in id and text have equal sums; every copy has its own share in n_copies.
-        per = out.groupBy("doc_id", "row_key").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-        copies = keyed.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("copies"))
-        per = per.withColumnsRenamed({"doc_id": "p_id", "row_key": "p_key"})
-        both = per.join(copies, (F.col("row_key") == F.col("p_key")) & F.col("doc_id").eqNullSafe(F.col("p_id")))
-        c = F.col("copies")
-        out = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), c))).select(
-            "doc_id", "row_key", (F.col("n_tokens") / c).cast("long").alias("n_tokens"), (F.col("n_known") / c).cast("long").alias("n_known"), (F.col("base_score") / c).alias("base_score"), (F.col("score") / c).alias("score")
-        )
-    return out
+    if trained.filter_bytes > broadcast_bytes or trained.n_types > broadcast_tokens:
+        return _by_shuffle(keyed, trained)
+    sc, bits = docs.sparkSession.sparkContext, trained.bits
+    words = sc.broadcast(filter_arrays(trained.finished.filter("kind = 3"), bits))
+    pairs = sc.broadcast(filter_arrays(trained.merged.filter("kind = 2"), bits))
+    exact = sc.broadcast(exact_counts(trained))
+    n, v, n_texts = trained.n_tokens, trained.n_types, trained.n_texts
 
-
-def _scorer(shared_words, shared_pairs, exact, n, v, lo, hi, bits, first):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *words, n_texts = shared_words.value
-        model = Model(WordFilter(*words, bits), LogFrequencyFilter(*shared_pairs.value, bits), n, v)
-        model.n_texts = float(max(1, n_texts))
-        keys, counts = exact.value if exact is not None else (None, None)
+        model = Model(WordFilter(*words.value, bits), LogFrequencyFilter(*pairs.value, bits), n, v, n_texts)
+        keys, counts = exact.value
         for batch in tk.slices(batches, size=4 << 20):
             doc, key, before = word_keys(tk.split_words(batch.column(2), lower=True))
             m = batch.num_rows
-            mine = np.ones(len(key), bool)
-            if hi - lo < 1 << bits:
-                b = (kind_key("pair", before, key) >> U(64 - bits)).astype(np.int64)
-                mine = (b >= lo) & (b < hi)
-            score = np.bincount(doc[mine], model.log_probs(key[mine], before[mine]), m)
-            base, known = np.zeros(m), np.zeros(m, np.int64)
-            if keys is not None:
-                distinct, back = np.unique(key, return_inverse=True)
-                at = np.searchsorted(keys, distinct)
-                c = np.where((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == distinct), counts[np.minimum(at, len(keys) - 1)], 0) if len(keys) else np.zeros(len(distinct))
-                base = np.bincount(doc, np.log10((c + 1.0) / (n + v + 1.0))[back], m)
-                known = np.bincount(doc, (c > 0)[back], m).astype(np.int64)
-            tokens = np.bincount(doc, minlength=m) if first else np.zeros(m, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "row_key", "n_tokens", "n_known", "base_score", "score"]
-            )
-
-    return run
-
-
-def _joined_base(keyed: DataFrame, trained: Trained) -> DataFrame:
-    """n_known and base_score by a shuffle join of tokens with the exact counts."""
-
-    def tokens_of(batches):
+            score = np.bincount(doc, model.log_probs(key, before), m)
+            distinct, back = np.unique(key, return_inverse=True)
+            at = np.searchsorted(keys, distinct)
+            c = np.where((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == distinct), counts[np.minimum(at, len(keys) - 1)], 0) if len(keys) else np.zeros(len(distinct))
+            base = np.bincount(doc, np.log10((c + 1.0) / (n + v + 1.0))[back], m)
+            known = np.bincount(doc, (c > 0)[back], m).astype(np.int64)
+            tokens = np.bincount(doc, minlength=m).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "row_key", "n_tokens", "n_known", "base_score", "score"])
+
+    return keyed.mapInArrow(run, SCORED)
+
+
+def _by_shuffle(keyed: DataFrame, trained: Trained) -> DataFrame:
+    """score() for a model of any size: counts meet probes in the bucket of the filter part that has them.
+
+    Each distinct token and each distinct pair is probed once, however many
+    texts have it; the probabilities of pairs are then joined with the texts'
+    own pairs, where adaptive execution splits the frequent ones.
+    """
+    bits, n, v, n_texts = trained.bits, trained.n_tokens, trained.n_types, float(max(1, trained.n_texts))
+    bucket_of = lambda k: (k >> U(64 - bits)).astype(np.int32) if bits else np.zeros(len(k), np.int32)
+    signed = lambda k: pa.array(k.view(np.int64))
+
+    def pairs_of(batches):
         for batch in tk.slices(batches, size=4 << 20):
-            doc, key, _ = word_keys(tk.split_words(batch.column(2), lower=True))
-            pair, back, cnt = np.unique(np.stack([doc.astype(U), key]), axis=1, return_index=True, return_counts=True)
-            at = pa.array(pair[0].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pair[1].view(np.int64)), pa.array(cnt.astype(np.int64))], ["doc_id", "row_key", "token", "m"])
+            doc, key, before = word_keys(tk.split_words(batch.column(2), lower=True))
+            if not len(key):
+                continue
+            order = np.lexsort((key, before, doc))
+            d, b, k = doc[order], before[order], key[order]
+            head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (b[1:] != b[:-1]) | (k[1:] != k[:-1])]))
+            m = np.diff(np.concatenate([head, [len(d)]]))
+            at = pa.array(d[head])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), signed(b[head]), signed(k[head]), pa.array(m.astype(np.int64))], ["doc_id", "row_key", "before", "token", "m"])
+
+    def probe_words(asked: pa.Table, parts: pa.Table) -> pa.Table:
+        """Exact count, and stored counts of the token and of its followers."""
+        k = np.asarray(asked.column("token").combine_chunks()).view(U)
+        c, level, followers = np.zeros(len(k), np.int64), np.zeros(len(k)), np.zeros(len(k))
+        for kind, value in zip(parts.column("kind").to_pylist(), parts.column("value"), strict=True):
+            if kind == 0:
+                keys, counts = tk.unpack(value.as_py(), ("u8", "u8"))
+                at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
+                c = np.where(keys[at] == k, counts[at], 0).astype(np.int64) if len(keys) else c
+            else:
+                part = _one_part(value.as_py())
+                zero = np.zeros(len(k), np.int64)
+                level = level_count(part._probe(kind_key("word", k), zero))
+                followers = level_count(part._probe(kind_key("followers", top_half(k).astype(U)), zero))
+        return pa.table([asked.column("token"), pa.array(c), pa.array(level), pa.array(followers)], ["token", "c", "stored", "followers"])
+
+    def probe_pairs(asked: pa.Table, parts: pa.Table) -> pa.Table:
+        k = np.asarray(asked.column("pair").combine_chunks()).view(U)
+        out = np.zeros(len(k))
+        for value in parts.column("value"):
+            out = level_count(_one_part(value.as_py())._probe(k, np.zeros(len(k), np.int64)))
+        return pa.table([asked.column("pair"), pa.array(out)], ["pair", "probed"])
+
+    def with_bucket(batches):
+        for batch in batches:
+            k = np.asarray(batch.column(0)).view(U)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bucket_of(k))], [batch.schema.names[0], "bucket"])
 
-    def counts_of(batches):
+    def with_pair(batches):
         for batch in batches:
-            for value in batch.column(0):
-                k, c = tk.unpack(value.as_py(), ("u8", "u8"))
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["token", "c"])
-
-    rows = keyed.mapInArrow(tokens_of, "doc_id long, row_key long, token long, m long")
-    counts = trained.finished.filter("kind = 0").select("value").mapInArrow(counts_of, "token long, c long")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    each = rows.join(counts, "token", "left").select(
-        "doc_id", "row_key", F.lit(0).cast("long").alias("n_tokens"), F.when(c > 0, F.col("m")).otherwise(0).alias("n_known"), (F.col("m") * F.log10((c + 1.0) / F.lit(trained.n_tokens + trained.n_types + 1.0))).alias("base_score"), F.lit(0.0).alias("score")
+            b, k = (np.asarray(batch.column(i)).view(U) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(kind_key("pair", b, k))], ["before", "token", "pair"])
+
+    def probability(batches):
+        for batch in batches:
+            before = np.asarray(batch.column(0)).view(U)
+            c, ch, fh, pair = (np.asarray(batch.column(i), np.float64) for i in range(2, 6))
+            ch = np.where(before == START, n_texts, ch)
+            pair = np.where((ch > 0) & (c > 0), pair, 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(log_prob(c, ch, fh, pair, n, v))], ["before", "token", "logp"])
+
+    own = materialize(keyed.mapInArrow(pairs_of, "doc_id long, row_key long, before long, token long, m long"), "lm-probes")
+    distinct = own.select("before", "token").distinct().mapInArrow(with_pair, "before long, token long, pair long")
+    distinct = materialize(distinct, "lm-distinct")
+    asked = distinct.select("token").unionByName(distinct.select(F.col("before").alias("token"))).distinct().mapInArrow(with_bucket, "token long, bucket int")
+    words = asked.groupBy("bucket").cogroup(trained.finished.groupBy("bucket")).applyInArrow(probe_words, "token long, c long, stored double, followers double")
+    words = materialize(words, "lm-counts")
+    pairs = distinct.select("pair").distinct().mapInArrow(with_bucket, "pair long, bucket int")
+    pairs = pairs.groupBy("bucket").cogroup(trained.merged.filter("kind = 2").groupBy("bucket")).applyInArrow(probe_pairs, "pair long, probed double")
+    first = words.select(F.col("token").alias("before"), F.col("stored").alias("ch"), F.col("followers").alias("fh"))
+    counts = distinct.join(pairs, "pair").join(words.select("token", "stored"), "token").join(first, "before")
+    logp = counts.select("before", "token", "stored", "ch", "fh", "probed").mapInArrow(probability, "before long, token long, logp double")
+    base = words.select("token", "c", F.log10((F.col("c") + 1.0) / F.lit(n + v + 1.0)).alias("logb"))
+    m = F.col("m")
+    sums = own.join(logp.join(base, "token"), ["before", "token"]).groupBy("doc_id", "row_key").agg(
+        F.sum("m").alias("n_tokens"), F.sum(F.when(F.col("c") > 0, m).otherwise(0)).alias("n_known"), F.sum(m * F.col("logb")).alias("base_score"), F.sum(m * F.col("logp")).alias("score")
     )
-    return each
+    # Rows alike in id and text are summed together: each has its share, as all are equal.
+    copies = keyed.groupBy(F.col("doc_id").alias("c_id"), F.col("row_key").alias("c_key")).agg(F.count(F.lit(1)).alias("copies"))
+    both = sums.join(copies, (F.col("row_key") == F.col("c_key")) & F.col("doc_id").eqNullSafe(F.col("c_id")))
+    c = F.col("copies")
+    whole = lambda x: (F.col(x) / c).cast("long").alias(x)
+    return both.select("doc_id", "row_key", whole("n_tokens"), whole("n_known"), (F.col("base_score") / c).alias("base_score"), (F.col("score") / c).alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), c)).alias("_copy")).drop("_copy")
+
+
+def _one_part(value: bytes) -> LogFrequencyFilter:
+    """A single part of a filter, as bucket 0."""
+    data = np.frombuffer(bytes(value), np.uint8)
+    return LogFrequencyFilter(np.array([len(data)], np.int64), np.concatenate([data, np.zeros(1, np.uint8)]), 0)
 
 
 def report(docs: DataFrame, held_out: int = 2, folds: int = 7, **limits) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Learns from the rows whose crc32(doc_id) modulo ``folds`` is not
-    ``held_out``.  A null text is an empty one and scores its end token only;
-    repeated rows score alike; an empty table gives no rows, and a table without
-    training rows scores every token as unknown.
+    ``held_out``.  A null text is an empty one and scores its end token only; a
+    long text is scored whole, in slices of words.  Repeated rows score alike,
+    each with a row of its own, and ties can't occur.  Extra columns are not
+    read, whatever their names.  An empty table gives no rows, and a table
+    without training rows scores every token as unknown.
     """
     fold = crc_mod(F.col("doc_id"), folds)
     trained = train(docs.filter(fold != held_out).select("text"))

@@ -66,6 +66,7 @@ class Words:
     end: np.ndarray
     data: np.ndarray
     first: np.ndarray  # of each document, its first word; one more than documents
+    bounds: np.ndarray | None = None  # of each document, its first byte; one more than documents
 
     def text(self, i: int) -> str:
         return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
@@ -118,7 +119,7 @@ def split_words(texts: pa.Array, lower: bool = False, separators: np.ndarray = _
     start, end = cat(starts, np.int64), cat(ends, np.int64)
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(doc, cat(hashes, U), start, end, data, first)
+    return Words(doc, cat(hashes, U), start, end, data, first, offsets)
 
 
 def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

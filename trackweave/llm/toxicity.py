@@ -40,10 +40,26 @@ _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = frozenset("\"'“”„«»")
 
 
+#: Words that a quotation may have after its mark; one that isn't closed ends there.
+QUOTED = 12
+
+
 def text_words(text: str | None) -> list[tuple[str, bool]]:
-    """(lower-cased word, stands right after a quotation mark) of a text."""
+    """(lower-cased word, stands in a quotation) of a text.
+
+    A mark opens a quotation before a word and no letter, and closes it after
+    one; an apostrophe inside a word does neither.
+    """
     text = text or ""
-    return [(m.group().lower(), m.start() > 0 and text[m.start() - 1] in _QUOTES) for m in _WORD.finditer(text)]
+    out, opened = [], None
+    for i, m in enumerate(_WORD.finditer(text)):
+        a, z = m.start(), m.end()
+        if a and text[a - 1] in _QUOTES and not (a > 1 and _WORD.match(text[a - 2])):
+            opened = i
+        out.append((m.group().lower(), opened is not None and i - opened < QUOTED))
+        if z < len(text) and text[z] in _QUOTES and not (z + 1 < len(text) and _WORD.match(text[z + 1])):
+            opened = None
+    return out
 
 
 @dataclass
@@ -196,7 +212,7 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     outside: dict[str, set[int]] = {f: set() for f in groups}
     for (text, label), g in zip(rows, group, strict=True):
         if not label:
-            for w in {w for w, _ in text_words(text)}:
+            for w in {w for w, quoted in text_words(text) if not quoted}:  # a clean text that quotes a word says nothing against it
                 for f in (w, *_stems(w)):
                     if f in outside:
                         outside[f].add(g)
@@ -217,7 +233,7 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     weights = [good[f] for f in chosen]
     number = {f: i for i, f in enumerate(chosen)}
     forms = {w: min(number[f] for f in beginning) for w in inside if (beginning := [w[:k] + "*" for k in range(PREFIX, len(w) + 1) if w[:k] + "*" in number])}
-    return Model(chosen, weights, _fuzzy(rows, group, chosen, weights, n, forms), _context(rows, chosen), prior, forms)
+    return Model(chosen, weights, _fuzzy(rows, group, chosen, weights, n, forms), _context(rows, chosen, weights, n), prior, forms)
 
 
 def _fuzzy(rows, group, terms: list[str], weights: list[float], n: list[int], forms: dict[str, int]) -> list[float]:
@@ -240,24 +256,31 @@ def _fuzzy(rows, group, terms: list[str], weights: list[float], n: list[int], fo
     return out
 
 
-def _context(rows, terms: list[str]) -> dict[str, float]:
-    """Weights of the words near hits, by the label of the text.
+def _context(rows, terms: list[str], weights: list[float], n: list[int]) -> dict[str, float]:
+    """Weights of the words near hits, and of quotation, by the label of the text.
 
     Without hits enough in texts of either class nothing can be told apart and
-    no word weighs anything.
+    no word weighs anything.  Quotation brings a term of the usual weight down
+    (or up) to the log odds of texts with a quoted hit.
     """
     exact, stems = {t for t in terms if not t.endswith("*")}, {t for t in terms if t.endswith("*")}
-    near, hits = [Counter(), Counter()], [0, 0]
+    near, hits, quoting = [Counter(), Counter()], [0, 0], [0, 0]
     for text, label in rows:
         words = text_words(text)
-        for i, (w, _) in enumerate(words):
+        quotes = False
+        for i, (w, quoted) in enumerate(words):
             if w in exact or any(f in stems for f in _stems(w)):
                 hits[label] += 1
-                near[label].update(context_words(words, i))
+                quotes = quotes or quoted
+                near[label].update(context_words(words, i) - {"<quoted>"})
+        quoting[label] += quotes
+    out = {}
+    if sum(quoting) >= SUPPORT:
+        odds = math.log((quoting[1] + 0.5) / (n[1] + 1)) - math.log((quoting[0] + 0.5) / (n[0] + 1))
+        out["<quoted>"] = max(-12.0, min(2.0, odds - sum(weights) / len(weights)))
     if min(hits) < 20:
-        return {}
+        return out
     share = hits[1] / sum(hits)
-    out = {}
     for c in near[0].keys() | near[1].keys():
         if near[0][c] + near[1][c] >= SUPPORT:
             value = math.log((near[1][c] + 10 * share) / (near[0][c] + 10 * (1 - share))) - math.log(share / (1 - share))
@@ -298,7 +321,7 @@ def _separators() -> np.ndarray:
 
 
 def spaced(data: np.ndarray) -> np.ndarray:
-    """UTF-8 bytes of the same length, with blanks for longer characters that are no letters; their quotation marks end in an ASCII one."""
+    """UTF-8 bytes of the same length, with blanks for longer characters that are no letters; longer quotation marks begin and end in an ASCII one."""
     out = data.copy()
     padded = np.concatenate([data, np.zeros(3, np.uint8)])
     marks = [ord(c) for c in _QUOTES if ord(c) > 127]
@@ -313,8 +336,9 @@ def spaced(data: np.ndarray) -> np.ndarray:
         for k in range(4):
             gone = lead[between & (size > k)] + k
             out[gone[gone < len(out)]] = 32
-        last = (lead + size - 1)[np.isin(cp, marks)]
-        out[last[last < len(out)]] = 34
+        found = np.isin(cp, marks)
+        for at_edge in (lead[found], (lead + size - 1)[found]):
+            out[at_edge[at_edge < len(out)]] = 34
     return out
 
 
@@ -349,20 +373,33 @@ class Scorer:
         out = np.full(n, odds_of([], self.model.bias))
         if not len(w.hash):
             return out
-        hit = self.lookup(w)
+        hit, quoted = self.lookup(w), self._quoted(w)
         found: dict[int, list[float]] = {}
         for i in np.flatnonzero(hit[:, 0] >= 0):
             d = int(w.doc[i])
             lo, hi = max(w.first[d], i - CONTEXT), min(w.first[d + 1], i + CONTEXT + 1)
-            near = [(w.text(j).lower(), self._quoted(w, j, offsets)) for j in range(lo, hi)]
+            near = [(w.text(j).lower(), bool(quoted[j])) for j in range(lo, hi)]
             found.setdefault(d, []).append(hit_value(near, int(i - lo), tuple(hit[i]), self.model))
         for d, values in found.items():
             out[d] = odds_of(values, self.model.bias)
         return out
 
     @staticmethod
-    def _quoted(w: tk.Words, j: int, offsets: np.ndarray) -> bool:
-        return bool(w.start[j] > offsets[w.doc[j]]) and chr(w.data[w.start[j] - 1]) in _QUOTES
+    def _quoted(w: tk.Words) -> np.ndarray:
+        """Whether each word stands in a quotation, by the rule of text_words()."""
+        mark = np.isin(np.arange(256), [ord(c) for c in _QUOTES if ord(c) < 128])
+        n, number = len(w.data), np.arange(len(w.start))
+        first, stop = w.first[w.doc], w.first[w.doc + 1]
+        lo, hi = w.bounds[w.doc], w.bounds[w.doc + 1]
+        is_mark = lambda i: mark[w.data[np.clip(i, 0, n - 1)]] & (i >= lo) & (i < hi)
+        # A mark between letters joins them: the word before ends, or the word after begins, right beside it.
+        joins_before = (number > first) & (np.concatenate([[-9], w.end[:-1]]) == w.start - 1)
+        joins_after = (number + 1 < stop) & (np.concatenate([w.start[1:], [-9]]) == w.end + 1)
+        opens = is_mark(w.start - 1) & ~joins_before
+        closes = is_mark(w.end) & ~joins_after
+        last_open = np.maximum.accumulate(np.where(opens, number, -1))
+        last_close = np.concatenate([[-1], np.maximum.accumulate(np.where(closes, number, -1))[:-1]])
+        return (last_open >= first) & (number - last_open < QUOTED) & (last_open > last_close)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -388,7 +425,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; learns from the other folds only."""
+    """doc_id, held_out, score, predicted of every row; learns from the other folds only.
+
+    Null and empty texts score by the prior alone; a long text is read whole,
+    and its best two hits count.  Repeated rows score alike, each with a row of
+    its own; a score of one half (a tie) predicts 1.  Labels without a value or
+    a document teach nothing, and without labels of both classes the share of
+    toxic ones is scored.  Extra columns are not read; an empty table gives no
+    rows.
+    """
     model = train(docs, labels.filter(crc_mod(F.col("doc_id"), folds) != held_out))
     fold = crc_mod(F.col("doc_id"), folds)
     return predict(docs, model).select("doc_id", (fold == held_out).alias("held_out"), "score", "predicted")
