@@ -141,3 +141,26 @@ def test_one_of_each_class_stays_whatever_the_ids(spark):
     docs = spark.createDataFrame([(i, x, n) for n, (i, x) in enumerate(rows)], "doc_id long, text string, n int")
     got = sorted(((r.doc_id, r.text) for r in cpjoin.keep_one(docs).collect()), key=str)
     assert got == sorted([(8, t[0]), (None, t[1]), (5, t[2]), (5, t[3]), (6, t[4]), (None, None), (None, ""), (9, None), (9, "")], key=str)
+
+
+def test_equal_hashes_of_unlike_windows(spark, monkeypatch):
+    """op3: words are compared, so windows that only share a hash are kept."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from trackweave.llm import rlz, tokens
+
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    a, b = text(60), text(60)
+    c = b[:10] + a[5:40] + b[10:30]
+    docs = rlz._ordered(pa.Table.from_pandas(pd.DataFrame({"doc_id": [1, 2, 3], "text": [" ".join(x) for x in (a, b, c)], "block": [0, 0, 0]})))
+    real = tokens.windows
+    monkeypatch.setattr(tokens, "windows", lambda w, n: (real(w, n)[0], real(w, n)[1] % np.uint64(4)))  # hardly any hash tells windows apart
+    m = rlz._matches(docs, pa.table({"block": pa.array([], pa.int32()), "value": pa.array([], pa.binary())}))
+    out = {}
+    rlz._parse_block(docs, m, lambda i, w, s, n, d, q: out.setdefault(i, list(zip(s.tolist(), n.tolist(), d.tolist(), q.tolist(), strict=True))))
+    words = {1: a, 2: b, 3: c}
+    for i, spans in out.items():
+        assert all(words[i + 1][s : s + n] == words[d][q : q + n] and n >= rlz.WINDOW and d < i + 1 for s, n, d, q in spans)
+    assert not out[0] and not out[1]

@@ -1,12 +1,14 @@
-"""Substring deduplication by window lookup, in place of a relative Lempel-Ziv parse.
-
-The corpus is cut into blocks of documents.  Every run of ``n`` words is looked
-up by its 64-bit hash at its first place in the corpus; windows whose first
-places follow each other are listed as one factor.  There is no greedy parse
-against a reference: a copy whose pieces first stood in several documents
-becomes several factors, and matches are by hash, not verified by words.  The
-words removed are those of the definition, which asks for each window whether
-it stood in an earlier document, and not for the longest matches.
+"""Substring deduplication by relative Lempel-Ziv factors.
+
+The corpus is cut into blocks of documents, and every block is an indexed
+reference for all others: its runs of ``n`` words are listed by hash in buckets,
+each with the first place in the corpus that has it.  A document is then parsed
+from left to right: where a listed run begins, the match is followed for as long
+as the runs after it lie on in the same reference, and the reference's block
+sends its words, which are compared one by one.  Factors of ``n`` words or more
+are duplicate spans.  A factor's end is a boundary: runs that cross it are
+matched by themselves, so a copy pieced together from several documents leaves
+no gap, and what is removed is exactly what the definition by windows removes.
 
 Blocks meet only in hash buckets.  A cheap pass first finds content-chosen
 anchors that more than one block has; only windows with such an anchor are
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,11 @@ BLOCK_BYTES = 4 << 20
 NO_DOC = np.iinfo(np.int64).max
 
 
+def _ordered(table: pa.Table) -> pa.Table:
+    """A block's rows in the one order that all passes number them by; equal rows are alike."""
+    return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")])) if table.num_rows else table
+
+
 def _block_words(table: pa.Table) -> tuple[tk.Words, np.ndarray, np.ndarray, np.ndarray]:
     """Words, starts and hashes of windows, and each window's anchor."""
     w = tk.split_words(table.column("text"))
@@ -114,60 +122,161 @@ def _candidates(bits: int):
 _KINDS = ("u8", "i8", "u4")
 
 
+_FOUND = ("u8", "i8", "u4", "u4")
+
+
 def _first_places(table: pa.Table) -> pa.Table:
-    """For each window of the bucket its first place in the corpus, to the blocks that have a later one."""
+    """For each window of the bucket its first place in the corpus (document, place, block), to the blocks that have a later one."""
     block = np.asarray(table.column("block"))
     parts = [tk.unpack(v.as_py(), _KINDS) for v in table.column("value")]
     h, owner, place = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = np.lexsort((place, owner, h))
+    home = np.repeat(block, [len(p[0]) for p in parts]).astype(np.uint32)
+    order = np.lexsort((home, place, owner, h))
     first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-    keys, best_doc, best_place = h[order][first], owner[order][first], place[order][first]
+    best = order[first]
+    keys, best_doc, best_place, best_home = h[best], owner[best], place[best], home[best]
     rows = []
     for b, (ph, po, _) in zip(block, parts, strict=True):
         at = np.searchsorted(keys, ph)
         later = best_doc[at] < po
         if later.any():
-            rows.append((int(b), tk.pack(ph[later], best_doc[at][later], best_place[at][later])))
+            rows.append((int(b), tk.pack(ph[later], best_doc[at][later], best_place[at][later], best_home[at][later])))
     return _rows(rows, ["block", "value"])
 
 
-def _parse_block(docs: pa.Table, found: pa.Table, each) -> Iterator:
-    """Calls each(i, words, spans) per document; spans are (start, length, ref_doc, ref_start)."""
+#: Rows that travel between blocks: 0, a block's own matches; 1, a request for words; 2, the words.
+_PASSED = "block int, kind int, other int, value binary, text binary"
+_MATCH = ("u4", "u4", "u4", "i8", "u4", "u4")  # row, start, length, and of the reference: document, start, block
+_SPAN = ("i8", "u4", "u4")  # document, start, length
+
+
+def _passed(rows: list[tuple]) -> pa.Table:
+    c = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
+    return pa.table([pa.array(x, k) for x, k in zip(c, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "kind", "other", "value", "text"])
+
+
+def _matches(docs: pa.Table, found: pa.Table) -> pa.Table:
+    """A block's matches, where windows and their first earlier places run on together, and requests for the words there."""
+    if not docs.num_rows:
+        return _passed([])
+    own = docs.column("block")[0].as_py()
+    docs = _ordered(docs)
     w, at, h, _ = _block_words(docs)
+    if not len(at):
+        return _passed([])
     ids = _doc_ids(docs)
-    ref_doc = np.full(len(at), NO_DOC, np.int64)
-    ref_place = np.zeros(len(at), np.int64)
-    owner = ids[w.doc[at]] if len(at) else np.zeros(0, np.int64)
-    place = at - w.first[w.doc[at]] if len(at) else at
+    owner, place = ids[w.doc[at]], at - w.first[w.doc[at]]
     # First places inside the block itself.
-    if len(at):
-        order = np.lexsort((place, owner, h))
-        hs = h[order]
-        head = np.concatenate([[True], hs[1:] != hs[:-1]])
-        lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-        ref_doc[order], ref_place[order] = owner[lead], place[lead]
-    if found is not None and found.num_rows and len(at):
-        fh, fd, fp = tk.unpack_all(list(found.column("value")), _KINDS)
+    order = np.lexsort((place, owner, h))
+    hs = h[order]
+    head = np.concatenate([[True], hs[1:] != hs[:-1]])
+    lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    ref_doc, ref_place, ref_home = np.empty(len(at), np.int64), np.empty(len(at), np.int64), np.full(len(at), own, np.int64)
+    ref_doc[order], ref_place[order] = owner[lead], place[lead]
+    if found.num_rows:
+        fh, fd, fp, fb = tk.unpack_all(list(found.column("value")), _FOUND)
         order = np.argsort(fh, kind="stable")
-        fh, fd, fp = fh[order], fd[order], fp[order].astype(np.int64)
+        fh, fd, fp, fb = fh[order], fd[order], fp[order].astype(np.int64), fb[order].astype(np.int64)
         pos = np.minimum(np.searchsorted(fh, h), len(fh) - 1)
         better = (fh[pos] == h) & (fd[pos] < ref_doc)
-        ref_doc[better], ref_place[better] = fd[pos][better], fp[pos][better]
-    dup = ref_doc < owner
-    # A factor runs on while windows are consecutive in the document and in the reference.
-    d_at, d_doc, d_ref, d_rp = at[dup], w.doc[at[dup]] if dup.any() else at[:0], ref_doc[dup], ref_place[dup]
-    if len(d_at):
-        joined = (d_at[1:] == d_at[:-1] + 1) & (d_doc[1:] == d_doc[:-1]) & (d_ref[1:] == d_ref[:-1]) & (d_rp[1:] == d_rp[:-1] + 1)
-        head = np.flatnonzero(np.concatenate([[True], ~joined]))
-        tail = np.concatenate([head[1:], [len(d_at)]]) - 1
-        f_doc, f_start, f_len = d_doc[head], d_at[head], d_at[tail] - d_at[head] + WINDOW
-        f_ref, f_rp = d_ref[head], d_rp[head]
-    else:
-        f_doc = f_start = f_len = f_ref = f_rp = np.zeros(0, np.int64)
-    bounds = np.searchsorted(f_doc, np.arange(docs.num_rows + 1))
+        ref_doc[better], ref_place[better], ref_home[better] = fd[pos][better], fp[pos][better], fb[pos][better]
+    dup = np.flatnonzero(ref_doc < owner)
+    if not len(dup):
+        return _passed([])
+    d, r, p, q, b = w.doc[at[dup]], place[dup], ref_doc[dup], ref_place[dup], ref_home[dup]
+    on = (r[1:] == r[:-1] + 1) & (d[1:] == d[:-1]) & (p[1:] == p[:-1]) & (q[1:] == q[:-1] + 1) & (b[1:] == b[:-1])
+    head = np.flatnonzero(np.concatenate([[True], ~on]))
+    tail = np.concatenate([head[1:], [len(dup)]]) - 1
+    length = (tail - head + WINDOW).astype(np.uint32)
+    row, start, doc, ref, home = d[head].astype(np.uint32), r[head].astype(np.uint32), p[head], q[head].astype(np.uint32), b[head].astype(np.uint32)
+    rows = [(own, 0, own, tk.pack(row, start, length, doc, ref, home), None)]
+    far = np.flatnonzero(home != own)
+    spans = np.unique(np.rec.fromarrays([home[far], doc[far], ref[far], length[far]], names="b,d,s,n")) if len(far) else []
+    edges = np.flatnonzero(np.concatenate([[True], spans["b"][1:] != spans["b"][:-1]])) if len(spans) else []
+    for i, e in zip(edges, [*edges[1:], len(spans)][: len(edges)], strict=True):
+        rows.append((int(spans["b"][i]), 1, own, tk.pack(np.ascontiguousarray(spans["d"][i:e]), np.ascontiguousarray(spans["s"][i:e]), np.ascontiguousarray(spans["n"][i:e])), None))
+    return _passed(rows)
+
+
+class _Words:
+    """Spans of a block's documents by id, as bytes: each word with a blank behind it."""
+
+    def __init__(self, docs: pa.Table):
+        self.w = tk.split_words(docs.column("text"))
+        self.rows: dict[int, list[int]] = {}
+        for i, d in enumerate(_doc_ids(docs)):
+            self.rows.setdefault(int(d), []).append(i)
+
+    def of_row(self, row: int, start: int, length: int) -> bytes:
+        lo = self.w.first[row] + start
+        hi = min(lo + length, self.w.first[row + 1])
+        return _join(self.w.data, self.w.start[lo:hi], self.w.end[lo:hi])
+
+    def of_doc(self, doc: int, start: int, length: int) -> list[bytes]:
+        """One per row that has the id and so many words."""
+        return [self.of_row(r, start, length) for r in self.rows.get(doc, ()) if self.w.first[r] + start + length <= self.w.first[r + 1]]
+
+
+def _answers(docs: pa.Table, asked: pa.Table) -> pa.Table:
+    """Passes a block's own matches on and sends the words that other blocks ask for."""
+    rows, words = [], None
+    own_docs = None
+    for kind, other, value in zip(asked.column("kind").to_pylist(), asked.column("other").to_pylist(), asked.column("value"), strict=True):
+        if kind == 0:
+            rows.append((other, 0, other, value.as_py(), None))
+            continue
+        if words is None:
+            own_docs = _ordered(docs)
+            words = _Words(own_docs)
+        doc, start, length = tk.unpack(value.as_py(), _SPAN)
+        keep, texts = [], []
+        for i, span in enumerate(zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)):
+            for t in words.of_doc(*span):
+                keep.append(i)
+                texts.append(t)
+        k = np.array(keep, np.int64)
+        rows.append((other, 2, other, tk.pack(doc[k], start[k], length[k]), b"\n".join(texts)))  # words have no line feeds
+    return _passed(rows)
+
+
+def _parse_block(docs: pa.Table, passed: pa.Table, each) -> None:
+    """Calls each(row, words, spans) per document; spans are (start, length, ref_doc, ref_start), verified word by word."""
+    words = _Words(docs)
+    own = docs.column("block")[0].as_py() if docs.num_rows else -1
+    sent: dict[tuple[int, int, int], list[bytes]] = {}
+    matches = []
+    for kind, value, text in zip(passed.column("kind").to_pylist(), passed.column("value"), passed.column("text"), strict=True):
+        if kind == 0:
+            matches.append(tk.unpack(value.as_py(), _MATCH))
+        elif kind == 2:
+            spans = tk.unpack(value.as_py(), _SPAN)
+            for *key, t in zip(*[x.tolist() for x in spans], text.as_py().split(b"\n"), strict=True):
+                sent.setdefault(tuple(key), []).append(t)
+    row, start, length, doc, ref, home = (np.concatenate([m[i] for m in matches]) if matches else np.zeros(0, np.int64) for i in range(6))
+    order = np.lexsort((start, row))
+    spans: dict[int, list[tuple[int, int, int, int]]] = {}
+    for i in order:
+        r, s, n, d, q = int(row[i]), int(start[i]), int(length[i]), int(doc[i]), int(ref[i])
+        texts = words.of_doc(d, q, n) if home[i] == own else sent.get((d, q, n), [])
+        mine = words.of_row(r, s, n)
+        if mine in texts:
+            spans.setdefault(r, []).append((s, n, d, q))
+            continue
+        # Two windows of one hash: only what agrees is a factor.
+        a = mine.split(b" ")
+        for t in texts:
+            same = [x == y for x, y in zip(a, t.split(b" "), strict=True)]
+            k = 0
+            while k < n:
+                e = k
+                while e < n and same[e]:
+                    e += 1
+                if e - k >= WINDOW:
+                    spans.setdefault(r, []).append((s + k, e - k, d, q + k))
+                k = e + 1
     for i in range(docs.num_rows):
-        s = slice(bounds[i], bounds[i + 1])
-        each(i, w, f_start[s] - w.first[i], f_len[s], f_ref[s], f_rp[s])
+        f = np.array(spans.get(i, []), np.int64).reshape(-1, 4)
+        each(i, words.w, f[:, 0], f[:, 1], f[:, 2], f[:, 3])
 
 
 def covered(n: int, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -179,7 +288,7 @@ def covered(n: int, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 def _exchange(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents by block, first earlier places of repeated windows by block)."""
+    """(documents by block, the matches of each block and the words that they were found in)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(64, -(-size // BLOCK_BYTES))
     bits = tk.bucket_bits(size // 6, 500_000)
@@ -189,7 +298,8 @@ def _exchange(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = anchors.groupBy("bucket").applyInArrow(_shared, "block int, value binary")
     cands = grouped.cogroup(shared.groupBy("block")).applyInArrow(_candidates(bits), "bucket int, block int, value binary")
     firsts = cands.groupBy("bucket").applyInArrow(_first_places, "block int, value binary")
-    return blocks, firsts
+    asked = grouped.cogroup(firsts.groupBy("block")).applyInArrow(_matches, _PASSED)
+    return blocks, grouped.cogroup(asked.groupBy("block")).applyInArrow(_answers, _PASSED)
 
 
 def factors(docs: DataFrame) -> DataFrame:
@@ -208,6 +318,7 @@ def factors(docs: DataFrame) -> DataFrame:
             for col, x in zip(out, (np.full(len(starts), ids[i]), starts, lens, ref, rp), strict=True):
                 col.append(x)
 
+        table = _ordered(table)
         ids = _doc_ids(table)
         _parse_block(table, refs, each)
         cat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
@@ -219,9 +330,12 @@ def factors(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of every row.
 
-    kept_text: the words outside all duplicate spans, joined by one space.  A
-    null text has no words; a row without an id is never a reference but loses
-    what others have; repeated rows of one id keep their words.
+    kept_text: the words outside all duplicate spans, joined by one space.  Null
+    and empty texts have no words; a row without an id is never a reference but
+    loses what others have; repeated rows of one id keep their words, each in a
+    row of its own.  Of places in one document the first is the reference.  A
+    long text is a block of its own.  Extra columns are not read; an empty table
+    gives no rows.
     """
     blocks, found = _exchange(docs)
 
@@ -237,6 +351,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             s, e = w.start[lo:hi][~gone], w.end[lo:hi][~gone]
             kept_text.append(_join(w.data, s, e))
 
+        table = _ordered(table)
         _parse_block(table, refs, each)
         return pa.table(
             [table.column("doc_id").combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_text, pa.binary()).cast(pa.string())],
