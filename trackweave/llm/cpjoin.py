@@ -45,6 +45,8 @@ CANDIDATE = 0.6
 TARGET_RECALL = 0.99975
 #: Sets in a block of the exact comparison.
 BLOCK = 3072
+#: Bytes of sets (eight a shingle) in a block, on average, so that long texts fill no worker.
+BLOCK_BYTES = 48 << 20
 #: Keys of texts to fetch that are broadcast; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -304,7 +306,7 @@ def join(docs: DataFrame) -> DataFrame:
     """
     base = materialize(sketch(docs), "sketches")
     reps = base.filter(F.col("fp").isNotNull()).groupBy("fp").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("sig").alias("sig")
+        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("sig").alias("sig"), F.first("n_set").alias("n_set")
     )
     reps = reps.withColumn("no", F.monotonically_increasing_id())  # kept with the table, so set up once
     reps = materialize(reps, "sets")
@@ -313,7 +315,8 @@ def join(docs: DataFrame) -> DataFrame:
     edges = materialize(found, "candidates")
     discard(*paths)
     groups = components(edges).withColumnsRenamed({"node": "no", "root": "grp"})
-    size = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
+    by_count, by_bytes = F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_set") * 8 / BLOCK_BYTES)
+    size = groups.join(reps.select("no", "n_set"), "no").groupBy("grp").agg(F.greatest(by_count, by_bytes).cast("int").alias("n_blocks"))
     members = groups.join(size, "grp").join(reps.select("no", "copies", "row.doc_id", "row.text_hash"), "no")
     links = materialize(links_of_groups(docs, materialize(members, "members")), "links")
     classes = components(links.select(F.col("no").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "no")
