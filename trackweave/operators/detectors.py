@@ -101,11 +101,11 @@ def takeoff_runs(df: DataFrame, runways: DataFrame, by: list[str], field: float
     return s.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def landing_attempts(df: DataFrame, airports: DataFrame, thresholds: DataFrame, by: list[str], below: float = 8000, gap="10 min", **options) -> DataFrame:
+def landing_attempts(df: DataFrame, airports: DataFrame, thresholds: DataFrame, by: list[str], below: float = 8000, gap="10 min", run_gap="20 s", **options) -> DataFrame:
     """Runs on the centre line of the airport nearest to the lowest point of each low part (attempt) of a flight: ILS, airport.
 
     airports: name, latitude, longitude; thresholds also have airport, the name
-    of theirs.
+    of theirs.  ``gap`` parts the low parts of a flight, ``run_gap`` the runs.
     """
     from .joins import closest_point
     from .keys import legs
@@ -116,7 +116,7 @@ def landing_attempts(df: DataFrame, airports: DataFrame, thresholds: DataFrame,
     lowest = low.groupBy(*part).agg(F.min_by("latitude", tie).alias("latitude"), F.min_by("longitude", tie).alias("longitude"))
     near_by = closest_point(lowest, airports, part).select(*[F.col(c).alias(f"_{c}") for c in part], F.col("point").alias("airport"))
     t = thresholds.select(F.struct("airport", "name").alias("name"), "latitude", "longitude", "bearing")
-    runs = ils_aligned(low, t, part, **options).withColumns({"_apt": F.col("ILS.airport"), "ILS": F.col("ILS.name")})
+    runs = ils_aligned(low, t, part, gap=run_gap, **options).withColumns({"_apt": F.col("ILS.airport"), "ILS": F.col("ILS.name")})
     same = [F.col(c) == F.col(f"_{c}") for c in part]
     return runs.join(near_by, [*same, F.col("_apt") == F.col("airport")]).select(*part, "airport", "ILS", "seg_idx", "start", "stop", "n", "altitude_min")
 

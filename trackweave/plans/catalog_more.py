@@ -289,7 +289,7 @@ e AS (SELECT * FROM (SELECT f.*, q.name ILS, q.bearing tb, {_LD} distance, {_LB}
 @query(f"SELECT * FROM (WITH {_LEGS}, {runs('e', 'flight_id, lg0, ILS', H12, ', min(altitude) amin', 'AND amin < 400', 60000000)} SELECT seg.flight_id, CAST(seg.lg0 AS BIGINT) attempt, airport, ILS, \"start\", \"stop\" FROM seg JOIN ap ON ap.flight_id=seg.flight_id AND ap.lg0=seg.lg0 AND airport=ILS)")
 def landing_attempts(spark, d):
     b = beacons(spark, d)
-    return detectors.landing_attempts(flights(spark, d), b, b.withColumn("airport", F.col("name")), BY, below=300, gap="12 h", angle=30, min_time="1 min", ceiling=400).select("flight_id", "attempt", "airport", "ILS", "start", "stop")
+    return detectors.landing_attempts(flights(spark, d), b, b.withColumn("airport", F.col("name")), BY, below=300, gap="12 h", run_gap="12 h", angle=30, min_time="1 min", ceiling=400).select("flight_id", "attempt", "airport", "ILS", "start", "stop")
 
 
 # Ground networks: a lattice of ways with a known answer
