@@ -35,7 +35,7 @@ BROADCAST_BYTES = 256 << 20
 BROADCAST_TOKENS = 8_000_000
 
 #: Bytes of text whose keys are counted together before they are sent.
-COUNT_BYTES = 12 << 20
+COUNT_BYTES = 8 << 20
 
 #: Rows of an Arrow batch while texts are scored beside the broadcast tables.
 BATCH_ROWS = 1000
@@ -143,6 +143,13 @@ def kind_key(kind: str, *keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The arrays put together; the list is emptied."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def count_blocks(docs: DataFrame, bits: int) -> DataFrame:
     """Per batch of texts and bucket: distinct tokens and token pairs with counts.
 
@@ -152,18 +159,25 @@ def count_blocks(docs: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.slices(batches, size=COUNT_BYTES):
-            words, pairs, before_of = [], [], []
+            words, pairs, halves = [], [], []
             for part in tk.slices(iter([batch])):
                 _, key, before = word_keys(tk.split_words(part.column(0), lower=True))
                 words.append(key)
                 pairs.append(kind_key("pair", before, key))
-                before_of.append(before)
-            k, n = np.unique(np.concatenate(words), return_counts=True)
+                halves.append(top_half(before))
+                del key, before
+            # The tokens go before the pairs are put together: a worker holds one of both at its peak.
+            k, n = np.unique(_joined(words), return_counts=True)
             rows = [(b, 0, tk.pack(k[s], n[s].astype(np.uint32))) for b, s in tk.by_bucket(k, bits)]
-            both, n2 = np.concatenate(pairs), np.concatenate(before_of)
-            k, at, n = np.unique(both, return_index=True, return_counts=True)
-            h = top_half(n2[at])
-            rows += [(b, 1, tk.pack(k[s], h[s], n[s].astype(np.uint32))) for b, s in tk.by_bucket(k, bits)]
+            k, h = _joined(pairs), _joined(halves)
+            order = np.argsort(k)
+            k, h = k[order], h[order]
+            del order
+            first = np.flatnonzero(np.concatenate([k[:1] == k[:1], k[1:] != k[:-1]]))
+            n = np.diff(np.concatenate([first, [len(k)]])).astype(np.uint32)
+            k, h = k[first], h[first]
+            rows += [(b, 1, tk.pack(k[s], h[s], n[s])) for b, s in tk.by_bucket(k, bits)]
+            del k, h, n, first
             for i in range(0, len(rows), 64):
                 c = list(zip(*rows[i : i + 64], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int8()), pa.array(c[2], pa.binary())], ["bucket", "kind", "value"])
