@@ -9,6 +9,8 @@ statement inside a longer text is found as well.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,9 +83,8 @@ COPYRIGHT_LINE = (
 def normalise(text: Column) -> Column:
     """Lower case, no copyright lines, words of letters and digits with one space between, one spelling."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, " ")
-    t = F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " "))
-    # Every blank is doubled, so that neighbouring words share none and each spelling is found.
-    t = F.concat(F.lit(" "), F.replace(t, F.lit(" "), F.lit("  ")), F.lit(" "))
+    # Two blanks between words, so that neighbours share none and each spelling is found.
+    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
     for old, new in SPELLINGS:
         wide = lambda x: "  ".join("".join(c if c.isalnum() else " " for c in x).split())
         t = F.replace(t, F.lit(f" {wide(old)} "), F.lit(f" {wide(new)} "))
@@ -92,8 +93,8 @@ def normalise(text: Column) -> Column:
 
 def digest(text: Column) -> Column:
     """SHA-256 of the normalised text; null where nothing is left."""
-    n = normalise(text)
-    return F.when(n != "", F.sha2(n, 256))
+    # The empty text's digest is compared, since a condition on the text would normalise it twice.
+    return F.nullif(F.sha2(normalise(text), 256), F.sha2(F.lit(""), 256))
 
 
 def whole_texts() -> list[tuple[str, str]]:
@@ -131,12 +132,17 @@ def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] | None
 MOST_HINTS = 200
 
 
-def hint_pattern(known: DataFrame) -> str | None:
-    """Regular expression that every line with a known digest matches; null if all lines must be looked up."""
+def known_hints(known: DataFrame) -> list[str]:
+    """Words of which every line with a known digest has one, in lower case; none if all lines must be looked up."""
     if "hint" not in known.columns:
-        return None
+        return []
     hints = [r[0] for r in known.select("hint").distinct().limit(MOST_HINTS + 1).collect()]
-    return None if None in hints or len(hints) > MOST_HINTS or not hints else "(?iu)" + "|".join(sorted(hints))
+    return [] if None in hints or len(hints) > MOST_HINTS else sorted(hints)
+
+
+def with_hint(line: Column, hints: list[str]) -> Column:
+    """Whether the line has one of the words; it is turned to lower case once for all of them."""
+    return F.exists(F.array(F.lower(line)), lambda low: reduce(or_, (F.contains(low, F.lit(h)) for h in hints)))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -148,8 +154,8 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     alike are judged alike; an empty table gives no rows.
     """
     lines = F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n"))
-    pattern = hint_pattern(known)
-    named = F.filter(lines, lambda x: x.rlike(pattern)) if pattern else lines
+    hints = known_hints(known)
+    named = F.filter(lines, lambda x: with_hint(x, hints)) if hints else lines
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), digest(F.col("text")).alias("text_sha256"), named.alias("named"))
     # One row for the text (at = 0), then one per line that may state a license.
     at = F.posexplode_outer(F.concat(F.array(F.lit(None).cast("string")), "named")).alias("at", "line")
