@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from trackweave import Trajectories
 from trackweave.functions import cells
-from trackweave.operators import clip, graphs, grouped, joins, ml, resample, sets, windows
-from trackweave.sources import aeronautical, modes
+from trackweave.operators import clip, graphs, grouped, joins, ml, resample, sets, splines, windows
+from trackweave.plans import catalog_more
+from trackweave.sources import aeronautical, modes, replies
 
 T0 = dt.datetime(2024, 1, 1, 12)
 
@@ -344,3 +345,62 @@ def test_names_of_methods(spark):
     with pytest.raises(ValueError):
         t.movement(method="unknown")
     assert t.eval().df.count() == 5 and t.start_time == T0
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4, 5])
+def test_splines_by_powers(order):
+    """Splines equal those of truncated powers with the same knots, and polynomials come back."""
+    rng = np.random.default_rng(order)
+    x = np.cumsum(rng.integers(1, 4, 14)).astype(float)
+    y, at = rng.normal(size=14), np.linspace(x[0], x[-1], 50)
+    inner = splines.knots(x, order)[order + 1 : -order - 1]
+    powers = lambda v: np.column_stack([*[(v / 10) ** p for p in range(order + 1)], *[np.maximum((v - k) / 10, 0) ** order for k in inner]])
+    assert np.allclose(splines.through(x, y, order, at), powers(at) @ np.linalg.solve(powers(x), y), atol=1e-6)
+    assert np.allclose(splines.through(x, x**order, order, at), at**order)
+    assert np.isnan(splines.through(x, y, order, np.array([x[0] - 1, x[-1] + 1]))).all()
+    assert np.isnan(splines.through(x[:order], y[:order], order, at)).all()
+
+
+def test_resample_polynomial(spark):
+    """A parabola comes back between its samples; nothing is made outside of them; few samples stay as they are."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [("a", at(s), None if s in (0, 40) else float(s * s)) for s in (0, 2, 5, 11, 20, 31, 40)] + [("b", at(0), 1.0), ("b", at(3), 2.0), ("c", at(0), None)]
+    df = spark.createDataFrame(rows, "icao24 string, timestamp timestamp_ntz, altitude double")
+    got = splines.resample_polynomial(df, ["icao24"], "1 s", "altitude").collect()
+    a = {(r.timestamp - T0).seconds: r.altitude for r in got if r.icao24 == "a"}
+    assert sorted(a) == list(range(41)) and all(a[s] is None for s in (0, 1, *range(32, 41)))
+    assert all(abs(a[s] - s * s) < 1e-6 for s in range(2, 32))
+    assert [r.altitude for r in sorted(got) if r.icao24 == "b"] == [1.0, None, None, 2.0]
+    assert [r.altitude for r in got if r.icao24 == "c"] == [None]
+
+
+def test_replies_and_surface(spark):
+    """Altitudes of both kinds, squawks and addresses of replies; a squitter from the ground."""
+    code = lambda *on: sum(1 << replies.PLACES[b] for b in on)
+    # By hand: C4 is the lowest height; B4 with C1 is step 1 of 500 feet, counted downwards from 6, less 5.
+    want = {0: None, 0x40: None, code("C4"): -1200.0, code("B4", "C1"): -700.0}
+    heights = {r.c: r.h for r in spark.createDataFrame([(c,) for c in want], "c int").select("c", replies.altitude(F.col("c")).alias("h")).collect()}
+    assert heights == want
+    # Steps of 100 feet: every code that is used gives another altitude, without a gap from -1200 on.
+    every = spark.range(1 << 13).filter(f"id & {0x50} = 0").select(replies.altitude(F.col("id")).alias("h")).filter("h is not null").collect()
+    assert sorted(r.h for r in every) == [100.0 * k for k in range(-12, len(every) - 12)]
+    text = spark.createDataFrame([("A02014B400000000000000F9D514",), ("A800292DFFBBA9383FFCEB903D01",), ("A0001839CA3800315800007448D9",), ("zz",), (None,)], "rawmsg string")
+    got = {r.rawmsg[:4]: r for r in replies.replies(text).collect()}
+    assert len(got) == 3 and got["A000"].icao24 == "400940" and got["A020"].altitude == 32300.0 and got["A020"].squawk is None and got["A800"].squawk == "1346"
+    known = spark.createDataFrame([(got["A800"].icao24,)], "icao24 string")
+    assert [r.squawk for r in replies.replies(text, known=known).collect()] == ["1346"]
+    ground = spark.createDataFrame([("8C4841753A9A153237AEF0F275BE",)], "rawmsg string")
+    (r,) = replies.surface(ground, 51.990, 4.375).collect()
+    assert (r.icao24, r.groundspeed, round(r.track, 1)) == ("484175", 17.0, 92.8)
+    # Positions are packed by hand, from all quarters of the earth, and come back by a place some miles off.
+    for lat, lon in ((52.3, 4.75), (-43.48, 172.54), (-0.01, -0.02), (64.1, -21.9), (33.9, -118.4)):
+        for odd in (0, 1):
+            pack = lambda v, step: math.floor(131072 * (v % step) / step + 0.5) % 131072
+            d_lat = 90 / (60 - odd)
+            y = pack(lat, d_lat)
+            seen = d_lat * (y / 131072 + math.floor(lat / d_lat))
+            zones = math.floor(2 * math.pi / math.acos(1 - (1 - math.cos(math.pi / 30)) / math.cos(math.radians(abs(seen))) ** 2))
+            me = 7 << 51 | 20 << 44 | 1 << 43 | 33 << 36 | odd << 34 | y << 17 | pack(lon, 90 / max(1, zones - odd))
+            sent = spark.range(1).select(catalog_more._message(F.lit("ABCDEF"), F.lit(me)).alias("rawmsg"))
+            (r,) = replies.surface(sent, lat + 0.2, lon - 0.3).collect()
+            assert abs(r.latitude - lat) < 2e-5 and abs(r.longitude - lon) < 4e-5 and r.groundspeed == 5.5

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import Trajectories
 from ..functions import codec
-from ..operators import aggregates, clip, detectors, flightplan, graphs, ml, resample, segments, slicing, windows
-from ..sources import aeronautical, files, modes
+from ..operators import aggregates, clip, detectors, flightplan, graphs, ml, resample, segments, slicing, splines, windows
+from ..sources import aeronautical, files, modes, replies
 from ..streaming import flows
 from .base import beacons, brg, dist, flights, points, query, runs, table
 
@@ -230,6 +230,23 @@ def modes_position(spark, d):
     return got.select(E, F.coalesce(near, F.lit(False)).alias("near"))
 
 
+@query("SELECT event_id, lower(printf('%06x', icao24)) icao24, CASE WHEN event_id%2=0 THEN CAST((event_id%1000)*25-1000 AS DOUBLE) END altitude, CASE WHEN event_id%2=1 THEN lpad(printf('%o', event_id%4096), 4, '0') END squawk FROM p")
+def modes_replies(spark, d):
+    # Even rows reply with an altitude in steps of 25 feet, odd rows with a squawk.
+    n, e = F.col(E) % 1000, F.col(E)
+    height = F.shiftleft(F.shiftright(n, 5), 7).bitwiseOR(F.shiftleft(F.shiftright(n, 4).bitwiseAND(F.lit(1).cast("long")), 5)).bitwiseOR(F.lit(16).cast("long")).bitwiseOR(n.bitwiseAND(F.lit(15).cast("long")))
+    code = F.lit(0).cast("long")
+    for digit, letter in enumerate("ABCD"):
+        for bit in (4, 2, 1):
+            at = 3 * (3 - digit) + bit // 2
+            code = code.bitwiseOR(F.shiftleft(F.shiftright(e % 4096, at).bitwiseAND(F.lit(1).cast("long")), replies.PLACES[f"{letter}{bit}"]))
+    head = F.concat(F.when(e % 2 == 0, "2000").otherwise("2800"), F.lpad(F.hex(F.when(e % 2 == 0, height).otherwise(code)), 4, "0"))
+    p = points(spark, d).withColumn("_head", head)
+    parity = modes.checksum("_head", 4).cast("long").bitwiseXOR(F.col("icao24").cast("long"))
+    sent = p.select(E, F.concat("_head", F.lpad(F.hex(parity), 6, "0")).alias("rawmsg"))
+    return replies.replies(sent).select(E, "icao24", "altitude", "squawk")
+
+
 # Filters by name, resampling on a map, slices of time
 
 
@@ -244,6 +261,12 @@ def filter_aggressive(spark, d):
     return windows.filtered(p, ["icao24"], "aggressive").select(E, "altitude", "track")
 
 
+@query()
+def resample_polynomial(spark, d):
+    out = splines.resample_polynomial(points(spark, d), ["icao24"], "6 h", "altitude", order=2)
+    return out.select("icao24", "timestamp", r6("altitude"))
+
+
 @query()
 def resample_projected(spark, d):
     out = resample.resample_projected(points(spark, d), ["icao24"], "6 h", 45.0, 3.0, (44.0, 46.0))

@@ -32,8 +32,9 @@ def _crc_table() -> list[int]:
     return out
 
 
-def checksum(message) -> Column:
-    """The 24-bit remainder of a long message without its last three bytes."""
+def checksum(message, size: int | Column = 11) -> Column:
+    """The 24-bit remainder of a message's first bytes: all but the last three of a long one."""
+    last = F.lit(size - 1) if isinstance(size, int) else size - 1
     table = F.lit(_crc_table())
     byte = lambda i: F.conv(F.substring(col(message), 2 * i + 1, F.lit(2)), 16, 10).cast("int")
 
@@ -41,7 +42,7 @@ def checksum(message) -> Column:
         at = F.shiftright(crc, 16).bitwiseXOR(byte(i)).bitwiseAND(F.lit(0xFF))
         return F.shiftleft(crc, 8).bitwiseXOR(F.get(table, at)).bitwiseAND(F.lit(0xFFFFFF))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(10)), F.lit(0), step)
+    return F.aggregate(F.sequence(F.lit(0), last), F.lit(0), step)
 
 
 def valid(message) -> Column:
