@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cpjoin, decontam, langid, licenses, lm, mixing, quality, rlz, runs, sharding, toxicity
+from . import cpjoin, decontam, langid, licenses, lm, mixing, packing, quality, rlz, runs, sharding, toxicity
 from .common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(read(spark, sf_dir, "documents"))
 
 
+def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.report(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

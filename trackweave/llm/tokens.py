@@ -122,6 +122,22 @@ def split_words(texts: pa.Array, lower: bool = False, separators: np.ndarray = _
     return Words(doc, cat(hashes, U), start, end, data, first, offsets)
 
 
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of adjoining byte ranges, a span of them at a time."""
+    out = np.zeros(len(start), U)
+    k = 0
+    while k < len(start):
+        to = max(k + 1, int(np.searchsorted(end, start[k] + SPAN, "right")))
+        a, b = start[k:to], end[k:to]
+        part = data[a[0] : b[-1]]
+        total = np.zeros(len(part) + 1, U)
+        np.cumsum(_BYTE[part] * powers(_BASE, len(part)), out=total[1:])
+        a, b = a - start[k], b - start[k]
+        out[k:to] = mix((total[b] - total[a]) * powers(_INV, len(part) + 1)[a] + (b - a).astype(U))
+        k = to
+    return out
+
+
 def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(start word, hash) of every run of n words inside one document."""
     h, doc = words.hash, words.doc
