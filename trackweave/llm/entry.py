@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cpjoin, decontam, langid, licenses, lm, mixing, packing, quality, rlz, runs, sharding, toxicity
+from . import cpjoin, decontam, langid, licenses, lm, mixing, packing, quality, rlz, runs, sharding, toxicity, turns
 from .common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(read(spark, sf_dir, "documents"))
 
 
+def op12_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.report(read(spark, sf_dir, "conversations"))
+
+
 def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
