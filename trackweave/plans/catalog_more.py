@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import Trajectories
 from ..functions import codec
 from ..operators import aggregates, clip, detectors, flightplan, graphs, ml, resample, segments, slicing, splines, windows
-from ..sources import aeronautical, files, modes, replies
+from ..sources import aeronautical, files, modes, registers, replies
 from ..streaming import flows
 from .base import beacons, brg, dist, flights, points, query, runs, table
 
@@ -247,6 +247,47 @@ def modes_replies(spark, d):
     return replies.replies(sent).select(E, "icao24", "altitude", "squawk")
 
 
+def _long_reply(p, code, me):
+    """A long reply (format 20) from the row's address with an altitude code and a payload."""
+    head = F.concat(F.lit("A000"), F.lpad(F.hex(code.cast("long")), 4, "0"), F.lpad(F.hex(me), 14, "0"))
+    p = p.withColumn("_head", head)
+    return p.withColumn("rawmsg", F.concat("_head", F.lpad(F.hex(modes.checksum("_head", 11).cast("long").bitwiseXOR(F.col("icao24").cast("long"))), 6, "0"))).drop("_head")
+
+
+def _sent_registers(p):
+    """Rows as replies: one of a selected altitude, a turn, a heading, or an empty register, by event_id % 4."""
+    e = F.col(E)
+    two = lambda v, n: F.pmod(v, F.lit(1 << n))
+    neg = lambda v: F.when(v < 0, 1).otherwise(0)
+    turn = lambda v: (F.floor(v * 512 / 90) % 2048)
+    climb = F.floor(F.col("vertical_rate") / 32)
+    mcp, qnh = e % 2000 + 60, 2000 + e % 200
+    b40 = _bits((1, 1), (mcp, 12), (1, 1), (mcp, 12), (1, 1), (qnh, 12), (0, 8), (0, 1), (0, 3), (0, 2), (0, 1), (0, 2))
+    roll, course = e % 60 - 30, turn(F.col("track"))
+    b50 = _bits((1, 1), (neg(roll), 1), (two(roll, 9), 9), (1, 1), (F.floor(course / 1024), 1), (course % 1024, 10), (1, 1), (F.floor(F.col("groundspeed") / 2), 10), (0, 1), (0, 1), (0, 9), (1, 1), (F.floor(F.col("groundspeed") / 2) + 5, 10))
+    head, ias = turn((F.col("track") + 4) % 360), F.floor(F.col("groundspeed")) - 8
+    b60 = _bits((1, 1), (F.floor(head / 1024), 1), (head % 1024, 10), (1, 1), (ias, 10), (1, 1), (F.floor(ias * 100 / 265), 10), (1, 1), (neg(climb), 1), (two(climb, 9), 9), (1, 1), (neg(climb), 1), (two(climb, 9), 9))
+    me = F.when(e % 4 == 0, b40).when(e % 4 == 1, b50).when(e % 4 == 2, b60).otherwise(F.lit(0).cast("long"))
+    return _long_reply(p, F.lit(0x78), me)  # 0x78: 500 feet, in steps of 25
+
+
+_TURN = lambda v: f"CAST(floor(({v})*512/90) AS BIGINT)%2048*(90/512.0)"
+
+
+@query(f"""SELECT event_id, CASE event_id%4 WHEN 0 THEN '40' WHEN 1 THEN '50' WHEN 2 THEN '60' END bds,
+CASE WHEN event_id%4=0 THEN CAST((event_id%2000+60)*16 AS DOUBLE) END selected_mcp, CASE WHEN event_id%4=0 THEN round(800+(2000+event_id%200)/10.0,6) END barometric_setting,
+CASE WHEN event_id%4=1 THEN CAST(event_id%60-30 AS DOUBLE)*45/256 END roll, CASE WHEN event_id%4=1 THEN {_TURN('track')} END true_track, CASE WHEN event_id%4=1 THEN 2*floor(groundspeed/2) END ground_speed,
+CASE WHEN event_id%4=1 THEN 2*floor(groundspeed/2)+10 END TAS, CASE WHEN event_id%4=2 THEN {_TURN('(track+4)%360')} END heading, CASE WHEN event_id%4=2 THEN groundspeed-8 END IAS,
+CASE WHEN event_id%4=2 THEN round(floor((groundspeed-8)*100/265)*0.004,6) END Mach, CASE WHEN event_id%4=2 THEN floor(vertical_rate/32)*32 END vrate_barometric FROM p""")
+def modes_registers(spark, d):
+    # The state is each aircraft's own report; the replies have no register in them that names itself.
+    p = points(spark, d)
+    sent = _sent_registers(p).select(E, "timestamp", "rawmsg")
+    flights = p.select(F.lower(F.lpad(F.hex(F.col("icao24")), 6, "0")).alias("icao24"), "timestamp", "groundspeed", "track", "vertical_rate")
+    got = registers.decode(sent, flights)
+    return got.select(E, "bds", "selected_mcp", r6("barometric_setting"), "roll", "true_track", "ground_speed", "TAS", "heading", "IAS", r6("Mach"), "vrate_barometric")
+
+
 # Filters by name, resampling on a map, slices of time
 
 
