@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import Trajectories
 from ..functions import codec
-from ..operators import aggregates, clip, detectors, flightplan, graphs, ml, resample, segments, slicing, splines, windows
+from ..operators import aggregates, clip, detectors, flightplan, graphs, matching, ml, resample, segments, slicing, splines, windows
 from ..sources import aeronautical, files, modes, registers, replies
 from ..streaming import flows
-from .base import beacons, brg, dist, flights, points, query, runs, table
+from .base import TABLES, beacons, brg, dist, flights, points, query, runs, table
 
 BY = ["flight_id"]
 E = "event_id"
@@ -496,3 +497,65 @@ def unique_values(spark, d):
 @query('SELECT icao24, count(*) n FROM p GROUP BY icao24 HAVING epoch_us(max(ts))-epoch_us(min(ts)) < 2592000000000')
 def filter_if(spark, d):
     return slicing.shorter_than(points(spark, d), "30 d", ["icao24"]).groupBy("icao24").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Matching along a network: suppliers as crossings of a grid of streets, flights driving over it
+
+
+def _streets(spark, d):
+    n = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("node"))
+    nodes = n.select("node", (F.col("node") % 10 * 100.0 + F.col("node") * 7 % 13).alias("x"), (F.floor(F.col("node") / 10) * 100.0 + F.col("node") * 5 % 11).alias("y"))
+    to = lambda k, step, keep: n.filter(keep).select((F.col("node") * 2 + k).alias("edge"), F.col("node").alias("u"), (F.col("node") + step).alias("v"))
+    edges = to(0, 1, "node % 10 < 9 AND node * 7 % 11 <> 0").unionByName(to(1, 10, "node * 3 % 13 <> 0"))
+    return nodes, edges.join(n.select(F.col("node").alias("v")), "v", "left_semi")
+
+
+def _drives(spark, d):
+    """Flights' rows on a way from crossing to crossing, with noise."""
+    i = F.row_number().over(W.partitionBy("flight_id").orderBy("timestamp", E)) - 1
+    f = flights(spark, d).select("flight_id", E, "timestamp", (i * 37 + F.col("icao24") * 100).alias("s"))
+    along, street = F.col("s") % 900, F.floor(F.col("s") / 900) % 10
+    return f.select("flight_id", E, "timestamp", (along + F.col(E) * 53 % 17 - 8 + F.col(E) % 1000 * 0.0013).alias("x"), (street * 100.0 + F.col(E) * 29 % 23 - 11 + F.col(E) % 777 * 0.0017).alias("y"))
+
+
+_STREETS = """s AS (SELECT CAST(s_suppkey AS BIGINT) node FROM supplier),
+nd AS (SELECT node, node%10*CAST(100 AS DOUBLE)+node*7%13 x, CAST(node//10 AS DOUBLE)*100+node*5%11 y FROM s),
+e0 AS (SELECT node*2 edge, node u, node+1 v FROM s WHERE node%10<9 AND node*7%11<>0 UNION ALL SELECT node*2+1, node, node+10 FROM s WHERE node*3%13<>0),
+ed AS (SELECT edge, u, v, a.x x1, a.y y1, b.x x2, b.y y2, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) len FROM e0 JOIN nd a ON a.node=u JOIN nd b ON b.node=v),
+st AS (SELECT u a, v b, len d FROM ed UNION ALL SELECT v, u, len FROM ed),
+hops AS (SELECT node a, node b, CAST(0 AS DOUBLE) d, 0 h FROM nd UNION ALL SELECT hops.a, st.b, hops.d+st.d, h+1 FROM hops JOIN st ON st.a=hops.b WHERE hops.d+st.d <= 250 AND h < 4),
+nr AS (SELECT a, b, min(d) d FROM hops GROUP BY a, b),
+ends AS (SELECT edge, u n, 0 t FROM ed UNION ALL SELECT edge, v, 1 FROM ed),
+gap AS (SELECT p.edge e, q.edge f, p.t s, q.t t, nr.d FROM nr JOIN ends p ON p.n=nr.a JOIN ends q ON q.n=nr.b)"""
+_DRIVES = """fi AS (SELECT flight_id, event_id, ts, (row_number() OVER (PARTITION BY flight_id ORDER BY ts, event_id)-1)*37+icao24*100 s FROM f),
+dr AS (SELECT flight_id, event_id, ts, s%900+event_id*53%17-8+event_id%1000*CAST(0.0013 AS DOUBLE) x, CAST((s//900)%10 AS DOUBLE)*100+event_id*29%23-11+event_id%777*CAST(0.0017 AS DOUBLE) y FROM fi)"""
+
+
+@query(
+    f"PLAIN WITH RECURSIVE {TABLES}, {_STREETS}, {_DRIVES}, "
+    "ft AS (SELECT flight_id, event_id, ts, x, y, edge, u, v, x1, y1, x2, y2, len, greatest(0.0, least(1.0, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1))/(len*len))) t FROM dr, ed WHERE x BETWEEN least(x1,x2)-30 AND greatest(x1,x2)+30 AND y BETWEEN least(y1,y2)-30 AND greatest(y1,y2)+30), "
+    "cd AS (SELECT *, t*len f0, (1-t)*len f1, sqrt((x-x1-t*(x2-x1))*(x-x1-t*(x2-x1))+(y-y1-t*(y2-y1))*(y-y1-t*(y2-y1))) away FROM ft), "
+    "c AS (SELECT *, dense_rank() OVER (PARTITION BY flight_id ORDER BY ts, event_id) r FROM cd WHERE away <= 30), "
+    "w AS (SELECT a.flight_id, b.r, a.edge e, b.edge f, a.edge=b.edge same, abs(a.f0-b.f0) along, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) far, b.event_id, "
+    "min(CASE s WHEN 0 THEN a.f0 ELSE a.f1 END + g.d + CASE g.t WHEN 0 THEN b.f0 ELSE b.f1 END) road, any_value(b.away) away "
+    "FROM c a JOIN c b ON a.flight_id=b.flight_id AND b.r=a.r+1 LEFT JOIN gap g ON g.e=a.edge AND g.f=b.edge AND a.edge<>b.edge GROUP BY ALL), "
+    "m AS (SELECT *, CASE WHEN (CASE WHEN same THEN along ELSE road END) <= 250 THEN CAST(round(1e6*least(25.0, abs((CASE WHEN same THEN along ELSE road END)-far)/20)) AS BIGINT) ELSE 25000000 END mv FROM w), "
+    "vt AS (SELECT flight_id, r, edge, CAST(round(1e6*(away/10)*(away/10)/2) AS BIGINT) cost, [{'id': event_id, 'edge': edge}] path FROM c WHERE r=1 UNION ALL "
+    "SELECT flight_id, r, edge, cost, path FROM (SELECT m.flight_id, m.r, m.f edge, vt.cost+m.mv+CAST(round(1e6*(m.away/10)*(m.away/10)/2) AS BIGINT) cost, list_append(vt.path, {'id': m.event_id, 'edge': m.f}) path, "
+    "row_number() OVER (PARTITION BY m.flight_id, m.f ORDER BY vt.cost+m.mv, m.e) k FROM vt JOIN m ON m.flight_id=vt.flight_id AND m.r=vt.r+1 AND m.e=vt.edge) WHERE k=1), "
+    "best AS (SELECT flight_id, arg_min(path, (-r, cost, edge)) path FROM vt GROUP BY flight_id), "
+    "got AS (SELECT unnest(path) p FROM best) "
+    "SELECT f.event_id, coalesce(got.p.edge, -1) edge, round(cd.f0,6) edge_offset FROM f LEFT JOIN got ON got.p.id=f.event_id LEFT JOIN cd ON cd.event_id=f.event_id AND cd.edge=got.p.edge"
+)
+def match_edges(spark, d):
+    nodes, edges = _streets(spark, d)
+    out = matching.match(_drives(spark, d), BY, nodes, edges, reach=30.0, limit=250.0)
+    return out.select(E, F.coalesce("edge", F.lit(-1)).alias("edge"), r6("edge_offset"))
+
+
+@query()
+def kalman_on_network(spark, d):
+    # Speeds come from the course along the streets; a test compares the filter with plain loops.
+    nodes, edges = _streets(spark, d)
+    drives = _drives(spark, d).withColumns({"groundspeed": F.lit(20.0), "track": F.lit(90.0)})
+    return matching.kalman_network(drives, BY, nodes, edges, reach=60.0).select(E, r6("x"), r6("y"))
