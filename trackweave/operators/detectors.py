@@ -41,15 +41,20 @@ def beacon_aligned(df: DataFrame, points: DataFrame, by: list[str], precision: f
     return segments(j, [*by, "navaid"], gap, min_time, F.col("distance_min") < min_distance, extra)
 
 
-def ils_aligned(df: DataFrame, thresholds: DataFrame, by: list[str], angle: float = 0.1, gap="20 s", min_time="1 min", ceiling: float = 5000, field: float = 0.0, wrap: bool = False, reach: float = 500) -> DataFrame:
-    """Runs on the extended centre line, within ``reach`` NM, of a runway threshold (name, latitude, longitude, bearing): ILS."""
+def ils_rows(df: DataFrame, thresholds: DataFrame, angle: float = 0.1, wrap: bool = False, reach: float = 500) -> DataFrame:
+    """Rows on the extended centre line, within ``reach`` NM, of a runway threshold (name, latitude, longitude, bearing): ILS."""
     j = near(df, thresholds, "t_", reach)
     j = j.withColumns({"distance": geo.distance("latitude", "longitude", "t_latitude", "t_longitude"), "bearing": geo.bearing("latitude", "longitude", "t_latitude", "t_longitude")})
     off = F.radians(F.col("bearing") - F.col("t_bearing"))
     if wrap:
         off = F.radians(geo.angle_between("bearing", "t_bearing"))
     ok = (F.col("distance") < reach) & (F.abs(F.col("distance") * off) < angle) & (F.cos(F.radians(F.col("bearing") - F.col("track"))) > 0)
-    j = j.filter(ok).withColumn("ILS", F.col("t_name"))
+    return j.filter(ok).withColumn("ILS", F.col("t_name"))
+
+
+def ils_aligned(df: DataFrame, thresholds: DataFrame, by: list[str], angle: float = 0.1, gap="20 s", min_time="1 min", ceiling: float = 5000, field: float = 0.0, wrap: bool = False, reach: float = 500) -> DataFrame:
+    """Runs of ils_rows() that come below ``ceiling`` over the field."""
+    j = ils_rows(df, thresholds, angle, wrap, reach)
     return segments(j, [*by, "ILS"], gap, min_time, F.col("altitude_min") < field + ceiling, {"altitude_min": F.min("altitude")})
 
 

@@ -99,6 +99,11 @@ def decode(df: DataFrame, message: str = "rawmsg", time: str = "timestamp", with
     w = W.partitionBy("icao24").orderBy(time, *tie).rowsBetween(W.unboundedPreceding, -1)
     packed = F.struct(us(time).alias("t"), F.col("_y").alias("y"), F.col("_x").alias("x"))
     f = f.withColumns({"_e": F.last_value(F.when(F.col("_odd") == 0, packed), True).over(w), "_o": F.last_value(F.when(F.col("_odd") == 1, packed), True).over(w)})
+    return positions(f, time, within)
+
+
+def positions(f: DataFrame, time: str = "timestamp", within="10 s") -> DataFrame:
+    """Latitude and longitude of frames with the last even (_e) and odd (_o) packed positions before them."""
     is_odd = F.col("_odd") == 1
     other = F.when(is_odd, F.col("_e")).otherwise(F.col("_o"))
     fresh = F.col("_odd").isNotNull() & (us(time) - other["t"] <= micros(within))

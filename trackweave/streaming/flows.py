@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timeunits import micros, us
+from ..operators import detectors
+from .beast import frames_of
+
 
 def bucket_stats(stream: DataFrame, freq: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Counts, mean and highest altitude per aircraft and time bucket."""
@@ -24,35 +28,21 @@ def distinct_reports(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     return stream.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["icao24", "timestamp"])
 
 
-def beast_frames(chunks) -> list[bytes]:
-    """Frames of a Beast byte stream given in chunks of any size.
+def landings(stream: DataFrame, thresholds: DataFrame, by: list[str] = ["icao24"], angle: float = 0.1, gap="20 s", min_time="1 min", ceiling: float = 5000, field: float = 0.0, wrap: bool = False, reach: float = 500, late: str = "1 minute") -> DataFrame:  # noqa: B006
+    """detectors.ils_aligned() of a stream, without seg_idx: each run once, when nothing more can join it.
 
-    A frame is 0x1A, a type and a body of fixed size; 0x1A inside is doubled.
-    An unfinished frame at the end is left out.
+    The state of a run is its first and last time, its rows and its lowest
+    altitude, kept by aircraft and runway; it ends ``gap`` after its last row,
+    once the watermark has passed.  The thresholds are a table.
     """
-    size = {0x31: 11, 0x32: 16, 0x33: 23, 0x34: 23}  # fixed values: bytes of a frame by type
-    out, data = [], b"".join(chunks)
-    at = 0
-    while True:
-        at = data.find(b"\x1a", at)
-        if at < 0 or at + 1 >= len(data):
-            return out
-        need = size.get(data[at + 1])
-        if need is None:
-            at += 1
-            continue
-        body, i = bytearray([0x1A, data[at + 1]]), at + 2
-        while len(body) < need and i < len(data):
-            if data[i] == 0x1A:
-                if i + 1 >= len(data) or data[i + 1] != 0x1A:
-                    break
-                i += 1
-            body.append(data[i])
-            i += 1
-        if len(body) == need:
-            out.append(bytes(body))
-            at = i
-        elif i >= len(data):
-            return out
-        else:
-            at = i
+    rows = detectors.ils_rows(stream, thresholds, angle, wrap, reach).withWatermark("timestamp", late)
+    # Rows just ``gap`` apart belong together, as in a batch; sessions part there.
+    runs = rows.groupBy(F.session_window("timestamp", f"{micros(gap) + 1} microseconds"), *by, "ILS")
+    out = runs.agg(F.min("timestamp").alias("start"), F.max("timestamp").alias("stop"), F.count(F.lit(1)).alias("n"), F.min("altitude").alias("altitude_min"))
+    out = out.filter((F.col("n") >= 2) & (us("stop") - us("start") > micros(min_time)) & (F.col("altitude_min") < field + ceiling))
+    return out.drop("session_window")
+
+
+def beast_frames(chunks) -> list[bytes]:
+    """Frames of a short Beast byte stream given in chunks of any size; beast.frames_of() gives them as they come, format "beast" reads files in ranges."""
+    return list(frames_of(chunks))
