@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -136,16 +137,15 @@ def match(df: DataFrame, by: list[str], nodes: DataFrame, edges: DataFrame, reac
     whole = lambda c: F.round(c * 1e6).cast("long")  # noqa: E731 - chains of the same cost tie exactly, in whatever order it is summed
     costs = met.select(*by, "_r", "_k", F.coalesce("_pk", F.lit(-1)).alias("_pk"), whole(F.pow(F.col("_c.away") / sigma, 2) / 2).alias("_emission"), whole(move).alias("_move"))
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_r", "_k", "_pk"])
-        path = viterbi(*(pdf[c].to_numpy() for c in ("_r", "_k", "_pk", "_emission", "_move")))
-        out = pd.DataFrame({"_r": list(path), "_at": list(path.values())})
-        for c in by:
-            out[c] = pdf[c].iloc[0]
-        return out[[*by, "_r", "_at"]]
+    def chain(table: pa.Table) -> pa.Table:
+        r, k, before, emission, step = (table[c].to_numpy() for c in ("_r", "_k", "_pk", "_emission", "_move"))
+        order = np.lexsort((before, k, r))
+        path = viterbi(r[order], k[order], before[order], emission[order], step[order])
+        key = [pa.array([table[c][0].as_py()] * len(path), table[c].type) for c in by]
+        return pa.table([*key, pa.array(list(path), pa.int32()), pa.array(list(path.values()), pa.int32())], names=[*by, "_r", "_at"])
 
     schema = T.StructType([df.schema[c] for c in by]).add("_r", T.IntegerType()).add("_at", T.IntegerType())
-    found = costs.groupBy(*by).applyInPandas(chain, schema)
+    found = costs.groupBy(*by).applyInArrow(chain, schema)
     same = [rows[c].eqNullSafe(found[c]) for c in by] + [rows["_r"] == found["_r"]]
     out = rows.join(found, same, "left").select(*[rows[c] for c in df.columns], F.get(rows["_near"], found["_at"]).alias("_on"))
     return out.select(*df.columns, F.col("_on.edge").alias("edge"), F.col("_on.off").alias("edge_offset"), F.col("_on.away").alias("edge_distance"))

@@ -12,7 +12,9 @@ ALIASES = {
     "lon": "longitude",
     "long": "longitude",
     "lng": "longitude",
-    "baro_altitude": "altitude",
+    "ias": "IAS",
+    "tas": "TAS",
+    "mach": "Mach",
     "geo_altitude": "geoaltitude",
     "departure": "origin",
     "arrival": "destination",
@@ -34,18 +36,24 @@ FT, NM, KT, FPM = 0.3048, 1852.0, 1852.0 / 3600.0, 0.3048 / 60.0
 
 
 def normalise(df: DataFrame) -> DataFrame:
-    """Renames known synonyms; baroaltitude becomes altitude and moves an existing one to geoaltitude.
+    """Renames known synonyms; baroaltitude or baro_altitude becomes altitude and moves an existing one to geoaltitude.
 
-    A column is renamed only if its usual name is not taken; heading serves as
-    track where there is no track.
+    A column is renamed only if its usual name is not taken, small letters
+    told apart from large ones; heading serves as track where there is no track.
     """
-    if "baroaltitude" in df.columns:
+
+    def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+        # By place: withColumnRenamed() takes names that differ in case for one.
+        return df.toDF(*[names.get(c, c) for c in df.columns])
+
+    baro = next((c for c in ("baroaltitude", "baro_altitude") if c in df.columns), None)
+    if baro:
         if "altitude" in df.columns:
-            df = df.drop("geoaltitude").withColumnRenamed("altitude", "geoaltitude")
-        df = df.withColumnRenamed("baroaltitude", "altitude")
+            df = renamed(df.drop("geoaltitude", "geo_altitude"), {"altitude": "geoaltitude"})
+        df = renamed(df, {baro: "altitude"})
     for old, new in ALIASES.items():
         if old in df.columns and new not in df.columns:
-            df = df.withColumnRenamed(old, new)
+            df = renamed(df, {old: new})
     if "heading" in df.columns and "track" not in df.columns:
         df = df.withColumnRenamed("heading", "track")
     return df

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import codec
+from ..functions import cells, codec, geo
 
 
 def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
@@ -61,28 +62,52 @@ def aixm_routes(spark: SparkSession, routes: str, segments: str) -> tuple[DataFr
     return named, segs.select(ref(F.col("routeFormed._href")).alias("route_id"), point("start").alias("start_id"), point("end").alias("end_id"), lim("lowerLimit").alias("lower"), lim("upperLimit").alias("upper"))
 
 
+def _ranked(s: DataFrame) -> DataFrame:
+    """Adds _root (struct a, b), _n (segments before) and _least of segments (route_id, a, b, _up: the segment before or null).
+
+    Pointers are doubled: each round takes every segment twice as far back, so
+    their number is the logarithm of the longest route's segments.  Segments of
+    a ring keep their _up; _least is the ring's smallest point.
+    """
+    from ..operators.scratch import discard, materialize
+
+    me = F.struct("a", "b")
+    state = materialize(s.select("route_id", "a", "b", "_up", F.when(F.col("_up").isNull(), me).alias("_root"), F.when(F.col("_up").isNull(), 0).otherwise(1).cast("long").alias("_n"), F.col("a").alias("_least")))
+    most = state.groupBy("route_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(int(most).bit_length()):
+        before = state.select(F.col("route_id").alias("_r"), me.alias("_seg"), F.col("_up").alias("_far"), F.col("_root").alias("_found"), F.col("_n").alias("_more"), F.col("_least").alias("_low"))
+        j = state.join(before, (state["route_id"] == before["_r"]) & (state["_up"] == before["_seg"]), "left")
+        new = j.select("route_id", "a", "b", F.col("_far").alias("_up"), F.coalesce("_root", "_found").alias("_root"), (F.col("_n") + F.coalesce("_more", F.lit(0))).alias("_n"), F.least("_least", "_low").alias("_least"))
+        new = materialize(new)
+        discard(state)
+        state = new
+    return state
+
+
 def chain(segments: DataFrame, points: DataFrame) -> DataFrame:
-    """route_id, n, id, name, latitude, longitude: the points of each route in the order in which its segments follow each other.
+    """route_id, stretch, n, id, name, latitude, longitude: the points of each route in the order in which its segments follow each other.
 
-    Each round puts the next point behind every route's last one, from a start
-    that no segment ends in; it ends when no route grows, and a ring when it is
-    back at a point that it has.
+    A stretch goes on through a point where one segment ends and one begins.
+    It ends at forks and at meeting points, from where each branch is a stretch
+    of its own, so such points come once for each; stretches are numbered by
+    their first segments.  A ring starts at its smallest point, which comes
+    once.  Repeated segments count once, those without two ends not at all.
     """
-    from ..operators.scratch import materialize
-
-    s = materialize(segments.select("route_id", "start_id", "end_id").distinct())
-    ends = s.select("route_id", F.col("end_id").alias("start_id"))
-    heads = s.select("route_id", "start_id").distinct().join(ends, ["route_id", "start_id"], "left_anti").groupBy("route_id").agg(F.min("start_id").alias("id"))
-    rings = s.join(heads, "route_id", "left_anti").groupBy("route_id").agg(F.min("start_id").alias("id"))
-    last = materialize(heads.unionByName(rings).withColumn("n", F.lit(0).cast("long")))
-    rounds = [last]
-    seen = last
-    while last.limit(1).count():
-        step = last.join(s, [last["route_id"] == s["route_id"], last["id"] == s["start_id"]]).groupBy(s["route_id"]).agg(F.min("end_id").alias("id"), F.max(last["n"] + 1).alias("n"))
-        last = materialize(step.join(seen.select("route_id", "id"), ["route_id", "id"], "left_anti").select("route_id", "id", "n"))
-        rounds.append(last)
-        seen = seen.unionByName(last)
-    return seen.join(points.select("id", "name", "latitude", "longitude"), "id").select("route_id", "n", "id", "name", "latitude", "longitude")
+    s = segments.select("route_id", F.col("start_id").alias("a"), F.col("end_id").alias("b")).filter("a <> b").distinct()
+    into = s.groupBy("route_id", F.col("b").alias("p")).agg(F.count("*").alias("i"), F.max(F.struct("a", "b")).alias("_up"))
+    out = s.groupBy("route_id", F.col("a").alias("p")).agg(F.count("*").alias("o"))
+    through = into.join(out, ["route_id", "p"]).filter("i = 1 and o = 1").select("route_id", F.col("p").alias("a"), "_up")
+    linked = s.join(through, ["route_id", "a"], "left").select("route_id", "a", "b", "_up")
+    ranked = _ranked(linked)
+    open_ = ranked.filter("_root is not null").select("route_id", "a", "b", "_root", "_n", F.lit(False).alias("_ring"))
+    rings = linked.join(ranked.filter("_root is null").select("route_id", "a", "b", "_least"), ["route_id", "a", "b"])
+    cut = _ranked(rings.withColumn("_up", F.when(F.col("a") != F.col("_least"), F.col("_up"))).drop("_least"))
+    every = open_.unionByName(cut.select("route_id", "a", "b", "_root", "_n", F.lit(True).alias("_ring")))
+    w = W.partitionBy("route_id")
+    every = every.withColumns({"stretch": (F.dense_rank().over(w.orderBy("_root")) - 1).cast("long"), "_last": F.max("_n").over(W.partitionBy("route_id", "_root"))})
+    both = F.array(F.struct(F.col("_n").alias("n"), F.col("a").alias("id")), F.when((F.col("_n") == F.col("_last")) & ~F.col("_ring"), F.struct((F.col("_n") + 1).alias("n"), F.col("b").alias("id"))))
+    at = every.select("route_id", "stretch", F.inline(F.array_compact(both)))
+    return at.join(points.select("id", "name", "latitude", "longitude"), "id").select("route_id", "stretch", "n", "id", "name", "latitude", "longitude")
 
 
 def aixm_airspaces(spark: SparkSession, path: str, points: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -170,24 +195,49 @@ def nm_routes(spark: SparkSession, path: str, navaids: DataFrame) -> DataFrame:
     return r.join(navaids.withColumnRenamed("name", "navaid"), "navaid")
 
 
-def free_route_lines(lines: DataFrame, navaids: DataFrame) -> DataFrame:
+def free_route_lines(lines: DataFrame, navaids: DataFrame, areas: DataFrame | None = None) -> DataFrame:
     """fra, type, name, latitude, longitude, airport of free-route lines.
 
     A line's own coordinates come first, then those that another line of the
-    same point has, then those of the points file; lines of airport connections
-    (AD, A, D) give a row per airport of four letters.
+    same point has (of the same area first), then those of the points file.
+    Points of one name are told apart: with ``areas`` (name, ring of struct
+    x, y) only points inside one count, those inside the line's own area
+    first; then the nearest to the middle of the area's lines with coordinates
+    counts, and last the smallest place.  Lines of airport connections (AD, A,
+    D) give a row per airport of four letters.
     """
     w = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     b = lines.select(F.get(w, 0).alias("fra"), F.get(w, 1).alias("type"), F.get(w, 2).alias("name"), F.slice(w, 4, 100).alias("_rest"))
     link = F.col("type").isin("AD", "A", "D")
     lat, lon = codec.ns_pair(F.array_join(F.slice("_rest", 1, 2), ""))
     b = b.withColumns({"_lat": F.when(~link, lat), "_lon": F.when(~link, lon)})
-    own = b.filter("_lat is not null").groupBy("name").agg(F.min(F.struct("_lat", "_lon")).alias("_c")).select("name", F.col("_c._lat").alias("c_lat"), F.col("_c._lon").alias("c_lon"))
-    nav = navaids.groupBy("name").agg(F.min(F.struct("latitude", "longitude")).alias("_n")).select("name", F.col("_n.latitude").alias("n_lat"), F.col("_n.longitude").alias("n_lon"))
-    j = b.join(own, "name", "left").join(nav, "name", "left")
+    told = b.filter("_lat is not null")
+    place = F.min(F.struct("_lat", "_lon"))
+    here = told.groupBy("fra", "name").agg(place.alias("_h"))
+    elsewhere = told.groupBy("name").agg(place.alias("_o"))
+    # Longitudes are averaged as directions, so that an area across the date line has its middle there.
+    x, y = F.avg(F.cos(F.radians("_lon"))), F.avg(F.sin(F.radians("_lon")))
+    middle = told.groupBy("fra").agg(F.avg("_lat").alias("m_lat"), F.degrees(F.atan2(y, x)).alias("m_lon"))
+    wanted = b.filter("_lat is null").select("fra", "name").distinct().join(middle, "fra", "left")
+    found = wanted.join(navaids.select("name", "latitude", "longitude").filter("latitude is not null and longitude is not null"), "name")
+    if areas is not None:
+        at = found.select("latitude", "longitude").distinct()
+        side = lambda f, k: f(F.transform("ring", lambda p: p[k]))
+        boxed = areas.select("name", "ring", side(F.array_min, "x").alias("_w"), side(F.array_min, "y").alias("_s"), side(F.array_max, "x").alias("_e"), side(F.array_max, "y").alias("_n"))
+        boxed = boxed.withColumn("_area", F.monotonically_increasing_id())
+        size = 1.0
+        cell = boxed.select("_area", F.explode(cells.box_cells("_w", "_s", "_e", "_n", size)).alias("_cell"))
+        met = at.withColumn("_cell", cells.plane_cell("latitude", "longitude", size)).join(cell, "_cell").join(boxed.select("_area", F.col("name").alias("_in"), "ring"), "_area")
+        inside = met.filter(geo.in_ring("longitude", "latitude", "ring")).groupBy("latitude", "longitude").agg(F.collect_set("_in").alias("_in"))
+        found = found.join(inside, ["latitude", "longitude"])
+    else:
+        found = found.withColumn("_in", F.array().cast("array<string>"))
+    rank = F.struct((~F.array_contains("_in", F.col("fra"))).alias("o"), F.coalesce(geo.distance("latitude", "longitude", "m_lat", "m_lon"), F.lit(0.0)).alias("d"), "latitude", "longitude")
+    nav = found.groupBy("fra", "name").agg(F.min(rank).alias("_n"))
+    j = b.join(here, ["fra", "name"], "left").join(elsewhere, "name", "left").join(nav, ["fra", "name"], "left")
     airports = F.when(link, F.regexp_extract_all(F.array_join("_rest", ""), F.lit(r"(\w{4})"), 1)).otherwise(F.array(F.lit(None).cast("string")))
-    out = j.select("fra", "type", "name", F.coalesce("_lat", "c_lat", "n_lat").alias("latitude"), F.coalesce("_lon", "c_lon", "n_lon").alias("longitude"), F.explode(airports).alias("airport"))
-    return out.filter("latitude is not null")
+    latitude, longitude = F.coalesce("_lat", "_h._lat", "_o._lat", "_n.latitude"), F.coalesce("_lon", "_h._lon", "_o._lon", "_n.longitude")
+    return j.select("fra", "type", "name", latitude.alias("latitude"), longitude.alias("longitude"), F.explode(airports).alias("airport")).filter("latitude is not null")
 
 
 # GeoJSON
