@@ -1,12 +1,18 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-N-gram counts are quantised to logarithmic levels and a count at level q is
-stored as the memberships (n-gram, 1) .. (n-gram, q) of a Bloom filter (Talbot
+Counts of token pairs are quantised to logarithmic levels and a count at level
+q is stored as the memberships (pair, 1) .. (pair, q) of a Bloom filter (Talbot
 and Osborne, 2007).  Scoring reads a count back by probing level after level
-until one is missing, so no n-gram is stored.  Counting is distributed: blocks
+until one is missing, so no pair is stored.  Counting is distributed: blocks
 of text send distinct keys with counts to hash buckets, every bucket fills its
 own part of the filter.  Parts are broadcast while they are small; a larger
 filter stays where it is, and probes are sent to its parts.
+
+The scores are probabilities: over all types, and one for what is unknown,
+those that follow a token sum to one.  So a token keeps the exact sum of what
+its stored pairs take, pairs that came once take nothing and aren't stored,
+and the filter is so much finer, the more types there are, that all false
+pairs of a token together take next to nothing.
 """
 
 from __future__ import annotations
@@ -25,10 +31,12 @@ from .tokens import U
 
 #: Quantisation base: level q stands for counts about LEVEL_BASE**(q-1).
 LEVEL_BASE = 1.35
-#: Filter bits per stored membership and probes per membership (about 1 % false positives).
-BITS_PER_ENTRY, PROBES = 10, 6
-#: Discount of observed bigrams.
+#: Discount of stored pairs, which came twice or more; pairs that came once are discounted whole.
 DISCOUNT = 0.75
+#: Stored pairs have this level or a higher one: that of two occurrences.
+LEAST_LEVEL = 3
+#: False pairs of a token to be expected, at most, among all types.
+FALSE_PAIRS = 0.01
 #: The filters are broadcast up to so many bytes in all; beyond, probes are sent to their parts.
 BROADCAST_BYTES = 256 << 20
 #: The exact token counts are broadcast up to so many tokens; beyond, they are joined by shuffle, and so are the filters.
@@ -42,7 +50,7 @@ BATCH_ROWS = 1000
 
 #: Keys that stand for the end of a text and for the place before its first word.
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
-_KIND = {"word": 11, "pair": 12, "followers": 13}
+_KIND = {"pair": 12}
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -61,15 +69,22 @@ def _places(keys: np.ndarray, level: int | np.ndarray, probe: int, n_bits: np.nd
     return (h + U(probe) * step) % np.asarray(n_bits).astype(U)
 
 
-def fill(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def shape(types: int) -> tuple[int, int]:
+    """(bits, probes) of a membership: a pair that isn't stored reads as one where LEAST_LEVEL memberships are false."""
+    share = (FALSE_PAIRS / max(types, 1000)) ** (1 / LEAST_LEVEL)
+    bits = int(np.ceil(-np.log(share) / np.log(2) ** 2))
+    return bits, max(1, round(bits * np.log(2)))
+
+
+def fill(keys: np.ndarray, counts: np.ndarray, per_entry: int, probes: int) -> np.ndarray:
     """The filter part that holds the quantised counts of distinct keys."""
     q = levels(counts)
     rep = np.repeat(np.arange(len(keys)), q)
     lv = np.arange(len(rep)) - np.repeat(np.cumsum(q) - q, q) + 1
-    n_bits = max(64, int(len(rep)) * BITS_PER_ENTRY)
+    n_bits = max(64, int(len(rep)) * per_entry)
     n_bits += -n_bits % 8
     flags = np.zeros(n_bits, bool)
-    for p in range(PROBES):
+    for p in range(probes):
         flags[_places(keys[rep], lv, p, n_bits).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little")
 
@@ -77,8 +92,8 @@ def fill(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class LogFrequencyFilter:
     """All parts of the filter, ready for probing."""
 
-    def __init__(self, sizes: np.ndarray, data: np.ndarray, bits: int):
-        self.bits = bits
+    def __init__(self, sizes: np.ndarray, data: np.ndarray, bits: int, probes: int):
+        self.bits, self.probes = bits, probes
         self.first = (np.cumsum(sizes) - sizes) * 8
         self.n_bits = np.maximum(sizes * 8, 1)
         self.empty = sizes == 0
@@ -97,7 +112,7 @@ class LogFrequencyFilter:
         q = 1
         while len(live):
             k, b = keys[live], bucket[live]
-            for p in range(PROBES):
+            for p in range(self.probes):
                 at = self.first[b] + _places(k, q, p, self.n_bits[b]).astype(np.int64)
                 hit = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                 live, k, b = live[hit], k[hit], b[hit]
@@ -105,10 +120,10 @@ class LogFrequencyFilter:
             q += 1
         return out
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """Counts read back; each distinct key is probed once."""
+    def levels_of(self, keys: np.ndarray) -> np.ndarray:
+        """level() of keys that repeat; each distinct key is probed once."""
         distinct, back = np.unique(keys, return_inverse=True)
-        return level_count(self.level(distinct))[back]
+        return self.level(distinct)[back]
 
 
 def word_keys(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +147,7 @@ def word_keys(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def top_half(keys: np.ndarray) -> np.ndarray:
-    """The upper 32 bits: what counts of followers are kept by."""
+    """The upper 32 bits: what is known of a token's pairs is kept by them."""
     return (keys >> U(32)).astype(np.uint32)
 
 
@@ -185,9 +200,10 @@ def count_blocks(docs: DataFrame, bits: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket int, kind tinyint, value binary")
 
 
-def merge_buckets(blocks: DataFrame, bits: int) -> DataFrame:
-    """Per bucket: the filter part of its pairs, its words with exact counts, and
-    the number of its distinct pairs by first token, cut by that token's bucket."""
+def merge_buckets(blocks: DataFrame, bits: int, per_entry: int, probes: int) -> DataFrame:
+    """Per bucket: the filter part of its pairs (those that came twice or more),
+    its words with exact counts, and what its pairs take by first token, cut by
+    that token's bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         kind = np.asarray(table.column("kind"))
@@ -203,9 +219,12 @@ def merge_buckets(blocks: DataFrame, bits: int) -> DataFrame:
             k, h, n = k[order], h[order], n[order].astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             k, h, n = k[first], h[first], np.add.reduceat(n, first)
-            rows.append((bucket, 2, fill(k, n).tobytes()))
-            hk, hn = np.unique(h, return_counts=True)
-            rows += [(b, 1, tk.pack(hk[s], hn[s].astype(np.uint32))) for b, s in tk.by_bucket(hk.astype(U) << U(32), bits)]
+            k, h, n = k[n > 1], h[n > 1], n[n > 1]
+        if len(k):
+            rows.append((bucket, 2, fill(k, n, per_entry, probes).tobytes()))
+            hk, back = np.unique(h, return_inverse=True)
+            taken = np.bincount(back, level_count(levels(n)) - DISCOUNT)
+            rows += [(b, 1, tk.pack(hk[s], taken[s])) for b, s in tk.by_bucket(hk.astype(U) << U(32), bits)]
         c = list(zip(*rows, strict=True)) if rows else [[], [], []]
         return pa.table([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int8()), pa.array(c[2], pa.binary())], ["bucket", "kind", "value"])
 
@@ -213,60 +232,62 @@ def merge_buckets(blocks: DataFrame, bits: int) -> DataFrame:
 
 
 def finish_words(merged: DataFrame) -> DataFrame:
-    """Per bucket: exact word counts (kind 0) and the filter part of words and followers (kind 3)."""
+    """Per bucket: words with exact counts and what their pairs take (kind 0), and what the pairs at the beginnings of texts take (kind 4)."""
+    start = int(top_half(np.array([START]))[0])
 
     def run(table: pa.Table) -> pa.Table:
         kind = np.asarray(table.column("kind"))
         value = table.column("value")
         bucket = table.column("bucket")[0].as_py()
         k, n = tk.merge_counts(*tk.unpack_all([value[int(i)] for i in np.flatnonzero(kind == 0)], ("u8", "u8")))
-        f, m = tk.merge_counts(*tk.unpack_all([value[int(i)] for i in np.flatnonzero(kind == 1)], ("u4", "u4")))
-        part = fill(np.concatenate([kind_key("word", k), kind_key("followers", f.astype(U))]), np.concatenate([n.astype(np.int64), m.astype(np.int64)]))
-        # Keys of this part are spread by their own hash: one part per bucket, found by the word's bucket.
-        rows = [(bucket, 0, tk.pack(k, n)), (bucket, 3, part.tobytes())]
+        h, m = tk.merge_counts(*tk.unpack_all([value[int(i)] for i in np.flatnonzero(kind == 1)], ("u4", "f8")))
+        rows = [(bucket, 0, tk.pack(k, n, of_sorted(h, m, top_half(k))))]
+        rows += [(bucket, 4, tk.pack(x)) for x in (m[h == start],) if len(x)]
         c = list(zip(*rows, strict=True))
         return pa.table([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int8()), pa.array(c[2], pa.binary())], ["bucket", "kind", "value"])
 
     return merged.filter("kind < 2").groupBy("bucket").applyInArrow(run, "bucket int, kind tinyint, value binary")
 
 
+def of_sorted(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Values of the asked keys among sorted ones; 0 for others."""
+    if not len(keys):
+        return np.zeros(len(asked), values.dtype)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], 0).astype(values.dtype)
+
+
 class Model:
-    """A bigram model with absolute discounting whose counts are read from the filters.
+    """A bigram model with absolute discounting whose pair counts are read from the filter.
 
-    P(w|h) = max(c(hw) - D, 0) / c(h) + D * followers(h) / c(h) * P(w), and
-    P(w) = (c(w) + 1) / (N + 1 * (V + 1)).
+    P(w|h) = max(q(hw) - D, 0) / t(h) + (1 - s(h) / t(h)) * P(w), where q is a
+    stored pair's quantised count, s(h) the sum of q - D over h's stored pairs,
+    t(h) the larger of c(h) and s(h) + D, and P(w) = (c(w) + 1) / (N + V + 1).
     """
 
-    def __init__(self, words: WordFilter, pairs: LogFrequencyFilter, n: int, v: int, n_texts: int):
-        self.words, self.pairs, self.n, self.v, self.n_texts = words, pairs, n, v, float(max(1, n_texts))
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, taken: np.ndarray, pairs: LogFrequencyFilter, n: int, v: int, n_texts: int, start: float):
+        self.keys, self.counts, self.taken = keys, counts, taken
+        self.pairs, self.n, self.v, self.n_texts, self.start = pairs, n, v, float(max(1, n_texts)), start
 
-    def log_probs(self, key: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 P of each token after the one before it."""
+    def log_probs(self, key: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 P of each token after the one before it, the token's exact count)."""
         uniq, back = np.unique(np.concatenate([key, before]), return_inverse=True)
-        at = lambda kind, keys: level_count(self.words.level_in(kind_key(kind, keys), uniq))[back]
-        c, followers = at("word", uniq), at("followers", top_half(uniq).astype(U))
+        c, s = (of_sorted(self.keys, x, uniq)[back].astype(float) for x in (self.counts, self.taken))
         n = len(key)
-        ch = np.where(before == START, self.n_texts, c[n:])
-        probed = np.where((ch > 0) & (c[:n] > 0), self.pairs.count(kind_key("pair", before, key)), 0.0)
-        return log_prob(c[:n], ch, followers[n:], probed, self.n, self.v)
+        ch, sh = np.where(before == START, self.n_texts, c[n:]), np.where(before == START, self.start, s[n:])
+        level = np.zeros(n, np.int64)
+        ask = (sh > 0) & (c[:n] > 1)
+        level[ask] = self.pairs.levels_of(kind_key("pair", before[ask], key[ask]))
+        return log_prob(c[:n], ch, sh, level, self.n, self.v), c[:n]
 
 
-def log_prob(c: np.ndarray, ch: np.ndarray, fh: np.ndarray, pair: np.ndarray, n: int, v: int) -> np.ndarray:
-    """log10 P from the counts of the token, of the one before, of the latter's followers, and of the pair."""
+def log_prob(c: np.ndarray, ch: np.ndarray, sh: np.ndarray, level: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 P from the counts of the token and of the one before, what the latter's pairs take, and the pair's level."""
     base = (c + 1.0) / (n + v + 1.0)
-    total = np.maximum(ch, fh * DISCOUNT + pair)
-    seen = np.maximum(pair - DISCOUNT, 0.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.where(total > 0, seen / total + np.minimum(1.0, DISCOUNT * fh / total) * base, base)
-    p = np.where(fh > 0, p, base)
-    return np.log10(np.minimum(p, 1.0))
-
-
-class WordFilter(LogFrequencyFilter):
-    """Parts found by the word's bucket, not by the key's own."""
-
-    def level_in(self, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        return self._probe(keys, self._bucket(owner))
+    total = np.maximum(np.maximum(ch, sh + DISCOUNT), 1.0)
+    level = np.minimum(level, levels(np.minimum(c, ch)))  # a pair comes no more often than its tokens
+    seen = np.where((level >= LEAST_LEVEL) & (sh > 0), level_count(level) - DISCOUNT, 0.0)
+    return np.log10(np.minimum(seen / total + (1.0 - sh / total) * base, 1.0))
 
 
 @dataclass
@@ -280,23 +301,27 @@ class Trained:
     n_types: int
     n_texts: int
     filter_bytes: int
+    probes: int
+    start: float
 
 
 def train(docs: DataFrame) -> Trained:
-    """Counts tokens and token pairs of all texts (null: empty) and fills the filters."""
+    """Counts tokens and token pairs of all texts (null: empty) and fills the filter."""
     total = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     bits = tk.bucket_bits((total[0] or 0) // 6, 1_500_000)
-    merged = materialize(merge_buckets(count_blocks(docs, bits), bits), "lm-pairs")
+    per_entry, probes = shape((total[0] or 0) // 2)  # there are no more types than that
+    merged = materialize(merge_buckets(count_blocks(docs, bits), bits, per_entry, probes), "lm-pairs")
     finished = materialize(finish_words(merged), "lm-words")
 
     def sums(batches):
         for b in batches:
-            parts = [tk.unpack(v.as_py(), ("u8", "u8")) for v in b.column(0)]
+            parts = [tk.unpack(v.as_py(), ("u8", "u8", "f8")) for v in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([sum(len(p[0]) for p in parts)], pa.int64()), pa.array([sum(int(p[1].sum()) for p in parts)], pa.int64())], ["v", "n"])
 
     v, n = finished.filter("kind = 0").select("value").mapInArrow(sums, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
-    size = merged.filter("kind = 2").select("value").unionByName(finished.filter("kind = 3").select("value")).agg(F.sum(F.octet_length("value"))).first()[0]
-    return Trained(merged, finished, bits, int(n or 0), int(v or 0), int(total[1]), int(size or 0))
+    size = merged.filter("kind = 2").agg(F.sum(F.octet_length("value"))).first()[0]
+    start = sum(float(tk.unpack(bytes(r[0]), ("f8",))[0][0]) for r in finished.filter("kind = 4").select("value").collect())  # one row
+    return Trained(merged, finished, bits, int(n or 0), int(v or 0), int(total[1]), int(size or 0), probes, start)
 
 
 def _parts(df: DataFrame) -> dict[int, np.ndarray]:
@@ -311,16 +336,16 @@ def filter_arrays(df: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return sizes, np.concatenate([*(parts[b] for b in sorted(parts)), np.zeros(1, np.uint8)])
 
 
-def exact_counts(trained: Trained) -> tuple[np.ndarray, np.ndarray]:
-    """Token keys in order and their exact counts (callers check n_types first)."""
+def exact_counts(trained: Trained) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token keys in order, their exact counts and what their pairs take (callers check n_types first)."""
     parts = _parts(trained.finished.filter("kind = 0"))
-    keys, counts = np.zeros(trained.n_types, U), np.zeros(trained.n_types, np.uint32 if trained.n_tokens < 2**32 else U)
+    keys, counts, taken = np.zeros(trained.n_types, U), np.zeros(trained.n_types, np.uint32 if trained.n_tokens < 2**32 else U), np.zeros(trained.n_types, np.float32)
     at = 0
     for b in sorted(parts):
-        k, n = tk.unpack(parts.pop(b), ("u8", "u8"))
-        keys[at : at + len(k)], counts[at : at + len(k)] = k, n
+        k, n, t = tk.unpack(parts.pop(b), ("u8", "u8", "f8"))
+        keys[at : at + len(k)], counts[at : at + len(k)], taken[at : at + len(k)] = k, n, t
         at += len(k)
-    return keys, counts
+    return keys, counts, taken
 
 
 SCORED = "doc_id long, row_key long, n_tokens long, n_known long, base_score double, score double"
@@ -336,23 +361,19 @@ def score(docs: DataFrame, trained: Trained, broadcast_bytes: int = BROADCAST_BY
     if trained.filter_bytes > broadcast_bytes or trained.n_types > broadcast_tokens:
         return _by_shuffle(keyed, trained)
     sc, bits = docs.sparkSession.sparkContext, trained.bits
-    words = sc.broadcast(filter_arrays(trained.finished.filter("kind = 3"), bits))
     pairs = sc.broadcast(filter_arrays(trained.merged.filter("kind = 2"), bits))
     exact = sc.broadcast(exact_counts(trained))
-    n, v, n_texts = trained.n_tokens, trained.n_types, trained.n_texts
+    n, v, n_texts, probes, start = trained.n_tokens, trained.n_types, trained.n_texts, trained.probes, trained.start
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(WordFilter(*words.value, bits), LogFrequencyFilter(*pairs.value, bits), n, v, n_texts)
-        keys, counts = exact.value
+        model = Model(*exact.value, LogFrequencyFilter(*pairs.value, bits, probes), n, v, n_texts, start)
         for batch in tk.slices(batches, size=4 << 20):
             doc, key, before = word_keys(tk.split_words(batch.column(2), lower=True))
             m = batch.num_rows
-            score = np.bincount(doc, model.log_probs(key, before), m)
-            distinct, back = np.unique(key, return_inverse=True)
-            at = np.searchsorted(keys, distinct)
-            c = np.where((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == distinct), counts[np.minimum(at, len(keys) - 1)], 0) if len(keys) else np.zeros(len(distinct))
-            base = np.bincount(doc, np.log10((c + 1.0) / (n + v + 1.0))[back], m)
-            known = np.bincount(doc, (c > 0)[back], m).astype(np.int64)
+            logp, c = model.log_probs(key, before)
+            score = np.bincount(doc, logp, m)
+            base = np.bincount(doc, np.log10((c + 1.0) / (n + v + 1.0)), m)
+            known = np.bincount(doc, c > 0, m).astype(np.int64)
             tokens = np.bincount(doc, minlength=m).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "row_key", "n_tokens", "n_known", "base_score", "score"])
 
@@ -367,6 +388,7 @@ def _by_shuffle(keyed: DataFrame, trained: Trained) -> DataFrame:
     own pairs, where adaptive execution splits the frequent ones.
     """
     bits, n, v, n_texts = trained.bits, trained.n_tokens, trained.n_types, float(max(1, trained.n_texts))
+    probes, start = trained.probes, trained.start
     bucket_of = lambda k: (k >> U(64 - bits)).astype(np.int32) if bits else np.zeros(len(k), np.int32)
     signed = lambda k: pa.array(k.view(np.int64))
 
@@ -383,27 +405,20 @@ def _by_shuffle(keyed: DataFrame, trained: Trained) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), signed(b[head]), signed(k[head]), pa.array(m.astype(np.int64))], ["doc_id", "row_key", "before", "token", "m"])
 
     def probe_words(asked: pa.Table, parts: pa.Table) -> pa.Table:
-        """Exact count, and stored counts of the token and of its followers."""
+        """The token's exact count and what its pairs take."""
         k = np.asarray(asked.column("token").combine_chunks()).view(U)
-        c, level, followers = np.zeros(len(k), np.int64), np.zeros(len(k)), np.zeros(len(k))
-        for kind, value in zip(parts.column("kind").to_pylist(), parts.column("value"), strict=True):
-            if kind == 0:
-                keys, counts = tk.unpack(value.as_py(), ("u8", "u8"))
-                at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
-                c = np.where(keys[at] == k, counts[at], 0).astype(np.int64) if len(keys) else c
-            else:
-                part = _one_part(value.as_py())
-                zero = np.zeros(len(k), np.int64)
-                level = level_count(part._probe(kind_key("word", k), zero))
-                followers = level_count(part._probe(kind_key("followers", top_half(k).astype(U)), zero))
-        return pa.table([asked.column("token"), pa.array(c), pa.array(level), pa.array(followers)], ["token", "c", "stored", "followers"])
+        c, taken = np.zeros(len(k), np.int64), np.zeros(len(k))
+        for value in parts.column("value"):
+            keys, counts, sums = tk.unpack(value.as_py(), ("u8", "u8", "f8"))
+            c, taken = of_sorted(keys, counts, k).astype(np.int64), of_sorted(keys, sums.astype(np.float32), k).astype(float)
+        return pa.table([asked.column("token"), pa.array(c), pa.array(taken)], ["token", "c", "taken"])
 
     def probe_pairs(asked: pa.Table, parts: pa.Table) -> pa.Table:
         k = np.asarray(asked.column("pair").combine_chunks()).view(U)
-        out = np.zeros(len(k))
+        out = np.zeros(len(k), np.int64)
         for value in parts.column("value"):
-            out = level_count(_one_part(value.as_py())._probe(k, np.zeros(len(k), np.int64)))
-        return pa.table([asked.column("pair"), pa.array(out)], ["pair", "probed"])
+            out = _one_part(value.as_py(), probes)._probe(k, np.zeros(len(k), np.int64))
+        return pa.table([asked.column("pair"), pa.array(out)], ["pair", "level"])
 
     def with_bucket(batches):
         for batch in batches:
@@ -418,22 +433,22 @@ def _by_shuffle(keyed: DataFrame, trained: Trained) -> DataFrame:
     def probability(batches):
         for batch in batches:
             before = np.asarray(batch.column(0)).view(U)
-            c, ch, fh, pair = (np.asarray(batch.column(i), np.float64) for i in range(2, 6))
-            ch = np.where(before == START, n_texts, ch)
-            pair = np.where((ch > 0) & (c > 0), pair, 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(log_prob(c, ch, fh, pair, n, v))], ["before", "token", "logp"])
+            c, ch, sh = (np.asarray(batch.column(i), np.float64) for i in range(2, 5))
+            ch, sh = np.where(before == START, n_texts, ch), np.where(before == START, start, sh)
+            level = np.asarray(batch.column(5), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(log_prob(c, ch, sh, level, n, v))], ["before", "token", "logp"])
 
     own = materialize(keyed.mapInArrow(pairs_of, "doc_id long, row_key long, before long, token long, m long"), "lm-probes")
     distinct = own.select("before", "token").distinct().mapInArrow(with_pair, "before long, token long, pair long")
     distinct = materialize(distinct, "lm-distinct")
     asked = distinct.select("token").unionByName(distinct.select(F.col("before").alias("token"))).distinct().mapInArrow(with_bucket, "token long, bucket int")
-    words = asked.groupBy("bucket").cogroup(trained.finished.groupBy("bucket")).applyInArrow(probe_words, "token long, c long, stored double, followers double")
+    words = asked.groupBy("bucket").cogroup(trained.finished.filter("kind = 0").groupBy("bucket")).applyInArrow(probe_words, "token long, c long, taken double")
     words = materialize(words, "lm-counts")
     pairs = distinct.select("pair").distinct().mapInArrow(with_bucket, "pair long, bucket int")
-    pairs = pairs.groupBy("bucket").cogroup(trained.merged.filter("kind = 2").groupBy("bucket")).applyInArrow(probe_pairs, "pair long, probed double")
-    first = words.select(F.col("token").alias("before"), F.col("stored").alias("ch"), F.col("followers").alias("fh"))
-    counts = distinct.join(pairs, "pair").join(words.select("token", "stored"), "token").join(first, "before")
-    logp = counts.select("before", "token", "stored", "ch", "fh", "probed").mapInArrow(probability, "before long, token long, logp double")
+    pairs = pairs.groupBy("bucket").cogroup(trained.merged.filter("kind = 2").groupBy("bucket")).applyInArrow(probe_pairs, "pair long, level long")
+    first = words.select(F.col("token").alias("before"), F.col("c").alias("ch"), F.col("taken").alias("sh"))
+    counts = distinct.join(pairs, "pair").join(words.select("token", "c"), "token").join(first, "before")
+    logp = counts.select("before", "token", "c", "ch", "sh", "level").mapInArrow(probability, "before long, token long, logp double")
     base = words.select("token", "c", F.log10((F.col("c") + 1.0) / F.lit(n + v + 1.0)).alias("logb"))
     m = F.col("m")
     sums = own.join(logp.join(base, "token"), ["before", "token"]).groupBy("doc_id", "row_key").agg(
@@ -447,10 +462,10 @@ def _by_shuffle(keyed: DataFrame, trained: Trained) -> DataFrame:
     return both.select("doc_id", "row_key", whole("n_tokens"), whole("n_known"), (F.col("base_score") / c).alias("base_score"), (F.col("score") / c).alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), c)).alias("_copy")).drop("_copy")
 
 
-def _one_part(value: bytes) -> LogFrequencyFilter:
+def _one_part(value: bytes, probes: int) -> LogFrequencyFilter:
     """A single part of a filter, as bucket 0."""
     data = np.frombuffer(bytes(value), np.uint8)
-    return LogFrequencyFilter(np.array([len(data)], np.int64), np.concatenate([data, np.zeros(1, np.uint8)]), 0)
+    return LogFrequencyFilter(np.array([len(data)], np.int64), np.concatenate([data, np.zeros(1, np.uint8)]), 0, probes)
 
 
 def report(docs: DataFrame, held_out: int = 2, folds: int = 7, **limits) -> DataFrame:
