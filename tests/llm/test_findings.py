@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
+import collections
 import random
 
 import numpy as np
@@ -164,3 +165,26 @@ def test_equal_hashes_of_unlike_windows(spark, monkeypatch):
     for i, spans in out.items():
         assert all(words[i + 1][s : s + n] == words[d][q : q + n] and n >= rlz.WINDOW and d < i + 1 for s, n, d, q in spans)
     assert not out[0] and not out[1]
+
+
+def test_mixed_documents_by_hand(spark):
+    """The rows of the mix hold the words that report() says were taken, also of many equal rows, whose rounds are their own."""
+    from trackweave.llm import mixing
+
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(3)) for _ in range(n))
+    same = (7, "one and the same text here", "a")
+    rows = [(100 + i, text(rng.randint(0, 60)), rng.choice("abc")) for i in range(200)] + [same] * 3000 + [(8, None, "a"), (9, "", None), (10, text(5000), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = collections.Counter()
+    for r in mixing.report(docs).collect():
+        taken[r.doc_id] += r.taken
+    got = collections.Counter()
+    whole = {}
+    for r in rows:
+        whole.setdefault(r[0], collections.Counter()).update((r[1] or "").split())
+    for r in mixing.mixed_documents(docs).collect():
+        words = r.text.split()
+        got[r.doc_id] += len(words)
+        assert words and not collections.Counter(set(words)) - whole[r.doc_id]
+    assert +got == +taken and got[7] > 0

@@ -204,11 +204,15 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     cols = docs.columns
     _, _, taken = mix(docs, n_words(F.col("text")), seed)
     rounds = taken.groupBy(*KEY, "copy", "size", "round").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("spans"), F.sum("n").alias("n"))
-    by_key = rounds.groupBy(*KEY).agg(F.collect_list(F.struct("copy", "size", "n", "spans")).alias("rounds"))
+    by_copy = rounds.groupBy(*KEY, "copy").agg(F.collect_list(F.struct("size", "n", "spans")).alias("rounds"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("doc"), named(F.col("source")).alias("src"), *row_key())
-    nth = F.row_number().over(W.partitionBy(*KEY).orderBy(F.xxhash64("doc")))
-    mine = F.filter("rounds", lambda r: r["copy"] == F.col("nth"))
-    both = rows.withColumn("nth", nth).join(by_key.hint("merge"), list(KEY)).select("doc", mine.alias("rounds")).filter(F.size("rounds") > 0)
+    # Rows and rounds of a key move together, once; then each copy meets its own rounds only.
+    blank = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    side = rows.select(*KEY, blank(by_copy, "copy"), "doc", blank(by_copy, "rounds")).unionByName(by_copy.select(*KEY, "copy", blank(rows, "doc"), "rounds"))
+    nth = F.row_number().over(W.partitionBy(*KEY).orderBy(F.col("copy").isNotNull(), F.xxhash64("doc")))
+    side = side.withColumn("nth", F.coalesce(F.col("copy").cast("int"), nth))
+    mine = F.first("rounds", True).over(W.partitionBy(*KEY, "nth").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    both = side.withColumn("rounds", mine).filter("doc is not null and rounds is not null").select("doc", "rounds")
     # The words of a row are split once, whatever the number of its rounds and spans.
     w, r = F.col("w"), F.col("r")
     part = F.array_join(F.flatten(F.transform("r.spans", lambda x: F.slice(w, (x["at"] + 1).cast("int"), x["n"].cast("int")))), " ")
