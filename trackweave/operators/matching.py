@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cells
-from .grouped import per_flight
+from .grouped import flights_in_batches
 from .joins import small
 from .keys import TIME
 from .scratch import discard, materialize
@@ -170,7 +170,8 @@ def network_filter(t: np.ndarray, z: np.ndarray, pieces: list[np.ndarray], noise
         f = np.eye(4)
         f[0, 2] = f[1, 3] = dt
         # White acceleration of 0.5 m/s2 and little more on the places themselves.
-        q = 0.25 * np.kron(np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]]), np.eye(2)) + np.diag([0.05 * dt, 0.05 * dt, 0.0, 0.0])
+        a, b, c = 0.25 * dt**3 / 3 + 0.05 * dt, 0.25 * dt**2 / 2, 0.25 * dt
+        q = np.array([[a, 0, b, 0], [0, a, 0, b], [b, 0, c, 0], [0, b, 0, c]])
         if k:
             x, p = f @ x, f @ p @ f.T + q
         fs.append(f)
@@ -222,6 +223,8 @@ def kalman_network(df: DataFrame, by: list[str], nodes: DataFrame, edges: DataFr
         a, v = np.radians(pdf["track"].to_numpy(float)), pdf["groundspeed"].to_numpy(float) * kt
         z = np.column_stack([pdf["x"], pdf["y"], v * np.sin(a), v * np.cos(a)]).astype(float)
         s = network_filter(t, z, [np.asarray(p, float).reshape(-1, 4) for p in pdf["_roads"]], bind=bind, smooth=smooth)
-        return pdf.assign(x=s[:, 0], y=s[:, 1], groundspeed=np.hypot(s[:, 2], s[:, 3]) / kt, track=np.degrees(np.arctan2(s[:, 2], s[:, 3])) % 360)
+        for c, new in (("x", s[:, 0]), ("y", s[:, 1]), ("groundspeed", np.hypot(s[:, 2], s[:, 3]) / kt), ("track", np.degrees(np.arctan2(s[:, 2], s[:, 3])) % 360)):
+            pdf[c] = new
+        return pdf
 
-    return per_flight(rows, by, run).drop("_roads")
+    return flights_in_batches(rows, by, run).drop("_roads")
