@@ -301,6 +301,13 @@ class Trajectories:
     def tail(self, n: int = 5) -> DataFrame:
         return self.df.orderBy(F.desc(keys.TIME), *self.by).limit(n)
 
+    def guarded(self, func, schema=None) -> tuple[Trajectories, DataFrame]:
+        """The flights that func(pandas rows) gives, and a table of those whose func raised."""
+        from .operators.faults import guarded
+
+        good, bad = guarded(self.df, self.by, func, schema)
+        return self._on(good), bad
+
     # Plans are lazy as they are; these end them.
     def iterate_lazy(self, iterate_kw: dict | None = None) -> Trajectories:
         return self.iterate(**(iterate_kw or {}))

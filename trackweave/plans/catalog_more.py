@@ -6,8 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import Trajectories
-from ..functions import codec
-from ..operators import aggregates, clip, detectors, flightplan, graphs, matching, ml, resample, segments, slicing, splines, windows
+from ..functions import codec, ellipsoid
+from ..operators import aggregates, clip, detectors, faults, flightplan, graphs, matching, ml, resample, segments, slicing, splines, windows
 from ..sources import aeronautical, files, modes, registers, replies
 from ..streaming import flows
 from .base import TABLES, beacons, brg, dist, flights, points, query, runs, table
@@ -559,3 +559,25 @@ def kalman_on_network(spark, d):
     nodes, edges = _streets(spark, d)
     drives = _drives(spark, d).withColumns({"groundspeed": F.lit(20.0), "track": F.lit(90.0)})
     return matching.kalman_network(drives, BY, nodes, edges, reach=60.0).select(E, r6("x"), r6("y"))
+
+
+@query("SELECT event_id, groundspeed*1000 metres, track FROM p")
+def geodesic_roundtrip(spark, d):
+    # Each report's course is followed for a kilometre a knot, and the way back is asked for its length and course.
+    p = points(spark, d).withColumn("to", ellipsoid.direct("latitude", "longitude", "track", F.col("groundspeed") * 1000))
+    p = p.withColumn("line", ellipsoid.inverse("latitude", "longitude", "to.latitude", "to.longitude"))
+    return p.select(E, F.round("line.distance", 2).alias("metres"), F.pmod(F.round("line.azimuth", 5), F.lit(360.0)).alias("track"))
+
+
+# Flights whose function fails
+
+
+@query("SELECT flight_id, count(*) n, CAST(NULL AS VARCHAR) error, CAST(NULL AS VARCHAR) message FROM f GROUP BY flight_id HAVING count(*) % 5 <> 0 UNION ALL SELECT flight_id, NULL, 'ValueError', 'rows: ' || count(*) FROM f GROUP BY flight_id HAVING count(*) % 5 = 0")
+def guarded_flights(spark, d):
+    def count(pdf):
+        if len(pdf) % 5 == 0:
+            raise ValueError(f"rows: {len(pdf)}")
+        return pdf.head(1)[BY].assign(n=len(pdf))
+
+    good, bad = faults.guarded(flights(spark, d).select("flight_id", E, "timestamp"), BY, count, "flight_id string, n long")
+    return good.unionByName(bad.select(*BY, "error", "message"), allowMissingColumns=True)
