@@ -1,11 +1,11 @@
-"""Queries: unions of polygons, with and without levels, from each user's events as boxes."""
+"""Queries: unions of polygons, with and without levels, and convex hulls, from each user's events."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import overlay
+from ..operators import hulls, overlay
 from .base import query, table
 
 
@@ -58,3 +58,18 @@ def airspace_union_levels(spark, d):
     # The slabs of equal layers are one, so what is compared is the sum over all slabs.
     parts = overlay.union_levels(_boxes(spark, d), ["user_id"])
     return parts.groupBy("user_id").agg(F.round(F.sum(F.col("area") * (F.col("upper") - F.col("lower"))), 6).alias("volume"))
+
+
+@query(
+    "WITH pt AS (SELECT DISTINCT user_id, CAST(event_id*37%1009 AS DOUBLE) x, CAST(event_id*event_id%997 AS DOUBLE) y FROM events), "
+    "sd AS (SELECT a.user_id, (b.x-a.x)/sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) u, (b.y-a.y)/sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) v, sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) d "
+    "FROM pt a JOIN pt b ON a.user_id=b.user_id AND (a.x<b.x OR (a.x=b.x AND a.y<b.y))), "
+    "ar AS (SELECT user_id, u, v, (max(x*u+y*v)-min(x*u+y*v))*(max(y*u-x*v)-min(y*u-x*v)) area FROM (SELECT DISTINCT user_id, u, v FROM sd) s JOIN pt USING (user_id) GROUP BY user_id, u, v), "
+    "dm AS (SELECT user_id, max(d) diameter FROM sd GROUP BY user_id), nn AS (SELECT user_id, count(*) n FROM events GROUP BY user_id) "
+    "SELECT user_id, n, round(coalesce(min(area), 0), 4) rectangle, round(coalesce(any_value(diameter), 0), 6) diameter FROM nn LEFT JOIN ar USING (user_id) LEFT JOIN dm USING (user_id) GROUP BY user_id, n"
+)
+def flight_hulls(spark, d):
+    # In SQL every line through two places is tried as a side of the rectangle.
+    e = F.col("event_id")
+    p = table(spark, d, "events").select("user_id", (e * 37 % 1009).alias("x"), (e * e % 997).alias("y"))
+    return hulls.hulls(p, ["user_id"]).select("user_id", "n", F.round(F.col("length") * F.col("width"), 4).alias("rectangle"), F.round("diameter", 6).alias("diameter"))
