@@ -211,12 +211,12 @@ def modes_velocity(spark, d):
     return modes.decode(p).select(E, r6("groundspeed"), F.round(F.col("track") + 0.0, 6).alias("track"), (F.col("vertical_rate") + 0.0).alias("vertical_rate"))
 
 
-@query("SELECT event_id, true near FROM p WHERE event_id%2=1")
+@query("SELECT event_id, true near FROM p")
 def modes_position(spark, d):
     # Each report is sent as an even frame and, a second later, as an odd one.
     p = points(spark, d)
     lat, lon = F.col("latitude"), F.col("longitude")
-    both = p.filter(F.col(E) % 2 == 1).select(E, "timestamp", "latitude", "longitude", F.explode(F.array(F.lit(0), F.lit(1))).alias("odd"))
+    both = p.select(E, "timestamp", "latitude", "longitude", F.explode(F.array(F.lit(0), F.lit(1))).alias("odd"))
     d_lat = 360.0 / (60 - F.col("odd"))
     yz = F.pmod(F.floor(131072 * F.pmod(lat, d_lat) / d_lat + 0.5), F.lit(131072))
     r_lat = d_lat * (yz / 131072.0 + F.floor(lat / d_lat))
@@ -374,13 +374,13 @@ def _linked(spark, d):
     return w.select("way", "points").unionByName(link)
 
 
-@query("PLAIN SELECT CAST(25 AS BIGINT) nodes FROM range(5)")
+@query("SELECT 5*count(*) nodes FROM nation GROUP BY n_nationkey//5")
 def graph_components(spark, d):
     nodes, edges = graphs.from_ways(_linked(spark, d))
     return graphs.components(nodes, edges).groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).select("nodes")
 
 
-@query("PLAIN SELECT CAST(0 AS BIGINT) kind, CAST(125 AS BIGINT) n UNION ALL SELECT 1, 120")
+@query("SELECT CAST(0 AS BIGINT) kind, 5*count(*) n FROM nation UNION ALL SELECT 1, CAST(4*count(*)+count(CASE WHEN n_nationkey%5 < 4 THEN 1 END) AS BIGINT) FROM nation")
 def graph_from_ways(spark, d):
     nodes, edges = graphs.from_ways(_linked(spark, d))
     return nodes.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).cast("long").alias("kind"), "n").unionByName(edges.agg(F.count(F.lit(1)).alias("n")).select(F.lit(1).cast("long").alias("kind"), "n"))
@@ -478,15 +478,28 @@ def stream_sessions(spark, d):
 # Wind
 
 
-@query("PLAIN SELECT CAST(1 AS BIGINT) one, true ok")
+@query("SELECT event_id, round(5+2*(longitude-3)-(latitude-45)+altitude/100, 3)+0.0 wind_u FROM p")
 def wind_plane(spark, d):
-    # A wind that is a plane by making is found again.
-    p = ml._wind_axes(points(spark, d), 45.0, 3.0)
-    p = p.withColumns({"wind_u": 5 + 2 * F.col("_x") - F.col("_y") + 3 * F.col("_h"), "wind_v": -1 + F.col("_x") * 0.5 + F.col("_h")}).drop("_x", "_y", "_h", "_1")
-    plane = ml.fit_wind(p, 45.0, 3.0)
-    again = ml.interpolate_wind(p.drop("wind_v").withColumnRenamed("wind_u", "was"), plane, 45.0, 3.0)
-    worst = again.agg(F.max(F.abs(F.col("wind_u") - F.col("was"))).alias("m"))
-    return worst.select(F.lit(1).cast("long").alias("one"), (F.col("m") < 1e-4).alias("ok"))
+    # A wind that is a plane over the map by making is found again from the rows that know it, and filled in at all rows.
+    lat, lon = F.col("latitude"), F.col("longitude")
+    p = points(spark, d).withColumn("wind_u", 5 + 2 * (lon - 3) - (lat - 45) + F.col("altitude") / 100).withColumn("all", F.lit(0))
+    model = ml.fit_field(p.filter("event_id % 3 <> 0"), ("wind_u",), ("longitude", "latitude", "altitude"), ["all"], ridge=1e-12)
+    out = ml.interpolate_field(p.drop("wind_u"), model, ("wind_u",), ("longitude", "latitude", "altitude"), ["all"])
+    return out.select(E, (F.round("wind_u", 3) + 0.0).alias("wind_u"))
+
+
+_WIND_U = "(icao24%3-1)*(longitude-3)*(longitude-3)+2*(longitude-3)*altitude/500-altitude*altitude*CAST(2.000371e-5 AS DOUBLE)+icao24%3"
+
+
+@query(f"SELECT event_id, round({_WIND_U}, 5)+0.0 wind_u, round(3*(longitude-3)-altitude/100, 5)+0.0 wind_v FROM p")
+def wind_field(spark, d):
+    # A wind of degree two, another one for each of three regions.
+    x, h, region = F.col("longitude") - 3, F.col("altitude"), (F.col("icao24") % 3).alias("region")
+    p = points(spark, d).select("*", region).withColumns({"wind_u": (F.col("region") - 1) * x * x + 2 * x * h / 500 - h * h * 2.000371e-5 + F.col("region"), "wind_v": 3 * x - h / 100})
+    axes, names = ("longitude", "altitude"), ("wind_u", "wind_v")
+    model = ml.fit_field(p.filter("event_id % 2 = 0"), names, axes, ["region"], ridge=1e-12)
+    out = ml.interpolate_field(p.drop(*names), model, names, axes, ["region"])
+    return out.select(E, *[(F.round(c, 5) + 0.0).alias(c) for c in names])
 
 
 @query("SELECT icao24, count(DISTINCT event_type) kinds, CASE WHEN count(DISTINCT event_type)=1 THEN max(event_type) END only_kind FROM p GROUP BY icao24")
