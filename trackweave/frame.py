@@ -325,6 +325,12 @@ class Trajectories:
             self.df.write.parquet(cache_file)
             return self._on(spark.read.schema(self.df.schema).parquet(cache_file))
 
+    def kept(self, folder: str, version: str | None = None, max_age: float | None = None) -> Trajectories:
+        """The collection as it was written for the same plan and files, else written now; see operators.kept."""
+        from .operators.kept import kept
+
+        return self._on(kept(self.df, folder, version, max_age))
+
     def to_parquet(self, path: str, **options) -> None:
         self.df.write.parquet(path, **options)
 
