@@ -83,3 +83,26 @@ def test_polygons_with_holes_and_levels(spark):
     layers = spark.createDataFrame([("a", box(0, 0, 2, 2), 0.0, 100.0), ("a", box(1, 0, 3, 2), 50.0, 150.0), ("a", box(0, 0, 1, 1), 150.0, None)], "k string, ring array<struct<x:double,y:double>>, lower double, upper double")
     got = {(r.lower, r.upper): round(r.area, 9) for r in overlay.union_levels(layers, ["k"]).collect()}
     assert got == {(0.0, 50.0): 4, (50.0, 100.0): 6, (100.0, 150.0): 4, (150.0, math.inf): 1}
+
+
+def test_distance_to_a_zone(spark):
+    """Against the boundary, cut into short pieces and measured on the sphere."""
+    from trackweave import Trajectories
+
+    rng = random.Random(4)
+    ring = star(rng, 2.0, 44.0, 0.8)
+    fine = [(a[0] + (b[0] - a[0]) * k / 400, a[1] + (b[1] - a[1]) * k / 400) for a, b in zip(ring, ring[1:] + ring[:1]) for k in range(400)]
+
+    def metres(x1, y1, x2, y2):
+        h = math.sin(math.radians(y2 - y1) / 2) ** 2 + math.cos(math.radians(y1)) * math.cos(math.radians(y2)) * math.sin(math.radians(x2 - x1) / 2) ** 2
+        return 2 * 6371000 * math.asin(math.sqrt(h))
+
+    rows = [(i, 44 + rng.uniform(-1, 1), 2 + rng.uniform(-1, 1)) for i in range(120)] + [(900, None, 1.0)]
+    t = Trajectories(spark.createDataFrame(rows, "flight_id long, latitude double, longitude double"), ["flight_id"])
+    zones = spark.createDataFrame([("z", ring), ("other", ring[:3])], "name string, ring array<struct<x:double,y:double>>")
+    got = {r.flight_id: r.distance for r in t.distance_to_zone(zones, "z").df.collect()}
+    assert len(got) == 121 and got[900] is None
+    for i, lat, lon in rows[:-1]:
+        want = min(metres(lon, lat, x, y) for x, y in fine) * (-1 if inside(lon, lat, ring) else 1)
+        assert abs(got[i] - want) < 0.003 * abs(want) + 300, (i, got[i], want)
+    assert {r.distance for r in t.distance_to_zone(zones, "no such").df.collect()} == {None}

@@ -186,6 +186,19 @@ class Trajectories:
     def takeoff(self, *args, method: str = "default", **kwargs) -> Segments:
         return self._method("takeoff", method, *args, **kwargs)
 
+    # Older names of the same.
+    def aligned_on_ils(self, *args, **kwargs) -> Segments:
+        return self.aligned(*args, method="ils", **kwargs)
+
+    def aligned_on_navpoint(self, *args, **kwargs) -> Segments:
+        return self.aligned(*args, method="beacon", **kwargs)
+
+    def aligned_on_runway(self, *args, **kwargs) -> Segments:
+        return self.aligned(*args, method="runway", **kwargs)
+
+    def takeoff_from_runway(self, *args, **kwargs) -> Segments:
+        return self.takeoff(*args, method="polygon_based", **kwargs)
+
     def go_around(self, *args, method: str = "default", **kwargs) -> DataFrame:
         return self._method("go_around", method, *args, **kwargs)
 
@@ -240,6 +253,12 @@ class Trajectories:
         return self._at_airport(airport, airports, "takeoff")
 
     # Shapes
+    def distance_to_zone(self, zones: DataFrame, zone: str, name: str = "distance") -> Trajectories:
+        """Adds the metres to the boundary of a zone, negative inside."""
+        from .operators.clip import distance_to_zone
+
+        return self._on(distance_to_zone(self.df, zones, zone, name))
+
     def clip(self, zones: DataFrame, strict: bool = True) -> Trajectories:
         """Rows from a flight's first entry into a polygon to its last exit there, as index_ and zone tell."""
         return Trajectories(clip.clip(self.df, zones, self.by, strict), [*self.by, "zone"])

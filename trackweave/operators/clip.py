@@ -91,3 +91,25 @@ def intersects(df: DataFrame, zones: DataFrame, by: list[str]) -> DataFrame:
     above = F.col("lower").isNull() | F.col("za").isNull() | (F.greatest("za", "zb") > 100 * F.col("lower"))
     below = F.col("upper").isNull() | F.col("za").isNull() | (F.least("za", "zb") < 100 * F.col("upper"))
     return p.filter(above & below).select(*by, "zone").distinct()
+
+
+def distance_to_zone(df: DataFrame, zones: DataFrame, zone: str, name: str = "distance") -> DataFrame:
+    """Adds the metres from each row to the boundary of a zone (name, ring of struct x, y), negative inside.
+
+    Measured in a plane about the middle of the zone's box; null where a
+    coordinate is, or where there is no such zone.  The ring is projected once
+    and goes to all tasks: a row of one zone.
+    """
+    side = lambda f, k: f(F.transform("ring", lambda p: p[k]))
+    one = zones.filter(F.col("name") == zone).limit(1).select("ring", ((side(F.array_min, "x") + side(F.array_max, "x")) / 2).alias("_lon0"), ((side(F.array_min, "y") + side(F.array_max, "y")) / 2).alias("_lat0"))
+
+    def corner(p: Column) -> Column:
+        x, y = geo.azimuthal(p["y"], p["x"], F.col("_lat0"), F.col("_lon0"))
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    flat = one.select("_lat0", "_lon0", F.transform("ring", corner).alias("_ring"), F.lit(0).alias("_zone"))
+    j = df.withColumn("_zone", F.lit(0)).join(F.broadcast(flat), "_zone", "left")
+    x, y = geo.azimuthal("latitude", "longitude", F.col("_lat0"), F.col("_lon0"))
+    j = j.withColumns({"_x": x, "_y": y})
+    sign = F.when(geo.in_ring("_x", "_y", "_ring"), -1.0).otherwise(1.0)
+    return j.withColumn(name, geo.ring_distance("_x", "_y", "_ring") * sign).drop("_zone", "_lat0", "_lon0", "_ring", "_x", "_y")

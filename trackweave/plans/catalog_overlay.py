@@ -1,12 +1,12 @@
-"""Queries: unions of polygons, with and without levels, and convex hulls, from each user's events."""
+"""Queries: unions of polygons, with and without levels, convex hulls and distances to a zone, from each user's events."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import hulls, overlay
-from .base import query, table
+from ..operators import clip, hulls, overlay
+from .base import brg, dist, points, query, table
 
 
 def _boxes(spark, d) -> DataFrame:
@@ -73,3 +73,21 @@ def flight_hulls(spark, d):
     e = F.col("event_id")
     p = table(spark, d, "events").select("user_id", (e * 37 % 1009).alias("x"), (e * e % 997).alias("y"))
     return hulls.hulls(p, ["user_id"]).select("user_id", "n", F.round(F.col("length") * F.col("width"), 4).alias("rectangle"), F.round("diameter", 6).alias("diameter"))
+
+
+def _flat(lat: str, lon: str, which: str) -> str:
+    """A place in the plane about the zone's middle, in SQL."""
+    return f"({dist('43.8', '2.4', lat, lon)}*1852.0*{which}(radians({brg('43.8', '2.4', lat, lon)})))"
+
+
+@query(
+    f"SELECT event_id, round(min(d)*CASE WHEN sum(c)%2=1 THEN -1 ELSE 1 END, 3) distance FROM (SELECT event_id, CASE WHEN (y1>py)<>(y2>py) AND px<(x2-x1)*(py-y1)/(y2-y1)+x1 THEN 1 ELSE 0 END c, "
+    "sqrt((px-x1-t*(x2-x1))*(px-x1-t*(x2-x1))+(py-y1-t*(y2-y1))*(py-y1-t*(y2-y1))) d FROM (SELECT *, greatest(0.0, least(1.0, ((px-x1)*(x2-x1)+(py-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) t "
+    f"FROM (SELECT event_id, {_flat('latitude', 'longitude', 'sin')} px, {_flat('latitude', 'longitude', 'cos')} py FROM p) a, "
+    "(SELECT x x1, y y1, coalesce(lead(x) OVER (ORDER BY i), first(x) OVER (ORDER BY i)) x2, coalesce(lead(y) OVER (ORDER BY i), first(y) OVER (ORDER BY i)) y2 FROM "
+    f"(SELECT i, {_flat('la', 'lo', 'sin')} x, {_flat('la', 'lo', 'cos')} y FROM (SELECT unnest([0,1,2,3]) i, unnest([43.3, 43.3, 44.3, 44.3]) la, unnest([1.6, 3.2, 3.2, 1.6]) lo FROM nation WHERE n_name='NATION_7'))) s)) GROUP BY event_id"
+)
+def zone_distance(spark, d):
+    at = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    zones = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.array(at(1.6, 43.3), at(3.2, 43.3), at(3.2, 44.3), at(1.6, 44.3)).alias("ring"))
+    return clip.distance_to_zone(points(spark, d), zones, "NATION_7").select("event_id", F.round("distance", 3).alias("distance"))
