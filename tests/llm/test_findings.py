@@ -188,3 +188,37 @@ def test_mixed_documents_by_hand(spark):
         got[r.doc_id] += len(words)
         assert words and not collections.Counter(set(words)) - whole[r.doc_id]
     assert +got == +taken and got[7] > 0
+
+
+def test_a_stored_map_is_used_and_edited(spark, tmp_path):
+    """op9: a second call uses the stored map; drifted rows move few bytes as the next version; new slots find a shard."""
+    from trackweave.llm import sharding
+
+    rng = random.Random(12)
+    rows = [(i, "x" * rng.randint(1, 200)) for i in range(3000)]
+    path = str(tmp_path / "map")
+    placed = lambda rs: {r.doc_id: r for r in sharding.shard(spark.createDataFrame(rs, "doc_id long, text string"), 6, 256, path).collect()}
+    first = placed(rows)
+    again = placed(rows)
+    assert {i: (r.shard, r.slot) for i, r in first.items()} == {i: (r.shard, r.slot) for i, r in again.items()}
+    assert spark.read.parquet(path).select("version").distinct().count() == 1
+    # Shard 0 grows by a half.
+    grown = [(i, t * 2 if first[i].shard == 0 and i % 2 else t) for i, t in rows]
+    slot_of = {r.doc_id: r.vslot for r in sharding.with_slots(spark.createDataFrame(grown, "doc_id long, text string"), 256).collect()}
+    after = placed(grown)
+    was = {r.vslot: r.shard for r in sharding.load_map(spark, path, 1).collect()}
+    newest = {r.vslot: r.shard for r in sharding.load_map(spark, path).collect()}
+    loads, stay, moved = collections.Counter(), collections.Counter(), 0
+    for i, r in after.items():
+        loads[r.shard] += r.size
+        stay[was.get(slot_of[i], newest[slot_of[i]])] += r.size
+        moved += r.size if slot_of[i] in was and was[slot_of[i]] != newest[slot_of[i]] else 0
+    mean = sum(loads.values()) / 6
+    assert max(stay.values()) > 1.05 * mean >= max(loads.values()) and loads.keys() == set(range(6))
+    excess = sum(max(0, v - mean) for v in stay.values())
+    assert 0 < moved <= 1.3 * excess
+    assert spark.read.parquet(path).agg({"version": "max"}).first()[0] == 2
+    places = collections.defaultdict(list)
+    for r in after.values():
+        places[r.shard].append(r.slot)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_open_lists: list[list[DataFrame]] = []
+#: Lists that materialize() adds to: those of the running thread or task only.
+_open_lists: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open_lists", default=())
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -60,7 +62,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    for written in _open_lists:
+    for written in _open_lists.get():
         written.append(out)
     return out
 
@@ -69,11 +71,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def inner_tables() -> Iterator[list[DataFrame]]:
     """Lists the tables that materialize() writes inside, for discard() once what needs them is written."""
     written: list[DataFrame] = []
-    _open_lists.append(written)
+    outer = _open_lists.set((*_open_lists.get(), written))
     try:
         yield written
     finally:
-        _open_lists.remove(written)
+        _open_lists.reset(outer)
 
 
 def discard(*tables: DataFrame) -> None:
