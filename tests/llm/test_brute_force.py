@@ -362,7 +362,7 @@ def test_lm_probabilities_sum_to_one(spark, texts, words_each):
     rng = random.Random(9)
     pool = ["".join(rng.choice("abcdefghijklmno") for _ in range(6)) for _ in range(200 * texts)]
     phrases = [" ".join(rng.choice(pool[:300]) for _ in range(5)) for _ in range(60)]
-    word = lambda: pool[min(int(rng.paretovariate(0.6)) - 1, len(pool) - 1)]
+    word = lambda: pool[int(len(pool) ** rng.random()) - 1]  # noqa: E731 - as in Zipf's law
     rows = [(i, " ".join(rng.choice(phrases) if rng.random() < 0.1 else word() for _ in range(words_each))) for i in range(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     trained = lm.train(docs.select("text"))
