@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import schema
-from .operators import aggregates, clip, detectors, grouped, intervals, joins, keys, ml, references, resample, segments, sets, slicing, windows
+from .operators import aggregates, clip, detectors, grouped, holding, intervals, joins, keys, ml, references, resample, segments, sets, slicing, windows
 from .pieces import Segments
 
 
@@ -399,7 +399,7 @@ METHODS = {
     "landing": {"default": detectors.ils_aligned, "aligned_on_ils": detectors.ils_aligned, "any": detectors.landing_attempts, "runway_change": detectors.runway_change},
     "takeoff": {"default": detectors.takeoff_runs, "polygon_based": detectors.takeoff_runs, "track_based": detectors.track_takeoffs},
     "go_around": {"default": detectors.go_around},
-    "holding_pattern": {"default": detectors.holding},
+    "holding_pattern": {"default": detectors.holding, "rule": detectors.holding, "learned": holding.learned},
     "point_merge": {"default": detectors.point_merge},
     "thermals": {"default": detectors.thermals},
     "movement": {"default": detectors.moving, "start_moving": detectors.moving, "slow_taxi": detectors.slow_taxi},

@@ -1,11 +1,11 @@
-"""Queries: unions of polygons, with and without levels, convex hulls and distances to a zone, from each user's events."""
+"""Queries: unions of polygons, with and without levels, convex hulls, distances to a zone, learned holding patterns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clip, hulls, overlay
+from ..operators import clip, holding, hulls, overlay
 from .base import brg, dist, points, query, table
 
 
@@ -91,3 +91,12 @@ def zone_distance(spark, d):
     at = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
     zones = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.array(at(1.6, 43.3), at(3.2, 43.3), at(3.2, 44.3), at(1.6, 44.3)).alias("ring"))
     return clip.distance_to_zone(points(spark, d), zones, "NATION_7").select("event_id", F.round("distance", 3).alias("distance"))
+
+
+@query("SELECT c_custkey flight_id FROM customer WHERE c_custkey%2=1 AND c_custkey%3=0")
+def holding_learned(spark, d):
+    # A flight is made for each customer; the even ones teach which windows hold, the odd ones are judged.
+    seeds = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("flight_id"), (F.col("c_custkey") % 3 == 0).alias("holds"))
+    model = holding.trained(spark, seeds.filter("flight_id % 2 = 0"))
+    made = holding.generated(seeds.filter("flight_id % 2 = 1")).drop("holds")
+    return holding.learned(made, ["flight_id"], model).select("flight_id").distinct()
