@@ -10,6 +10,8 @@ are edited along it in a stream.
 from __future__ import annotations
 
 import hashlib
+import json
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -105,7 +107,9 @@ def ordered(rows: DataFrame) -> DataFrame:
         "conv_id", F.when(~gone, F.col("turn")).alias("turn"), F.when(gone, "").otherwise(F.coalesce("role", F.lit(" "))).alias("role"), F.when(gone, "").otherwise(F.coalesce("text", F.lit(" "))).alias("text"), "copies"
     ).groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies"))
     alike = alike.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256)).withColumn("place", F.struct(F.col("turn").isNotNull().alias("has"), F.col("turn").alias("at")))
-    firsts = alike.where("copies > 0").groupBy(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("digest").alias("d")).agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Rows without a copy are left out inside the sums, so that both sides read one shuffle.
+    there = F.col("copies") > 0
+    firsts = alike.groupBy(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("digest").alias("d")).agg(F.min(F.when(there, F.col("place"))).alias("first"), F.count(F.when(there, 1)).alias("n")).where("n > 1")
     joined = alike.join(firsts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("role") == F.col("r")) & (F.col("digest") == F.col("d")), "left")
     trimmed = F.rtrim(F.col("text"), F.lit(_SPACE))
     return (
@@ -158,11 +162,11 @@ class Block:
 _BLOCK = pa.schema(
     [("part", pa.int64()), ("no", pa.int64()), ("phase", pa.int32()), ("first", pa.bool_()), ("costs", pa.list_(pa.int64())), ("audits", pa.list_(pa.string()))]
     + [(c, pa.int64()) for c in ("n", "blank", "duplicate", "truncated", "illegal", "turns", "low", "high")] + [("head", pa.string()), ("tail", pa.string())]
-    + [("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("copies", pa.list_(pa.int64()))]
+    + [("rows", pa.binary())]
 )
 _BLOCK_SQL = (
     "part bigint, no bigint, phase int, first boolean, costs array<bigint>, audits array<string>, n bigint, blank bigint, duplicate bigint, truncated bigint, "
-    "illegal bigint, turns bigint, low bigint, high bigint, head string, tail string, roles array<string>, texts array<string>, copies array<bigint>"
+    "illegal bigint, turns bigint, low bigint, high bigint, head string, tail string, rows binary"
 )
 
 
@@ -181,7 +185,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         flat = [x for p in b.passes for x in (p or [None] * 4)]
         one = {"conv_id": b.conv, "part": part, "no": no, "first": b.first, "costs": [x and x[0] for x in flat], "audits": [x and x[1] for x in flat]}
         more = {k: getattr(b, k) for k in ("n", "blank", "duplicate", "truncated", "illegal", "turns", "low", "high", "head", "tail")}
-        made.extend((one | {"phase": 0}, one | {"phase": 1} | more | {"roles": [r[0] for r in b.rows], "texts": [r[1] for r in b.rows], "copies": [r[2] for r in b.rows]}))
+        made.extend((one | {"phase": 0}, one | {"phase": 1} | more | {"rows": zlib.compress(json.dumps(b.rows, ensure_ascii=False).encode(), 3)}))
         held += b.bytes + 40 * b.n
         no += 1
 
@@ -264,7 +268,7 @@ class Chain:
         if b["low"] is not None:
             self.sums["turns"] -= b["low"] == self.high
             self.low, self.high = b["low"] if self.low is None else self.low, b["high"]
-        return list(edited(b["audits"][4 * i + j], i, list(zip(b["roles"], b["texts"], b["copies"], strict=True))))
+        return list(edited(b["audits"][4 * i + j], i, json.loads(zlib.decompress(b["rows"]))))
 
     def hash(self, lines: list[tuple[str, str]]) -> None:
         for role, text in lines:
