@@ -110,7 +110,8 @@ def ordered(rows: DataFrame) -> DataFrame:
     # Rows without a copy are left out inside the sums, so that both sides read one shuffle.
     there = F.col("copies") > 0
     firsts = alike.groupBy(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("digest").alias("d")).agg(F.min(F.when(there, F.col("place"))).alias("first"), F.count(F.when(there, 1)).alias("n")).where("n > 1")
-    joined = alike.join(firsts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("role") == F.col("r")) & (F.col("digest") == F.col("d")), "left")
+    # Null-safe on all keys: else "is not null" goes down one side only, which then reads a shuffle of its own.
+    joined = alike.join(firsts, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("role").eqNullSafe(F.col("r")) & F.col("digest").eqNullSafe(F.col("d")), "left")
     trimmed = F.rtrim(F.col("text"), F.lit(_SPACE))
     return (
         joined.select(
