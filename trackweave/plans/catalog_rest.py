@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -220,7 +221,7 @@ def fuel_recurrence(spark, d):
 @query('SELECT icao24, make_timestamp(CAST(round_even(epoch_us(ts)/CAST(86400000000 AS DOUBLE),0) AS BIGINT)*86400000000) rounded, max(altitude)-min(altitude) span FROM p GROUP BY 1, 2')
 def apply_time(spark, d):
     f = points(spark, d).select("icao24", "timestamp", "altitude")
-    return grouped.apply_time(f, ["icao24"], "1 d", span=lambda pdf: float(pdf.altitude.max() - pdf.altitude.min()))
+    return grouped.apply_time(f, ["icao24"], "1 d", span=lambda f: np.fmax.reduce(f["altitude"]) - np.fmin.reduce(f["altitude"]))
 
 
 @query()
