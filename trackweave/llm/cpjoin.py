@@ -167,9 +167,9 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     pairs, stars = [], []
     for depth in range(1, DEPTH + 1):
         rows = materialize(rows, f"paths-{depth}")
-        size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("no").alias("u")).filter("n > 1")
         size = materialize(size, f"nodes-{depth}")
-        small, large = size.filter(F.col("n") <= SMALL).select("node"), size.filter(F.col("n") > SMALL).select("node")
+        small, large = size.filter(F.col("n") <= SMALL).select("node"), size.filter(F.col("n") > SMALL).select("node", "u")
         held = rows.join(small, "node")
         lists = held.groupBy("node").agg(F.array_sort(F.collect_set("no")).alias("nos"))  # SMALL at most
         left = lists.select(F.posexplode("nos").alias("i", "u"), "nos").select("u", F.explode(F.slice("nos", F.col("i") + 2, SMALL)).alias("v"))
@@ -179,8 +179,7 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
             break
         inside = rows.join(large, "node")
         if depth == DEPTH:
-            lead = inside.groupBy("node").agg(F.min("no").alias("u"))
-            stars.append(inside.join(lead, "node").select("u", F.col("no").alias("v")))
+            stars.append(inside.select("u", F.col("no").alias("v")))
         else:
             rows = children(inside.join(sigs, "no"))
     found = pairs[0]
