@@ -65,3 +65,11 @@ def test_many_short_flights_take_no_group_each(spark):
     plan = grouped.sliding_windows(df, ["flight"], "1 min", "1 min")
     assert "FlatMapGroups" not in plan._jdf.queryExecution().executedPlan().toString()
     assert plan.count() == 40_000
+
+
+def test_a_message_is_computed_once(spark):
+    """The check sum read its message at each of eleven bytes, so a computed message was made again for each."""
+    from trackweave.sources import modes
+
+    plan = spark.range(3).select(modes.valid(F.concat(F.lit("8D"), F.sha1(F.col("id").cast("string").cast("binary")))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha1(") == 1

@@ -175,7 +175,7 @@ def plan_points(spark, d):
 def _message(icao, me):
     """A long squitter with the right check sum from an address (hex) and a payload of 56 bits."""
     head = F.concat(F.lit("8D"), icao, F.lpad(F.hex(me.cast("long")), 14, "0"))
-    return F.concat(head, F.lpad(F.hex(modes.checksum(F.concat(head, F.lit("000000")))), 6, "0"))
+    return modes.once(head, lambda h: F.concat(h, F.lpad(F.hex(modes.checksum(F.concat(h, F.lit("000000")))), 6, "0")))
 
 
 def _bits(*parts):
@@ -217,14 +217,15 @@ def modes_position(spark, d):
     p = points(spark, d)
     lat, lon = F.col("latitude"), F.col("longitude")
     both = p.select(E, "timestamp", "latitude", "longitude", F.explode(F.array(F.lit(0), F.lit(1))).alias("odd"))
-    d_lat = 360.0 / (60 - F.col("odd"))
-    yz = F.pmod(F.floor(131072 * F.pmod(lat, d_lat) / d_lat + 0.5), F.lit(131072))
-    r_lat = d_lat * (yz / 131072.0 + F.floor(lat / d_lat))
-    d_lon = 360.0 / F.greatest(F.lit(1), modes.zones(r_lat) - F.col("odd"))
-    xz = F.pmod(F.floor(131072 * F.pmod(lon, d_lon) / d_lon + 0.5), F.lit(131072))
+    # Step by step, as each one is read several times.
+    d_lat, yz, d_lon, xz = (F.col(c) for c in ("_d_lat", "_yz", "_d_lon", "_xz"))
+    steps = both.withColumn("_d_lat", 360.0 / (60 - F.col("odd"))).withColumn("_yz", F.pmod(F.floor(131072 * F.pmod(lat, d_lat) / d_lat + 0.5), F.lit(131072)))
+    steps = steps.withColumn("_r_lat", d_lat * (yz / 131072.0 + F.floor(lat / d_lat))).withColumn("_d_lon", 360.0 / F.greatest(F.lit(1), modes.zones(F.col("_r_lat")) - F.col("odd")))
+    steps = steps.withColumn("_xz", F.pmod(F.floor(131072 * F.pmod(lon, d_lon) / d_lon + 0.5), F.lit(131072)))
     me = _bits((11, 5), (0, 3), (16, 12), (0, 1), (F.col("odd"), 1), (yz, 17), (xz, 17))
     icao = F.lpad(F.hex(F.col(E)), 6, "0")
-    sent = both.select(F.col(E), F.timestamp_add("SECOND", F.col("odd"), "timestamp").alias("timestamp"), "latitude", "longitude", "odd", _message(icao, me).alias("rawmsg"))
+    # Exploded, so that the filter on valid messages is not moved below, where it would make each message again.
+    sent = steps.select(F.col(E), F.timestamp_add("SECOND", F.col("odd"), "timestamp").alias("timestamp"), "latitude", "longitude", "odd", F.explode(F.array(_message(icao, me))).alias("rawmsg"))
     truth = sent.select(E, "odd", F.col("latitude").alias("lat0"), F.col("longitude").alias("lon0"))
     got = modes.decode(sent.select(E, "odd", "timestamp", "rawmsg")).filter("odd = 1").join(truth.filter("odd = 1").drop("odd"), E)
     near = (F.abs(F.col("latitude") - F.col("lat0")) < 0.0005) & (F.abs(F.col("longitude") - F.col("lon0")) < 0.0005)

@@ -32,11 +32,20 @@ def _crc_table() -> list[int]:
     return out
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed a single time, however often and wherever in lambdas ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def checksum(message, size: int | Column = 11) -> Column:
     """The 24-bit remainder of a message's first bytes: all but the last three of a long one."""
+    return once(col(message), lambda m: _remainder(m, size))
+
+
+def _remainder(message: Column, size: int | Column) -> Column:
     last = F.lit(size - 1) if isinstance(size, int) else size - 1
     table = F.lit(_crc_table())
-    byte = lambda i: F.conv(F.substring(col(message), 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    byte = lambda i: F.conv(F.substring(message, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
 
     def step(crc, i):
         at = F.shiftright(crc, 16).bitwiseXOR(byte(i)).bitwiseAND(F.lit(0xFF))
@@ -47,9 +56,12 @@ def checksum(message, size: int | Column = 11) -> Column:
 
 def valid(message) -> Column:
     """Whether a text is a long squitter (formats 17 and 18) whose check sum is right."""
-    m = col(message)
-    df = F.shiftright(F.conv(F.substring(m, 1, 2), 16, 10).cast("int"), 3)
-    return F.coalesce(m.rlike("^[0-9a-fA-F]{28}$") & df.isin(17, 18) & (F.conv(F.substring(m, 23, 6), 16, 10).cast("int") == checksum(m)), F.lit(False))
+
+    def right(m: Column) -> Column:
+        df = F.shiftright(F.conv(F.substring(m, 1, 2), 16, 10).cast("int"), 3)
+        return F.coalesce(m.rlike("^[0-9a-fA-F]{28}$") & df.isin(17, 18) & (F.conv(F.substring(m, 23, 6), 16, 10).cast("int") == _remainder(m, 11)), F.lit(False))
+
+    return once(col(message), right)
 
 
 def _field(me: Column, at: int, n: int) -> Column:
