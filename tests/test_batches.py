@@ -60,7 +60,7 @@ def test_faults(spark, batch):
 
 
 def test_many_short_flights_take_no_group_each(spark):
-    """A group of its own for each flight took some 5 ms, so that these took more than a minute."""
+    """A group of its own for each flight cost far more than its rows (2,156 flights took 24 to 44 s)."""
     df = spark.range(40_000).select((F.col("id") / 2).cast("long").alias("flight"), F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("timestamp"))
     plan = grouped.sliding_windows(df, ["flight"], "1 min", "1 min")
     assert "FlatMapGroups" not in plan._jdf.queryExecution().executedPlan().toString()
