@@ -4,13 +4,16 @@ The inverse problem is solved for the first azimuth by halving: from ends put
 in a standard position, the longitude at which a geodesic reaches the second
 latitude grows with its first azimuth, for opposite points too, where the usual
 iteration doesn't settle.  Arcs and longitudes on the auxiliary sphere use
-Vincenty's series, good to less than a millimetre.
+Vincenty's series, good to less than a millimetre.  The steps run in numpy over
+whole Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,35 +26,92 @@ HALVINGS, STEPS = 54, 10
 _TINY = 1e-150
 
 
-def _let(values: dict[str, Column], then) -> Column:
-    """then(struct) of values that are computed once."""
-    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then), F.lit(0))
-
-
-def _arc_terms(cos2_alpha: Column, f: float) -> Column:
-    """The share of longitude, C, of a geodesic on the auxiliary sphere."""
-    return f / 16 * cos2_alpha * (4 + f * (4 - 3 * cos2_alpha))
-
-
-def _longitude(sigma: Column, sin_alpha0: Column, cos_2m: Column, f: float) -> Column:
+def _longitude(sigma: np.ndarray, sin_alpha0: np.ndarray, cos_2m: np.ndarray, f: float) -> np.ndarray:
     """What the longitude falls short of that on the auxiliary sphere."""
-    c = _arc_terms(1 - sin_alpha0 * sin_alpha0, f)
-    return (1 - c) * f * sin_alpha0 * (sigma + c * F.sin(sigma) * (cos_2m + c * F.cos(sigma) * (2 * cos_2m * cos_2m - 1)))
+    cos2_alpha = 1 - sin_alpha0 * sin_alpha0
+    c = f / 16 * cos2_alpha * (4 + f * (4 - 3 * cos2_alpha))
+    return (1 - c) * f * sin_alpha0 * (sigma + c * np.sin(sigma) * (cos_2m + c * np.cos(sigma) * (2 * cos_2m * cos_2m - 1)))
 
 
-def _series(u2: Column) -> tuple[Column, Column]:
+def _series(u2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
     b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
     return a, b
 
 
-def _shift(b: Column, sigma: Column, cos_2m: Column) -> Column:
-    s = F.sin(sigma)
-    return b * s * (cos_2m + b / 4 * (F.cos(sigma) * (2 * cos_2m * cos_2m - 1) - b / 6 * cos_2m * (4 * s * s - 3) * (4 * cos_2m * cos_2m - 3)))
+def _shift(b: np.ndarray, sigma: np.ndarray, cos_2m: np.ndarray) -> np.ndarray:
+    s = np.sin(sigma)
+    return b * s * (cos_2m + b / 4 * (np.cos(sigma) * (2 * cos_2m * cos_2m - 1) - b / 6 * cos_2m * (4 * s * s - 3) * (4 * cos_2m * cos_2m - 3)))
+
 
+def _reduced(lat: np.ndarray, f: float) -> np.ndarray:
+    return np.where(np.abs(lat) == 90, np.sign(lat) * (math.pi / 2), np.arctan((1 - f) * np.tan(np.radians(lat))))
 
-def _reduced(lat: Column, f: float) -> Column:
-    return F.when(F.abs(lat) == 90, F.signum(lat) * (math.pi / 2)).otherwise(F.atan((1 - f) * F.tan(F.radians(lat))))
+
+def _line(b1: np.ndarray, b2: np.ndarray, alpha1: np.ndarray, f: float) -> tuple[np.ndarray, ...]:
+    """The geodesic with a first azimuth, up to the second latitude: arc, cosine of twice its middle, sine of the azimuth at the equator, last azimuth, longitude."""
+    cb1, cb2, sb1, sb2 = np.cos(b1), np.maximum(np.cos(b2), _TINY), np.sin(b1), np.sin(b2)
+    up = np.cos(alpha1) * cb1
+    sin0 = np.sin(alpha1) * cb1
+    cos_alpha2 = np.sqrt(np.maximum(0.0, up * up + (cb2 * cb2 - cb1 * cb1))) / cb2
+    sigma1, sigma2 = np.arctan2(sb1, up), np.arctan2(sb2, cos_alpha2 * cb2)
+    omega = np.arctan2(sin0 * sb2, cos_alpha2 * cb2) - np.arctan2(sin0 * sb1, up)
+    sigma, cos_2m = sigma2 - sigma1, np.cos(sigma1 + sigma2)
+    return sigma, cos_2m, sin0, np.arctan2(sin0 / cb2, cos_alpha2), omega % (2 * math.pi) - _longitude(sigma, sin0, cos_2m, f)
+
+
+def _solve_inverse(y1: np.ndarray, x1: np.ndarray, y2: np.ndarray, x2: np.ndarray, axis: float, f: float) -> tuple[np.ndarray, ...]:
+    turn = (x2 - x1 + 180.0) % 360.0 - 180.0
+    # Standard position: the first end is the farther from the equator, and south of it; the second one lies east.
+    swap = np.abs(y1) < np.abs(y2)
+    a, b = np.where(swap, y2, y1), np.where(swap, y1, y2)
+    flip = np.where(a > 0, -1.0, 1.0)
+    b1, b2, l = np.minimum(_reduced(a * flip, f), -_TINY), _reduced(b * flip, f), np.radians(np.abs(turn))
+    low, high = np.zeros(len(l)), np.full(len(l), math.pi)
+    for _ in range(HALVINGS):
+        mid = (low + high) / 2
+        beyond = _line(b1, b2, mid, f)[4] > l
+        low, high = np.where(beyond, low, mid), np.where(beyond, mid, high)
+    equator = (b1 == -_TINY) & (b2 == 0) & (l <= (1 - f) * math.pi)
+    alpha1 = np.where(equator, math.pi / 2, (low + high) / 2)
+    sigma, cos_2m, sin0, alpha2, _ = _line(b1, b2, alpha1, f)
+    big, small = _series((1 - sin0 * sin0) * ((2 * f - f * f) / (1 - f) ** 2))
+    same = (y1 == y2) & (turn == 0)
+    length = np.where(same, 0.0, np.where(equator, axis * l, axis * (1 - f) * big * (sigma - _shift(small, sigma, cos_2m))))
+    north = lambda angle: np.where(flip < 0, math.pi - angle, angle)
+    p, q = north(alpha1), north(np.where(equator, math.pi / 2, alpha2))
+    # Swapped ends walk the line backwards.
+    fore, aft = np.where(swap, math.pi - q, p), np.where(swap, math.pi - p, q)
+    azimuth = lambda angle: np.where(same, 0.0, np.degrees(angle) * np.where(turn < 0, -1.0, 1.0) % 360.0)
+    return length, azimuth(fore), azimuth(aft)
+
+
+def _solve_direct(y: np.ndarray, x: np.ndarray, azimuth: np.ndarray, s: np.ndarray, axis: float, f: float) -> tuple[np.ndarray, ...]:
+    beta, alpha = _reduced(y, f), np.radians(azimuth)
+    sb, cb, sa, ca = np.sin(beta), np.cos(beta), np.sin(alpha), np.cos(alpha)
+    sin0, sigma1 = cb * sa, np.arctan2(sb, cb * ca)
+    big, small = _series((1 - sin0 * sin0) * ((2 * f - f * f) / (1 - f) ** 2))
+    plain = s / (axis * (1 - f) * big)
+    sigma = plain
+    for _ in range(STEPS):
+        sigma = plain + _shift(small, sigma, np.cos(2 * sigma1 + sigma))
+    ss, cs = np.sin(sigma), np.cos(sigma)
+    across = sb * ss - cb * cs * ca
+    lat2 = np.arctan2(sb * cs + cb * ss * ca, (1 - f) * np.hypot(sin0, across))
+    turn = np.arctan2(ss * sa, cb * cs - sb * ss * ca) - _longitude(sigma, sin0, np.cos(2 * sigma1 + sigma), f)
+    return np.degrees(lat2), (x + np.degrees(turn) + 180.0) % 360.0 - 180.0, np.degrees(np.arctan2(sin0, -across)) % 360.0
+
+
+def _solved(solve, names: tuple[str, str, str], four: list[Column], axis: float, f: float) -> Column:
+    """Struct of what ``solve`` finds for four columns, batch by batch; null if one of them is."""
+
+    def run(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        values = [v.to_numpy(zero_copy_only=False) for v in (a, b, c, d)]  # nulls become NaN
+        with np.errstate(invalid="ignore"):
+            return pa.StructArray.from_arrays([pa.array(v) for v in solve(*values, axis, f)], list(names))
+
+    found = F.arrow_udf(run, ", ".join(f"{n} double" for n in names))(*four)
+    return F.when((four[0] + four[1] + four[2] + four[3]).isNotNull(), found)
 
 
 def inverse(lat1, lon1, lat2, lon2, axis: float = AXIS, f: float = FLATTENING) -> Column:
@@ -60,54 +120,7 @@ def inverse(lat1, lon1, lat2, lon2, axis: float = AXIS, f: float = FLATTENING) -
     Opposite points on the equator and poles have several shortest lines, of
     which one is given; equal points have azimuth 0.
     """
-    y1, x1, y2, x2 = (col(c).cast("double") for c in (lat1, lon1, lat2, lon2))
-    turn = F.pmod(x2 - x1 + 180.0, F.lit(360.0)) - 180.0
-    # Standard position: the first end is the farther from the equator, and south of it; the second one lies east.
-    swap = F.abs(y1) < F.abs(y2)
-    a, b = F.when(swap, y2).otherwise(y1), F.when(swap, y1).otherwise(y2)
-    flip = F.when(a > 0, -1.0).otherwise(1.0)
-    first = F.least(_reduced(a * flip, f), F.lit(-_TINY))
-    given = {"b1": first, "b2": _reduced(b * flip, f), "l": F.radians(F.abs(turn)), "swap": swap, "flip": flip, "east": F.when(turn < 0, -1.0).otherwise(1.0), "same": (y1 == y2) & (turn == 0)}
-
-    def line(g: Column, alpha1: Column) -> Column:
-        """The geodesic with a first azimuth, up to the second latitude: arc, longitude, ends."""
-        cb1, cb2, sb1, sb2 = F.cos(g["b1"]), F.greatest(F.cos(g["b2"]), F.lit(_TINY)), F.sin(g["b1"]), F.sin(g["b2"])
-        up = F.cos(alpha1) * cb1
-        sin0 = F.sin(alpha1) * cb1
-        cos_alpha2 = F.sqrt(F.greatest(F.lit(0.0), up * up + (cb2 * cb2 - cb1 * cb1))) / cb2
-        sigma1, sigma2 = F.atan2(sb1, up), F.atan2(sb2, cos_alpha2 * cb2)
-        omega = F.atan2(sin0 * sb2, cos_alpha2 * cb2) - F.atan2(sin0 * sb1, up)
-        sigma = sigma2 - sigma1
-        cos_2m = F.cos(sigma1 + sigma2)
-        fields = {"sigma": sigma, "cos_2m": cos_2m, "sin0": sin0, "alpha2": F.atan2(sin0 / cb2, cos_alpha2), "omega": omega}
-        return _let(fields, lambda v: F.struct(v["sigma"].alias("sigma"), v["cos_2m"].alias("cos_2m"), v["sin0"].alias("sin0"), v["alpha2"].alias("alpha2"), (F.pmod(v["omega"], F.lit(2 * math.pi)) - _longitude(v["sigma"], v["sin0"], v["cos_2m"], f)).alias("l")))
-
-    def solve(g: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("low"), F.lit(math.pi).alias("high"))
-
-        def halve(s: Column, _: Column) -> Column:
-            mid = (s["low"] + s["high"]) / 2
-            beyond = line(g, mid)["l"] > g["l"]
-            return F.transform(F.array(beyond), lambda far: F.struct(F.when(far, s["low"]).otherwise(mid).alias("low"), F.when(far, mid).otherwise(s["high"]).alias("high")))[0]
-
-        angle = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve, lambda s: (s["low"] + s["high"]) / 2)
-        equator = (g["b1"] == -_TINY) & (g["b2"] == 0) & (g["l"] <= (1 - f) * math.pi)
-        return _let({"a1": F.when(equator, F.lit(math.pi / 2)).otherwise(angle), "equator": equator}, lambda k: _let({"line": line(g, k["a1"])}, lambda v: ends(g, k, v["line"])))
-
-    def ends(g: Column, k: Column, v: Column) -> Column:
-        u2 = (1 - v["sin0"] * v["sin0"]) * ((2 * f - f * f) / (1 - f) ** 2)
-        big, small = _series(u2)
-        length = axis * (1 - f) * big * (v["sigma"] - _shift(small, v["sigma"], v["cos_2m"]))
-        length = F.when(g["same"], 0.0).when(k["equator"], axis * g["l"]).otherwise(length)
-        alpha2 = F.when(k["equator"], F.lit(math.pi / 2)).otherwise(v["alpha2"])
-        north = lambda angle: F.when(g["flip"] < 0, math.pi - angle).otherwise(angle)
-        p, q = north(k["a1"]), north(alpha2)
-        # Swapped ends walk the line backwards.
-        fore, aft = F.when(g["swap"], math.pi - q).otherwise(p), F.when(g["swap"], math.pi - p).otherwise(q)
-        azimuth = lambda angle: F.when(g["same"], 0.0).otherwise(F.pmod(F.degrees(angle) * g["east"], F.lit(360.0)))
-        return F.struct(length.alias("distance"), azimuth(fore).alias("azimuth"), azimuth(aft).alias("azimuth_end"))
-
-    return F.when((y1 + x1 + y2 + x2).isNotNull(), _let(given, solve))
+    return _solved(_solve_inverse, ("distance", "azimuth", "azimuth_end"), [col(c).cast("double") for c in (lat1, lon1, lat2, lon2)], axis, f)
 
 
 def distance(lat1, lon1, lat2, lon2) -> Column:
@@ -117,27 +130,4 @@ def distance(lat1, lon1, lat2, lon2) -> Column:
 
 def direct(lat, lon, azimuth, metres, axis: float = AXIS, f: float = FLATTENING) -> Column:
     """Struct of latitude, longitude (-180 to 180) and azimuth at the end of a line of ``metres``; null if a value is."""
-    y, x, a, s = (col(c).cast("double") for c in (lat, lon, azimuth, metres))
-    beta, alpha = _reduced(y, f), F.radians(a)
-    given = {"b": beta, "a": alpha, "x": x, "s": s, "sin0": F.cos(beta) * F.sin(alpha), "sigma1": F.atan2(F.sin(beta), F.cos(beta) * F.cos(alpha))}
-
-    def solve(g: Column) -> Column:
-        u2 = (1 - g["sin0"] * g["sin0"]) * ((2 * f - f * f) / (1 - f) ** 2)
-        big, small = _series(u2)
-        return _let({"plain": g["s"] / (axis * (1 - f) * big), "small": small}, lambda k: arrive(g, k))
-
-    def arrive(g: Column, k: Column) -> Column:
-        step = lambda sigma, _: k["plain"] + _shift(k["small"], sigma, F.cos(2 * g["sigma1"] + sigma))
-        sigma = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), k["plain"], step)
-        return _let({"sigma": sigma}, lambda v: end(g, v["sigma"]))
-
-    def end(g: Column, sigma: Column) -> Column:
-        sb, cb = F.sin(g["b"]), F.cos(g["b"])
-        across = sb * F.sin(sigma) - cb * F.cos(sigma) * F.cos(g["a"])
-        lat2 = F.atan2(sb * F.cos(sigma) + cb * F.sin(sigma) * F.cos(g["a"]), (1 - f) * F.hypot(g["sin0"], across))
-        omega = F.atan2(F.sin(sigma) * F.sin(g["a"]), cb * F.cos(sigma) - sb * F.sin(sigma) * F.cos(g["a"]))
-        turn = omega - _longitude(sigma, g["sin0"], F.cos(2 * g["sigma1"] + sigma), f)
-        lon2 = F.pmod(g["x"] + F.degrees(turn) + 180.0, F.lit(360.0)) - 180.0
-        return F.struct(F.degrees(lat2).alias("latitude"), lon2.alias("longitude"), F.pmod(F.degrees(F.atan2(g["sin0"], -across)), F.lit(360.0)).alias("azimuth_end"))
-
-    return F.when((y + x + a + s).isNotNull(), _let(given, solve))
+    return _solved(_solve_direct, ("latitude", "longitude", "azimuth_end"), [col(c).cast("double") for c in (lat, lon, azimuth, metres)], axis, f)
