@@ -22,3 +22,10 @@ def test_precision_and_recall(spark, tmp_path):
     assert holding.learned(made.drop("holds").limit(0), ["flight_id"], model).count() == 0
     nulls = made.drop("holds").filter("flight_id < 1010").withColumn("track", F.lit(None).cast("double"))
     assert holding.learned(nulls, ["flight_id"], model).count() == 0
+
+
+def test_generated_flights_do_not_move(spark):
+    # Before, rows were shuffled by flight after they had been made: 120 for each seed, several times.
+    seeds = spark.range(50).withColumnRenamed("id", "flight_id")
+    found = holding.windows(holding.generated(seeds).drop("holds"), ["flight_id"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

@@ -15,11 +15,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.timeunits import us
+from ..functions.timeunits import micros, us
 from .keys import TIME, ordered
+from .scratch import discard, materialize
 
 #: Windows, and how far apart they begin.
 LENGTH, STEP = "8 minutes", "2 minutes"
+#: Generated flights in a task.
+FLIGHTS = 2000
 FEATURES = ["turned", "turned_all", "straight", "reached", "height", "pace"]
 
 
@@ -38,7 +41,11 @@ def windows(df: DataFrame, by: list[str], length: str = LENGTH, step: str = STEP
     rows = df.filter("latitude is not null and longitude is not null and track is not null").select(*by, TIME, "latitude", "longitude", F.col("altitude").cast("double").alias("_alt"), F.coalesce(turn, F.lit(0.0)).alias("_turn"), F.coalesce(way, F.lit(0.0)).alias("_way"), F.coalesce(minutes, F.lit(0.0)).alias("_min"))
     still = F.abs(F.col("_turn")) < 30.0 * F.col("_min")
     at = F.struct("latitude", "longitude", "_alt")
-    each = rows.groupBy(*by, F.window(TIME, length, step).alias("_w")).agg(
+    # Numbers of the windows that a row lies in, by a generator: unlike F.window() it leaves flights where they are.
+    size, pace = micros(length), micros(step)
+    last = F.floor(us(TIME) / F.lit(pace))
+    rows = rows.filter(F.col(TIME).isNotNull()).withColumn("_w", F.explode(F.sequence(last - (-(-size // pace) - 1), last))).filter(us(TIME) < F.col("_w") * pace + size)
+    each = rows.groupBy(*by, "_w").agg(
         F.count(F.lit(1)).alias("_n"), F.min(TIME).alias("start"), F.max(TIME).alias("stop"), F.min_by(at, TIME).alias("_a"), F.max_by(at, TIME).alias("_b"), F.sum("_way").alias("_path"),
         (F.sum(F.abs("_turn")) / 360).alias("turned"), (F.abs(F.sum("_turn")) / 360).alias("turned_all"), F.avg(F.when(still, 1.0).otherwise(0.0)).alias("straight"),
         (F.try_divide(F.sum(F.when(~still, F.abs("_turn"))), F.sum(F.when(~still, F.col("_min")))) / 180).alias("pace"),
@@ -87,8 +94,10 @@ def generated(seeds: DataFrame, seed: int = 0) -> DataFrame:
     Flights with an even hash (those that ``holds`` in seeds names, if it is
     there) hold from the seventh minute on, in circuits of legs and half turns
     to one side; the others fly straight on, turn once or
-    twice, weave or descend.  All have noise in their tracks.
+    twice, weave or descend.  All have noise in their tracks.  Seeds are dealt
+    by flight_id before rows are made of them, so flights needn't move later.
     """
+    seeds = seeds.repartition(-(-seeds.count() // FLIGHTS) or 1, "flight_id")
     h = lambda k, n: F.pmod(F.xxhash64("flight_id", F.lit(seed), F.lit(k)), F.lit(n))
     f = seeds.select("flight_id", (F.col("holds") if "holds" in seeds.columns else h(0, 2) == 0).alias("holds"), h(1, 360).alias("head"), F.when(h(2, 2) == 0, 1).otherwise(-1).alias("side"), (3 + h(3, 4)).alias("leg"), h(4, 4).alias("kind"), (180 + h(5, 200)).cast("double").alias("groundspeed"), (h(6, 80) / 10.0).alias("lat0"))
     f = f.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(119))))
@@ -113,8 +122,9 @@ def generated(seeds: DataFrame, seed: int = 0) -> DataFrame:
 
 def trained(spark: SparkSession, seeds: DataFrame, seed: int = 0) -> PipelineModel:
     """fit() on generated flights: windows that lie in the circuits against those of flights that don't hold."""
-    made = generated(seeds, seed)
-    kinds = made.select("flight_id", "holds").distinct()
-    found = windows(made.drop("holds"), ["flight_id"]).join(kinds, "flight_id")
+    found = windows(generated(seeds, seed), ["flight_id", "holds"])
     inside = F.unix_timestamp("start") >= 1_700_000_000 + 420
-    return fit(found.filter(~F.col("holds") | inside).withColumn("label", F.col("holds").cast("double")))
+    labelled = materialize(found.filter(~F.col("holds") | inside).select(*FEATURES, F.col("holds").cast("double").alias("label")))
+    model = fit(labelled)
+    discard(labelled)
+    return model
