@@ -99,6 +99,7 @@ def map_match(df: DataFrame, by: list[str], nodes: DataFrame, edges: DataFrame)
     places = {r[0]: (r[1], r[2]) for r in nodes.select("node", "latitude", "longitude").collect()}
     links = [tuple(r) for r in edges.select("u", "v", "w").orderBy("u", "v").collect()]
     tie = [c for c in ("event_id",) if c in df.columns]
-    end = lambda f: f(F.struct("timestamp", "latitude", "longitude"), F.struct("timestamp", *tie))
-    ends = df.groupBy(*by).agg(F.array(end(F.min_by), end(F.max_by)).alias("_e")).select(*by, F.inline("_e"))
+    end = lambda f: f(F.struct("latitude", "longitude"), F.struct("timestamp", *tie))
+    ends = df.groupBy(*by).agg(end(F.min_by).alias("_a"), end(F.max_by).alias("_b"))
+    ends = ends.select(*by, *[F.col(f"_{e}.{c}").cast("double").alias(f"{n}{k}") for k, e in enumerate("ab") for n, c in (("lat", "latitude"), ("lon", "longitude"))])
     return grouped.map_match(ends, by, places, links)

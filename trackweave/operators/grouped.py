@@ -449,14 +449,22 @@ def apply_time(df: DataFrame, by: list[str], freq, kind: str = "double", **funcs
     return beside(keyed, [*by, "rounded"]).mapInArrow(run, schema)
 
 
-def shortest_path(edges: list[tuple[int, int, float]], start: int, goal: int) -> list[int]:
-    """Nodes of a shortest path over undirected weighted edges; empty if there is none."""
-    import heapq
+Steps = dict[int, list[tuple[int, float]]]
+
 
-    near: dict[int, list[tuple[int, float]]] = {}
+def steps_of(edges: list[tuple[int, int, float]]) -> Steps:
+    """(other node, weight) of the edges of each node, both ways."""
+    near: Steps = {}
     for u, v, w in edges:
         near.setdefault(u, []).append((v, w))
         near.setdefault(v, []).append((u, w))
+    return near
+
+
+def shortest_path(near: Steps, start: int, goal: int) -> list[int]:
+    """Nodes of a shortest path; empty if there is none."""
+    import heapq
+
     queue, came, done = [(0.0, start, start)], {}, set()
     while queue:
         d, node, prev = heapq.heappop(queue)
@@ -475,16 +483,41 @@ def shortest_path(edges: list[tuple[int, int, float]], start: int, goal: int) ->
     return []
 
 
-def map_match(df: DataFrame, by: list[str], nodes: dict[int, tuple[float, float]], edges: list[tuple[int, int, float]]) -> DataFrame:
-    """Path of each flight over a small graph: nodes (number, position in order) of the shortest path from first to last position."""
-    ids = np.array(sorted(nodes))
-    pos = np.array([nodes[i] for i in ids])
-    schema = T.StructType([df.schema[c] for c in by]).add("n", "long").add("node", "long")
+#: Distances between rows and nodes that are held at once.
+NODE_BLOCK = 2_000_000
+
+
+def nearest_nodes(lat: np.ndarray, lon: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Number of the node nearest to each place, in degrees; ties to the first, unknown places get the first node."""
+    out, step = np.empty(len(lat), np.int64), max(1, NODE_BLOCK // len(ids))
+    for a in range(0, len(lat), step):
+        s = slice(a, a + step)
+        out[s] = ids[((lat[s, None] - pos[None, :, 0]) ** 2 + (lon[s, None] - pos[None, :, 1]) ** 2).argmin(1)]
+    return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(TIME)
-        at = lambda r: int(ids[((pos - [r["latitude"], r["longitude"]]) ** 2).sum(1).argmin()])
-        path = shortest_path(edges, at(pdf.iloc[0]), at(pdf.iloc[-1]))
-        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "n": range(len(path)), "node": path}) if path else pd.DataFrame(columns=schema.names)
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+def map_match(ends: DataFrame, by: list[str], nodes: dict[int, tuple[float, float]], edges: list[tuple[int, int, float]]) -> DataFrame:
+    """Nodes (n: position in order, node) of the shortest path over a small graph from a flight's first position (lat0, lon0) to its last one (lat1, lon1).
+
+    A path is sought once for all flights that have the same two nodes at their ends.
+    """
+    if not nodes:
+        return ends.select(*by, F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("node")).limit(0)
+    ids = np.array(sorted(nodes))
+    pos = np.array([nodes[i] for i in ids.tolist()], float)
+    kinds = T.StructType([ends.schema[c] for c in by]).add("_u", "long").add("_v", "long")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [nearest_nodes(*(batch.column(f"{c}{k}").to_numpy(zero_copy_only=False).astype(float) for c in ("lat", "lon")), ids, pos) for k in "01"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), *map(pa.array, at)], names=kinds.names)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = steps_of(edges)
+        for batch in batches:
+            paths = [shortest_path(near, u, v) for u, v in zip(batch.column("_u").to_pylist(), batch.column("_v").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("_u"), batch.column("_v"), pa.array(paths, pa.list_(pa.int64()))], names=["_u", "_v", "_path"])
+
+    placed = ends.mapInArrow(place, kinds)
+    paths = placed.select("_u", "_v").distinct().mapInArrow(walk, "_u long, _v long, _path array<long>")
+    return placed.join(paths, ["_u", "_v"]).select(*by, F.posexplode("_path").alias("n", "node")).withColumn("n", F.col("n").cast("long"))
