@@ -41,9 +41,13 @@ def _inside_parts(ring: str) -> Column:
 
     found = F.array_compact(F.transform(ring, crossing))
     cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), found, F.array(F.lit(1.0)))))
-    parts = F.transform(F.slice(cuts, 1, F.size(cuts) - 1), lambda a, i: F.struct(a.alias("a"), F.get(cuts, i + 1).alias("b")))
     middle = lambda p: (p["a"] + p["b"]) / 2
-    return F.filter(parts, lambda p: geo.in_ring(F.col("x0") + dx * middle(p), F.col("y0") + dy * middle(p), ring))
+
+    def between(c: Column) -> Column:
+        parts = F.transform(F.slice(c, 1, F.size(c) - 1), lambda a, i: F.struct(a.alias("a"), F.get(c, i + 1).alias("b")))
+        return F.filter(parts, lambda p: geo.in_ring(F.col("x0") + dx * middle(p), F.col("y0") + dy * middle(p), ring))
+
+    return F.flatten(F.transform(F.array(cuts), between))  # the cuts are computed once
 
 
 def parts_inside(df: DataFrame, zones: DataFrame, by: list[str]) -> DataFrame:
@@ -61,7 +65,8 @@ def parts_inside(df: DataFrame, zones: DataFrame, by: list[str]) -> DataFrame:
     low, high = lambda c: F.least(f"{c}0", f"{c}1"), lambda c: F.greatest(f"{c}0", f"{c}1")
     legs = legs.withColumn("_cell", F.explode(cells.box_cells(low("x"), low("y"), high("x"), high("y"), CELL)))
     first = (F.col("_cell.k") == F.floor(F.greatest(low("y"), F.col("_s")) / CELL)) & (F.col("_cell.c") == F.floor(F.greatest(low("x"), F.col("_w")) / CELL))
-    met = legs.join(small(z), "_cell").filter(first).select("*", F.explode(_inside_parts("ring")).alias("_p"))
+    boxes = (high("x") >= F.col("_w")) & (low("x") <= F.col("_e")) & (high("y") >= F.col("_s")) & (low("y") <= F.col("_n"))
+    met = legs.join(small(z), "_cell").filter(first & boxes).select("*", F.explode(_inside_parts("ring")).alias("_p"))
     at = lambda c, p: F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * F.col(f"_p.{p}")
     return met.select(*by, "zone", F.rint(at("t", "a")).cast("long").alias("start_us"), F.rint(at("t", "b")).cast("long").alias("stop_us"), at("z", "a").alias("za"), at("z", "b").alias("zb"), "lower", "upper")
 
