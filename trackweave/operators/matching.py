@@ -7,6 +7,8 @@ recurrence along a flight runs in numpy, on that flight's candidates.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cells
-from .grouped import flights_in_batches
+from .grouped import flights_in_batches, whole_flights
 from .joins import small
 from .keys import TIME
 from .scratch import discard, materialize
@@ -117,8 +119,8 @@ def match(df: DataFrame, by: list[str], nodes: DataFrame, edges: DataFrame, reac
     cost (distance / sigma)**2 / 2; a move costs the difference between the
     way over the network and the straight line, divided by ``beta``, or
     ``lost`` where no way within ``limit`` is known.  Rows with no edge in
-    reach get nulls and are stepped over.  All costs are computed by joins; a
-    flight's group holds a row for each pair of neighbouring candidates.
+    reach get nulls and are stepped over.  All costs are computed by joins, a
+    row for each pair of neighbouring candidates; flights share Arrow batches.
     """
     order = [TIME] + [c for c in ("event_id",) if c in df.columns]
     roads = materialize(placed(nodes, edges))
@@ -137,15 +139,16 @@ def match(df: DataFrame, by: list[str], nodes: DataFrame, edges: DataFrame, reac
     whole = lambda c: F.round(c * 1e6).cast("long")  # noqa: E731 - chains of the same cost tie exactly, in whatever order it is summed
     costs = met.select(*by, "_r", "_k", F.coalesce("_pk", F.lit(-1)).alias("_pk"), whole(F.pow(F.col("_c.away") / sigma, 2) / 2).alias("_emission"), whole(move).alias("_move"))
 
-    def chain(table: pa.Table) -> pa.Table:
-        r, k, before, emission, step = (table[c].to_numpy() for c in ("_r", "_k", "_pk", "_emission", "_move"))
-        order = np.lexsort((before, k, r))
-        path = viterbi(r[order], k[order], before[order], emission[order], step[order])
-        key = [pa.array([table[c][0].as_py()] * len(path), table[c].type) for c in by]
-        return pa.table([*key, pa.array(list(path), pa.int32()), pa.array(list(path.values()), pa.int32())], names=[*by, "_r", "_at"])
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, ends in whole_flights(batches, by):
+            columns = [rows.column(c).to_numpy() for c in ("_r", "_k", "_pk", "_emission", "_move")]
+            paths = [viterbi(*(c[a:b] for c in columns)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            keys = rows.select(by).take(pa.array(np.repeat(ends[:-1], [len(p) for p in paths])))
+            at = [pa.array([i for p in paths for i in f(p)], pa.int32()) for f in (dict.keys, dict.values)]
+            yield from keys.append_column("_r", at[0]).append_column("_at", at[1]).combine_chunks().to_batches()
 
     schema = T.StructType([df.schema[c] for c in by]).add("_r", T.IntegerType()).add("_at", T.IntegerType())
-    found = costs.groupBy(*by).applyInArrow(chain, schema)
+    found = costs.repartition(*by).sortWithinPartitions(*by, "_r", "_k", "_pk").mapInArrow(chain, schema)
     same = [rows[c].eqNullSafe(found[c]) for c in by] + [rows["_r"] == found["_r"]]
     out = rows.join(found, same, "left").select(*[rows[c] for c in df.columns], F.get(rows["_near"], found["_at"]).alias("_on"))
     return out.select(*df.columns, F.col("_on.edge").alias("edge"), F.col("_on.off").alias("edge_offset"), F.col("_on.away").alias("edge_distance"))
