@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -354,25 +355,52 @@ SCORED = "doc_id long, row_key long, n_tokens long, n_known long, base_score dou
 def score(docs: DataFrame, trained: Trained, broadcast_bytes: int = BROADCAST_BYTES, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """doc_id, row_key, n_tokens, n_known, base_score and score of every row.
 
-    A model within both bounds is broadcast; a larger one is never gathered in
-    one place: see _by_shuffle().
+    A filter within its bound is broadcast; of a larger one the parts are
+    broadcast in groups within the bound, and each group gives the sum of the
+    tokens whose pairs are its own, so only sums move.  With more tokens than
+    are broadcast nothing is gathered in one place: see _by_shuffle().
     """
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    if trained.filter_bytes > broadcast_bytes or trained.n_types > broadcast_tokens:
+    if trained.n_types > broadcast_tokens:
         return _by_shuffle(keyed, trained)
-    sc, bits = docs.sparkSession.sparkContext, trained.bits
-    pairs = sc.broadcast(filter_arrays(trained.merged.filter("kind = 2"), bits))
-    exact = sc.broadcast(exact_counts(trained))
+    exact = docs.sparkSession.sparkContext.broadcast(exact_counts(trained))
+    if trained.filter_bytes <= broadcast_bytes:
+        return _by_group(keyed, trained, exact, 0, 1 << trained.bits)
+    sizes = {r[0]: r[1] for r in trained.merged.filter("kind = 2").select("bucket", F.octet_length("value")).collect()}
+    firsts, held = [0], 0
+    for b in range(1 << trained.bits):
+        if held and held + sizes.get(b, 0) > broadcast_bytes:
+            firsts.append(b)
+            held = 0
+        held += sizes.get(b, 0)
+    sums = [materialize(_by_group(keyed, trained, exact, a, z), "lm-sums") for a, z in zip(firsts, [*firsts[1:], 1 << trained.bits])]
+    every = reduce(DataFrame.unionByName, sums)
+    # Rows alike in id and text are summed together: each has its share, as all are equal.
+    c = F.col("_rows") / len(sums)
+    added = every.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")])
+    whole = [(F.col(x) / c).cast("long").alias(x) for x in ("n_tokens", "n_known")]
+    return added.select("doc_id", "row_key", *whole, (F.col("base_score") / c).alias("base_score"), (F.col("score") / c).alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), c.cast("long"))).alias("_copy")).drop("_copy")
+
+
+def _by_group(keyed: DataFrame, trained: Trained, exact, first: int, stop: int) -> DataFrame:
+    """What score() sums over the tokens whose pairs lie in the buckets from ``first`` to before ``stop``."""
+    bits = trained.bits
+    pairs = keyed.sparkSession.sparkContext.broadcast(filter_arrays(trained.merged.filter((F.col("kind") == 2) & F.col("bucket").between(first, stop - 1)), bits))
     n, v, n_texts, probes, start = trained.n_tokens, trained.n_types, trained.n_texts, trained.probes, trained.start
+    every = (first, stop) == (0, 1 << bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*exact.value, LogFrequencyFilter(*pairs.value, bits, probes), n, v, n_texts, start)
         for batch in tk.slices(batches, size=4 << 20):
             doc, key, before = word_keys(tk.split_words(batch.column(2), lower=True))
             m = batch.num_rows
+            if not every:
+                bucket = model.pairs._bucket(kind_key("pair", before, key))
+                mine = (bucket >= first) & (bucket < stop)
+                doc, key, before = doc[mine], key[mine], before[mine]
             logp, c = model.log_probs(key, before)
-            score = np.bincount(doc, logp, m)
-            base = np.bincount(doc, np.log10((c + 1.0) / (n + v + 1.0)), m)
+            score = np.bincount(doc, logp, m).astype(float)
+            base = np.bincount(doc, np.log10((c + 1.0) / (n + v + 1.0)), m).astype(float)
             known = np.bincount(doc, c > 0, m).astype(np.int64)
             tokens = np.bincount(doc, minlength=m).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "row_key", "n_tokens", "n_known", "base_score", "score"])
