@@ -106,3 +106,10 @@ def test_distance_to_a_zone(spark):
         want = min(metres(lon, lat, x, y) for x, y in fine) * (-1 if inside(lon, lat, ring) else 1)
         assert abs(got[i] - want) < 0.003 * abs(want) + 300, (i, got[i], want)
     assert {r.distance for r in t.distance_to_zone(zones, "no such").df.collect()} == {None}
+
+
+def test_no_side_of_a_join_is_gathered(spark):
+    """Spark guesses exploded sides to be small; none may be broadcast from the driver."""
+    df = spark.createDataFrame([("a", box(0, 0, 2, 2), 0.0, 100.0)], "k string, ring array<struct<x:double,y:double>>, lower double, upper double")
+    for u in (overlay.union(df, ["k"]), overlay.union_levels(df, ["k"])):
+        assert "Broadcast" not in u._jdf.queryExecution().executedPlan().toString()

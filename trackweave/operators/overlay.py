@@ -4,6 +4,10 @@ Sides meet in cells and in bands of latitude, by equal keys, so no polygon is
 compared with all others.  Places are whole numbers of a grid, so corners that
 are shared stay shared.  Only the outline that is left of a key is put
 together in one group, as its rings are values of that key's rows anyway.
+
+The joins are hinted to sort and merge: from the size of the file Spark takes
+the exploded sides to be small, and would gather them in the driver to
+broadcast them.
 """
 
 from __future__ import annotations
@@ -89,11 +93,15 @@ def _fragments(sides: DataFrame, by: list[str], size: float) -> DataFrame:
     this = F.struct("_id", *_SIDE)
     met = sides.select(*by, this.alias("_a"), F.explode(_line_cells(size)).alias("_cell"))
     other = met.withColumnRenamed("_a", "_b")
-    # A pair is taken once for all its cells: the points are distinct in the end.
-    pairs = met.join(other, [*by, "_cell"]).filter((F.col("_a") < F.col("_b")) & (F.col("_a._id") != F.col("_b._id"))).select(*by, "_a", "_b").distinct()
+    # Points come at once, where the pair meets: pairs don't move, and points found in several cells are one in the set.
+    low, high = (lambda s, c, f=f: f(s[f"_{c}1"], s[f"_{c}2"]) for f in (F.least, F.greatest))
+    near = F.lit(True)
+    for c in "xy":
+        near = near & (low(F.col("_a"), c) <= high(F.col("_b"), c) + 2) & (low(F.col("_b"), c) <= high(F.col("_a"), c) + 2)
+    pairs = met.join(other.hint("merge"), [*by, "_cell"]).filter((F.col("_a") < F.col("_b")) & (F.col("_a._id") != F.col("_b._id")) & near)
     points = pairs.select(*by, "_a", "_b", F.explode(_meeting(F.col("_a"), F.col("_b"))).alias("_m"))
     cuts = points.select(*by, F.when(F.col("_m.side") == 0, F.col("_a")).otherwise(F.col("_b")).alias("_s"), F.struct("_m.x", "_m.y").alias("_m")).groupBy(*by, "_s").agg(F.collect_set("_m").alias("_cuts"))
-    cut = sides.withColumn("_s", this).join(cuts, [*by, "_s"], "left")
+    cut = sides.withColumn("_s", this).join(cuts.hint("merge"), [*by, "_s"], "left")
     dx, dy = F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1")
     along = lambda p: (p["x"] - F.col("_x1")).cast("double") * dx + (p["y"] - F.col("_y1")).cast("double") * dy
     ends = F.array(F.struct(F.col("_x1").alias("x"), F.col("_y1").alias("y")), F.struct(F.col("_x2").alias("x"), F.col("_y2").alias("y")))
@@ -115,14 +123,16 @@ def outline(df: DataFrame, by: list[str], grid: float = GRID, cell: float = CELL
     a, b = F.when(ahead, lower).otherwise(upper), F.when(ahead, upper).otherwise(lower)
     pieces = _fragments(sides, by, size).select(*by, "_id", ahead.alias("_ahead"), a.alias("_a"), b.alias("_b"))
     pieces = pieces.groupBy(*by, "_a", "_b").agg(F.collect_set("_id").alias("_own"), F.max("_ahead").alias("_left"), F.max(~F.col("_ahead")).alias("_right"))
-    # Polygons around a piece's middle: odd numbers of sides west of it, in its band of latitude.
+    # Polygons around a piece's middle: of the sides west of it, in its band of latitude, those that go down less those that go up, as polygons lie on the left.
     x, y = (F.col("_a.x") + F.col("_b.x")) / 2.0, (F.col("_a.y") + F.col("_b.y")) / 2.0
+    pieces = pieces.filter(F.col("_left") != F.col("_right"))
     middle = pieces.select(*by, "_a", "_b", "_own", x.alias("_mx"), y.alias("_my")).withColumn("_band", F.floor(F.col("_my") / size))
     walls = sides.filter("_y1 <> _y2").withColumn("_band", F.explode(F.sequence(F.floor(F.least("_y1", "_y2") / size), F.floor(F.greatest("_y1", "_y2") / size))))
-    hit = middle.join(walls, [*by, "_band"]).filter(((F.col("_y1") > F.col("_my")) != (F.col("_y2") > F.col("_my"))) & ~F.array_contains("_own", F.col("_id")))
     west = F.col("_x1") + (F.col("_x2") - F.col("_x1")) * ((F.col("_my") - F.col("_y1")) / (F.col("_y2") - F.col("_y1"))) < F.col("_mx")
-    around = hit.filter(west).groupBy(*by, "_a", "_b", "_id").count().filter("count % 2 = 1").select(*by, "_a", "_b").distinct()
-    free = pieces.filter(F.col("_left") != F.col("_right")).join(around, [*by, "_a", "_b"], "left_anti")
+    spans = (F.col("_y1") > F.col("_my")) != (F.col("_y2") > F.col("_my"))
+    hit = middle.join(walls.hint("merge"), [*by, "_band"]).filter(spans & west & ~F.array_contains("_own", F.col("_id")))
+    around = hit.groupBy(*by, "_a", "_b").agg(F.sum(F.when(F.col("_y2") < F.col("_y1"), 1).otherwise(-1)).alias("_n")).filter("_n <> 0").select(*by, "_a", "_b")
+    free = pieces.join(around.hint("merge"), [*by, "_a", "_b"], "left_anti")
     s, e = F.when(F.col("_left"), F.col("_a")).otherwise(F.col("_b")), F.when(F.col("_left"), F.col("_b")).otherwise(F.col("_a"))
     return free.select(*[F.col("_key")[c].alias(c) for c in names], s["x"].alias("_x1"), s["y"].alias("_y1"), e["x"].alias("_x2"), e["y"].alias("_y2"))
 
@@ -236,4 +246,4 @@ def union_levels(layers: DataFrame, by: list[str], grid: float = GRID, cell: flo
     wide = wide.withColumn("_layer", F.xxhash64("ring", "lower", "upper"))
     cut = slabs(wide, by, "_layer").select(*by, "lower", "upper", F.explode("layers").alias("_layer"))
     rings = wide.select(*by, "_layer", "ring").dropDuplicates([*by, "_layer"])
-    return union(cut.join(rings, [*by, "_layer"]), [*by, "lower", "upper"], grid, cell)
+    return union(cut.join(rings.hint("merge"), [*by, "_layer"]), [*by, "lower", "upper"], grid, cell)

@@ -128,7 +128,7 @@ def slabs(layers: DataFrame, by: list[str], name: str) -> DataFrame:
     cuts = layers.select(*by, F.explode(F.array("lower", "upper")).alias("_lo")).distinct()
     w = W.partitionBy(*by).orderBy("_lo")
     cuts = cuts.withColumn("_hi", F.lead("_lo").over(w)).filter("_hi is not null")
-    inside = cuts.join(layers, by).filter("lower <= _lo and upper >= _hi")
+    inside = cuts.join(layers.hint("merge"), by).filter("lower <= _lo and upper >= _hi")
     each = inside.groupBy(*by, "_lo", "_hi").agg(F.array_sort(F.collect_set(name)).alias("layers"))
     new = F.when((F.lag("layers").over(w) == F.col("layers")) & (F.lag("_hi").over(w) == F.col("_lo")), 0).otherwise(1)
     run = each.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
