@@ -20,3 +20,24 @@ def test_blocks_give_the_rows_of_the_join(spark, monkeypatch):
         got = sorted(map(tuple, joins.closest_pairs(df, 20, 60, "1 h").select(*names).collect()))
         assert got == want and len(got) > 20
     assert joins.closest_pairs(df.limit(0), 20, 60, "1 h").count() == 0
+
+
+def test_dme_errors_are_those_of_plain_loops(spark):
+    """Least error and names, with ties, a station without a name, and rows that see none."""
+    import math
+
+    names = ["B", "A", None, "A_", "C"]
+    rows = [[(n, 10.0 + 40 * (k * i % 4), (i * 40 * k + 17 * (i % 3)) % 360.0) for k, n in enumerate(names[: i % 6])] for i in range(60)] + [None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i long, v array<struct<name:string,d:double,b:double>>")
+    got = {r.i: r.e for r in df.select("i", joins.least_dme_error()("v").alias("e")).collect()}
+    for i, row in enumerate(rows):
+        best = None
+        for k, (n, d, b) in enumerate(row or []):
+            for n2, d2, b2 in row[k + 1 :]:
+                turn = (b - b2) % 360
+                angle = min(turn, 360 - turn)
+                if 30 <= angle <= 150:
+                    e = 2 * math.sqrt(max(0.085, 0.00125 * d) ** 2 + max(0.085, 0.00125 * d2) ** 2 + 2 * 0.05**2) / math.sin(math.radians(angle))
+                    x = (round(e, 12), "_".join(z for z in (n, n2) if z is not None))
+                    best = x if best is None or x < best else best
+        assert (got[i] and (round(got[i].e, 12), got[i].pair)) == best, i

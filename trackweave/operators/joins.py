@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -282,11 +283,53 @@ def dme_error(df: DataFrame, stations: DataFrame, name: str = "NSE", reach: floa
     seen = F.transform("_s", lambda p: F.struct(p["name"].alias("name"), geo.distance("latitude", "longitude", p["s_lat"], p["s_lon"]).alias("d"), geo.bearing("latitude", "longitude", p["s_lat"], p["s_lon"]).alias("b")))
     j = j.withColumn("_v", F.filter(seen, lambda p: p["d"] <= reach))
 
-    def error(p: Column, q: Column) -> Column:
-        angle = geo.angle_between(p["b"], q["b"])
-        s1, s2 = (F.greatest(F.lit(0.085), 0.00125 * x["d"]) for x in (p, q))
-        e = 2 * F.sqrt(F.pow(s1, 2) + F.pow(s2, 2) + 2 * 0.05**2) / F.sin(F.radians(angle))
-        return F.when((angle >= 30) & (angle <= 150), F.struct(e.alias("e"), F.concat_ws("_", p["name"], q["name"]).alias("pair")))
-
-    pairs = F.flatten(F.transform("_v", lambda p, i: F.transform(F.slice("_v", i + 2, F.size("_v")), lambda q: error(p, q))))
-    return j.withColumn("_e", F.array_min(F.array_compact(pairs))).withColumns({name: F.col("_e.e"), f"{name}_idx": F.col("_e.pair")}).drop("_s", "_v", "_e")
+    return j.withColumn("_e", least_dme_error()("_v")).withColumns({name: F.col("_e.e"), f"{name}_idx": F.col("_e.pair")}).drop("_s", "_v", "_e")
+
+
+#: Values of a step in least_dme_error().
+DME_VALUES = 1_000_000
+
+
+def least_dme_error():
+    """A function of arrays of stations (name, distance d, bearing b): the least error e over pairs seen at 30 to 150 degrees, and their names; equal errors go by name."""
+
+    @F.arrow_udf("e double, pair string")
+    def least(seen: pa.Array) -> pa.Array:
+        size = np.asarray(pc.fill_null(pc.list_value_length(seen), 0)).astype(np.int64)
+        flat = seen.flatten()
+        name, d, b = (flat.field(c) for c in ("name", "d", "b"))
+        spread, toward = 2 * 0.05**2 + 0.0, np.asarray(b, float)
+        s2 = np.maximum(0.085, 0.00125 * np.asarray(d, float)) ** 2
+        first = np.cumsum(size) - size
+        best, pair = np.full(len(size), np.inf), [None] * len(size)
+        label = lambda p, q: "_".join(x for x in (name[p].as_py(), name[q].as_py()) if x is not None)
+        # Rows with as many stations are done together, a pair of places in the arrays at a time.
+        for n in np.unique(size[size > 1]).tolist():
+            same = np.flatnonzero(size == n)
+            step = max(1, DME_VALUES // n)
+            for rows in (same[i : i + step] for i in range(0, len(same), step)):
+                at = first[rows]
+                one, two = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+                low, ties = np.full(len(rows), np.inf), {}
+                for k in range(n):
+                    for m in range(k + 1, n):
+                        p, q = at + k, at + m
+                        turn = (toward[p] - toward[q]) % 360
+                        angle = np.minimum(turn, 360 - turn)
+                        e = 2 * np.sqrt(s2[p] + s2[q] + spread) / np.sin(np.radians(angle))
+                        e = np.where((angle >= 30) & (angle <= 150), e, np.inf)
+                        for r in np.flatnonzero((e == low) & (e < np.inf)).tolist():
+                            ties.setdefault(r, []).append((float(e[r]), k, m))
+                        less = e < low
+                        low[less], one[less], two[less] = e[less], k, m
+                best[rows] = low
+                got = np.flatnonzero(low < np.inf)
+                for r in got.tolist():
+                    pair[rows[r]] = label(int(at[r] + one[r]), int(at[r] + two[r]))
+                    for e, k, m in ties.get(r, ()):
+                        if e == low[r]:
+                            pair[rows[r]] = min(pair[rows[r]], label(int(at[r] + k), int(at[r] + m)))
+        none = pa.array(~(best < np.inf))
+        return pa.StructArray.from_arrays([pa.array(best), pa.array(pair, pa.string())], ["e", "pair"], mask=none)
+
+    return least
