@@ -54,3 +54,15 @@ def test_hulls_of_a_table(spark, parts):
         assert r.n == len(p) and np.allclose([(c.x, c.y) for c in r.corners], h)
         assert np.allclose([r.length, r.width, r.diagonal, r.diameter], hulls.calipers(h))
     assert hulls.hulls(df.limit(0), ["flight"]).count() == 0
+
+
+def test_short_keys_are_merged_in_few_steps(spark, monkeypatch):
+    """Keys that are spread over all batches: one hull each in the merge, none before, and the same measures."""
+    df = spark.range(4000).selectExpr("id % 500 k", "id * 37 % 101 * 1.0 x", "id * id % 97 * 1.0 y").repartition(7)
+    want = {r.k: (r.n, r.area, r.diameter) for r in hulls.hulls(df, ["k"]).collect()}
+    monkeypatch.setattr(hulls, "REDUCED_ROWS", 2)
+    monkeypatch.setattr(hulls, "MERGED_PLACES", 3)
+    got = {r.k: (r.n, r.area, r.diameter) for r in hulls.hulls(df, ["k"]).collect()}
+    assert len(want) == 500 and got == want
+    plan = hulls.hulls(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan

@@ -13,6 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .grouped import whole_flights
+
+#: Rows of a key from which a batch sends their hull, and places of a key that are merged at once.
+REDUCED_ROWS, MERGED_PLACES = 32, 65_536
+
 
 def hull(p: np.ndarray) -> np.ndarray:
     """Corners of the convex hull of points (n x 2), counterclockwise from the smallest; without corners on straight sides."""
@@ -81,24 +86,43 @@ def hulls(df: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame
             table = pa.Table.from_batches([batch]).append_column("_i", pa.array(np.arange(batch.num_rows)))
             rows = table.group_by(by).aggregate([("_i", "list")])
             p = np.column_stack([batch.column(batch.num_columns - 2).to_numpy(False), batch.column(batch.num_columns - 1).to_numpy(False)])
-            found = [p[np.asarray(i)] for i in rows["_i_list"].combine_chunks().to_pylist()]
-            corners = [hull(f) for f in found]
+            lists = rows["_i_list"].combine_chunks()
+            n = np.asarray(lists.value_lengths()).astype(np.int64)
+            p = p[np.asarray(lists.flatten())]
+            ends = np.cumsum(n)
+            left, size = [], n.copy()
+            at = 0
+            for k in np.flatnonzero(n >= REDUCED_ROWS).tolist():  # few rows travel as they are
+                corners = hull(p[ends[k] - n[k] : ends[k]])
+                left += [p[at : ends[k] - n[k]], corners]
+                size[k], at = len(corners), ends[k]
+            p = np.concatenate([*left, p[at:]])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
             keys = [rows[c].combine_chunks().cast(batch.schema.field(c).type) for c in by]
-            yield pa.RecordBatch.from_arrays(
-                [*keys, pa.array([len(f) for f in found], pa.int64()), pa.array([c[:, 0].tolist() for c in corners], pa.list_(pa.float64())), pa.array([c[:, 1].tolist() for c in corners], pa.list_(pa.float64()))], names=part.names
-            )
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(n), *[pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(p[:, k]))) for k in (0, 1)]], names=part.names)
 
     point = T.StructType().add("x", T.DoubleType()).add("y", T.DoubleType())
     out = T.StructType(kinds.fields + [T.StructField("n", T.LongType()), T.StructField("corners", T.ArrayType(point)), *[T.StructField(c, T.DoubleType()) for c in ("area", "length", "width", "diagonal", "diameter")]])
 
-    def merge(table: pa.Table) -> pa.Table:
-        h = np.zeros((0, 2))
-        for xs, ys in zip(table["_x"], table["_y"], strict=True):  # one part at a time: no more than a hull and a part is held
-            h = hull(np.concatenate([h, np.column_stack([np.asarray(xs.as_py(), float), np.asarray(ys.as_py(), float)])]))
-        d = h - h[0]
-        area = float((d[:, 0] * np.roll(d[:, 1], -1) - np.roll(d[:, 0], -1) * d[:, 1]).sum() / 2)
-        values = [sum(table["_n"].to_pylist()), [{"x": a, "y": b} for a, b in h.tolist()], area, *calipers(h)]
-        kinds_ = [pa.int64(), pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])), *[pa.float64()] * 5]
-        return pa.table([*[pa.array([table[c][0].as_py()], table[c].type) for c in by], *[pa.array([v], k) for v, k in zip(values, kinds_, strict=True)]], names=out.names)
-
-    return known.mapInArrow(reduce, part).groupBy(*by).applyInArrow(merge, out)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ends in whole_flights(batches, by):
+            xs, ys = (table.column(c).combine_chunks() for c in ("_x", "_y"))
+            first = np.concatenate([[0], np.cumsum(np.asarray(xs.value_lengths()))]).astype(np.int64)
+            xy = np.column_stack([np.asarray(c.flatten(), float) for c in (xs, ys)])
+            corners, values = [], []
+            for a, b in zip(first[ends[:-1]].tolist(), first[ends[1:]].tolist()):
+                h = hull(xy[a : min(a + MERGED_PLACES, b)])
+                for k in range(a + MERGED_PLACES, b, MERGED_PLACES):
+                    h = hull(np.concatenate([h, xy[k : min(k + MERGED_PLACES, b)]]))
+                d = h - h[0]
+                area = float((d[:, 0] * np.roll(d[:, 1], -1) - np.roll(d[:, 0], -1) * d[:, 1]).sum() / 2)
+                corners.append(h)
+                values.append((area, *calipers(h)))
+            n = np.add.reduceat(table.column("_n").to_numpy(), ends[:-1])
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in corners])]).astype(np.int32))
+            flat = np.concatenate(corners)
+            places = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in (0, 1)], ["x", "y"])
+            keys = table.select(by).take(pa.array(ends[:-1])).combine_chunks()
+            yield from pa.table([*keys.columns, pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, places), *[pa.array(v, pa.float64()) for v in zip(*values)]], names=out.names).combine_chunks().to_batches()
+
+    return known.mapInArrow(reduce, part).repartition(*by).sortWithinPartitions(*by).mapInArrow(merge, out)
