@@ -175,3 +175,21 @@ def test_network_makes_the_error_smaller(spark):
     bound, free = error(matching.kalman_network(df, ["flight"], nodes, edges)), error(grouped.kalman6d(df, ["flight"], smooth=True))
     assert bound < 3.0 and bound < 0.7 * free
     assert matching.kalman_network(df.limit(0), ["flight"], nodes, edges).count() == 0
+
+
+def test_flights_side_by_side_are_those_alone():
+    """Flights of different lengths with unknown values and rows without pieces, filtered together and one by one."""
+    from trackweave.operators.matching import network_filter, network_filters
+
+    rng = np.random.default_rng(6)
+    flights = []
+    for n in (1, 7, 3, 3, 20):
+        z = rng.normal(0, 30, (n, 4))
+        z[rng.random((n, 4)) < 0.2] = np.nan
+        flights.append((np.cumsum(rng.integers(0, 9, n)).astype(float), z, [rng.normal(0, 50, (rng.integers(0, 4), 4)) for _ in range(n)]))
+    ends = np.cumsum([0] + [len(t) for t, _, _ in flights])
+    pieces = [p for f in flights for p in f[2]]
+    for smooth in (False, True):
+        got = network_filters(*(np.concatenate([f[k] for f in flights]) for k in (0, 1)), np.concatenate(pieces), np.array([len(p) for p in pieces]), ends, smooth=smooth)
+        want = np.concatenate([network_filter(*f, smooth=smooth) for f in flights])
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-9) and np.isfinite(got).all()

@@ -10,15 +10,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import cells
-from .grouped import flights_in_batches, whole_flights
+from .grouped import beside, whole_flights
 from .joins import small
 from .keys import TIME
 from .scratch import discard, materialize
@@ -162,52 +163,83 @@ def network_filter(t: np.ndarray, z: np.ndarray, pieces: list[np.ndarray], noise
     unknown) counts as a measured zero with deviation ``bind``.  Rows without
     pieces take those of the row before.
     """
-    n = len(t)
-    r = np.square(noise)
-    x = np.where(np.isnan(z[0]), 0.0, z[0])
-    p = np.diag(np.where(np.isnan(z[0]), 1e6, r))
-    near = np.zeros((0, 4))
-    xs, ps, xp, pp, fs = [], [], [], [], []
-    for k in range(n):
-        dt = t[k] - t[k - 1] if k else 0.0
-        f = np.eye(4)
-        f[0, 2] = f[1, 3] = dt
-        # White acceleration of 0.5 m/s2 and little more on the places themselves.
-        a, b, c = 0.25 * dt**3 / 3 + 0.05 * dt, 0.25 * dt**2 / 2, 0.25 * dt
-        q = np.array([[a, 0, b, 0], [0, a, 0, b], [b, 0, c, 0], [0, b, 0, c]])
+    many = [np.asarray(p, float).reshape(-1, 4) for p in pieces]
+    return network_filters(t, z, np.concatenate([*many, np.zeros((0, 4))]), np.array([len(p) for p in many], np.int64), np.array([0, len(t)]), noise, bind, smooth)
+
+
+def network_filters(t: np.ndarray, z: np.ndarray, pieces: np.ndarray, count: np.ndarray, ends: np.ndarray, noise: tuple[float, ...] = (4.0, 4.0, 2.0, 2.0), bind: float = 1.0, smooth: bool = True) -> np.ndarray:
+    """network_filter() of flights side by side: all k-th rows are one step.
+
+    Rows of flight i go from ends[i] to before ends[i + 1]; pieces are those of
+    all rows one after the other, ``count`` of each row.
+    """
+    n, r = len(t), np.square(noise)
+    size = np.diff(ends)
+    longest = np.argsort(-size, kind="stable")
+    first, size = ends[:-1][longest], size[longest]
+    # The row whose pieces count for a row: itself, else the last one of the flight before it that has any.
+    start = np.repeat(ends[:-1], np.diff(ends))
+    source = np.maximum.accumulate(np.where(count > 0, np.arange(n), -1)) if n else np.zeros(0, np.int64)
+    begin = np.cumsum(count) - count
+    fs, ps, pp = (np.zeros((n, 4, 4)) for _ in range(3))
+    xs, xp = np.zeros((n, 4)), np.zeros((n, 4))
+    turned = lambda m: m.transpose(0, 2, 1)
+    for k in range(int(size[0]) if len(size) else 0):
+        at = first[: np.searchsorted(-size, -k)] + k
+        m, known = len(at), ~np.isnan(z[at])
+        f = np.tile(np.eye(4), (m, 1, 1))
+        if k:
+            dt = t[at] - t[at - 1]
+            f[:, 0, 2] = f[:, 1, 3] = dt
+            # White acceleration of 0.5 m/s2 and little more on the places themselves.
+            q = np.zeros((m, 4, 4))
+            q[:, 0, 0] = q[:, 1, 1] = 0.25 * dt**3 / 3 + 0.05 * dt
+            q[:, 0, 2] = q[:, 2, 0] = q[:, 1, 3] = q[:, 3, 1] = 0.25 * dt**2 / 2
+            q[:, 2, 2] = q[:, 3, 3] = 0.25 * dt
+            x, p = (f @ xs[at - 1][:, :, None])[:, :, 0], f @ ps[at - 1] @ turned(f) + q
+        else:
+            x, p = np.where(known, z[at], 0.0), np.eye(4) * np.where(known, r, 1e6)[:, None, :]
+        fs[at], xp[at], pp[at] = f, x, p
         if k:
-            x, p = f @ x, f @ p @ f.T + q
-        fs.append(f)
-        xp.append(x)
-        pp.append(p)
-        use = ~np.isnan(z[k])
-        if k and use.any():
-            h = np.eye(4)[use]
-            gain = np.linalg.solve(h @ p @ h.T + np.diag(r[use]), h @ p).T
-            left = np.eye(4) - gain @ h
-            x, p = x + gain @ (z[k][use] - x[use]), left @ p @ left.T + gain * r[use] @ gain.T
-        near = pieces[k] if len(pieces[k]) else near
-        if len(near):
-            at = z[k][:2] if not np.isnan(z[k][:2]).any() else xp[-1][:2]
+            # Unknown values measure nothing: their rows are those of the unit matrix, their gain is zero.
+            both = known[:, :, None] & known[:, None, :]
+            s = np.where(both, p, 0.0) + np.eye(4) * np.where(known, r, 1.0)[:, None, :]
+            gain = turned(np.linalg.solve(s, np.where(known[:, :, None], p, 0.0)))
+            left = np.eye(4) - gain * known[:, None, :]
+            x = x + (gain @ np.where(known, z[at] - x, 0.0)[:, :, None])[:, :, 0]
+            p = left @ p @ turned(left) + (gain * r) @ turned(gain)
+        drawn = np.flatnonzero(source[at] >= start[at])
+        if len(drawn):
+            here = source[at[drawn]]
+            c = count[here]
+            row, j = np.repeat(np.arange(len(drawn)), c), np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            near = pieces[begin[here][row] + j]
             a, d = near[:, :2], near[:, 2:] - near[:, :2]
-            share = lambda w, a=a, d=d: np.clip(((w - a) * d).sum(1) / np.maximum((d * d).sum(1), 1e-12), 0, 1)
-            one = int(np.hypot(*(a + d * share(at)[:, None] - at).T).argmin())
-            u = share(x[:2])[one]
-            away = x[:2] - a[one] - u * d[one]
+            share = lambda w, a, d: np.clip(((w - a) * d).sum(1) / np.maximum((d * d).sum(1), 1e-12), 0, 1)
+            placed_ = known[drawn, :2].all(1)
+            w = np.where(placed_[:, None], z[at[drawn], :2], xp[at[drawn], :2])[row]
+            off = np.hypot(*(a + d * share(w, a, d)[:, None] - w).T)
+            order = np.lexsort((j, off, row))
+            one = order[np.cumsum(c) - c]  # the nearest piece of each row, the first of equal ones
+            a, d = a[one], d[one]
+            u = share(x[drawn, :2], a, d)
+            away = x[drawn, :2] - a - u[:, None] * d
             # Beside a piece the direction is the piece's normal, which is there on the line too.
-            normal = np.array([-d[one][1], d[one][0]]) if 0 < u < 1 else away
-            size = float(np.hypot(*normal))
-            if size > 1e-9:
-                h = np.array([*(normal / size), 0.0, 0.0])
-                gain = p @ h / (h @ p @ h + bind**2)
-                x, p = x - gain * float(h[:2] @ away), p - np.outer(gain, h @ p)
-        xs.append(x)
-        ps.append(p)
-    xs = np.array(xs)
+            normal = np.where(((u > 0) & (u < 1))[:, None], np.column_stack([-d[:, 1], d[:, 0]]), away)
+            length = np.hypot(*normal.T)
+            some = length > 1e-9
+            drawn, away, h = drawn[some], away[some], np.zeros((int(some.sum()), 4))
+            h[:, :2] = normal[some] / length[some, None]
+            ph = (p[drawn] @ h[:, :, None])[:, :, 0]
+            gain = ph / ((h * ph).sum(1) + bind**2)[:, None]
+            x[drawn] -= gain * (h[:, :2] * away).sum(1)[:, None]
+            p[drawn] -= gain[:, :, None] * (h[:, None, :] @ p[drawn])
+        xs[at], ps[at] = x, p
     if smooth:
-        for k in range(n - 2, -1, -1):
-            gain = np.linalg.solve(pp[k + 1].T, (ps[k] @ fs[k + 1].T).T).T
-            xs[k] = xs[k] + gain @ (xs[k + 1] - xp[k + 1])
+        for k in range(int(size[0]) - 2 if len(size) else -1, -1, -1):
+            at = first[: np.searchsorted(-size, -(k + 1))] + k
+            gain = turned(np.linalg.solve(turned(pp[at + 1]), turned(ps[at] @ turned(fs[at + 1]))))
+            xs[at] += (gain @ (xs[at + 1] - xp[at + 1])[:, :, None])[:, :, 0]
     return xs
 
 
@@ -221,13 +253,18 @@ def kalman_network(df: DataFrame, by: list[str], nodes: DataFrame, edges: DataFr
     flat = F.flatten(F.transform(within, lambda e: F.array(e["x1"], e["y1"], e["x2"], e["y2"])))
     rows = df.withColumn("_cell", cells.plane_cell("y", "x", size)).join(small(lists), "_cell", "left").withColumn("_roads", flat).drop("_cell", "_all")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf[TIME].to_numpy("datetime64[us]").astype(np.int64) / 1e6
-        a, v = np.radians(pdf["track"].to_numpy(float)), pdf["groundspeed"].to_numpy(float) * kt
-        z = np.column_stack([pdf["x"], pdf["y"], v * np.sin(a), v * np.cos(a)]).astype(float)
-        s = network_filter(t, z, [np.asarray(p, float).reshape(-1, 4) for p in pdf["_roads"]], bind=bind, smooth=smooth)
-        for c, new in (("x", s[:, 0]), ("y", s[:, 1]), ("groundspeed", np.hypot(s[:, 2], s[:, 3]) / kt), ("track", np.degrees(np.arctan2(s[:, 2], s[:, 3])) % 360)):
-            pdf[c] = new
-        return pdf
-
-    return flights_in_batches(rows, by, run).drop("_roads")
+    schema = T.StructType([c for c in rows.schema.fields if c.name != "_roads"])
+    made = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ends in whole_flights(batches, by):
+            x, y, knots, track = (table.column(c).to_numpy().astype(float) for c in ("x", "y", "groundspeed", "track"))
+            a, v = np.radians(track), knots * kt
+            near = table.column("_roads").combine_chunks()
+            count = np.asarray(pc.fill_null(pc.list_value_length(near), 0)).astype(np.int64) // 4
+            t = table.column(TIME).cast(pa.int64()).to_numpy() / 1e6
+            s = network_filters(t, np.column_stack([x, y, v * np.sin(a), v * np.cos(a)]), np.asarray(near.flatten(), float).reshape(-1, 4), count, ends, bind=bind, smooth=smooth)
+            new = {"x": s[:, 0], "y": s[:, 1], "groundspeed": np.hypot(s[:, 2], s[:, 3]) / kt, "track": np.degrees(np.arctan2(s[:, 2], s[:, 3])) % 360}
+            yield from pa.table({c: pa.array(new[c], made.field(c).type) if c in new else table.column(c) for c in schema.names}).combine_chunks().to_batches()
+
+    return beside(rows, by).mapInArrow(run, schema)
