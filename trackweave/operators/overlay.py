@@ -1,9 +1,12 @@
 """Union of polygons by overlay: sides split where they meet, kept where one side of them is covered, stitched to rings.
 
-Sides meet in cells and in bands of latitude, by equal keys, so no polygon is
-compared with all others.  Places are whole numbers of a grid, so corners that
-are shared stay shared.  Only the outline that is left of a key is put
-together in one group, as its rings are values of that key's rows anyway.
+Places are whole numbers of a grid, so corners that are shared stay shared.
+Keys of few corners, as most are, move once, as polygons: many of them lie side
+by side in a task and their sides meet in arrays.  The sides of a key with more
+corners meet over the cluster, in cells and in bands of latitude, by equal
+keys, so no polygon is compared with all others; only the outline that is left
+of such a key is put together in one group, as its rings are values of that
+key's rows anyway.
 
 The joins are hinted to sort and merge: from the size of the file Spark takes
 the exploded sides to be small, and would gather them in the driver to
@@ -16,23 +19,31 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from .grouped import whole_flights
 from .references import slabs
+from .scratch import materialize
 
 #: Degrees of the grid, and of the cells in which sides meet.
 GRID, CELL = 1e-7, 0.25
 
 _SIDE = ["_x1", "_y1", "_x2", "_y2"]
 POINT = T.StructType().add("x", T.DoubleType()).add("y", T.DoubleType())
+HOLES = "array<array<struct<x:double,y:double>>>"
+
+#: Corners of a key that is put together in arrays, of a task, sides and pairs of sides that are compared at once, and most tasks.
+TOGETHER, TASK_CORNERS, SIDES_AT_ONCE, PAIRS_AT_ONCE, MOST_TASKS = 5_000, 40_000, 50_000, 1_000_000, 10_000
 
 
 def _sides(df: DataFrame, by: list[str], grid: float) -> DataFrame:
     """(by, _id, side): directed sides with the polygon on their left, in whole steps of the grid."""
     snapped = lambda ring: F.transform(ring, lambda p: F.struct(F.round(p["x"] / grid).cast("long").alias("x"), F.round(p["y"] / grid).cast("long").alias("y")))
-    holes = F.col("holes") if "holes" in df.columns else F.lit(None).cast("array<array<struct<x:double,y:double>>>")
+    holes = F.col("holes") if "holes" in df.columns else F.lit(None).cast(HOLES)
     polygons = df.select(*by, F.col("ring"), holes.alias("_holes")).withColumn("_id", F.xxhash64(*by, "ring", "_holes")).dropDuplicates(["_id", *by])
     kind = F.transform(F.coalesce("_holes", F.array()), lambda h: F.struct(F.lit(-1.0).alias("s"), snapped(h).alias("r")))
     rings = polygons.filter("ring is not null").select(*by, "_id", F.explode(F.concat(F.array(F.struct(F.lit(1.0).alias("s"), snapped("ring").alias("r"))), kind)).alias("_q"))
@@ -145,19 +156,21 @@ def stitch(pieces: np.ndarray) -> tuple[list[np.ndarray], int]:
     """
     order = np.lexsort(pieces.T[::-1])
     pieces = pieces[order]
+    rows = pieces.tolist()
     starts: dict[tuple[int, int], list[int]] = {}
-    for i, (x, y, _, _) in enumerate(pieces.tolist()):
+    for i, (x, y, _, _) in enumerate(rows):
         starts.setdefault((x, y), []).append(i)
-    free = np.ones(len(pieces), bool)
-    rows = pieces.tolist()
+    free = [True] * len(rows)
     rings, loose = [], 0
 
     def onward(i: int) -> int:
         x1, y1, x2, y2 = rows[i]
-        back = math.atan2(y1 - y2, x1 - x2)
         ways = [j for j in starts.get((x2, y2), ()) if free[j]]
+        if len(ways) < 2:
+            return ways[0] if ways else -1
+        back = math.atan2(y1 - y2, x1 - x2)
         turn = lambda j: (back - math.atan2(rows[j][3] - y2, rows[j][2] - x2)) % (2 * math.pi) or 2 * math.pi
-        return min(ways, key=turn, default=-1)
+        return min(ways, key=turn)
 
     for i in range(len(rows)):
         if not free[i]:
@@ -165,8 +178,8 @@ def stitch(pieces: np.ndarray) -> tuple[list[np.ndarray], int]:
         ring, at = [], i
         while at >= 0 and free[at]:
             free[at] = False
-            ring.append(rows[at][:2])
             last = rows[at]
+            ring.append(last[:2])
             if last[2:] == rows[i][:2]:
                 break
             at = onward(at)
@@ -179,14 +192,14 @@ def stitch(pieces: np.ndarray) -> tuple[list[np.ndarray], int]:
 
 def _straight(ring: np.ndarray) -> np.ndarray:
     """Without corners on a straight line."""
-    before, after = np.roll(ring, 1, 0) - ring, np.roll(ring, -1, 0) - ring
+    before, after = np.concatenate([ring[-1:], ring[:-1]]) - ring, np.concatenate([ring[1:], ring[:1]]) - ring
     bend = np.abs(before[:, 0] * after[:, 1] - before[:, 1] * after[:, 0]) > 0
     return ring[bend] if bend.sum() > 2 else ring
 
 
 def _area(ring: np.ndarray) -> float:
-    d = ring - ring[0]
-    return float((d[:, 0] * np.roll(d[:, 1], -1) - np.roll(d[:, 0], -1) * d[:, 1]).sum() / 2)
+    x, y = (ring - ring[0]).T
+    return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2)
 
 
 def _inside(p: np.ndarray, ring: np.ndarray) -> bool:
@@ -196,6 +209,278 @@ def _inside(p: np.ndarray, ring: np.ndarray) -> bool:
     return bool((a[:, 0] + (b[:, 0] - a[:, 0]) * (p[1] - a[:, 1]) / (b[:, 1] - a[:, 1]) > p[0]).sum() % 2)
 
 
+def _parts(pieces: np.ndarray, grid: float) -> tuple[list[tuple[np.ndarray, list[np.ndarray], float]], int]:
+    """(outer ring, holes and area of every part, pieces left over) of a key's outline."""
+    rings, loose = stitch(pieces)
+    rings = [_straight(r) for r in rings]
+    areas = [_area(r) for r in rings]
+    outer = sorted(((r, a) for r, a in zip(rings, areas) if a > 0), key=lambda q: (q[0][:, 0].min(), q[0][:, 1].min(), -q[1]))
+    inner: list[list[np.ndarray]] = [[] for _ in outer]
+    taken = [0.0] * len(outer)
+    for hole, area in ((r, a) for r, a in zip(rings, areas) if a <= 0):
+        # A place just inside the union, beside the hole's first side: in the smallest ring around it.
+        d = hole[1] - hole[0]
+        p = (hole[0] + hole[1]) / 2 + np.array([-d[1], d[0]]) / np.hypot(*d) * 1e-3
+        around = [k for k, (r, _) in enumerate(outer) if _inside(p, r)]
+        if around:
+            k = min(around, key=lambda k: outer[k][1])
+            inner[k].append(hole)
+            taken[k] += area
+        else:
+            loose += len(hole)
+    return [(r, hs, (a + t) * grid * grid) for (r, a), hs, t in zip(outer, inner, taken)], loose
+
+
+def _columns(found: list[tuple[list[tuple[np.ndarray, list[np.ndarray], float]], int]], grid: float) -> list[pa.Array]:
+    """part, ring, holes, area and loose of every part of several unions."""
+    parts = [p for ps, _ in found for p in ps]
+    part = [k for ps, _ in found for k in range(len(ps))]
+    loose = [n for ps, n in found for _ in ps]
+
+    def lists(rings: list[np.ndarray]) -> pa.Array:
+        at = np.concatenate([[0], np.cumsum([len(r) for r in rings])]).astype(np.int32)
+        xy = np.concatenate([*rings, np.zeros((0, 2))]) * grid
+        return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["x", "y"]))
+
+    ends = np.concatenate([[0], np.cumsum([len(hs) for _, hs, _ in parts])]).astype(np.int32)
+    holes = pa.ListArray.from_arrays(pa.array(ends), lists([h for _, hs, _ in parts for h in hs]))
+    return [pa.array(part, pa.int32()), lists([r for r, _, _ in parts]), holes, pa.array([a for _, _, a in parts], pa.float64()), pa.array(loose, pa.int32())]
+
+
+def _ring_sides(xy: pa.Array, sign: float, grid: float) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the ring, side) of rings given as arrays x, y, x, y, ..: _sides() of them."""
+    xy = xy.combine_chunks() if isinstance(xy, pa.ChunkedArray) else xy
+    size = np.asarray(xy.value_lengths().fill_null(0), np.int64) // 2
+    values = xy.flatten()
+    known = np.asarray(values.is_valid())
+    v = np.asarray(values.fill_null(0.0), float) / grid
+    if not np.isfinite(v).all():
+        raise ValueError("a corner that is no number")
+    whole = np.trunc(np.abs(v))
+    v = (np.copysign(1.0, v) * (whole + (np.abs(v) - whole >= 0.5))).astype(np.int64).reshape(-1, 2)
+    ring = np.repeat(np.arange(len(size)), size)
+    first = np.cumsum(size) - size
+    at = np.arange(len(ring))
+    after = np.where(at + 1 == (first + size)[ring], first[ring], at + 1)
+    x, y = (v[:, k] - v[first[ring], k] for k in (0, 1))
+    cross = x.astype(np.longdouble) * y[after] - x[after].astype(np.longdouble) * y
+    area = np.zeros(len(size), np.longdouble)
+    np.add.at(area, ring, cross * sign)
+    area[ring[~known.reshape(-1, 2).all(1)]] = 0
+    keep = (area[ring] != 0) & (v != v[after]).any(1)
+    a, b = np.where(area[ring] > 0, at, after)[keep], np.where(area[ring] > 0, after, at)[keep]
+    return ring[keep], np.concatenate([v[a], v[b]], 1)
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray):
+    """(i, j): each i with lo[i] .. hi[i] - 1, PAIRS_AT_ONCE or one more row of them at a time."""
+    n = np.maximum(hi - lo, 0)
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        c = n[at:to]
+        yield np.repeat(np.arange(at, to), c), np.arange(c.sum()) - np.repeat(np.cumsum(c) - c - lo[at:to], c)
+        at = to
+
+
+def _joined(parts: list[np.ndarray], like: np.ndarray) -> np.ndarray:
+    return np.concatenate([like[:0], *parts])
+
+
+def _dense(*columns: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal rows, in their order."""
+    code = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        values, back = np.unique(c, return_inverse=True)
+        code = np.unique(code * max(len(values), 1) + back, return_inverse=True)[1]
+    return code
+
+
+def _meet(a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, int, np.ndarray]]:
+    """_meeting() of sides in arrays: (number of the pair, side 0 or 1, place)."""
+    out, touched = [], np.zeros(len(a), bool)
+    for s, o, side in ((a, b, 0), (b, a, 1)):
+        d = (s[:, 2:] - s[:, :2]).astype(float)
+        size2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]
+        for p in (o[:, :2], o[:, 2:]):
+            e = (p - s[:, :2]).astype(float)
+            t = e[:, 0] * d[:, 0] + e[:, 1] * d[:, 1]
+            is_end = (p == s[:, :2]).all(1) | (p == s[:, 2:]).all(1)
+            on = np.flatnonzero((t > 0) & (t < size2) & (np.abs(e[:, 0] * d[:, 1] - e[:, 1] * d[:, 0]) <= np.sqrt(size2)) & ~is_end)
+            out.append((on, side, p[on]))
+            touched[on] = True
+    r, q, s = ((w[:, 2:] - w[:, :2]).astype(float) if k else (b[:, :2] - a[:, :2]).astype(float) for w, k in ((a, 1), (a, 0), (b, 1)))
+    det = r[:, 0] * s[:, 1] - r[:, 1] * s[:, 0]
+    ok = np.flatnonzero(~touched & (det != 0))
+    r, q, s, det = r[ok], q[ok], s[ok], det[ok]
+    t, u = (q[:, 0] * s[:, 1] - q[:, 1] * s[:, 0]) / det, (q[:, 0] * r[:, 1] - q[:, 1] * r[:, 0]) / det
+    cut = (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+    step = t[cut, None] * r[cut]
+    place = a[ok[cut], :2] + (np.sign(step) * np.floor(np.abs(step) + 0.5)).astype(np.int64)
+    return [*out, (ok[cut], 0, place), (ok[cut], 1, place)]
+
+
+def _outlines(g: np.ndarray, polygon: np.ndarray, side: np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray]:
+    """outline() of groups in arrays: (group, directed pieces), from the sides of each group's polygons."""
+    # Sides of a group that may meet, by their western ends.
+    west, east = np.minimum(side[:, 0], side[:, 2]), np.maximum(side[:, 0], side[:, 2])
+    low, high = np.minimum(side[:, 1], side[:, 3]), np.maximum(side[:, 1], side[:, 3])
+    order = np.lexsort((west, g))
+    g, polygon, side, west, east, low, high = (c[order] for c in (g, polygon, side, west, east, low, high))
+    origin, wide = west.min(initial=0), int(east.max(initial=0) - west.min(initial=0)) + 4
+    place = _dense(g) * wide + (west - origin)
+    last = np.searchsorted(place, place - (west - origin) + np.minimum(east - origin + 2, wide - 1), "right")
+    ours, at = [], []
+    for i, j in _spread(np.arange(1, len(g) + 1), last):
+        near = (polygon[i] != polygon[j]) & (low[i] <= high[j] + 2) & (low[j] <= high[i] + 2)
+        i, j = i[near], j[near]
+        for k, which, p in _meet(side[i], side[j]):
+            ours.append((j if which else i)[k])
+            at.append(p)
+    # Each side's corners and cuts in their order along it, cut into pieces.
+    every = np.arange(len(g))
+    d = (side[:, 2:] - side[:, :2]).astype(float)
+    along = lambda k, p: (p[:, 0] - side[k, 0]).astype(float) * d[k, 0] + (p[:, 1] - side[k, 1]).astype(float) * d[k, 1]
+    k, p = _joined(ours, every), np.concatenate([np.zeros((0, 2), np.int64), *at])
+    t, end = along(k, p), along(every, side[:, 2:])
+    inner = (t > 0) & (t < end[k])
+    k, p, t = np.concatenate([every, every, k[inner]]), np.concatenate([side[:, :2], side[:, 2:], p[inner]]), np.concatenate([np.zeros(len(g)), end, t[inner]])
+    order = np.lexsort((p[:, 1], p[:, 0], t, k))
+    k, p = k[order], p[order]
+    piece = np.flatnonzero((k[1:] == k[:-1]) & (p[1:] != p[:-1]).any(1))
+    k, a, b = k[piece], p[piece], p[piece + 1]
+    # Equal pieces are one; those with polygons on one side only may be on the outline.
+    ahead = (a[:, 0] < b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] < b[:, 1]))
+    a, b = np.where(ahead[:, None], a, b), np.where(ahead[:, None], b, a)
+    order = np.lexsort((polygon[k], b[:, 1], b[:, 0], a[:, 1], a[:, 0], g[k]))
+    k, a, b, ahead = k[order], a[order], b[order], ahead[order]
+    differ = (g[k[1:]] != g[k[:-1]]) | (a[1:] != a[:-1]).any(1) | (b[1:] != b[:-1]).any(1)
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(k), 1), bool), differ]))
+    number = np.cumsum(np.concatenate([np.zeros(min(len(k), 1), np.int64), differ.astype(np.int64)]))
+    left, right = (np.logical_or.reduceat(w, first) if len(first) else w for w in (ahead, ~ahead))
+    single = left != right
+    polygons = int(polygon.max(initial=0)) + 1
+    own = (number * polygons + polygon[k])[single[number]]  # sorted, as pieces and their polygons are
+    kept = np.flatnonzero(single)
+    pg, a, b, left = g[k[first[kept]]], a[first[kept]], b[first[kept]], left[kept]
+    # Polygons around a piece's middle: of the sides west of it, in its band of latitude, those that go down less those that go up, as polygons lie on the left.
+    mx, my = (a[:, 0] + b[:, 0]) / 2.0, (a[:, 1] + b[:, 1]) / 2.0
+    wall = np.flatnonzero(side[:, 1] != side[:, 3])
+    south, north = (np.floor(c[wall] / size).astype(np.int64) for c in (low, high))
+    base = int(min(south.min(initial=0), np.floor(my / size).min(initial=0)))
+    tall = int(max(north.max(initial=0), np.floor(my / size).max(initial=0))) - base + 1
+    wall, band = np.repeat(wall, north - south + 1), np.concatenate([np.arange(s, n + 1) for s, n in zip(south.tolist(), north.tolist())] or [south])
+    groups = np.unique(g)
+    code = np.searchsorted(groups, g[wall]) * tall + band - base
+    order = np.argsort(code, kind="stable")
+    wall, code = wall[order], code[order]
+    asked = np.searchsorted(groups, pg) * tall + np.floor(my / size).astype(np.int64) - base
+    around = np.zeros(len(kept), np.int64)
+    sx, sy, ex, ey = side.T
+    for i, j in _spread(np.searchsorted(code, asked), np.searchsorted(code, asked, "right")):
+        j = wall[j]
+        spans = np.flatnonzero((sy[j] > my[i]) != (ey[j] > my[i]))
+        i, j = i[spans], j[spans]
+        hit = np.flatnonzero(sx[j] + (ex[j] - sx[j]) * ((my[i] - sy[j]) / (ey[j] - sy[j])) < mx[i])
+        i, j = i[hit], j[hit]
+        mine = kept[i] * polygons + polygon[j]
+        at = np.minimum(np.searchsorted(own, mine), len(own) - 1)
+        other = own[at] != mine
+        i, j = i[other], j[other]
+        np.add.at(around, i, np.where(ey[j] < sy[j], 1, -1))
+    free = around == 0
+    a, b, left = a[free], b[free], left[free]
+    return pg[free], np.where(left[:, None], np.concatenate([a, b], 1), np.concatenate([b, a], 1))
+
+
+def _unions(t: pa.Table, g: np.ndarray, row: np.ndarray, grid: float, size: float):
+    """Unions of groups of a table's polygons (_ring, _holes, _id): batches of numbers of groups, and _columns() of their parts.
+
+    ``g`` numbers the group of each polygon and ascends, ``row`` is the polygon's row.
+    """
+    name = np.asarray(t.column("_id"))[row]
+    order = np.lexsort((name, g))
+    g, row, name = g[order], row[order], name[order]
+    one = np.concatenate([np.ones(min(len(g), 1), bool), (g[1:] != g[:-1]) | (name[1:] != name[:-1])])
+    g, row = g[one], row[one]
+    ring, side = _ring_sides(t.column("_ring"), 1.0, grid)
+    holes = t.column("_holes").combine_chunks()
+    if holes.null_count < len(holes):
+        of = np.asarray(holes.value_parent_indices())
+        inner, more = _ring_sides(holes.flatten(), -1.0, grid)
+        known = np.asarray(t.column("_ring").is_valid())[of[inner]]
+        ring, side = np.concatenate([ring, of[inner][known]]), np.concatenate([side, more[known]])
+        order = np.argsort(ring, kind="stable")
+        ring, side = ring[order], side[order]
+    first, stop = np.searchsorted(ring, row), np.searchsorted(ring, row, "right")
+    ends = np.cumsum(stop - first)
+    heads = np.flatnonzero(np.concatenate([np.ones(min(len(g), 1), bool), g[1:] != g[:-1]]))
+    at = 0
+    while at < len(g):
+        # So many whole groups as have the sides of a step, one at least.
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SIDES_AT_ONCE, "right"))
+        below = heads[np.searchsorted(heads, at) + 1 : np.searchsorted(heads, to, "right")]
+        if to >= len(g):
+            to = len(g)
+        elif len(below):
+            to = int(below[-1])
+        else:
+            following = heads[heads > at]
+            to = int(following[0]) if len(following) else len(g)
+        n = (stop - first)[at:to]
+        k = np.repeat(np.arange(at, to), n)
+        if len(k):
+            s = side[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[at:to], n)]
+            pg, pieces = _outlines(g[k], k - at, s, size)
+            order = np.argsort(pg, kind="stable")
+            pg, pieces = pg[order], pieces[order]
+            cut = np.flatnonzero(pg[1:] != pg[:-1]) + 1
+            found = [_parts(x, grid) for x in np.split(pieces, cut)] if len(pg) else []
+            names = pg[np.concatenate([[0], cut])] if len(pg) else pg
+            yield np.repeat(names, [len(ps) for ps, _ in found]).astype(np.int64), _columns(found, grid)
+        at = to
+
+
+def _result(df: DataFrame, by: list[str], levels: bool) -> T.StructType:
+    out = T.StructType([df.schema[c] for c in by])
+    if levels:
+        out = out.add("lower", T.DoubleType()).add("upper", T.DoubleType())
+    return out.add("part", T.IntegerType()).add("ring", T.ArrayType(POINT)).add("holes", T.ArrayType(T.ArrayType(POINT))).add("area", T.DoubleType()).add("loose", T.IntegerType())
+
+
+def _split(df: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None, int]:
+    """(polygons of keys with at most TOGETHER corners, those of the others if there are any, tasks for the first)."""
+    holes = F.coalesce(F.aggregate("holes", F.lit(0), lambda n, h: n + F.coalesce(F.size(h), F.lit(0))), F.lit(0)) if "holes" in df.columns else F.lit(0)
+    each = df.groupBy(F.struct(*by).alias("_large")).agg(F.sum(F.coalesce(F.size("ring"), F.lit(0)) + holes).alias("_n"))
+    corners, most = each.agg(F.sum("_n"), F.max("_n")).first()
+    tasks = max(1, min(MOST_TASKS, -(-(corners or 0) // TASK_CORNERS)))
+    if (most or 0) <= TOGETHER:
+        return df, None, tasks
+    large = F.broadcast(materialize(each.filter(F.col("_n") > TOGETHER).select("_large")))  # few, as each has many corners
+    same = F.struct(*by) == F.col("_large")
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi"), tasks
+
+
+def _together(df: DataFrame, by: list[str], tasks: int, schema: T.StructType, grid: float, cell: float, extra: list[str], groups) -> DataFrame:
+    """Unions of the polygons of whole keys; ``groups`` of a table and the bounds of its keys gives numbers of the groups, rows of polygons in them, and the groups' own columns."""
+    holes = F.col("holes") if "holes" in df.columns else F.lit(None).cast(HOLES)
+    flat = lambda ring: F.flatten(F.transform(ring, lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"))))
+    sent = df.select(*by, *extra, flat(F.col("ring")).alias("_ring"), F.transform(holes, flat).alias("_holes"))
+    sent = sent.repartition(tasks, *by).sortWithinPartitions(*by).withColumn("_id", F.xxhash64("_ring", "_holes"))
+    size, made = cell / grid, to_arrow_schema(schema)
+
+    def run(batches):
+        for t, starts in whole_flights(batches, by):
+            t = t.combine_chunks()
+            g, row, own = groups(t, starts)
+            for at, columns in _unions(t, g, row, grid, size):
+                of = own.take(pa.array(at))
+                values = [*of.columns, *columns]
+                yield from pa.table([c.cast(f.type) for c, f in zip(values, made)], schema=made).combine_chunks().to_batches()
+
+    return sent.mapInArrow(run, schema)
+
+
 def union(df: DataFrame, by: list[str], grid: float = GRID, cell: float = CELL) -> DataFrame:
     """by, part, ring, holes, area, loose: the parts of the union of each key's polygons.
 
@@ -208,26 +493,22 @@ def union(df: DataFrame, by: list[str], grid: float = GRID, cell: float = CELL)
     row.  ``loose`` counts pieces of the outline that close no ring: 0 but for
     polygons that nearly touch within a step of the grid.
     """
-    schema = T.StructType([df.schema[c] for c in by]).add("part", T.IntegerType()).add("ring", T.ArrayType(POINT)).add("holes", T.ArrayType(T.ArrayType(POINT))).add("area", T.DoubleType()).add("loose", T.IntegerType())
+    few, many, tasks = _split(df, by)
+    whole = lambda t, starts: (np.repeat(np.arange(len(starts) - 1), np.diff(starts)), np.arange(t.num_rows), t.select(by).take(pa.array(starts[:-1])))
+    out = _together(few, by, tasks, _result(df, by, False), grid, cell, [], whole)
+    return out if many is None else out.unionByName(_over_cluster(many, by, grid, cell))
+
+
+def _over_cluster(df: DataFrame, by: list[str], grid: float, cell: float) -> DataFrame:
+    """union() of keys of any size: outline() over the cluster, then a group for each key's outline."""
+    schema = _result(df, by, False)
 
     def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings, loose = stitch(pdf[_SIDE].to_numpy(np.int64))
-        rings = [_straight(r) for r in rings]
-        outer = sorted((r for r in rings if _area(r) > 0), key=lambda r: (r[:, 0].min(), r[:, 1].min(), -_area(r)))
-        inner: list[list[np.ndarray]] = [[] for _ in outer]
-        for hole in (r for r in rings if _area(r) <= 0):
-            # A place just inside the union, beside the hole's first side: in the smallest ring around it.
-            d = hole[1] - hole[0]
-            p = (hole[0] + hole[1]) / 2 + np.array([-d[1], d[0]]) / np.hypot(*d) * 1e-3
-            around = [k for k, r in enumerate(outer) if _inside(p, r)]
-            if around:
-                inner[min(around, key=lambda k: _area(outer[k]))].append(hole)
-            else:
-                loose += len(hole)
+        parts, loose = _parts(pdf[_SIDE].to_numpy(np.int64), grid)
         points = lambda r: [{"x": x * grid, "y": y * grid} for x, y in r.tolist()]
         out = pd.DataFrame({
-            "part": range(len(outer)), "ring": [points(r) for r in outer], "holes": [[points(h) for h in hs] for hs in inner],
-            "area": [(_area(r) + sum(map(_area, hs))) * grid * grid for r, hs in zip(outer, inner)], "loose": loose,
+            "part": range(len(parts)), "ring": [points(r) for r, _, _ in parts], "holes": [[points(h) for h in hs] for _, hs, _ in parts],
+            "area": [a for _, _, a in parts], "loose": loose,
         })
         for c in by:
             out[c] = pdf[c].iloc[0]
