@@ -124,7 +124,7 @@ def test_keys_in_arrays_give_what_the_cluster_gives(spark, monkeypatch):
     df = spark.createDataFrame(rows, "k long, ring array<struct<x:double,y:double>>, holes array<array<struct<x:double,y:double>>>, lower double, upper double")
     monkeypatch.setattr(overlay, "SIDES_AT_ONCE", 60)
     monkeypatch.setattr(overlay, "PAIRS_AT_ONCE", 50)
-    for of in (overlay.union,):
+    for of in (overlay.union, overlay.union_levels):
         found = []
         for corners in (5_000, 40, 0):
             monkeypatch.setattr(overlay, "TOGETHER", corners)

@@ -521,10 +521,42 @@ def union_levels(layers: DataFrame, by: list[str], grid: float = GRID, cell: flo
     """union() of an airspace's layers (ring, lower, upper) between each two of its bounds: by, lower, upper, part, ring, holes, area.
 
     Neighbouring slabs with the same layers are one; bounds that are null are
-    taken as unlimited.
+    taken as unlimited, and rows whose key is null are left out.
     """
-    wide = layers.withColumns({"lower": F.coalesce(F.col("lower").cast("double"), F.lit(-math.inf)), "upper": F.coalesce(F.col("upper").cast("double"), F.lit(math.inf))})
-    wide = wide.withColumn("_layer", F.xxhash64("ring", "lower", "upper"))
-    cut = slabs(wide, by, "_layer").select(*by, "lower", "upper", F.explode("layers").alias("_layer"))
-    rings = wide.select(*by, "_layer", "ring").dropDuplicates([*by, "_layer"])
-    return union(cut.join(rings.hint("merge"), [*by, "_layer"]), [*by, "lower", "upper"], grid, cell)
+    wide = layers.select(*by, "ring", F.coalesce(F.col("lower").cast("double"), F.lit(-math.inf)).alias("lower"), F.coalesce(F.col("upper").cast("double"), F.lit(math.inf)).alias("upper"))
+    few, many, tasks = _split(wide.dropna(subset=by), by)
+    out = _together(few, by, tasks, _result(wide, by, True), grid, cell, ["lower", "upper"], lambda t, starts: _slabs(t, starts, by))
+    if many is None:
+        return out
+    many = many.withColumn("_layer", F.xxhash64("ring", "lower", "upper"))
+    cut = slabs(many, by, "_layer").select(*by, "lower", "upper", F.explode("layers").alias("_layer"))
+    rings = many.select(*by, "_layer", "ring").dropDuplicates([*by, "_layer"])
+    return out.unionByName(union(cut.join(rings.hint("merge"), [*by, "_layer"]), [*by, "lower", "upper"], grid, cell))
+
+
+def _slabs(t: pa.Table, starts: np.ndarray, by: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """slabs() of whole keys in arrays: number of the slab and row of each layer in it, and the slabs' key, lower and upper."""
+    lower, upper, name = (np.asarray(t.column(c)) for c in ("lower", "upper", "_id"))
+    rows, sizes, key, lo, hi = [], [], [], [], []
+    for k, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+        one = a + np.lexsort((name[a:b], upper[a:b], lower[a:b]))
+        same = (lower[one[1:]] == lower[one[:-1]]) & (upper[one[1:]] == upper[one[:-1]]) & (name[one[1:]] == name[one[:-1]])
+        one = one[np.concatenate([[True], ~same])]
+        cuts = np.unique(np.concatenate([lower[one], upper[one]]))
+        before = None
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            inside = one[(lower[one] <= s) & (upper[one] >= e)]
+            if not len(inside):
+                before = None
+            elif before is not None and len(before) == len(inside) and (before == inside).all():
+                hi[-1] = e
+            else:
+                rows.append(inside)
+                sizes.append(len(inside))
+                key.append(k)
+                lo.append(s)
+                hi.append(e)
+                before = inside
+    own = t.select(by).take(pa.array(starts[np.array(key, np.int64)]))
+    own = own.append_column("lower", pa.array(lo, pa.float64())).append_column("upper", pa.array(hi, pa.float64()))
+    return np.repeat(np.arange(len(sizes)), np.array(sizes, np.int64)), np.concatenate([np.zeros(0, np.int64), *rows]), own
