@@ -5,8 +5,9 @@ q is stored as the memberships (pair, 1) .. (pair, q) of a Bloom filter (Talbot
 and Osborne, 2007).  Scoring reads a count back by probing level after level
 until one is missing, so no pair is stored.  Counting is distributed: blocks
 of text send distinct keys with counts to hash buckets, every bucket fills its
-own part of the filter.  Parts are broadcast while they are small; a larger
-filter stays where it is, and probes are sent to its parts.
+own part of the filter.  Parts are broadcast, in groups where they are large,
+so texts stay where they are; only where the tokens that came twice or more are
+too many to broadcast, probes are sent to the parts.
 
 The scores are probabilities: over all types, and one for what is unknown,
 those that follow a token sum to one.  So a token keeps the exact sum of what
@@ -38,9 +39,10 @@ DISCOUNT = 0.75
 LEAST_LEVEL = 3
 #: False pairs of a token to be expected, at most, among all types.
 FALSE_PAIRS = 0.01
-#: The filters are broadcast up to so many bytes in all; beyond, probes are sent to their parts.
+#: The filters are broadcast up to so many bytes at once.
 BROADCAST_BYTES = 256 << 20
-#: The exact token counts are broadcast up to so many tokens; beyond, they are joined by shuffle, and so are the filters.
+#: The exact token counts are broadcast up to so many tokens; beyond, tokens that came once go with the groups of the filter's parts.
+#: With more tokens that came twice or more, counts are joined by shuffle, and so are the filters.
 BROADCAST_TOKENS = 8_000_000
 
 #: Bytes of text whose keys are counted together before they are sent.
@@ -233,7 +235,10 @@ def merge_buckets(blocks: DataFrame, bits: int, per_entry: int, probes: int) ->
 
 
 def finish_words(merged: DataFrame) -> DataFrame:
-    """Per bucket: words with exact counts and what their pairs take (kind 0), and what the pairs at the beginnings of texts take (kind 4)."""
+    """Per bucket: words that came twice or more with exact counts and what their pairs take (kind 0), words that came once (kind 5), and what the pairs at the beginnings of texts take (kind 4).
+
+    A word that came once has no stored pair, so none that begins with it takes anything.
+    """
     start = int(top_half(np.array([START]))[0])
 
     def run(table: pa.Table) -> pa.Table:
@@ -242,7 +247,8 @@ def finish_words(merged: DataFrame) -> DataFrame:
         bucket = table.column("bucket")[0].as_py()
         k, n = tk.merge_counts(*tk.unpack_all([value[int(i)] for i in np.flatnonzero(kind == 0)], ("u8", "u8")))
         h, m = tk.merge_counts(*tk.unpack_all([value[int(i)] for i in np.flatnonzero(kind == 1)], ("u4", "f8")))
-        rows = [(bucket, 0, tk.pack(k, n, of_sorted(h, m, top_half(k))))]
+        once = n == 1
+        rows = [(bucket, 5, tk.pack(k[once])), (bucket, 0, tk.pack(k[~once], n[~once], of_sorted(h, m, top_half(k[~once]))))]
         rows += [(bucket, 4, tk.pack(x)) for x in (m[h == start],) if len(x)]
         c = list(zip(*rows, strict=True))
         return pa.table([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int8()), pa.array(c[2], pa.binary())], ["bucket", "kind", "value"])
@@ -304,6 +310,7 @@ class Trained:
     filter_bytes: int
     probes: int
     start: float
+    n_once: int
 
 
 def train(docs: DataFrame) -> Trained:
@@ -319,10 +326,11 @@ def train(docs: DataFrame) -> Trained:
             parts = [tk.unpack(v.as_py(), ("u8", "u8", "f8")) for v in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([sum(len(p[0]) for p in parts)], pa.int64()), pa.array([sum(int(p[1].sum()) for p in parts)], pa.int64())], ["v", "n"])
 
-    v, n = finished.filter("kind = 0").select("value").mapInArrow(sums, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
+    v, n = (x or 0 for x in finished.filter("kind = 0").select("value").mapInArrow(sums, "v long, n long").agg(F.sum("v"), F.sum("n")).first())
+    once = (finished.filter("kind = 5").agg(F.sum(F.octet_length("value"))).first()[0] or 0) // 8
     size = merged.filter("kind = 2").agg(F.sum(F.octet_length("value"))).first()[0]
     start = sum(float(tk.unpack(bytes(r[0]), ("f8",))[0][0]) for r in finished.filter("kind = 4").select("value").collect())  # one row
-    return Trained(merged, finished, bits, int(n or 0), int(v or 0), int(total[1]), int(size or 0), probes, start)
+    return Trained(merged, finished, bits, int(n) + once, int(v) + once, int(total[1]), int(size or 0), probes, start, once)
 
 
 def _parts(df: DataFrame) -> dict[int, np.ndarray]:
@@ -337,16 +345,27 @@ def filter_arrays(df: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return sizes, np.concatenate([*(parts[b] for b in sorted(parts)), np.zeros(1, np.uint8)])
 
 
-def exact_counts(trained: Trained) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token keys in order, their exact counts and what their pairs take (callers check n_types first)."""
+def once_words(trained: Trained, first: int, stop: int) -> np.ndarray:
+    """Keys in order of the tokens that came once, of the buckets from ``first`` to before ``stop``."""
+    parts = _parts(trained.finished.filter((F.col("kind") == 5) & F.col("bucket").between(first, stop - 1)))
+    return np.concatenate([np.zeros(0, U), *(tk.unpack(parts.pop(b), ("u8",))[0] for b in sorted(parts))])
+
+
+def exact_counts(trained: Trained, once: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token keys in order, their exact counts and what their pairs take, with or without tokens that came once (callers check their number first)."""
     parts = _parts(trained.finished.filter("kind = 0"))
-    keys, counts, taken = np.zeros(trained.n_types, U), np.zeros(trained.n_types, np.uint32 if trained.n_tokens < 2**32 else U), np.zeros(trained.n_types, np.float32)
+    size = trained.n_types - trained.n_once
+    keys, counts, taken = np.zeros(size, U), np.zeros(size, np.uint32 if trained.n_tokens < 2**32 else U), np.zeros(size, np.float32)
     at = 0
     for b in sorted(parts):
         k, n, t = tk.unpack(parts.pop(b), ("u8", "u8", "f8"))
         keys[at : at + len(k)], counts[at : at + len(k)], taken[at : at + len(k)] = k, n, t
         at += len(k)
-    return keys, counts, taken
+    if not once:
+        return keys, counts, taken
+    more = once_words(trained, 0, 1 << trained.bits)
+    at = np.searchsorted(keys, more)
+    return np.insert(keys, at, more), np.insert(counts, at, 1), np.insert(taken, at, 0)
 
 
 SCORED = "doc_id long, row_key long, n_tokens long, n_known long, base_score double, score double"
@@ -358,22 +377,27 @@ def score(docs: DataFrame, trained: Trained, broadcast_bytes: int = BROADCAST_BY
     A filter within its bound is broadcast; of a larger one the parts are
     broadcast in groups within the bound, and each group gives the sum of the
     tokens whose pairs are its own, so only sums move.  With more tokens than
-    are broadcast nothing is gathered in one place: see _by_shuffle().
+    are broadcast, those that came once go with these groups.  With more that
+    came twice or more nothing is gathered in one place: see _by_shuffle().
     """
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    if trained.n_types > broadcast_tokens:
+    if trained.n_types - trained.n_once > broadcast_tokens:
         return _by_shuffle(keyed, trained)
-    exact = docs.sparkSession.sparkContext.broadcast(exact_counts(trained))
-    if trained.filter_bytes <= broadcast_bytes:
-        return _by_group(keyed, trained, exact, 0, 1 << trained.bits)
-    sizes = {r[0]: r[1] for r in trained.merged.filter("kind = 2").select("bucket", F.octet_length("value")).collect()}
+    apart = trained.n_types > broadcast_tokens
+    exact = docs.sparkSession.sparkContext.broadcast(exact_counts(trained, not apart))
+    if trained.filter_bytes + (8 * trained.n_once if apart else 0) <= broadcast_bytes:
+        return _by_group(keyed, trained, exact, 0, 1 << trained.bits, apart)
+    held_by = trained.merged.filter("kind = 2").select("bucket", F.octet_length("value").alias("_n"))
+    if apart:
+        held_by = held_by.unionByName(trained.finished.filter("kind = 5").select("bucket", F.octet_length("value").alias("_n")))
+    sizes = {r[0]: r[1] for r in held_by.groupBy("bucket").agg(F.sum("_n")).collect()}
     firsts, held = [0], 0
     for b in range(1 << trained.bits):
         if held and held + sizes.get(b, 0) > broadcast_bytes:
             firsts.append(b)
             held = 0
         held += sizes.get(b, 0)
-    sums = [materialize(_by_group(keyed, trained, exact, a, z), "lm-sums") for a, z in zip(firsts, [*firsts[1:], 1 << trained.bits])]
+    sums = [materialize(_by_group(keyed, trained, exact, a, z, apart), "lm-sums") for a, z in zip(firsts, [*firsts[1:], 1 << trained.bits])]
     every = reduce(DataFrame.unionByName, sums)
     # Rows alike in id and text are summed together: each has its share, as all are equal.
     c = F.col("_rows") / len(sums)
@@ -382,26 +406,39 @@ def score(docs: DataFrame, trained: Trained, broadcast_bytes: int = BROADCAST_BY
     return added.select("doc_id", "row_key", *whole, (F.col("base_score") / c).alias("base_score"), (F.col("score") / c).alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), c.cast("long"))).alias("_copy")).drop("_copy")
 
 
-def _by_group(keyed: DataFrame, trained: Trained, exact, first: int, stop: int) -> DataFrame:
-    """What score() sums over the tokens whose pairs lie in the buckets from ``first`` to before ``stop``."""
+def _by_group(keyed: DataFrame, trained: Trained, exact, first: int, stop: int, apart: bool) -> DataFrame:
+    """What score() sums over the tokens whose pairs lie in the buckets from ``first`` to before ``stop``.
+
+    Where the tokens that came once are apart, they count as unknown there; the
+    group whose buckets have them adds the rest.  No pair of theirs is stored,
+    so that is the same for any token before: log10 of (1 + 1) over (0 + 1).
+    """
     bits = trained.bits
     pairs = keyed.sparkSession.sparkContext.broadcast(filter_arrays(trained.merged.filter((F.col("kind") == 2) & F.col("bucket").between(first, stop - 1)), bits))
     n, v, n_texts, probes, start = trained.n_tokens, trained.n_types, trained.n_texts, trained.probes, trained.start
     every = (first, stop) == (0, 1 << bits)
+    rare = keyed.sparkSession.sparkContext.broadcast(once_words(trained, first, stop) if apart else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*exact.value, LogFrequencyFilter(*pairs.value, bits, probes), n, v, n_texts, start)
         for batch in tk.slices(batches, size=4 << 20):
             doc, key, before = word_keys(tk.split_words(batch.column(2), lower=True))
             m = batch.num_rows
+            single = np.zeros(m, np.int64)
+            if apart:
+                bucket = model.pairs._bucket(key)
+                own = (bucket >= first) & (bucket < stop)
+                asked = key[own]
+                once = of_sorted(rare.value, np.ones(len(rare.value), np.int64), asked)
+                single = np.bincount(doc[own], once, m).astype(np.int64)
             if not every:
                 bucket = model.pairs._bucket(kind_key("pair", before, key))
                 mine = (bucket >= first) & (bucket < stop)
                 doc, key, before = doc[mine], key[mine], before[mine]
             logp, c = model.log_probs(key, before)
-            score = np.bincount(doc, logp, m).astype(float)
-            base = np.bincount(doc, np.log10((c + 1.0) / (n + v + 1.0)), m).astype(float)
-            known = np.bincount(doc, c > 0, m).astype(np.int64)
+            score = np.bincount(doc, logp, m).astype(float) + single * np.log10(2.0)
+            base = np.bincount(doc, np.log10((c + 1.0) / (n + v + 1.0)), m).astype(float) + single * np.log10(2.0)
+            known = np.bincount(doc, c > 0, m).astype(np.int64) + single
             tokens = np.bincount(doc, minlength=m).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "row_key", "n_tokens", "n_known", "base_score", "score"])
 
@@ -436,9 +473,14 @@ def _by_shuffle(keyed: DataFrame, trained: Trained) -> DataFrame:
         """The token's exact count and what its pairs take."""
         k = np.asarray(asked.column("token").combine_chunks()).view(U)
         c, taken = np.zeros(len(k), np.int64), np.zeros(len(k))
-        for value in parts.column("value"):
+        for kind, value in zip(parts.column("kind").to_pylist() if parts.num_rows else [], parts.column("value") if parts.num_rows else []):
+            if kind == 5:
+                keys = tk.unpack(value.as_py(), ("u8",))[0]
+                c += of_sorted(keys, np.ones(len(keys), np.int64), k)
+                continue
             keys, counts, sums = tk.unpack(value.as_py(), ("u8", "u8", "f8"))
-            c, taken = of_sorted(keys, counts, k).astype(np.int64), of_sorted(keys, sums.astype(np.float32), k).astype(float)
+            c += of_sorted(keys, counts, k).astype(np.int64)
+            taken = of_sorted(keys, sums.astype(np.float32), k).astype(float)
         return pa.table([asked.column("token"), pa.array(c), pa.array(taken)], ["token", "c", "taken"])
 
     def probe_pairs(asked: pa.Table, parts: pa.Table) -> pa.Table:
@@ -470,7 +512,7 @@ def _by_shuffle(keyed: DataFrame, trained: Trained) -> DataFrame:
     distinct = own.select("before", "token").distinct().mapInArrow(with_pair, "before long, token long, pair long")
     distinct = materialize(distinct, "lm-distinct")
     asked = distinct.select("token").unionByName(distinct.select(F.col("before").alias("token"))).distinct().mapInArrow(with_bucket, "token long, bucket int")
-    words = asked.groupBy("bucket").cogroup(trained.finished.filter("kind = 0").groupBy("bucket")).applyInArrow(probe_words, "token long, c long, taken double")
+    words = asked.groupBy("bucket").cogroup(trained.finished.filter("kind in (0, 5)").groupBy("bucket")).applyInArrow(probe_words, "token long, c long, taken double")
     words = materialize(words, "lm-counts")
     pairs = distinct.select("pair").distinct().mapInArrow(with_bucket, "pair long, bucket int")
     pairs = pairs.groupBy("bucket").cogroup(trained.merged.filter("kind = 2").groupBy("bucket")).applyInArrow(probe_pairs, "pair long, level long")
